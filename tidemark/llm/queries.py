@@ -6,13 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokens, url_rules, warc
+from . import decontaminate, packing, tokens, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.contamination(docs, items).select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -57,6 +66,7 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 """
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op9_token_counts": op9_token_counts,
