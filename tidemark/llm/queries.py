@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, tokens, url_rules, warc
+from . import decontaminate, packing, secrets, tokens, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    n = [secrets.number(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = secrets.listed(F.col("spans"), ("assign", "access", "hex"))
+    return found.select("doc_id", *n, F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,6 +74,7 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_secrets": op2_secrets,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op9_token_counts": op9_token_counts,
