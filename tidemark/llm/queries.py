@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, secrets, tokens, url_rules, warc
+from . import decontaminate, packing, quality, secrets, tokens, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -52,6 +52,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def fold(doc_id: str, n: int):
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(fold("doc_id", 4) != 2)
+    scored = quality.quality(table(spark, sf_dir, "documents", "doc_id", "text"), labels)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -77,6 +87,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
+    "op7_quality": op7_quality,
     "op9_token_counts": op9_token_counts,
     "op10_url_rules": op10_url_rules,
 }
