@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, quality, secrets, tokens, toxicity, url_rules, warc
+from . import decontaminate, embeddings, jaccard, packing, quality, secrets, tokens, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -95,6 +99,7 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
