@@ -20,7 +20,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import few, stored
 
 
 @dataclass(frozen=True)
@@ -159,8 +159,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = docs
     if queries:
         trigrams = sorted({t for sets in queries.values() for s in sets for t in s})
-        found = candidates(postings(docs.select("doc_id", "text"), trigrams), queries).withColumnRenamed("doc_id", "_doc")
-        rows = docs.join(found.withColumnRenamed("kinds", "_kinds"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+        found = candidates(postings(docs.select("doc_id", "text"), trigrams), queries)
+        found = few(stored(found.withColumnsRenamed({"doc_id": "_doc", "kinds": "_kinds"}), "secret-candidates"), 500_000)
+        rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     else:
         rows = docs.withColumn("_kinds", F.lit(None).cast("array<string>"))
     none = F.array().cast("array<struct<start:int,end:int>>")
