@@ -35,6 +35,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, a stored table of short rows, marked for broadcast if it has at most `most` rows; else Spark shuffles it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def buckets(spark: SparkSession) -> int:
     """How many hash buckets spread a two-step rank or prefix sum."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

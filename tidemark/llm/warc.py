@@ -14,11 +14,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import new_path, shared_dir, stored
+from .common import few, new_path, shared_dir, stored
 
 MAGIC = "WARC/1.0\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -42,8 +42,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", sha1_base32(F.col("html").cast("binary")))
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    rows = rows.join(first, "digest", "left")
+    first = stored(rows.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "warc-first")
+    rows = rows.join(few(first), "digest", "left")
     revisit = (
         F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= min_bytes)
     )
@@ -71,7 +71,7 @@ def _chains(pdf: pd.DataFrame) -> pd.DataFrame:
     out = to.copy()
     for i in np.flatnonzero(inside)[::-1]:
         out[i] = out[there[i]]
-    return pd.DataFrame({"file": pdf["file"], "block": pdf["block"], "at": at, "exit": out})
+    return pd.DataFrame({"file": pdf["file"], "span": pdf["span"], "at": at, "exit": out})
 
 
 def _reached(key, cands: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
@@ -85,9 +85,11 @@ def _reached(key, cands: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": key[0], "at": np.array(kept, dtype="int64")})
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, summary: dict[str, Column] | None = None) -> DataFrame:
     """Records under path: file, at (byte offset), header (without the version line), block (bytes).
 
+    With summary (columns of header and block) those columns stand in place of the two.
+
     A candidate without a Content-Length has no successor; reading of its file ends there.
     An empty folder or file gives no rows.
     """
@@ -95,24 +97,28 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     size = len(MAGIC)
     text = (
         spark.read.option("lineSep", MAGIC).text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("span"))
         .withColumn("row", F.monotonically_increasing_id())
     )
-    pieces = stored(text.withColumns({"bytes": F.octet_length("value").cast("long"), "head": F.substring_index("value", "\r\n\r\n", 1)}), "warc-pieces")
-    in_block = W.partitionBy("file", "block").orderBy("row")
-    blocks = pieces.groupBy("file", "block").agg(F.sum(F.col("bytes") + size).alias("size"))
-    starts = blocks.withColumn("base", F.sum("size").over(W.partitionBy("file").orderBy("block")) - F.col("size")).drop("size")
+    pieces = text.withColumns({"bytes": F.octet_length("value").cast("long"), "head": F.substring_index("value", "\r\n\r\n", 1)})
+    if summary is not None:
+        both = pieces.select("*", *_parsed())
+        pieces = both.withColumn("summary", F.struct(*[c.alias(n) for n, c in summary.items()])).drop("header", "block")
+    pieces = stored(pieces, "warc-pieces")
+    in_block = W.partitionBy("file", "span").orderBy("row")
+    blocks = pieces.groupBy("file", "span").agg(F.sum(F.col("bytes") + size).alias("size"))
+    starts = blocks.withColumn("base", F.sum("size").over(W.partitionBy("file").orderBy("span")) - F.col("size")).drop("size")
     length = F.regexp_extract("head", r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,18})(?:\r\n|$)", 1)
     cands = (
-        pieces.select("file", "block", "row", "bytes", F.octet_length("head").alias("head_bytes"), F.nullif(length, F.lit("")).cast("long").alias("length"))
+        pieces.select("file", "span", "row", "bytes", F.octet_length("head").alias("head_bytes"), F.nullif(length, F.lit("")).cast("long").alias("length"))
         .withColumn("within", F.sum(F.col("bytes") + size).over(in_block) - F.col("bytes") - size)
-        .join(F.broadcast(starts), ["file", "block"])  # one row for each byte range of the scan
+        .join(F.broadcast(starts), ["file", "span"])  # one row for each byte range of the scan
         .withColumn("at", F.col("base") + F.col("within") - size)
         .withColumn("next", F.coalesce(F.col("at") + size + F.col("head_bytes") + 4 + F.col("length") + 4, F.lit(-1)))
-        .where("at >= 0").select("file", "block", "row", "at", "next")
+        .where("at >= 0").select("file", "span", "row", "at", "next")
     )
     cands = stored(cands, "warc-candidates")
-    jump = cands.select("file", "block", "at", "next").groupBy("file", "block").applyInPandas(_chains, "file string, block long, at long, exit long")
+    jump = cands.select("file", "span", "at", "next").groupBy("file", "span").applyInPandas(_chains, "file string, span long, at long, exit long")
     jump = jump.select("file", "at", "exit").checkpoint()
     most = blocks.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     seen = jump.where("at = 0").select("file", "at")
@@ -121,66 +127,72 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         seen = seen.union(step).distinct().checkpoint()
         over = jump.select("file", F.col("at").alias("exit"), F.col("exit").alias("further"))
         jump = jump.join(over, ["file", "exit"]).select("file", "at", F.col("further").alias("exit")).checkpoint()
-    seen = seen.join(cands.select("file", "block", "at"), ["file", "at"]).checkpoint()
+    seen = seen.join(cands.select("file", "span", "at"), ["file", "at"]).checkpoint()
     reached = (
-        cands.select("file", "block", "at", "next").groupBy("file", "block")
-        .cogroup(seen.groupBy("file", "block")).applyInPandas(_reached, "file string, at long")
+        cands.select("file", "span", "at", "next").groupBy("file", "span")
+        .cogroup(seen.groupBy("file", "span")).applyInPandas(_reached, "file string, at long")
     )
     # Pieces after a record and before the next belong to its payload.
     in_file = W.partitionBy("file").orderBy("at")
     owner = (
-        cands.select("file", "block", "row", "at").join(reached.withColumn("record", F.col("at")), ["file", "at"], "left")
+        cands.select("file", "span", "row", "at").join(reached.withColumn("record", F.col("at")), ["file", "at"], "left")
         .withColumn("record", F.last("record", ignorenulls=True).over(in_file))
         .where("record is not null")
         .withColumn("n", F.count("*").over(W.partitionBy("file", "record")))
     )
-    rows = pieces.select("file", "block", "row", "value").join(owner, ["file", "block", "row"])
-    whole = rows.where("n = 1").select("file", F.col("record").alias("at"), "value")
+    owner = stored(owner, "warc-owners")
+    whole = pieces.join(owner.where("n = 1"), ["file", "span", "row"]).select("file", F.col("record").alias("at"), "value")
+    split = pieces.select("file", "span", "row", "value").join(few(owner.where("n > 1")), ["file", "span", "row"])
     parts = F.array_sort(F.collect_list(F.struct("at", "value")))
-    joined = rows.where("n > 1").groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda p: p["value"]), MAGIC).alias("value"))
-    head = F.substring_index("value", "\r\n\r\n", 1)
-    return (
-        whole.union(joined.select("file", F.col("record").alias("at"), "value"))
-        .withColumn("header", head)
-        .withColumn("block", F.expr(r"""substring(cast(value as binary), octet_length(header) + 5,
-            int(regexp_extract(header, '(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]+)', 1)))"""))
-        .select("file", "at", "header", "block")
-    )
+    joined = split.groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda p: p["value"]), MAGIC).alias("value"))
+    if summary is None:
+        return whole.unionByName(joined.withColumnRenamed("record", "at")).select("file", "at", *_parsed())
+    # Whole pieces were summed up in the scan: only those of split records carry their text through a shuffle.
+    done = pieces.drop("value").join(owner.where("n = 1"), ["file", "span", "row"]).select("file", F.col("record").alias("at"), "summary.*")
+    again = joined.select("file", F.col("record").alias("at"), *_parsed()).select("file", "at", *[c.alias(n) for n, c in summary.items()])
+    return done.unionByName(again)
+
 
+def _parsed() -> list:
+    """header and block of a record's text."""
+    return [
+        F.substring_index("value", "\r\n\r\n", 1).alias("header"),
+        F.expr(r"""substring(cast(value as binary), octet_length(substring_index(value, '\r\n\r\n', 1)) + 5,
+            int(nullif(regexp_extract(substring_index(value, '\r\n\r\n', 1), '(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,9})', 1), '')))""").alias("block"),
+    ]
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of the archives: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload (null for revisits).
 
-    Digest and size of a response come from its payload, those of a revisit from the
-    response it refers to.
+def read_pages(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Pages of the archives: page_id, url, record_type, refers_to, payload_digest, payload_bytes and, if wanted, payload.
+
+    Digest and size of a response come from its payload; those of a revisit from its
+    header and from the response with that digest.
     """
     def field(name: str):
         return F.regexp_extract("header", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1)
 
     def page(name: str):
-        return F.regexp_extract("header", rf"(?:^|\r\n){name}: <urn:page:(-?[0-9]+)>", 1)
-
-    r = read_records(spark, path).select(
-        F.nullif(page("WARC-Record-ID"), F.lit("")).cast("long").alias("page_id"),
-        field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"),
-        F.nullif(page("WARC-Refers-To"), F.lit("")).cast("long").alias("refers_to"),
-        F.regexp_extract("header", r"WARC-Payload-Digest: sha1:([A-Z2-7]+)", 1).alias("named"),
-        F.expr(f"substring(block, {len(HTTP) + 1})").alias("payload"),
-    )
-    r = r.withColumns({
-        "payload": F.when(F.col("record_type") == "response", F.col("payload")),
-        "payload_digest": F.when(F.col("record_type") == "response", sha1_base32("payload")).otherwise(F.col("named")),
-        "payload_bytes": F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")),
-    }).drop("named")
-    return r
+        return F.nullif(F.regexp_extract("header", rf"(?:^|\r\n){name}: <urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("long")
+
+    response = field("WARC-Type") == "response"
+    body = F.when(response, F.expr(f"substring(block, {len(HTTP) + 1})"))
+    columns = {
+        "page_id": page("WARC-Record-ID"), "url": field("WARC-Target-URI"), "record_type": field("WARC-Type"), "refers_to": page("WARC-Refers-To"),
+        "payload_digest": F.when(response, sha1_base32(body)).otherwise(F.regexp_extract("header", r"WARC-Payload-Digest: sha1:([A-Z2-7]+)", 1)),
+        "payload_bytes": F.octet_length(body).cast("long"),
+    }
+    if payload:
+        r = read_records(spark, path).select(*[c.alias(n) for n, c in columns.items()], body.alias("payload"))
+    else:
+        r = read_records(spark, path, columns).drop("file", "at")
+    r = stored(r, "warc-pages")
+    sizes = r.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
+    revisits = r.where("record_type = 'revisit'").join(sizes, "payload_digest", "left").withColumn("payload_bytes", F.col("full")).drop("full")
+    return r.where("record_type <> 'revisit'").unionByName(revisits)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages written to archives in the shared folder and read back: one row for each record, payload dropped."""
-    spark = pages.sparkSession
-    path = new_path(spark, "warc")
+    """pages written to archives in the shared folder and read back: one row for each record, without the payload."""
+    path = new_path(pages.sparkSession, "warc")
     write_warc(pages, path, min_bytes)
-    r = stored(read_pages(spark, path).drop("payload", "url"), "warc-read")
-    sizes = r.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
-    revisits = r.where("record_type = 'revisit'").join(sizes, "payload_digest", "left").withColumn("payload_bytes", F.col("full")).drop("full")
-    return r.where("record_type = 'response'").unionByName(revisits)
+    return read_pages(pages.sparkSession, path, payload=False)
