@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import series_queries
+
+_PARTS = (series_queries,)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["prj_01_log_returns"](spark, sf_dir)

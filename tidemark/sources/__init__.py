@@ -1 +1 @@
-
+"""Where series come from."""
