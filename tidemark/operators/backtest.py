@@ -16,14 +16,14 @@ def spaced(n: Column, k: int, first: Column, last: Column) -> Column:
 
 
 def recent_cutoffs(points: DataFrame, k: int, horizon: int, window: int, least: int = 30) -> DataFrame:
-    """(series_id, cutoff, at): k cutoffs in the last `window` points that leave `horizon` after them and at least `least` before."""
+    """(series_id, cutoff, place): k cutoffs in the last `window` points that leave `horizon` after them and at least `least` before."""
     w = W.partitionBy("series_id").orderBy("ts")
-    x = points.select("series_id", "ts", (F.row_number().over(w) - 1).alias("at"))
+    x = points.select("series_id", "ts", (F.row_number().over(w) - 1).alias("place"))
     n = x.groupBy("series_id").agg(F.count("*").cast("int").alias("n"))
     last = F.col("n") - horizon - 1
     first = F.greatest(F.lit(least - 1), last - window)
-    picks = n.where(last >= least - 1).select("series_id", F.explode(spaced(F.col("n"), k, first, last)).alias("at"))
-    return x.join(picks, ["series_id", "at"]).select("series_id", F.col("ts").alias("cutoff"), "at")
+    picks = n.where(last >= least - 1).select("series_id", F.explode(spaced(F.col("n"), k, first, last)).alias("place"))
+    return x.join(picks, ["series_id", "place"]).select("series_id", F.col("ts").alias("cutoff"), "place")
 
 
 def splits(points: DataFrame, cutoffs: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import series_queries
+from .plans import forecast_queries, portfolio_queries, series_queries
 
-_PARTS = (series_queries,)
+_PARTS = (forecast_queries, series_queries, portfolio_queries)
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["prj_01_log_returns"](spark, sf_dir)
+    return forecast_queries.flagship(spark, sf_dir)
