@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, components, few, stored
 
@@ -40,21 +41,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's runs of `width` words; of a shorter text, of all its words; none without words.
+#: Odd numbers by which the words of a shingle are told apart by place; more come for wider shingles.
+def _places(width: int) -> np.ndarray:
+    return _mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
 
-    Words are runs without space, tab or line breaks, A-Z lower-cased. All at once: with
-    running sums of byte * P^place modulo 2^64, a word's hash is a difference of two sums
-    times P^-start, and a shingle's mixes those of its words by their place.
+
+def shingle_sets(texts: list[str | None], width: int = 5, together: int = 1 << 20) -> list[np.ndarray]:
+    """Of each text, the sorted distinct 64-bit hashes of its runs of `width` words; of a shorter one, of all its words; none without words.
+
+    Words are runs without space, tab or line breaks, A-Z lower-cased. Many texts go at
+    once: with running sums of byte * P^place modulo 2^64, a word's hash is a difference
+    of two sums times P^-start, and a shingle's is a mixed sum of its words' by place.
     """
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    raw = np.frombuffer(text.encode().translate(LOWER), dtype=np.uint8)
+    out: list[np.ndarray] = []
+    held, size = [], 0
+    for t in texts:
+        raw = t.encode() if t else b""
+        held.append(raw)
+        size += len(raw) + 1
+        if size >= together:
+            out += _sets(held, width)
+            held, size = [], 0
+    return out + _sets(held, width) if held else out
+
+
+def _sets(raws: list[bytes], width: int) -> list[np.ndarray]:
+    raw = np.frombuffer(b"\n".join(raws).translate(LOWER), dtype=np.uint8)
     inside = np.r_[False, ~_BLANK[raw], False]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, dtype=np.uint64)
     n = len(raw)
     if n > len(_powers[0]):
         _grow(n)
@@ -62,12 +77,23 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    word = _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-    m = max(1, len(word) - width + 1)
-    out = np.zeros(m, dtype=np.uint64)
-    for j in range(min(width, len(word))):
-        out = _mix(out * _P + word[j:j + m])
-    return np.unique(out)
+    word = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _P
+    word ^= word >> np.uint64(29)
+    places = _places(width)
+    full = np.zeros(max(0, len(word) - width + 1), dtype=np.uint64)
+    for j in range(width):
+        full += word[j:j + len(full)] * places[j]
+    full = _mix(full)
+    # first word of each text
+    first = np.searchsorted(start, np.cumsum([0] + [len(r) + 1 for r in raws]))
+    out = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b - a >= width:
+            x = np.sort(full[a:b - width + 1])
+            out.append(x[np.r_[True, x[1:] != x[:-1]]])
+        else:
+            out.append(_mix((word[a:b] * places[:b - a]).sum(keepdims=True)) if b > a else np.zeros(0, dtype=np.uint64))
+    return out
 
 
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -92,9 +118,18 @@ def _identity(x: np.ndarray) -> int:
         return int(_mix(np.array([_mix(x + np.uint64(1)).sum() + np.uint64(len(x))], dtype=np.uint64)).astype(np.int64)[0])
 
 
+def depth(n):
+    """How many columns of their prefixes similar sets of which the smaller has n must share."""
+    return 1 + n // 20
+
+
 def prefix(x: np.ndarray, late: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The columns of a set, those in `late` (sorted) last, up to the number in which any similar set meets it."""
-    size = len(x) - -(-num * len(x) // den) + 1
+    """The columns of a set, those in `late` (sorted) last, up to the number in which any similar set shares depth(n) of them.
+
+    Of at least ceil(t n) shared columns, the l-th in the order has at most n - ceil(t n) + l before it and with it.
+    """
+    n = len(x)
+    size = min(n, n - -(-num * n // den) + depth(n))
     if len(late):
         at = np.minimum(np.searchsorted(late, x), len(late) - 1)
         last = late[at] == x
@@ -154,7 +189,7 @@ def forest(sets: list[np.ndarray], num: int, den: int, wide: int = 1024) -> list
     return edges
 
 
-def join(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block: int = 1_024, crowd: int = 48, seeds: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def join(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, **parameters) -> DataFrame:
     """docs(doc_id, text) with n_shingles and component_id: the smallest doc_id that links reach, its own included.
 
     Two texts link when den * intersection >= num * union of their sets of word n-grams.
@@ -163,20 +198,39 @@ def join(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block:
     takes part and never names a component, unless nothing else can; other columns are
     dropped; no rows give no rows.
     """
+    of = _components(docs.select("doc_id", "text"), num, den, width, **parameters)[1]
+    least = of.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return of.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, **parameters) -> DataFrame:
+    """The rows of docs of which each component keeps one: the one with the smallest doc_id, of repeated rows any one.
+
+    Rows with empty texts all stay. Same columns as docs, whatever they are called.
+    """
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")
+    texts, of = _components(docs.select("doc_id", "text", rest), num, den, width, **parameters)
+    kept = of.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
+    others = of.join(kept, "root").where("row <> first.row").select("row")
+    return texts.join(_small(stored(others, "jaccard-others")), "row", "left_anti").select(*["text" if c == "text" else f"rest.`{c}`" for c in docs.columns])
+
+
+def _components(docs: DataFrame, num: int, den: int, width: int, block: int = 1_024, crowd: int = 12, seeds: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame]:
+    """The stored rows of docs, numbered, and for each (doc_id, row, n_shingles, root): root names its component, null for empty sets."""
     spark = docs.sparkSession
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text in pdf["text"]:
-                x = shingle_set(text, width)
+            for x in shingle_sets(pdf["text"], width):
                 out.append((len(x), _identity(x), _min_columns(x, seeds)) if len(x) else (0, None, None))
             n, node, keys = zip(*out, strict=True) if out else ((), (), ())
             yield pdf.assign(n=np.array(n, dtype="int64"), node=pd.array(node, dtype="Int64"), keys=pd.Series(keys, dtype=object, index=pdf.index))
 
-    texts = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    texts = stored(texts.mapInPandas(rows, "doc_id long, text string, row long, n long, node long, keys array<long>"), "jaccard-rows")
-    info = texts.drop("text")
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    schema = T.StructType([*numbered.schema.fields, T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    texts = stored(numbered.mapInPandas(rows, schema), "jaccard-rows")
+    info = texts.select("doc_id", "row", "n", "node", "keys")
     nodes = info.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.first("keys").alias("keys"))
     nodes = stored(nodes, "jaccard-nodes")  # one row of the matrix for each different set
     again = info.join(nodes.select("node", F.col("row").alias("first")), "node").where("row <> first").select("row")
@@ -191,7 +245,7 @@ def join(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block:
     dealt = stored(dealt.groupBy("row").agg(F.collect_list("block").alias("blocks")), "jaccard-blocks")  # at most one for each seed
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingle_set(t, width) for t in pdf["text"]]
+        sets = shingle_sets(pdf["text"], width)
         names = pdf["node"].to_numpy()
         return pd.DataFrame([(names[i], names[j]) for i, j in forest(sets, num, den)], columns=["a", "b"], dtype="int64")
 
@@ -206,20 +260,18 @@ def join(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block:
     entries = nodes.agg(F.sum(F.expr(f"n * {den - num} div {den} + 1"))).first()[0] or 0
     bits = max(4, int(entries // 1_000_000).bit_length() + 2)
     late = _crowded(tagged, np.zeros(0, dtype=np.uint64), bits, crowd, num, den, width)
-    pairs = _meetings(tagged, late, bits, num, den, width).distinct()
+    pairs = _meetings(tagged, late, bits, num, den, width).groupBy("a", "b").agg(F.sum("n").alias("shared"))
     sizes = nodes.select("node", "n")
     near = (
         pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        .where(F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")).select("a", "b")
+        .where(F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num} and shared >= 1 + least(na, nb) div 20")).select("a", "b")
     )
     near = stored(near, "jaccard-pairs")
     links = _verified(near, only, num, den, width)
     roots = components(edges.unionByName(links))
 
-    of = info.join(roots, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
-    of = stored(of, "jaccard-components")
-    least = of.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return of.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    of = info.join(roots, "node", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"))
+    return texts, stored(of, "jaccard-components")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -233,7 +285,7 @@ def _packed(tagged: DataFrame, late: np.ndarray, bits: int, with_node: bool, num
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [prefix(shingle_set(t, width), sent.value, num, den) for t in pdf["text"]]
+            parts = [prefix(x, sent.value, num, den) for x in shingle_sets(pdf["text"], width)]
             if not parts:
                 continue
             size = [len(p) for p in parts]
@@ -276,7 +328,7 @@ def _crowded(tagged: DataFrame, late: np.ndarray, bits: int, crowd: int, num: in
 
 
 def _meetings(tagged: DataFrame, late: np.ndarray, bits: int, num: int, den: int, width: int) -> DataFrame:
-    """Pairs (a, b), a < b, of rows of different components that share a column of their prefixes; once for each block of columns."""
+    """Pairs (a, b), a < b, of rows of different components that share columns of their prefixes, and how many, for each block of columns."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         twos = np.concatenate([np.frombuffer(b, dtype=np.uint64).reshape(-1, 2) for b in pdf["twos"]])
         threes = np.concatenate([np.frombuffer(b, dtype=np.uint64).reshape(-1, 3) for b in pdf["threes"]])
@@ -294,11 +346,13 @@ def _meetings(tagged: DataFrame, late: np.ndarray, bits: int, num: int, den: int
                 if j < e - s:
                     out.append(np.stack([np.full(e - s - j, node[i]), node[j:]], 1))
         if not out:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        both = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
+        both = np.sort(np.concatenate(out), axis=1)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        first = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(1)])
+        return pd.DataFrame({"a": both[first, 0], "b": both[first, 1], "n": np.diff(np.r_[first, len(both)])})
 
-    return _packed(tagged, late, bits, True, num, den, width).groupBy("block").applyInPandas(run, "a long, b long")
+    return _packed(tagged, late, bits, True, num, den, width).groupBy("block").applyInPandas(run, "a long, b long, n long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
@@ -308,11 +362,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, width: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kept, last, x = [], None, None
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                if a != last:
-                    last, x = a, shingle_set(ta, width)
-                y = shingle_set(tb, width)
+            kept = []
+            for a, b, x, y in zip(pdf["a"], pdf["b"], shingle_sets(pdf["ta"], width), shingle_sets(pdf["tb"], width), strict=True):
                 o = len(np.intersect1d(x, y, assume_unique=True))
                 if den * o >= num * (len(x) + len(y) - o):
                     kept.append((a, b))

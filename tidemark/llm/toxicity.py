@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .decontaminate import words
 
 WINDOW, STRIDE = 24, 12
@@ -295,12 +296,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1_500, seed: int = 11)
     """The network for docs(doc_id, text) and labels(doc_id, toxic): up to `most` toxic and 3 * most other labelled texts,
     those with the smallest hash of doc_id, a bounded sample. Null and repeated labels are dropped and merged (the larger counts)."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("mark"))
-    rows = docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id")
-    order = [F.xxhash64("doc_id"), "doc_id", "text"]
-    picked = [
-        r for mark, n in ((1, most), (0, 3 * most))
-        for r in rows.where(F.col("mark") == mark).orderBy(*order).limit(n).select("text", "mark").collect()
-    ]
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    asked = marks.where("mark = 1").orderBy(*order).limit(most).unionByName(marks.where("mark = 0").orderBy(*order).limit(3 * most))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(stored(asked, "toxic-sample")), "doc_id")  # at most 4 * most ids
+    picked = rows.dropDuplicates(["doc_id"]).orderBy(*order).select("text", "mark").collect()
     return fit([r["text"] for r in picked], np.array([r["mark"] for r in picked]), seed=seed)
 
 
