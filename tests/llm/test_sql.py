@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import by_spark, by_sql, same
+from compare import by_spark, by_sql, same
 
 from tidemark.llm import queries
 

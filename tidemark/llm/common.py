@@ -54,6 +54,12 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def set_aside(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with all columns but its `own` under names that clash with nothing, and how to name them back (withColumnsRenamed)."""
+    names = {c: f"_column_{i}" for i, c in enumerate(df.columns) if c not in own}
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b): rows (node, root), root the smallest node of the component.
 

@@ -20,7 +20,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, stored
+from .common import few, set_aside, stored
 
 
 @dataclass(frozen=True)
@@ -154,7 +154,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     text has no spans. Repeated rows are scanned each; other columns stay, one called
     spans is replaced; no rows give no rows.
     """
-    docs = docs.drop("spans")
+    docs, back = set_aside(docs.drop("spans"), "doc_id", "text")
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     rows = docs
     if queries:
@@ -175,7 +175,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     spans = F.transform(F.array_sort(F.concat(*ordered)), lambda s: F.struct(
         s["start"].alias("start"), F.element_at(kinds, s["rank"] + 1).alias("kind"), s["end"].alias("end")))
-    return rows.withColumn("spans", spans).drop("_kinds")
+    return rows.withColumn("spans", spans).drop("_kinds").withColumnsRenamed(back)
 
 
 def _ranked(spans: Column, rank: int) -> Column:
@@ -200,7 +200,8 @@ def listed(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 
 
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """docs with each stretch of text that spans cover, alone or overlapping, replaced by mask; same columns."""
+    """docs with each stretch of text that spans cover, alone or overlapping, replaced by mask; same columns, whatever they are called."""
+    docs, back = set_aside(docs, "doc_id", "text")
     found = scan(docs, rules)
 
     def step(acc, s):
@@ -210,4 +211,4 @@ def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
 
     begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("end"))
     text = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["end"] + 1)))
-    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns).withColumnsRenamed(back)
