@@ -3,8 +3,8 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame with the columns of documents, the last one the pieces of the packed sequences.
 run() writes what a stage returns as Parquet in the shared folder and reads it again for
-the next. Rows with a null doc_id are kept like others, except that the decontamination
-stage drops them all if one of them is contaminated.
+the next. Null and repeated doc_ids are rows like others; null and empty texts are clean;
+further columns go through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, packing, secrets, toxicity
-from tidemark.llm.common import few, new_path, stored
+from tidemark.llm.common import few, new_path, set_aside, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.toxicity(docs, labels).where("toxic_score < 0.5").select(*docs.columns)
+    docs, back = set_aside(docs, "doc_id", "text")
+    return toxicity.toxicity(docs, labels).where("toxic_score < 0.5").select(*docs.columns).withColumnsRenamed(back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +30,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item's window of ten words."""
+    """Documents without a benchmark item's window of ten words; rows are told apart by 64 bits of doc_id and text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    hit = decontaminate.contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(few(stored(hit, "contaminated"), 500_000), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    docs, back = set_aside(docs, "doc_id", "text")
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    hit = decontaminate.contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), items).where("contaminated")
+    hit = few(stored(hit.select(F.col("doc_id").alias("_key")).distinct(), "contaminated"), 500_000)
+    return keyed.join(hit, "_key", "left_anti").select(*docs.columns).withColumnsRenamed(back)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
