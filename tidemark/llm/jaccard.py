@@ -9,12 +9,14 @@ common order of the columns two similar rows meet in the first a - ceil(t a) + 1
 2. Contraction: rows that share a min-hash column go to blocks of bounded size, in which
    the product is taken whole. A block gives back a spanning forest of its links, so
    what it emits is linear in its rows; groups of near copies become components here.
-3. The short column prefixes of all rows are dealt out by blocks of columns, packed. A
-   column matters only if rows of different components meet in it. Columns in which very
-   many components meet (passages that many texts share) go to the end of the order, and
-   the prefixes are taken again; the order changes the work and not the result.
-4. Pairs of rows of different components that meet, less those whose sizes rule them
-   out, get their exact overlaps. Their links and the forests make the components.
+3. Columns in which more than a few components meet (passages that many texts share) go
+   to the end of the order; this changes the work and not the result. The short prefixes
+   of all rows are dealt out by blocks of columns, packed. Two similar rows meet in a
+   column before that end, or share none before it: then what each has before it is at
+   most (1 - t) / t of what it shares, and rows with more are not paired at the end, nor
+   are those whose parities over parts of the columns differ too often.
+4. Pairs of rows of different components that meet, less those whose sizes or counts rule
+   them out, get their exact overlaps. Their links and the forests make the components.
 """
 
 from __future__ import annotations
@@ -123,18 +125,29 @@ def depth(n):
     return 1 + n // 20
 
 
-def prefix(x: np.ndarray, late: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The columns of a set, those in `late` (sorted) last, up to the number in which any similar set shares depth(n) of them.
+def least(n, num: int, den: int):
+    """The least overlap of a set of n with a similar one."""
+    return -(-num * n // den)
 
-    Of at least ceil(t n) shared columns, the l-th in the order has at most n - ceil(t n) + l before it and with it.
+
+def parities(x: np.ndarray) -> np.ndarray:
+    """512 bits: of each of as many parts of all columns, whether the set has an odd number there. Sets differ in at least as many columns as their bits do."""
+    bits = np.bincount((_mix(x) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
+def prefix(x: np.ndarray, crowds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The columns of a set (before the end of the order, at it) in which it meets similar ones, and how many it has before.
+
+    crowds: how many meet in each column at the end, 0 before it; the end goes by them.
+    Of least(n) shared columns, the l-th in the order has at most n - least(n) + l before
+    it and with it; l goes to depth(n), and to 1 at the end.
     """
-    n = len(x)
-    size = min(n, n - -(-num * n // den) + depth(n))
-    if len(late):
-        at = np.minimum(np.searchsorted(late, x), len(late) - 1)
-        last = late[at] == x
-        x = np.concatenate([x[~last], x[last]])
-    return x[:size]
+    n, before = len(x), crowds == 0
+    r = np.count_nonzero(before)
+    over = n - least(n, num, den)
+    end = x[~before][np.argsort(crowds[~before], kind="stable")][:over - r + 1] if r <= over else x[:0]
+    return x[before][:over + depth(n)], end, r
 
 
 class _Forest:
@@ -259,13 +272,9 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block: int = 1_
     tagged = only.join(_small(roots.withColumnRenamed("root", "comp")), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "text")
     entries = nodes.agg(F.sum(F.expr(f"n * {den - num} div {den} + 1"))).first()[0] or 0
     bits = max(4, int(entries // 1_000_000).bit_length() + 2)
-    late = _crowded(tagged, np.zeros(0, dtype=np.uint64), bits, crowd, num, den, width)
-    pairs = _meetings(tagged, late, bits, num, den, width).groupBy("a", "b").agg(F.sum("n").alias("shared"))
-    sizes = nodes.select("node", "n")
-    near = (
-        pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        .where(F.expr(f"least(na, nb) * {den} >= greatest(na, nb) * {num} and shared >= 1 + least(na, nb) div 20")).select("a", "b")
-    )
+    late = _crowded(tagged, bits, crowd, width)
+    near = _meetings(tagged, late, bits, num, den, width).groupBy("a", "b").agg(F.sum("n").alias("shared"), F.max("need").alias("need"))
+    near = near.where("shared >= need").select("a", "b")
     near = stored(near, "jaccard-pairs")
     links = _verified(near, only, num, den, width)
     roots = components(edges.unionByName(links))
@@ -279,80 +288,181 @@ def _small(df: DataFrame) -> DataFrame:
     return few(df, 500_000)
 
 
-def _packed(tagged: DataFrame, late: np.ndarray, bits: int, with_node: bool, num: int, den: int, width: int) -> DataFrame:
-    """The prefixes' (column, comp) or (column, comp, node), one row for each batch and block of columns."""
-    sent = tagged.sparkSession.sparkContext.broadcast(late)
+#: Entries of a block: the column's bits below the block's, and the component; then sizes of the row, whole and before the end of the order; the row; parities, for columns at the end.
+_ENTRY = np.dtype([("col", "<u4"), ("comp", "<u8"), ("n", "<u4"), ("r", "<u4")])
+_NAMED = np.dtype([*_ENTRY.descr, ("node", "<u8")])
+_LATE = np.dtype([*_NAMED.descr, ("odd", "<u8", (8,))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = [prefix(x, sent.value, num, den) for x in shingle_sets(pdf["text"], width)]
-            if not parts:
-                continue
-            size = [len(p) for p in parts]
-            table = np.empty((sum(size), 3 if with_node else 2), dtype=np.uint64)
-            table[:, 0] = np.concatenate(parts)
-            table[:, 1] = np.repeat(pdf["comp"].to_numpy().astype(np.uint64), size)
-            if with_node:
-                table[:, 2] = np.repeat(pdf["node"].to_numpy().astype(np.uint64), size)
-            table = table[np.lexsort((table[:, 1], table[:, 0]))]
-            if not with_node:
-                table = table[np.r_[True, (table[1:] != table[:-1]).any(1)]]
-            block = (table[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
-            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            if with_node:  # a row that is alone in its component is its name: not sent twice
-                alone = table[:, 1] == table[:, 2]
-                out = [(int(block[s]), _bytes(table[s:e][alone[s:e], :2]), _bytes(table[s:e][~alone[s:e]])) for s, e in zip(cut, [*cut[1:], len(table)], strict=True)]
-            else:
-                out = [(int(block[s]), _bytes(table[s:e]), b"") for s, e in zip(cut, [*cut[1:], len(table)], strict=True)]
-            yield pd.DataFrame(out, columns=["block", "twos", "threes"])
 
-    return tagged.mapInPandas(run, "block long, twos binary, threes binary")
+def _short(x: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits + 32 bits of columns. Columns that agree in them count as one until the exact overlaps."""
+    return x >> np.uint64(32 - bits)
 
 
-def _bytes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
+def _portions(sets: list[np.ndarray], most: int = 2_000_000) -> Iterator[slice]:
+    """Runs of sets with about `most` columns together."""
+    begin = size = 0
+    for i, x in enumerate(sets):
+        size += len(x)
+        if size >= most:
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
+    if begin < len(sets):
+        yield slice(begin, len(sets))
 
 
-def _crowded(tagged: DataFrame, late: np.ndarray, bits: int, crowd: int, num: int, den: int, width: int, most: int = 1_000_000) -> np.ndarray:
-    """Columns of the prefixes in which more than `crowd` components meet, sorted; at most the `most` most crowded (they only order the columns)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = np.concatenate([np.frombuffer(b, dtype=np.uint64).reshape(-1, 2) for b in pdf["twos"]])
-        table = table[np.lexsort((table[:, 1], table[:, 0]))]
-        table = table[np.r_[True, (table[1:] != table[:-1]).any(1)]]
-        start = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0]])
-        count = np.diff(np.r_[start, len(table)])
-        return pd.DataFrame({"col": table[start[count > crowd], 0].astype(np.int64), "n": count[count > crowd]})
+def _crowded(tagged: DataFrame, bits: int, crowd: int, width: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Short columns in which more than about `crowd` components meet, sorted, and how many do; at most the `most` most crowded (they only order the columns)."""
+    one = np.dtype([("col", "<u4"), ("n", "u1")])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets, comps = shingle_sets(pdf["text"], width), pdf["comp"].to_numpy().astype(np.uint64)
+            for own in _portions(sets):
+                col = _short(np.concatenate(sets[own]), bits)
+                comp = np.repeat(comps[own], [len(x) for x in sets[own]])
+                order = np.lexsort((comp, col))
+                col, comp = col[order], comp[order]
+                new = np.r_[True, col[1:] != col[:-1]]
+                other = new | np.r_[True, comp[1:] != comp[:-1]]
+                first = np.flatnonzero(new)
+                table = np.empty(len(first), dtype=one)
+                table["col"] = col[first] & np.uint64(0xFFFFFFFF)
+                table["n"] = np.minimum(np.add.reduceat(other.astype(np.int64), first), 255) if len(first) else 0
+                block = (col[first] >> np.uint64(32)).astype(np.int64)
+                cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
+                yield pd.DataFrame([(int(block[s]), table[s:e].tobytes()) for s, e in zip(cut, [*cut[1:], len(table)], strict=True)], columns=["block", "ones"])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.concatenate([np.frombuffer(b, dtype=one) for b in pdf["ones"]])
+        table = table[np.argsort(table["col"], kind="stable")]
+        start = np.flatnonzero(np.r_[True, table["col"][1:] != table["col"][:-1]])
+        n = np.add.reduceat(table["n"].astype(np.int64), start)
+        col = (np.int64(pdf["block"].iloc[0]) << 32) + table["col"][start].astype(np.int64)
+        return pd.DataFrame({"col": col[n > crowd], "n": n[n > crowd]})
+
+    found = tagged.mapInPandas(count, "block long, ones binary").groupBy("block").applyInPandas(total, "col long, n long")
+    rows = np.array(found.orderBy(F.desc("n"), "col").limit(most).collect(), dtype=np.int64).reshape(-1, 2)
+    rows = rows[np.argsort(rows[:, 0].astype(np.uint64))]
+    return rows[:, 0].astype(np.uint64), rows[:, 1]
+
+
+def _packed(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int, num: int, den: int, width: int) -> DataFrame:
+    """The prefixes' entries, one row for each portion and block of columns; the node is left out where it names its component."""
+    sent = tagged.sparkSession.sparkContext.broadcast(late)
 
-    found = _packed(tagged, late, bits, False, num, den, width).groupBy("block").applyInPandas(run, "col long, n long")
-    return np.sort(np.array([r["col"] for r in found.orderBy(F.desc("n"), "col").limit(most).collect()], dtype=np.int64).astype(np.uint64))
+    def crowds(x: np.ndarray) -> np.ndarray:
+        cols, n = sent.value
+        if not len(cols):
+            return np.zeros(len(x), dtype=np.int64)
+        x = _short(x, bits)
+        at = np.minimum(np.searchsorted(cols, x), len(cols) - 1)
+        return np.where(cols[at] == x, n[at], 0)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets, comps, nodes = shingle_sets(pdf["text"], width), pdf["comp"].to_numpy().astype(np.uint64), pdf["node"].to_numpy().astype(np.uint64)
+            for own in _portions(sets):
+                parts = [prefix(x, crowds(x), num, den) for x in sets[own]]
+                before, after = [len(p[0]) for p in parts], [len(p[1]) for p in parts]
+                size = [b + a for b, a in zip(before, after, strict=True)]
+                col = _short(np.concatenate([y for p in parts for y in p[:2]]), bits)
+                table = np.empty(len(col), dtype=_NAMED)
+                table["col"] = col & np.uint64(0xFFFFFFFF)
+                table["comp"], table["node"] = np.repeat(comps[own], size), np.repeat(nodes[own], size)
+                table["n"], table["r"] = np.repeat([len(x) for x in sets[own]], size), np.repeat([p[2] for p in parts], size)
+                late = np.repeat(np.tile([False, True], len(parts)), np.array([before, after]).T.ravel())
+                of = np.repeat(np.arange(len(parts)), size)
+                odd = {i: parities(sets[own][i]) for i, a in enumerate(after) if a}
+                block = (col >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                block, table, late, of = block[order], table[order], late[order], of[order]
+                cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
+                out = []
+                for s, e in zip(cut, [*cut[1:], len(table)], strict=True):
+                    part, at_end = table[s:e], late[s:e]
+                    alone = ~at_end & (part["comp"] == part["node"])
+                    ended = np.empty(np.count_nonzero(at_end), dtype=_LATE)
+                    if len(ended):
+                        _copy(part[at_end], ended, _NAMED.names)
+                        ended["odd"] = np.stack([odd[i] for i in of[s:e][at_end]])
+                    bare = np.empty(np.count_nonzero(alone), dtype=_ENTRY)
+                    _copy(part[alone], bare, _ENTRY.names)
+                    out.append((int(block[s]), bare.tobytes(), part[~alone & ~at_end].tobytes(), ended.tobytes()))
+                yield pd.DataFrame(out, columns=["block", "bare", "named", "ended"])
+
+    return tagged.mapInPandas(run, "block long, bare binary, named binary, ended binary")
+
+
+def _copy(table: np.ndarray, to: np.ndarray, names: tuple[str, ...]) -> None:
+    for name in names:
+        to[name] = table[name]
+
+
+def _meetings(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int, num: int, den: int, width: int) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of different components that meet in columns of their prefixes, how often, and how often similar ones would, for each block of columns."""
+    enough = 1 << 30  # one meeting at the end counts as so many
 
-def _meetings(tagged: DataFrame, late: np.ndarray, bits: int, num: int, den: int, width: int) -> DataFrame:
-    """Pairs (a, b), a < b, of rows of different components that share columns of their prefixes, and how many, for each block of columns."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        twos = np.concatenate([np.frombuffer(b, dtype=np.uint64).reshape(-1, 2) for b in pdf["twos"]])
-        threes = np.concatenate([np.frombuffer(b, dtype=np.uint64).reshape(-1, 3) for b in pdf["threes"]])
-        table = np.concatenate([twos[:, [0, 1, 1]], threes])
-        table = table[np.lexsort((table[:, 1], table[:, 0]))]
-        start = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0]])
+        bare = np.concatenate([np.frombuffer(b, dtype=_ENTRY) for b in pdf["bare"]])
+        named = np.concatenate([np.frombuffer(b, dtype=_NAMED) for b in pdf["named"]])
+        ended = np.concatenate([np.frombuffer(b, dtype=_LATE) for b in pdf["ended"]])
+        table = np.empty(len(bare) + len(named) + len(ended), dtype=_NAMED)
+        for name in _NAMED.names:
+            table[name] = np.concatenate([bare[name if name != "node" else "comp"], named[name], ended[name]])
+        order = np.lexsort((table["comp"], table["col"]))
+        table, odd_at = table[order], order - len(bare) - len(named)  # at the end: the place of its parities
+        col, comp = table["col"], table["comp"]
+        node, n, r = table["node"].astype(np.int64), table["n"].astype(np.int64), table["r"].astype(np.int64)
+        start = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
         end = np.r_[start[1:], len(table)]
-        mixed = (end - start > 1) & (table[start, 1] != table[end - 1, 1])
-        out = []
+        mixed = (end - start > 1) & (comp[start] != comp[end - 1])
+        held, done = [], []
+
+        def keep(i: np.ndarray, j: np.ndarray, at_end: bool) -> None:
+            ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+            if at_end:
+                ok &= (r[i] + r[j]) * num <= np.minimum(n[i] - r[i], n[j] - r[j]) * (den - num)
+                i, j = i[ok], j[ok]
+                apart = np.bitwise_count(ended["odd"][odd_at[i]] ^ ended["odd"][odd_at[j]]).sum(1, dtype=np.int64)
+                ok = apart * (den + num) <= (n[i] + n[j]) * (den - num)
+            i, j = i[ok], j[ok]
+            room = [np.maximum(0, n[k] - least(n[k], num, den) + depth(n[k]) - r[k]) for k in (i, j)]
+            need = np.maximum(1, depth(np.minimum(n[i], n[j])) - np.minimum(*room))
+            held.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.full(len(i), enough if at_end else 1), need], 1))
+            if sum(map(len, held)) > 2_000_000:
+                merge()
+
+        def merge() -> None:
+            both = np.concatenate([*done, *held])
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            first = np.flatnonzero(np.r_[True, (both[1:, :2] != both[:-1, :2]).any(1)])
+            total = both[first]
+            total[:, 2] = np.add.reduceat(both[:, 2], first) if len(first) else 0
+            done[:] = [total]
+            held.clear()
+
         for s, e in zip(start[mixed], end[mixed], strict=True):
-            comp, node = table[s:e, 1], table[s:e, 2].astype(np.int64)
-            for i in range(e - s - 1):
-                # sorted by component: the rows of the others start after the last of this one
-                j = np.searchsorted(comp, comp[i], side="right")
-                if j < e - s:
-                    out.append(np.stack([np.full(e - s - j, node[i]), node[j:]], 1))
-        if not out:
-            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
-        both = np.sort(np.concatenate(out), axis=1)
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        first = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(1)])
-        return pd.DataFrame({"a": both[first, 0], "b": both[first, 1], "n": np.diff(np.r_[first, len(both)])})
-
-    return _packed(tagged, late, bits, True, num, den, width).groupBy("block").applyInPandas(run, "a long, b long, n long")
+            if odd_at[s] >= 0:
+                # by size before the end: partners of each come first, up to what its own size allows
+                at = s + np.argsort(r[s:e], kind="stable")
+                most = ((n[at] - r[at]) * (den - num)) // num - r[at]
+                to = np.searchsorted(r[at], most, side="right")
+                for i in range(e - s - 1):
+                    if to[i] > i + 1:
+                        keep(np.full(to[i] - i - 1, at[i]), at[i + 1:to[i]], True)
+            else:
+                for i in range(s, e - 1):
+                    # sorted by component: the rows of the others start after the last of this one
+                    j = s + np.searchsorted(comp[s:e], comp[i], side="right")
+                    if j < e:
+                        keep(np.full(e - j, i), np.arange(j, e), False)
+        if held or done:
+            merge()
+        out = done[0] if done else np.zeros((0, 4), dtype=np.int64)
+        return pd.DataFrame(out, columns=["a", "b", "n", "need"])
+
+    return _packed(tagged, late, bits, num, den, width).groupBy("block").applyInPandas(run, "a long, b long, n long, need long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
