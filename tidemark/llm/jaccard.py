@@ -321,14 +321,21 @@ def _crowded(tagged: DataFrame, bits: int, crowd: int, width: int, most: int = 1
             for own in _portions(sets):
                 col = _short(np.concatenate(sets[own]), bits)
                 comp = np.repeat(comps[own], [len(x) for x in sets[own]])
-                order = np.lexsort((comp, col))
+                order = np.argsort(col)
                 col, comp = col[order], comp[order]
-                new = np.r_[True, col[1:] != col[:-1]]
-                other = new | np.r_[True, comp[1:] != comp[:-1]]
-                first = np.flatnonzero(new)
+                first = np.flatnonzero(np.r_[True, col[1:] != col[:-1]]) if len(col) else np.zeros(0, dtype=np.int64)
+                size = np.diff(np.r_[first, len(col)])
+                n = np.ones(len(first), dtype=np.int64)
+                again = np.repeat(size > 1, size)  # most columns are met once: only the others are sorted by component
+                if again.any():
+                    c, k = col[again], comp[again]
+                    order = np.lexsort((k, c))
+                    c, k = c[order], k[order]
+                    new = np.r_[True, c[1:] != c[:-1]]
+                    n[size > 1] = np.add.reduceat((new | np.r_[True, k[1:] != k[:-1]]).astype(np.int64), np.flatnonzero(new))
                 table = np.empty(len(first), dtype=one)
                 table["col"] = col[first] & np.uint64(0xFFFFFFFF)
-                table["n"] = np.minimum(np.add.reduceat(other.astype(np.int64), first), 255) if len(first) else 0
+                table["n"] = np.minimum(n, 255)
                 block = (col[first] >> np.uint64(32)).astype(np.int64)
                 cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
                 yield pd.DataFrame([(int(block[s]), table[s:e].tobytes()) for s, e in zip(cut, [*cut[1:], len(table)], strict=True)], columns=["block", "ones"])
@@ -419,7 +426,22 @@ def _meetings(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int,
         mixed = (end - start > 1) & (comp[start] != comp[end - 1])
         held, done = [], []
 
-        def keep(i: np.ndarray, j: np.ndarray, at_end: bool) -> None:
+        pending: dict[bool, list] = {False: [], True: []}
+        waiting = {False: 0, True: 0}
+
+        def keep(i: int, j: np.ndarray, at_end: bool) -> None:
+            pending[at_end].append((i, j))
+            waiting[at_end] += len(j)
+            if waiting[at_end] > 200_000:
+                test(at_end)
+
+        def test(at_end: bool) -> None:
+            if not pending[at_end]:
+                return
+            i = np.repeat([x for x, _ in pending[at_end]], [len(y) for _, y in pending[at_end]])
+            j = np.concatenate([y for _, y in pending[at_end]])
+            pending[at_end].clear()
+            waiting[at_end] = 0
             ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
             if at_end:
                 ok &= (r[i] + r[j]) * num <= np.minimum(n[i] - r[i], n[j] - r[j]) * (den - num)
@@ -450,13 +472,15 @@ def _meetings(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int,
                 to = np.searchsorted(r[at], most, side="right")
                 for i in range(e - s - 1):
                     if to[i] > i + 1:
-                        keep(np.full(to[i] - i - 1, at[i]), at[i + 1:to[i]], True)
+                        keep(at[i], at[i + 1:to[i]], True)
             else:
                 for i in range(s, e - 1):
                     # sorted by component: the rows of the others start after the last of this one
                     j = s + np.searchsorted(comp[s:e], comp[i], side="right")
                     if j < e:
-                        keep(np.full(e - j, i), np.arange(j, e), False)
+                        keep(i, np.arange(j, e), False)
+        test(False)
+        test(True)
         if held or done:
             merge()
         out = done[0] if done else np.zeros((0, 4), dtype=np.int64)
