@@ -331,6 +331,22 @@ def test_toxic_passage_is_found_anywhere_in_a_long_text():
     assert low < 0.5 < min(high)
 
 
+def test_toxic_passage_is_found_at_the_end_of_a_long_unspaced_text():
+    assert toxicity.entries("a" * 62 + " b") == [b"a" * 62, b"b"]
+    word = "".join(chr(0x4E00 + k) for k in range(700)).encode()
+    pieces = toxicity.entries(word.decode())
+    assert pieces[0] + b"".join(p[2:] for p in pieces[1:]) == word and max(map(len, pieces)) == 20
+    r = random.Random(9)
+    letters = [chr(0x4E00 + 7 * k) for k in range(300)]
+    plain = ["".join(r.choice(letters) for _ in range(r.randrange(150, 600))) for _ in range(300)]
+    bad = "".join(chr(0x7A00 + 5 * k) for k in range(14))
+    toxic = [t[:k] + bad + t[k:] for t in plain[:60] for k in [r.randrange(len(t))]]
+    net = toxicity.fit(plain[60:] + toxic, np.array([0] * 240 + [1] * 60))
+    long = "".join(plain[:40])
+    low, *high = toxicity.score_texts(toxicity.Reader(net), [long, *[long[:k] + bad + long[k:] for k in (0, 5_000, len(long))]])
+    assert low < 0.5 < min(high)
+
+
 # 9
 
 def test_token_counts_query(spark):

@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters by what it is (its vector, if training has met it in three texts) and by how
-it is spelt (the scaled sum of hashed vectors of its character trigrams). Two recurrent layers read a window of
+it is spelt (the scaled sum of hashed vectors of its character trigrams); a word of more
+than 62 bytes enters as overlapping pieces of 20. Two recurrent layers read a window of
 words from both sides, attention pools their states, and a logistic unit scores the
 window. All overlapping windows of a text are scored; the text has the largest score.
 Training knows labels of texts only: of each text the window that scores highest carries
@@ -21,15 +22,25 @@ from .common import stored
 from .decontaminate import words
 
 WINDOW, STRIDE = 24, 12
+_LONG, _PIECE = 62, 20
 _GRAMS, _DIM, _HIDDEN = 1 << 15, 6, 8
 
 
+def entries(text: str | None) -> list[bytes]:
+    """Words of a text as the network reads them: one of more than 62 bytes is cut into pieces of at most 20 that share
+    two bytes, so that each of its trigrams is in exactly one piece."""
+    out = words(text)
+    if max(map(len, out), default=0) > _LONG:
+        out = [p for w in out for p in ([w] if len(w) <= _LONG else [w[i:i + _PIECE] for i in range(0, len(w) - 2, _PIECE - 2)])]
+    return out
+
+
 def trigrams(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of words: the buckets of their character trigrams with the place of the word each is of.
 
-    A word is marked at both ends; of a longer one the first 62 bytes count.
+    A word is marked at both ends.
     """
-    marked = [b"^" + w[:62] + b"$" for w in names]
+    marked = [b"^" + w + b"$" for w in names]
     text = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
     size = np.array([len(w) for w in marked], dtype=np.int64)
     of = np.repeat(np.arange(len(names)), size)
@@ -207,7 +218,7 @@ def score_texts(reader: Reader, texts: list[str | None], most: int = 8_192) -> n
 
     n = 0
     for i, text in enumerate(texts):
-        w = windows(np.fromiter(map(reader.__getitem__, words(text)), dtype=np.int32))
+        w = windows(np.fromiter(map(reader.__getitem__, entries(text)), dtype=np.int32))
         held.append(w)
         owners.append(i)
         n += len(w)
@@ -222,7 +233,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 4e-
     """The network fitted to texts and their labels; toxic ones have `part` of the weight."""
     rng = np.random.default_rng(seed)
     vocab = Vocabulary()
-    docs = [np.fromiter(map(vocab.__getitem__, words(t)), dtype=np.int32) for t in texts]
+    docs = [np.fromiter(map(vocab.__getitem__, entries(t)), dtype=np.int32) for t in texts]
     y = np.asarray(toxic, dtype=np.float32)
     met = np.zeros((2, len(vocab.names)))
     for d, label in zip(docs, y, strict=True):
