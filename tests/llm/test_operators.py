@@ -160,6 +160,18 @@ def test_awkward_vectors(spark):
     assert embeddings.near_duplicates(df.where("vec_id between 200 and 205")).where("n_links > 0").count() == 0
 
 
+def test_links_of_large_tables_are_found_as_often():
+    r = np.random.default_rng(1)
+    a, e = r.normal(size=(2, 4_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e -= (e * a).sum(1, keepdims=True) * a
+    b = 0.95 * a + (1 - 0.95**2) ** 0.5 * e / np.linalg.norm(e, axis=1, keepdims=True)
+    for n in (10_000, 50_000, 300_000, 3_000_000):
+        width, tables = embeddings.shape(n, 10)
+        model = embeddings.learn(np.concatenate([a, b]), tables * width)
+        assert (embeddings.substrings(a, model, tables) == embeddings.substrings(b, model, tables)).any(1).mean() >= 0.99
+
+
 # 4
 
 def test_warc_round_trip_with_magic_in_payloads(spark):
