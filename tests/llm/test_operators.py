@@ -160,6 +160,24 @@ def test_awkward_vectors(spark):
     assert embeddings.near_duplicates(df.where("vec_id between 200 and 205")).where("n_links > 0").count() == 0
 
 
+def test_vectors_of_every_length_link_among_their_own(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for d, n in ((8, 60), (5, 40), (16, 30), (3, 1)):
+        base = r.normal(size=(n, d))
+        rows += [(len(rows) + i, v) for i, v in enumerate([*base.tolist(), *(base[:9] * 2).tolist(), *(base[:9] + 1e-6).tolist()])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links, root = set(), {}
+    for d in (8, 5, 16, 3):
+        own, roots = brute.near_vectors([(i, v) for i, v in rows if len(v) == d])
+        links |= own
+        root |= roots
+    n = Counter(i for pair in links for i in pair)
+    for block in (2_048, 16):
+        mine = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df, block=block).collect()}
+        assert mine == {v: (n[v], root[v]) for v in root}
+
+
 def test_links_of_large_tables_are_found_as_often():
     r = np.random.default_rng(1)
     a, e = r.normal(size=(2, 4_000, 64))

@@ -110,9 +110,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
     """vectors(vec_id, embedding) with n_links, component_id and kept (vec_id = component_id).
 
     n_links: other rows with a cosine of at least threshold; component_id: the smallest
-    vec_id that links reach. The rotation is fitted on the `sample` vectors of smallest
-    hash, a bounded sample; every vector is indexed. Vectors that are null, empty, zero or
-    not finite, or not of the commonest length, link with nothing. Equal vectors are one
+    vec_id that links reach. Vectors meet among those of their length: all of them where at
+    most `block` are different; else the rotation of the length is fitted on its `sample`
+    vectors of smallest hash, a bounded sample, and every vector is indexed. Vectors that
+    are null, empty, zero or not finite link with nothing. Equal vectors are one
     until the end; repeated rows link with each other. Links in a component further apart
     than the tables find may be missed, none is made up. Other columns are dropped; no rows
     give no rows.
@@ -129,38 +130,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
             })
 
     rows = stored(vectors.select("vec_id", "embedding").mapInPandas(read, "vec_id long, d long, node long, x binary"), "vectors")
-    common = rows.where("d is not null").groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    rows = rows.withColumn("node", F.when(F.col("d") == common["d"], F.col("node")))
-    different = stored(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.first("x").alias("x")), "vectors-different")
-    n = different.count()
-    width, tables = shape(n, tables)
-    fitted = np.stack([np.frombuffer(r["x"], dtype=np.float64) for r in different.orderBy(F.xxhash64("node"), "node").limit(sample).select("x").collect()])
-    sent = spark.sparkContext.broadcast(learn(fitted, tables * width))
+    different = stored(rows.where("node is not null").groupBy("d", "node").agg(F.count("*").alias("copies"), F.first("x").alias("x")), "vectors-different")
+    models = {}
+    for length in different.groupBy("d").count().where(F.col("count") > block).collect():  # of fewer, all meet
+        own = different.where(F.col("d") == length["d"])
+        width, n = shape(length["count"], tables)
+        fitted = np.stack([np.frombuffer(r["x"], dtype=np.float64) for r in own.orderBy(F.xxhash64("node"), "node").limit(sample).select("x").collect()])
+        models[length["d"]] = learn(fitted, n * width), n
+    sent = spark.sparkContext.broadcast(models)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                keys = substrings(np.stack([np.frombuffer(b, dtype=np.float64) for b in pdf["x"]]), sent.value, tables)
-                yield pdf.assign(keys=[k.tobytes() for k in keys], at=list(keys))
-
-    coded = stored(different.mapInPandas(code, "node long, copies long, x binary, keys binary, at array<long>"), "vectors-coded")
-    met = coded.select("node", F.posexplode("at").alias("table", "key"))
-    sizes = met.groupBy("table", "key").agg(F.count("*").alias("size"))
+            for d, part in pdf.groupby("d"):
+                keys = np.zeros((len(part), 1), dtype=np.int64)
+                if d in sent.value:
+                    keys = substrings(np.stack([np.frombuffer(b, dtype=np.float64) for b in part["x"]]), *sent.value[d])
+                yield part.assign(keys=[k.tobytes() for k in keys], at=list(keys))
+
+    coded = stored(different.mapInPandas(code, "d long, node long, copies long, x binary, keys binary, at array<long>"), "vectors-coded")
+    met = coded.select("d", F.posexplode("at").alias("table", "key"))
+    sizes = met.groupBy("d", "table", "key").agg(F.count("*").alias("size"))
     sizes = stored(sizes.where("size > 1"), "vectors-buckets")
-    large = sizes.where(F.col("size") > block).select("table", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    large = sizes.where(F.col("size") > block).select("d", "table", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     placed = (
-        coded.select("node", "copies", "x", "keys", F.posexplode("at").alias("table", "key"))
-        .join(few(sizes.select("table", "key"), 500_000), ["table", "key"], "left_semi")
-        .join(few(large), ["table", "key"], "left")
+        coded.select("d", "node", "copies", "x", "keys", F.posexplode("at").alias("table", "key"))
+        .join(few(sizes.select("d", "table", "key"), 500_000), ["d", "table", "key"], "left_semi")
+        .join(few(large), ["d", "table", "key"], "left")
         .withColumn("side", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         .withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
         .withColumn("cross", F.col("low") < F.col("high"))
     )
     found = stored(
-        placed.groupBy("table", "key", "low", "high").applyInPandas(_links(threshold), "a long, b long, n long"), "vectors-links"
+        placed.groupBy("d", "table", "key", "low", "high").applyInPandas(_links(threshold), "a long, b long, n long"), "vectors-links"
     )
     degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("degree"))
     roots = components(found.where("b is not null").select("a", "b"))
