@@ -69,38 +69,44 @@ def _unit(v) -> np.ndarray | None:
 
 
 def _links(threshold: float):
-    """The function that takes the cosines of one bucket, or of one pair of blocks of it."""
+    """The function that takes the cosines of some small buckets of one table, or of one pair of blocks of a large bucket."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.frombuffer(b, dtype=np.float64) for b in pdf["x"]])
-        keys = np.stack([np.frombuffer(b, dtype=np.int64) for b in pdf["keys"]])
+        x = np.frombuffer(b"".join(pdf["x"]), dtype=np.float64).reshape(len(pdf), -1)
+        keys = np.frombuffer(b"".join(pdf["keys"]), dtype=np.int64).reshape(len(pdf), -1)
         node, copies, side = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["side"].to_numpy()
-        table = int(pdf["table"].iloc[0])
-        apart = len(np.unique(side)) > 1 or pdf["cross"].iloc[0]
-        linked = x @ x.T >= threshold
-        if apart:
-            linked &= side[:, None] != side[None, :]
-        else:
-            np.fill_diagonal(linked, False)
-        for t in range(table):  # met there already
-            linked &= keys[:, t, None] != keys[None, :, t]
-        degree = linked @ copies
-        edges, todo = [], np.ones(len(node), dtype=bool)
-        for s in range(len(node)):
-            if not todo[s]:
+        table, cross = int(pdf["table"].iloc[0]), pdf["cross"].iloc[0]
+        ids, degrees, edges = [], [], []
+        order = np.argsort(keys[:, table], kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(keys[order, table])) + 1):
+            linked = x[rows] @ x[rows].T >= threshold
+            if cross or len(np.unique(side[rows])) > 1:
+                linked &= side[rows, None] != side[None, rows]
+            else:
+                np.fill_diagonal(linked, False)
+            if not linked.any():
                 continue
-            todo[s] = False
-            front = [s]
-            while front:
-                i = front.pop()
-                new = np.flatnonzero(linked[i] & todo)
-                todo[new] = False
-                edges += [(node[i], node[j]) for j in new]
-                front += new.tolist()
-        some = degree > 0
-        a = np.concatenate([node[some], np.array([e[0] for e in edges], dtype="int64")])
-        b = pd.array([None] * int(some.sum()) + [e[1] for e in edges], dtype="Int64")
-        n = pd.array(list(degree[some]) + [None] * len(edges), dtype="Int64")
+            for t in range(table):  # met there already
+                linked &= keys[rows, t, None] != keys[None, rows, t]
+            degree = linked @ copies[rows]
+            some = np.flatnonzero(degree)
+            ids.append(node[rows[some]])
+            degrees += degree[some].tolist()
+            todo = np.ones(len(rows), dtype=bool)
+            for s in some:
+                if not todo[s]:
+                    continue
+                todo[s] = False
+                front = [s]
+                while front:
+                    i = front.pop()
+                    new = np.flatnonzero(linked[i] & todo)
+                    todo[new] = False
+                    edges += [(node[rows[i]], node[rows[j]]) for j in new]
+                    front += new.tolist()
+        a = np.concatenate([*ids, np.array([e[0] for e in edges], dtype="int64")])
+        b = pd.array([None] * len(degrees) + [e[1] for e in edges], dtype="Int64")
+        n = pd.array(degrees + [None] * len(edges), dtype="Int64")
         return pd.DataFrame({"a": a, "b": b, "n": n})
 
     return run
@@ -152,6 +158,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
     sizes = met.groupBy("d", "table", "key").agg(F.count("*").alias("size"))
     sizes = stored(sizes.where("size > 1"), "vectors-buckets")
     large = sizes.where(F.col("size") > block).select("d", "table", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    bunches = coded.count() // block + 1
     placed = (
         coded.select("d", "node", "copies", "x", "keys", F.posexplode("at").alias("table", "key"))
         .join(few(sizes.select("d", "table", "key"), 500_000), ["d", "table", "key"], "left_semi")
@@ -160,9 +167,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         .withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
         .withColumn("cross", F.col("low") < F.col("high"))
+        # small buckets go to the tasks' function some together: about `block` vectors of one table
+        .withColumn("bunch", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("key"), F.lit(bunches))).otherwise(F.col("key") + bunches))
     )
     found = stored(
-        placed.groupBy("d", "table", "key", "low", "high").applyInPandas(_links(threshold), "a long, b long, n long"), "vectors-links"
+        placed.groupBy("d", "table", "bunch", "low", "high").applyInPandas(_links(threshold), "a long, b long, n long"), "vectors-links"
     )
     degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("degree"))
     roots = components(found.where("b is not null").select("a", "b"))
