@@ -160,6 +160,13 @@ def test_awkward_vectors(spark):
     assert embeddings.near_duplicates(df.where("vec_id between 200 and 205")).where("n_links > 0").count() == 0
 
 
+def test_components_never_end_early(spark):
+    path = spark.range(40).selectExpr("id + 1 as a", "id as b")
+    with pytest.raises(RuntimeError):
+        common.components(path, rounds=1)
+    assert got(common.components(path), "node", "root") == sorted([(i, 0) for i in range(41)], key=repr)
+
+
 def test_vectors_of_every_length_link_among_their_own(spark):
     r = np.random.default_rng(4)
     rows = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -60,18 +61,21 @@ def set_aside(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
     return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Connected components of edges(a, b): rows (node, root), root the smallest node of the component.
 
     Alternating large-star and small-star steps: every step sends a node's neighbours to
     its smallest neighbour, so the work of a round is linear in the edges and no list of
     neighbours is ever gathered; a hub costs a partial min and a join that Spark can split.
-    Each round is checkpointed in the shared folder. Nodes without edges do not appear.
+    Each round is checkpointed in the shared folder; rounds go on until one changes nothing,
+    and an error is raised if `rounds` are not enough. Nodes without edges do not appear.
     """
     shared_dir(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct().checkpoint()
     before = None
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == rounds:
+            raise RuntimeError(f"components have not converged in {rounds} rounds")
         # large star: neighbours larger than a node go to the smallest of its neighbourhood
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
