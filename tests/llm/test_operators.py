@@ -320,7 +320,7 @@ def test_jaccard_finds_every_link_of_mutated_texts(spark):
             i += 1
     df = spark.createDataFrame(docs, "doc_id long, text string")
     plain = brute.jaccard(docs)
-    for parameters in ({}, {"block": 4, "crowd": 2, "seeds": (9,)}):
+    for parameters in ({}, {"block": 4, "crowd": 2, "seeds": (9,)}, {"block": 4, "crowd": 2, "wide": 5, "seeds": (9,)}):
         mine = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, **parameters).collect()}
         assert mine == plain
 

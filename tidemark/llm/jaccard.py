@@ -228,7 +228,7 @@ def one_of_each(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5,
     return texts.join(_small(stored(others, "jaccard-others")), "row", "left_anti").select(*["text" if c == "text" else f"rest.`{c}`" for c in docs.columns])
 
 
-def _components(docs: DataFrame, num: int, den: int, width: int, block: int = 1_024, crowd: int = 12, seeds: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, num: int, den: int, width: int, block: int = 1_024, crowd: int = 12, wide: int = 8_192, seeds: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame]:
     """The stored rows of docs, numbered, and for each (doc_id, row, n_shingles, root): root names its component, null for empty sets."""
     spark = docs.sparkSession
 
@@ -273,7 +273,7 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block: int = 1_
     entries = nodes.agg(F.sum(F.expr(f"n * {den - num} div {den} + 1"))).first()[0] or 0
     bits = max(4, int(entries // 1_000_000).bit_length() + 2)
     late = _crowded(tagged, bits, crowd, width)
-    near = _meetings(tagged, late, bits, num, den, width).groupBy("a", "b").agg(F.sum("n").alias("shared"), F.max("need").alias("need"))
+    near = _meetings(tagged, late, bits, num, den, width, wide).groupBy("a", "b").agg(F.sum("n").alias("shared"), F.max("need").alias("need"))
     near = near.where("shared >= need").select("a", "b")
     near = stored(near, "jaccard-pairs")
     links = _verified(near, only, num, den, width)
@@ -288,10 +288,13 @@ def _small(df: DataFrame) -> DataFrame:
     return few(df, 500_000)
 
 
-#: Entries of a block: the column's bits below the block's, and the component; then sizes of the row, whole and before the end of the order; the row; parities, for columns at the end.
+#: Entries of a block: the column's bits below the block's, and the component; then sizes of the row, whole and before the end of the order; the row;
+#: for columns at the end the row's parities, its first columns there that come before this one, and the side it is on where the column is split.
+_FIRST = 6
+_NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ENTRY = np.dtype([("col", "<u4"), ("comp", "<u8"), ("n", "<u4"), ("r", "<u4")])
 _NAMED = np.dtype([*_ENTRY.descr, ("node", "<u8")])
-_LATE = np.dtype([*_NAMED.descr, ("odd", "<u8", (8,))])
+_LATE = np.dtype([*_NAMED.descr, ("odd", "<u8", (8,)), ("first", "<u8", (_FIRST,)), ("side", "<u4")])
 
 
 def _short(x: np.ndarray, bits: int) -> np.ndarray:
@@ -354,8 +357,13 @@ def _crowded(tagged: DataFrame, bits: int, crowd: int, width: int, most: int = 1
     return rows[:, 0].astype(np.uint64), rows[:, 1]
 
 
-def _packed(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int, num: int, den: int, width: int) -> DataFrame:
-    """The prefixes' entries, one row for each portion and block of columns; the node is left out where it names its component."""
+def _packed(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int, num: int, den: int, width: int, wide: int) -> DataFrame:
+    """The prefixes' entries, one row for each portion and block of columns; the node is left out where it names its component.
+
+    A column at the end in which more than `wide` components meet is dealt to tasks of its
+    own: its entries have sides, of about `wide` components each, and a task (`part`) has two
+    sides or one.
+    """
     sent = tagged.sparkSession.sparkContext.broadcast(late)
 
     def crowds(x: np.ndarray) -> np.ndarray:
@@ -381,24 +389,37 @@ def _packed(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int, n
                 late = np.repeat(np.tile([False, True], len(parts)), np.array([before, after]).T.ravel())
                 of = np.repeat(np.arange(len(parts)), size)
                 odd = {i: parities(sets[own][i]) for i, a in enumerate(after) if a}
+                firsts = {i: np.r_[_short(parts[i][1][:_FIRST], bits), np.full(_FIRST, _NOTHING)][:_FIRST] for i in odd}
+                rank = np.concatenate([np.r_[np.zeros(b, dtype=np.int64), np.arange(a)] for b, a in zip(before, after, strict=True)]) if parts else np.zeros(0, dtype=np.int64)
                 block = (col >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
-                block, table, late, of = block[order], table[order], late[order], of[order]
+                block, table, late, of, rank, col = block[order], table[order], late[order], of[order], rank[order], col[order]
                 cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
                 out = []
                 for s, e in zip(cut, [*cut[1:], len(table)], strict=True):
                     part, at_end = table[s:e], late[s:e]
                     alone = ~at_end & (part["comp"] == part["node"])
                     ended = np.empty(np.count_nonzero(at_end), dtype=_LATE)
+                    sides = np.ones(len(ended), dtype=np.int64)
                     if len(ended):
                         _copy(part[at_end], ended, _NAMED.names)
                         ended["odd"] = np.stack([odd[i] for i in of[s:e][at_end]])
+                        ended["first"] = np.where(np.arange(_FIRST) < rank[s:e][at_end][:, None], np.stack([firsts[i] for i in of[s:e][at_end]]), _NOTHING)
+                        cols, n = sent.value
+                        sides = -(-n[np.searchsorted(cols, col[s:e][at_end])] // wide)
+                        ended["side"] = _mix(ended["node"]) % sides.astype(np.uint64)
                     bare = np.empty(np.count_nonzero(alone), dtype=_ENTRY)
                     _copy(part[alone], bare, _ENTRY.names)
-                    out.append((int(block[s]), bare.tobytes(), part[~alone & ~at_end].tobytes(), ended.tobytes()))
-                yield pd.DataFrame(out, columns=["block", "bare", "named", "ended"])
+                    out.append((int(block[s]), "", bare.tobytes(), part[~alone & ~at_end].tobytes(), ended[sides == 1].tobytes()))
+                    for c in np.unique(ended["col"][sides > 1]):
+                        here = ended["col"] == c
+                        split, k = ended[here], int(sides[here][0])
+                        for side in np.unique(split["side"]).tolist():
+                            own_side = split[split["side"] == side].tobytes()
+                            out += [(int(block[s]), f"{c} {min(side, other)} {max(side, other)}", b"", b"", own_side) for other in range(k)]
+                yield pd.DataFrame(out, columns=["block", "part", "bare", "named", "ended"])
 
-    return tagged.mapInPandas(run, "block long, bare binary, named binary, ended binary")
+    return tagged.mapInPandas(run, "block long, part string, bare binary, named binary, ended binary")
 
 
 def _copy(table: np.ndarray, to: np.ndarray, names: tuple[str, ...]) -> None:
@@ -406,8 +427,13 @@ def _copy(table: np.ndarray, to: np.ndarray, names: tuple[str, ...]) -> None:
         to[name] = table[name]
 
 
-def _meetings(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int, num: int, den: int, width: int) -> DataFrame:
-    """Pairs (a, b), a < b, of rows of different components that meet in columns of their prefixes, how often, and how often similar ones would, for each block of columns."""
+def _meetings(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int, num: int, den: int, width: int, wide: int) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of different components that meet in columns of their prefixes, how often, and how often similar ones would, for each block of columns.
+
+    At the end of the order one meeting is enough, so a pair is left to the first column
+    there that both rows have among their first few: near copies just under the threshold
+    meet in many columns and are named once.
+    """
     enough = 1 << 30  # one meeting at the end counts as so many
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -425,6 +451,7 @@ def _meetings(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int,
         end = np.r_[start[1:], len(table)]
         mixed = (end - start > 1) & (comp[start] != comp[end - 1])
         held, done = [], []
+        lower, upper = pdf["part"].iloc[0].split(" ")[1:] or (0, 0)
 
         pending: dict[bool, list] = {False: [], True: []}
         waiting = {False: 0, True: 0}
@@ -445,6 +472,11 @@ def _meetings(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int,
             ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
             if at_end:
                 ok &= (r[i] + r[j]) * num <= np.minimum(n[i] - r[i], n[j] - r[j]) * (den - num)
+                if lower != upper:
+                    ok &= ended["side"][odd_at[i]] != ended["side"][odd_at[j]]
+                i, j = i[ok], j[ok]
+                one, other = ended["first"][odd_at[i]], ended["first"][odd_at[j]]
+                ok = ~((one[:, :, None] == other[:, None, :]) & (one != _NOTHING)[:, :, None]).any((1, 2))
                 i, j = i[ok], j[ok]
                 apart = np.bitwise_count(ended["odd"][odd_at[i]] ^ ended["odd"][odd_at[j]]).sum(1, dtype=np.int64)
                 ok = apart * (den + num) <= (n[i] + n[j]) * (den - num)
@@ -458,7 +490,7 @@ def _meetings(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int,
         def merge() -> None:
             both = np.concatenate([*done, *held])
             both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            first = np.flatnonzero(np.r_[True, (both[1:, :2] != both[:-1, :2]).any(1)])
+            first = np.flatnonzero(np.r_[True, (both[1:, :2] != both[:-1, :2]).any(1)][:len(both)])
             total = both[first]
             total[:, 2] = np.add.reduceat(both[:, 2], first) if len(first) else 0
             done[:] = [total]
@@ -486,7 +518,7 @@ def _meetings(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int,
         out = done[0] if done else np.zeros((0, 4), dtype=np.int64)
         return pd.DataFrame(out, columns=["a", "b", "n", "need"])
 
-    return _packed(tagged, late, bits, num, den, width).groupBy("block").applyInPandas(run, "a long, b long, n long, need long")
+    return _packed(tagged, late, bits, num, den, width, wide).groupBy("block", "part").applyInPandas(run, "a long, b long, n long, need long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
