@@ -126,3 +126,9 @@ def holm(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     k = tests.count()
     x = tests.withColumn("place", F.row_number().over(w)).withColumn("ok", F.col("p") <= F.lit(alpha) / (k - F.col("place") + 1))
     return x.withColumn("passes", F.min(F.col("ok").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)) == 1).drop("ok")
+
+
+def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """A test of tests(name, p) passes under alpha by the number of tests."""
+    k = tests.agg(F.count("*").alias("k"))
+    return tests.join(F.broadcast(k)).select("name", "p", (F.col("p") < F.lit(alpha) / F.col("k")).alias("passes"))
