@@ -41,6 +41,18 @@ def business_days(last: DataFrame, steps: int) -> DataFrame:
     return last.select("series_id", F.posexplode(F.slice(days, 1, steps)).alias("p", "ts")).select("series_id", (F.col("p") + 1).alias("h"), "ts")
 
 
+def weeks_ahead(last: DataFrame, steps: int) -> DataFrame:
+    """last(series_id, ts) followed by every seventh day, numbered h."""
+    h = last.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    return h.select("series_id", "h", F.date_add("ts", 7 * F.col("h")).alias("ts"))
+
+
+def resolved(inferred: Column, hint: Column) -> Column:
+    """The frequency inferred from the dates; where that is irregular, the one of the hint's code, else daily."""
+    by_code = F.when(hint == "W", "weekly").when(hint == "M", "monthly").when(hint == "Q", "quarterly").when(hint == "A", "annual").otherwise("daily")
+    return F.when(inferred == "irregular", by_code).otherwise(inferred)
+
+
 def months_ahead(last: DataFrame, steps: int, months: int = 1) -> DataFrame:
     """last(series_id, ts) followed by every `months` months; the day is 28 at most, and stays so."""
     h = last.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(steps))))

@@ -132,3 +132,19 @@ def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """A test of tests(name, p) passes under alpha by the number of tests."""
     k = tests.agg(F.count("*").alias("k"))
     return tests.join(F.broadcast(k)).select("name", "p", (F.col("p") < F.lit(alpha) / F.col("k")).alias("passes"))
+
+
+def seasonal_naive_bands(train: DataFrame, horizon: int, m: int, z: float = 1.959963984540054) -> DataFrame:
+    """The seasonal naive forecast in logs with bands: the deviation of the steps over a season, by the root of the seasons ahead."""
+    w = W.partitionBy("series_id", "cutoff").orderBy("ts")
+    d = train.withColumn("d", F.ln("value") - F.ln(F.lag("value", m).over(w))).groupBy("series_id", "cutoff").agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("sigma"))
+    f = seasonal_naive_forecasts(train, horizon, m).join(d, ["series_id", "cutoff"])
+    half = z * F.col("sigma") * F.sqrt(F.floor((F.col("h") - 1) / m) + 1)
+    return f.select("series_id", "cutoff", "h", "value", (F.col("value") * F.exp(-half)).alias("lower"), (F.col("value") * F.exp(half)).alias("upper"))
+
+
+def long_enough(points: DataFrame) -> DataFrame:
+    """Which engines each series has points enough for: backtest, book, risk and correlation."""
+    n = F.col("n")
+    return points.groupBy("series_id").agg(F.count("*").alias("n")).select(
+        "series_id", "n", (n >= 30).alias("backtest"), (n >= 252).alias("book"), (n - 1 >= 252).alias("risk"), ((n >= 5) & (n - 1 >= 4)).alias("correlation"))

@@ -70,3 +70,16 @@ def skill(paired: DataFrame, choices: DataFrame, both: bool = True) -> DataFrame
         F.avg("model").alias("model_mean"), F.avg("rival").alias("naive_mean"))
     adds = (F.col("wins") > F.col("losses")) & (F.col("naive_mean") > 0) & (F.col("model_mean") <= (1 - MARGIN) * F.col("naive_mean"))
     return g.withColumn("state", F.when(F.col("n") < PAIRS, "not_evaluated").when(adds, "adds").otherwise("adds_nothing"))
+
+
+def select_engine(history: DataFrame, catalog: DataFrame, choices: DataFrame, least: int = 48, short: int = 60) -> DataFrame:
+    """Which engine runs for each of history(series_id, n), and why: the catalog's, the one decided on evidence, else the base.
+
+    Evidence counts from `least` points on; without catalog or evidence a series under
+    `short` points is named as short, and under `least` its forecast is of low confidence.
+    """
+    x = history.join(catalog, "series_id", "left").join(choices.select("series_id", "choice"), "series_id", "left")
+    choice = F.when(F.col("n") >= least, F.col("choice"))
+    return x.select(
+        "series_id", F.coalesce("kind", F.when(choice.isNotNull(), "discovered").when(F.col("n") < short, "short history").otherwise("default")).alias("reason"),
+        F.coalesce("catalog_engine", choice, F.lit("base")).alias("engine"), (F.col("kind").isNull() & (F.col("n") < least)).alias("low_confidence"))

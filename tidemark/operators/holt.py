@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Start of the fit and fallback: smoothing of level and trend, damping.
 DEFAULT = (0.3, 0.1, 0.95)
@@ -22,8 +23,8 @@ def training_arrays(points: DataFrame) -> DataFrame:
                        F.when(F.col("least") > 0, F.transform(values, lambda v: F.ln(v))).otherwise(values).alias("y"), (F.col("least") < 0).alias("has_negative"))
 
 
-def smooth(y: Column, alpha, beta, phi, clip: Column | None = None) -> Column:
-    """The filter's state after a series: struct(l, b, sse, n). clip: errors beyond it are drawn in (the robust variant)."""
+def smooth(y: Column, alpha, beta, phi, clip: Column | None = None, clip_level: bool = True) -> Column:
+    """The filter's state after a series: struct(l, b, sse, n). clip: errors beyond it are drawn in (the robust variant), with clip_level=False for the trend alone."""
     alpha, beta, phi = (F.lit(float(v)) if isinstance(v, float | int) else v for v in (alpha, beta, phi))
     start = F.struct(F.element_at(y, 1).alias("l"), (F.element_at(y, 2) - F.element_at(y, 1)).alias("b"), F.lit(0.0).alias("sse"), F.lit(0).alias("n"))
 
@@ -31,7 +32,7 @@ def smooth(y: Column, alpha, beta, phi, clip: Column | None = None) -> Column:
         guess = s["l"] + phi * s["b"]
         e = v - guess
         used = e if clip is None else F.greatest(F.least(e, clip), -clip)
-        return F.struct((guess + alpha * used).alias("l"), (phi * s["b"] + alpha * beta * used).alias("b"), (s["sse"] + e * e).alias("sse"), (s["n"] + 1).alias("n"))
+        return F.struct((guess + alpha * (used if clip_level else e)).alias("l"), (phi * s["b"] + alpha * beta * used).alias("b"), (s["sse"] + e * e).alias("sse"), (s["n"] + 1).alias("n"))
 
     return F.aggregate(F.slice(y, F.lit(2), F.size(y)), start, step)
 
@@ -104,3 +105,83 @@ def fit(series: DataFrame, rounds: int = 6) -> DataFrame:
     found = series.select("series_id", "y").mapInPandas(run, "series_id string, alpha double, beta double, phi double")
     joined = series.join(found, "series_id")
     return joined.withColumn("state", smooth(F.col("y"), F.col("alpha"), F.col("beta"), F.col("phi")))
+
+
+def robust_scale(series: DataFrame) -> DataFrame:
+    """1.4826 times the median absolute deviation of the steps of y."""
+    w = W.partitionBy("series_id").orderBy("k")
+    d = series.select("series_id", F.posexplode("y").alias("k", "y")).withColumn("d", F.col("y") - F.lag("y").over(w)).where("d is not null")
+    d = d.join(d.groupBy("series_id").agg(F.median("d").alias("m")), "series_id")
+    return d.groupBy("series_id").agg((1.4826 * F.median(F.abs(F.col("d") - F.col("m")))).alias("scale"))
+
+
+def with_season(series: DataFrame, alpha: float, beta: float, gamma: float, phi: float, m: int) -> DataFrame:
+    """series with the state of the damped trend with an additive season of m: struct(l, b, s, sse, n).
+
+    The start is the first season's mean, the mean step to the second season, and the first
+    season's deviations; series of fewer than two seasons give no rows.
+    """
+    y = F.col("y")
+
+    def mean(first: int) -> Column:
+        return F.aggregate(F.slice(y, first, m), F.lit(0.0), lambda a, v: a + v) / m
+
+    begun = series.where(F.size("y") >= 2 * m).withColumns({"m1": mean(1), "m2": mean(m + 1)})
+    start = F.struct(F.col("m1").alias("l"), ((F.col("m2") - F.col("m1")) / m).alias("b"), F.transform(F.slice(y, 1, m), lambda v: v - F.col("m1")).alias("s"), F.lit(0.0).alias("sse"), F.lit(0).alias("n"))
+
+    def step(c, v):
+        guess = c["l"] + phi * c["b"]
+        e = v - guess - F.element_at(c["s"], 1)
+        season = F.concat(F.slice(c["s"], 2, m - 1), F.array(F.element_at(c["s"], 1) + gamma * e))
+        return F.struct((guess + alpha * e).alias("l"), (phi * c["b"] + beta * e).alias("b"), season.alias("s"), (c["sse"] + e * e).alias("sse"), (c["n"] + 1).alias("n"))
+
+    return begun.withColumns({"state": F.aggregate(y, start, step), "alpha": F.lit(alpha), "beta": F.lit(beta), "gamma": F.lit(gamma), "phi": F.lit(phi)}).drop("m1", "m2")
+
+
+def seasonal_forecast(fitted: DataFrame, horizon: int, m: int, level: float = 0.95) -> DataFrame:
+    """Steps 1 to horizon of with_season(): value, lower and upper by the exact variance; logs give the lognormal mean."""
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    h = fitted.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    weights = F.expr(f"aggregate(filter(sequence(0, h - 1), j -> j > 0), 0D, (t, j) -> t + pow(alpha + beta * phi * (1 - pow(phi, j)) / (1 - phi) + if(j % {m} = 0, gamma, 0D), 2))")
+    mu = F.expr(f"state.l + state.b * phi * (1 - pow(phi, h)) / (1 - phi) + element_at(state.s, (h - 1) % {m} + 1)")
+    h = h.withColumns({"mu": mu, "var": F.col("state.sse") / F.col("state.n") * (1 + weights)})
+    sd, log = F.sqrt("var"), F.col("use_log")
+    return h.select(
+        "series_id", "h", F.when(log, F.exp(F.col("mu") + F.col("var") / 2)).otherwise(F.col("mu")).alias("value"),
+        F.when(log, F.exp(F.col("mu") - z * sd)).otherwise(F.col("mu") - z * sd).alias("lower"), F.when(log, F.exp(F.col("mu") + z * sd)).otherwise(F.col("mu") + z * sd).alias("upper"))
+
+
+def _seasonal_sse(y: np.ndarray, p: np.ndarray, m: int) -> np.ndarray:
+    """Squared error of one series for many (alpha, beta, gamma, phi) at once: least for the largest likelihood of Gaussian errors."""
+    a, b, g, f = p.T
+    level, trend = np.full(len(p), y[:m].mean()), np.full(len(p), (y[m:2 * m].mean() - y[:m].mean()) / m)
+    season = np.repeat((y[:m] - y[:m].mean())[:, None], len(p), 1)
+    out = np.zeros(len(p))
+    for t, v in enumerate(y):
+        guess = level + f * trend
+        e = v - guess - season[t % m]
+        level, trend = guess + a * e, f * trend + b * e
+        season[t % m] += g * e
+        out += e * e
+    return out
+
+
+def fit_season(series: DataFrame, m: int, rounds: int = 7) -> DataFrame:
+    """alpha, beta, gamma and phi of each series by maximum likelihood, on a grid that closes in on the best: sse and sse_start, the start's."""
+    low, high, start = np.array([0.01, 0.0, 0.0, 0.80]), np.array([0.99, 0.5, 0.99, 0.98]), np.array([0.3, 0.05, 0.2, 0.95])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for series_id, y in zip(pdf["series_id"], pdf["y"], strict=True):
+                y = np.asarray(y, dtype=float)
+                at, span = start, (high - low) / 2
+                for k in range(rounds):
+                    grid = np.stack(np.meshgrid(*[np.linspace(-1, 1, 5 if k == 0 else 3)] * 4), -1).reshape(-1, 4)
+                    cand = np.vstack([at, np.clip(((low + high) / 2 if k == 0 else at) + grid * span, low, high)])
+                    at, span = cand[np.argmin(_seasonal_sse(y, cand, m))], span / 2
+                both = _seasonal_sse(y, np.stack([at, start]), m)
+                out.append((series_id, *at, *both))
+            yield pd.DataFrame(out, columns=["series_id", "alpha", "beta", "gamma", "phi", "sse", "sse_start"])
+
+    return series.where(F.size("y") >= 2 * m).select("series_id", "y").mapInPandas(run, "series_id string, alpha double, beta double, gamma double, phi double, sse double, sse_start double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -66,6 +67,27 @@ def _beta(x: float, a: float, b: float) -> float:
     return front * (f - 1)
 
 
+def p_values(correlated: DataFrame) -> DataFrame:
+    """correlations() with two-sided p-values: 0 on the diagonal, 1 where a coefficient is undefined."""
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([student_p(a, int(b)) for a, b in zip(r, n, strict=True)], dtype=float)
+
+    def of(c: str):
+        return F.when(F.col("i") == F.col("j"), 0.0).otherwise(p(F.col(c), F.col("n"))).alias(f"{c}_p")
+
+    return correlated.select("*", of("pearson"), of("spearman"))
+
+
+def strategies(returns: DataFrame, weights: dict[str, dict[str, float]], rate: float = 0.04) -> DataFrame:
+    """Annual return, volatility and Sharpe ratio of each strategy's fixed weights."""
+    rows = [(s, n, float(w)) for s, own in weights.items() for n, w in own.items()]
+    w = returns.sparkSession.createDataFrame(rows, "strategy string, series_id string, w double")
+    daily = returns.join(F.broadcast(w), "series_id").groupBy("strategy", "ts").agg(F.sum(F.col("w") * F.col("r")).alias("r"))  # a row for each strategy and asset
+    g = daily.groupBy("strategy").agg((F.avg("r") * YEAR).alias("annual_return"), (F.stddev_samp("r") * math.sqrt(YEAR)).alias("volatility"))
+    return g.withColumn("sharpe", F.try_divide(F.col("annual_return") - rate, "volatility"))
+
+
 def covariance(returns: DataFrame) -> DataFrame:
     """Sample covariance of each two series, i <= j."""
     return paired(returns).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("s"), F.count("*").alias("n"))
@@ -108,6 +130,13 @@ def normalized(weights: DataFrame, names: DataFrame) -> DataFrame:
     return x.join(F.broadcast(t)).select("series_id", F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(1 / F.col("k")).alias("w"))
 
 
+def normalized_books(weights: DataFrame, names: DataFrame) -> DataFrame:
+    """As normalized(), for each book of names(book, name) and weights(book, name, w)."""
+    x = names.join(weights, ["book", "name"], "left").withColumn("w", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)))
+    whole = W.partitionBy("book")
+    return x.select("book", "name", F.when(F.sum("w").over(whole) > 0, F.try_divide("w", F.sum("w").over(whole))).otherwise(1 / F.count("*").over(whole)).alias("w"))
+
+
 def metrics(returns: DataFrame, weights: DataFrame, rate: float = 0.04) -> DataFrame:
     """Return, volatility, Sharpe ratio, worst drawdown and diversification of a portfolio with fixed weights, one row."""
     r = returns.join(F.broadcast(weights), "series_id")

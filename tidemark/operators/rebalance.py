@@ -6,27 +6,62 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .portfolio import YEAR
 
 
+def lookback_weights(returns: DataFrame, every: int = 21, lookback: int = 252, least: int = 60) -> DataFrame:
+    """(ts, series_id, w) at every `every`-th date: weights by inverse volatility of up to `lookback` returns that end there, from `least` returns on."""
+    w = W.partitionBy("series_id").orderBy("ts")
+    x = returns.withColumns({"place": F.row_number().over(w), "sd": F.stddev_samp("r").over(w.rowsBetween(1 - lookback, 0))})
+    x = x.where((F.col("place") % every == 0) & (F.col("place") >= least) & (F.col("sd") > 0))
+    return x.select("ts", "series_id", (1 / F.col("sd") / F.sum(1 / F.col("sd")).over(W.partitionBy("ts"))).alias("w"))
+
+
+def optimized_weights(returns: DataFrame, names: list[str], solve, every: int = 21, lookback: int = 252, least: int = 60) -> DataFrame:
+    """(ts, w: array in the order of names) at every `every`-th date: solve(matrix of up to `lookback` returns that end there), each date a task's group.
+
+    Returns of a few assets on common dates. A return goes to the dates that look back on it: at most lookback / every of them.
+    """
+    wide = returns.groupBy("ts").agg(F.array(*[F.max(F.when(F.col("series_id") == n, F.col("r"))) for n in names]).alias("r"))
+    x = wide.withColumn("place", F.row_number().over(W.orderBy("ts")))  # one row a date
+    first = F.greatest(F.ceil(F.col("place") / every), F.lit(-(-least // every))).cast("int")
+    last = F.floor((F.col("place") + lookback - 1) / every).cast("int")
+    seen = x.where(first <= last).withColumn("at", F.explode(F.sequence(first, last))).withColumn("at", F.col("at") * every).where(f"place <= at and place > at - {lookback}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        if pdf["place"].iloc[-1] != pdf["at"].iloc[-1]:
+            return pd.DataFrame({"ts": [], "w": []}, dtype=object)  # the date is yet to come
+        return pd.DataFrame({"ts": [pdf["ts"].iloc[-1]], "w": [[float(v) for v in solve(np.array(pdf["r"].tolist()))]]})
+
+    return seen.groupBy("at").applyInPandas(run, "ts date, w array<double>")
+
+
 def book(prices: DataFrame, names: list[str], every: int = 21, cost_bps: float = 10.0, tax: float = 0.2, weights: list[float] | None = None, average_basis: bool = False) -> DataFrame:
     """(portfolio, ts, gross, net, hold) from wide prices (portfolio, ts, one column a name), day by day in order.
 
+    A column `target` of prices, an array in the order of names or null, replaces the weights from that day on.
+
     Every `every` rows the book goes back to its weights. Turnover counts both sides; the
     net book pays costs on it and tax on gains over the cost of what it sells, which any purchase
     sets to its price (with average_basis: to the mean); the first purchase is free. `hold` never trades. One portfolio is one group.
     """
     k = len(names)
-    target = np.array(weights if weights else [1 / k] * k)
+    begin = np.array(weights if weights else [1 / k] * k)
+    moving = "target" in prices.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
         p = pdf[names].to_numpy(dtype=float)
+        targets = pdf["target"].tolist() if moving else [None] * len(p)
+        target = begin if targets[0] is None else np.asarray(targets[0])
         gross, net, hold = target / p[0], target / p[0], target / p[0]
         basis = p[0].copy()
         out = []
         for t, price in enumerate(p):
+            target = target if targets[t] is None else np.asarray(targets[t])
             if t and t % every == 0:
                 gross = target * (gross @ price) / price
                 value = net @ price

@@ -7,12 +7,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Multiplier, increment and modulus of the draws: a linear congruence on (path, block), so any engine can repeat them.
-DRAW = (1103515245, 12345, 2147483648)
+
+def draw(*parts) -> Column:
+    """An integer from 0 to 2^32 - 1 for the values of the parts: the first eight hex digits of their MD5, so that any engine can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def normal(*parts) -> Column:
+    """A standard normal number for the values of the parts, by the transform of Box and Muller."""
+    u = [(draw(F.lit(i), *parts) + 0.5) / 2.0**32 for i in (1, 2)]
+    return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * math.pi * u[1])
+
+
+def block_length(horizon: int, days: int, block: int | None = None) -> int:
+    """The block asked for, or 5 days and the cube root of the horizon at least, and fewer than there are."""
+    return max(1, min(block or max(5, math.ceil(round(horizon ** (1 / 3), 9))), days - 1))
 
 
 def portfolio_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
@@ -22,15 +35,17 @@ def portfolio_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def bootstrap_losses(daily: DataFrame, paths: int, horizon: int, block: int, seed: int = 42, centered: bool = False) -> DataFrame:
-    """(path, loss) of block bootstrap: each path strings together blocks of the returns from drawn starts and is cut at the horizon."""
+    """(path, loss) of block bootstrap: each path strings together blocks of the returns from drawn starts and is cut at the horizon.
+
+    centered: the sample's mean return is taken out.
+    """
     spark = daily.sparkSession
-    a, c, m = DRAW
     t = daily.agg(F.count("*").alias("t"), F.avg("r").alias("mean"))
     n_blocks = math.ceil(horizon / block)
     days = (
         spark.range(paths).withColumnRenamed("id", "path").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
         .join(F.broadcast(t))
-        .withColumn("start", F.expr(f"cast((((path * {n_blocks} + k + {seed}) * {a}L + {c}) % {m}L * {a}L + {c}) % {m}L % (t - {block} + 1) as int)"))
+        .withColumn("start", (draw(F.lit(seed), F.col("path"), F.col("k")) % (F.col("t") - block + 1)).cast("int"))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.expr(f"k * {block} + i < {horizon}"))
         .select("path", (F.col("start") + F.col("i")).alias("at"), "mean")
     )
@@ -38,22 +53,53 @@ def bootstrap_losses(daily: DataFrame, paths: int, horizon: int, block: int, see
     return days.join(F.broadcast(daily), "at").groupBy("path").agg((1 - F.exp(F.sum(r))).alias("loss"))  # daily: one row a day
 
 
+def bootstrap_cells(daily: DataFrame, paths: int, horizons: tuple[int, ...], block: int, seeds: int) -> DataFrame:
+    """(horizon, seed, path, plain, centered): losses of every horizon and seed (from 1) in one plan, with the sample's mean and without."""
+    def each(name: str, values: Column) -> Column:
+        return F.explode(values).alias(name)
+
+    t = daily.agg(F.count("*").alias("t"), F.avg("r").alias("mean"))
+    cells = daily.sparkSession.range(paths).select(F.col("id").alias("path"), each("horizon", F.array(*[F.lit(h) for h in horizons])))
+    cells = cells.select("*", each("seed", F.sequence(F.lit(1), F.lit(seeds)))).select("*", each("k", F.expr(f"sequence(0, cast(ceil(horizon / {block}) as int) - 1)"))).join(F.broadcast(t))
+    cells = cells.withColumn("start", (draw(F.col("seed"), F.col("path"), F.col("k")) % (F.col("t") - block + 1)).cast("int"))
+    days = cells.select("*", each("i", F.sequence(F.lit(0), F.lit(block - 1)))).where(F.expr(f"k * {block} + i < horizon")).withColumn("at", F.col("start") + F.col("i"))
+    return days.join(F.broadcast(daily), "at").groupBy("horizon", "seed", "path").agg((1 - F.exp(F.sum("r"))).alias("plain"), (1 - F.exp(F.sum(F.col("r") - F.col("mean")))).alias("centered"))  # daily: one row a day
+
+
 def student_losses(returns: np.ndarray, spark, paths: int, horizon: int, df: float, seed: int = 42) -> DataFrame:
-    """(path, loss) of independent Student-t returns scaled to the sample's mean and deviation; over 30 or up to 2 degrees, normal ones."""
-    mean, sd = float(returns.mean()), float(returns.std(ddof=1))
+    """(path, loss) of independent Student-t returns scaled to the sample's mean and population deviation; over 30 or up to 2 degrees, normal ones."""
+    mean, sd = float(returns.mean()), float(returns.std())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for path in pdf["id"]:
-                rng = np.random.default_rng([seed, int(path)])
-                x = rng.standard_normal(horizon) if df > 30 or df <= 2 else rng.standard_t(df, horizon) * math.sqrt((df - 2) / df)
-                out.append(1 - math.exp((mean + sd * x).sum()))
-            yield pd.DataFrame({"path": pdf["id"], "loss": out})
+            if len(pdf):
+                rng = np.random.default_rng([seed, int(pdf["id"].iloc[0])])  # a batch at a time
+                size = (len(pdf), horizon)
+                x = rng.standard_normal(size) if df > 30 or df <= 2 else rng.standard_t(df, size) * math.sqrt((df - 2) / df)
+                yield pd.DataFrame({"path": pdf["id"], "loss": 1 - np.exp((mean + sd * x).sum(1))})
 
     return spark.range(paths).mapInPandas(run, "path long, loss double")
 
 
+def gaussian_losses(spark, mean: np.ndarray, cov: np.ndarray, weights: np.ndarray, paths: int, horizon: int, seed: int = 42) -> DataFrame:
+    """(path, loss) of joint normal returns of a few assets with daily mean and covariance: the sum over the horizon is drawn at once, by the factor of the covariance."""
+    parts = weights @ cholesky(cov) * math.sqrt(horizon)
+    total = sum((normal(F.lit(seed), F.col("id"), F.lit(j)) * float(p) for j, p in enumerate(parts)), F.lit(float(weights @ mean * horizon)))
+    return spark.range(paths).select(F.col("id").alias("path"), (1 - F.exp(total)).alias("loss"))
+
+
+def nearest_psd(matrix: np.ndarray, least: float = 1e-10) -> np.ndarray:
+    """A symmetric matrix with its eigenvalues raised to `least` where they are under it."""
+    m = (matrix + matrix.T) / 2
+    values, vectors = np.linalg.eigh(m)
+    return m if values.min() >= least else vectors @ np.diag(np.maximum(values, least)) @ vectors.T
+
+
+def cholesky(matrix: np.ndarray) -> np.ndarray:
+    """The lower factor of a covariance, mended to be positive first."""
+    return np.linalg.cholesky(nearest_psd(matrix))
+
+
 def fit_student(x: np.ndarray) -> float:
     """Degrees of freedom by maximum likelihood with the sample's mean, over a fine grid with the best scale for each."""
     x = np.asarray(x) - np.mean(x)
@@ -92,3 +138,11 @@ def histogram(losses: DataFrame, bins: int = 30) -> DataFrame:
     at = F.coalesce(F.least(F.floor(F.try_divide(F.col("loss") - F.col("lo"), "width")), F.lit(bins - 1)), F.lit(0)).alias("bin")
     g = x.groupBy(at).agg(F.count("*").alias("count"), F.max("n").alias("n"), F.max("width").alias("width"))
     return g.select("bin", "count", F.try_divide("count", F.col("n") * F.col("width")).alias("density"))
+
+
+def report(losses: DataFrame, seed: int) -> DataFrame:
+    """One row: the seed, VaR at 95 and 99 percent, CVaR, median, mean, and how often more than 10 percent is lost."""
+    q = losses.agg(F.percentile("loss", F.lit(0.95)).alias("var95"), F.percentile("loss", F.lit(0.99)).alias("var99"), F.percentile("loss", F.lit(0.5)).alias("median"))
+    return losses.join(F.broadcast(q)).groupBy("var95", "var99", "median").agg(
+        F.greatest(F.avg(F.when(F.col("loss") >= F.col("var95"), F.col("loss"))), F.max("var95")).alias("cvar95"), F.avg("loss").alias("mean"),
+        F.avg((F.col("loss") > 0.1).cast("double")).alias("over_10pct")).select(F.lit(seed).alias("seed"), "var95", "var99", "cvar95", "median", "mean", "over_10pct")

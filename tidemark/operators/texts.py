@@ -29,11 +29,11 @@ def says_inverse(text: Column) -> Column:
     return F.lower(text).rlike(r"\b(inverse|short|bear)\b")
 
 
-def theme(text: Column) -> Column:
+def theme(text: Column, themes: tuple = THEMES) -> Column:
     """The first theme of which a word stands in the text, else general."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     out = None
-    for name, words in THEMES:
+    for name, words in themes:
         hit = F.lit(False)
         for w in words:
             hit = hit | padded.contains(f" {w} ")
@@ -59,3 +59,42 @@ def failure_kind(status: Column, message: Column) -> Column:
         F.when((status == 429) | m.contains("rate limit") | m.contains("quota"), "quota").when(status.isin(401, 403), "auth")
         .when(status >= 500, "server").when(m.contains("timeout") | m.contains("timed out"), "timeout").otherwise("other")
     )
+
+
+def contradictions(text: Column, declared: Column, kind: Column, category: Column, issuer: Column, issuers: tuple = (), themes: tuple = ()) -> Column:
+    """What a description (in lower case) says against an instrument's facts: an array of rule names.
+
+    type: declared as the other kind; called: the text speaks of the other kind; issuer: it
+    names a known issuer (word, mark) that is not the instrument's; leverage: both state one
+    and they differ; inverse_unsaid, not_inverse: the direction; theme: a theme that is not
+    in the category. What can't be checked is no contradiction.
+    """
+    def any_of(column: Column, words) -> Column:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | column.contains(w)
+        return hit
+
+    equity, fund = kind == "EQUITY", kind == "ETF"
+    wrong_issuer, wrong_theme = F.lit(False), F.lit(False)
+    for word, mark in issuers:
+        wrong_issuer = wrong_issuer | (text.contains(word) & ~issuer.contains(mark))
+    for name, words in themes:
+        wrong_theme = wrong_theme | (text.contains(name) & ~any_of(category, words))
+    really, said = says_inverse(category), says_inverse(text)
+    return F.array_compact(F.array(
+        F.when((declared == "etf") & equity | (declared == "stock") & fund, "type"),
+        F.when(equity & text.rlike(r"\b(etf|fund)\b") | fund & text.rlike(r"\bthe company\b"), "called"),
+        F.when(wrong_issuer, "issuer"),
+        F.when(leverage(text) != leverage(category), "leverage"),
+        F.when(really & ~said, "inverse_unsaid").when(fund & ~really & said, "not_inverse"),
+        F.when(fund & wrong_theme, "theme"),
+    ))
+
+
+def money(value: Column, millions_from: float = 1e6) -> Column:
+    """An amount in billions, in millions from `millions_from` on, or whole."""
+    return (
+        F.when(value >= 1e9, F.format_string("$%.2fB", value / 1e9)).when(value >= millions_from, F.format_string("$%.2fM", value / 1e6))
+        .otherwise(F.format_string("$%.2f", value))
+    )

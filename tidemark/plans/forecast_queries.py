@@ -104,7 +104,7 @@ def krn_08(spark, sf):
 
 @query("krn_12_backtest_holt", f"{_HOLT}, {_errors_sql('ha', 'er')} SELECT {_ROUND} FROM er")
 def krn_12(spark, sf):
-    """KRN-12, AGG-01 to AGG-08, JOIN-07: all metrics of the damped filter for each series and cutoff."""
+    """AGG-01 to AGG-08, JOIN-07: all metrics of the damped filter for each series and cutoff; krn_12_verdict has the verdict."""
     train, after = _split(spark, sf)
     return rounded(backtest.errors(backtest.holt_forecasts(train, H, 0.95), after, train))
 
@@ -136,14 +136,14 @@ def _pairs(spark, sf):
 
 @query("join_06_pairs", f"{_BOTH}, {_LOG_ERRORS} SELECT series_id, cutoff, {r('base', 'base', 3)}, {r('challenger', 'challenger', 3)} FROM pairs")
 def join_06(spark, sf):
-    """KRN-13: paired errors of two engines at the same cutoffs."""
+    """Paired errors of two engines at the same four cutoffs; krn_13_tournament has eight."""
     return rounded(_pairs(spark, sf), 3)
 
 
 @query("krn_14_decide", f"""{_BOTH}, {_LOG_ERRORS}, g AS (SELECT series_id, count(*) AS n, count(*) FILTER (challenger < base) AS wins, count(*) FILTER (challenger > base) AS losses, avg(base) AS base_mean, avg(challenger) AS challenger_mean FROM pairs GROUP BY 1)
  SELECT series_id, n, wins, losses, {r('base_mean', 'base_mean', 3)}, {r('challenger_mean', 'challenger_mean', 3)}, CASE WHEN n >= 3 AND wins > losses AND base_mean > 0 AND challenger_mean <= base_mean * 0.98 THEN 'challenger' ELSE 'baseline' END AS choice FROM g""")
 def krn_14(spark, sf):
-    """KRN-14, KRN-15: the robust rule, here with three pairs and two percent."""
+    """The core of the robust rule, here with three pairs and two percent; krn_14_hysteresis has the rule in full."""
     return rounded(backtest.decide(_pairs(spark, sf), least=3, margin=0.02), 3)
 
 
@@ -165,7 +165,7 @@ def mth_03(spark, sf):
 @query("ord_03_cutoffs", f"""WITH {M5}, x AS (SELECT series_id, ts, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS INT) AS place FROM m5), n AS (SELECT series_id, count(*) AS n FROM x GROUP BY 1),
  p AS (SELECT DISTINCT series_id, round_even(greatest(29, n - 7 - 40) + i * (n - 7 - greatest(29, n - 7 - 40)) / 7.0::DOUBLE, 0) AS place FROM n, range(0, 8) g(i)) SELECT series_id, ts AS cutoff, place FROM x JOIN p USING (series_id, place)""")
 def ord_03(spark, sf):
-    """ORD-03 to ORD-05: eight evenly spaced cutoffs in the last 40 points."""
+    """Eight evenly spaced cutoffs in the last 40 points."""
     return backtest.recent_cutoffs(series.monthly_segments(spark, sf), 8, 6, 40)
 
 
@@ -187,7 +187,7 @@ def ord_06(spark, sf):
  f AS (SELECT series_id, avg(base) > avg(challenger) AS pick FROM pairs GROUP BY 1)
  SELECT series_id, count(*) AS subsets, {r('avg(CASE WHEN t.pick <> f.pick THEN 1.0 ELSE 0 END)', 'disagree')} FROM t JOIN f USING (series_id) GROUP BY 1""")
 def krn_22(spark, sf):
-    """How often a subset of the cutoffs decides otherwise than all of them: subsets by a self-join i < j."""
+    """How often a pair of the four cutoffs decides otherwise than all of them: pairs by a self-join i < j; krn_22_triples takes triples of 24."""
     p = _pairs(spark, sf)
     k = p.withColumn("i", F.row_number().over(W.partitionBy("series_id").orderBy("cutoff")))
     a, b = k.select("series_id", F.col("i").alias("a"), F.col("base").alias("ba"), F.col("challenger").alias("ca")), k.select("series_id", F.col("i").alias("b"), F.col("base").alias("bb"), F.col("challenger").alias("cb"))

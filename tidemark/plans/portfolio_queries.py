@@ -7,10 +7,10 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, portfolio, rebalance, returns, risk
+from tidemark.operators import align, holt, portfolio, rebalance, returns, risk
 from tidemark.sources import series
 
-from .base import C3, r, rounded
+from .base import C3, D3, r, rounded
 
 QUERIES, SQL = {}, {}
 
@@ -46,7 +46,7 @@ _LW = _COV + """, mm AS (SELECT series_id, avg(r) AS m FROM ret GROUP BY 1), pq
  q AS (SELECT a.series_id AS i, b.series_id AS j, corr(a.r, b.r) AS spearman FROM k a JOIN k b ON a.ts = b.ts AND a.series_id <= b.series_id GROUP BY ALL)
  SELECT i, j, {r('CASE WHEN i = j THEN 1 ELSE pearson END', 'pearson')}, n, {r('CASE WHEN i = j THEN 1 ELSE spearman END', 'spearman')} FROM p JOIN q USING (i, j)""")
 def agg_13(spark, sf):
-    """AGG-13 to AGG-15, WIN-10: Pearson and Spearman."""
+    """WIN-10 and the coefficients of AGG-13 to AGG-15; agg_13_p_values has their p-values."""
     return rounded(portfolio.correlations(_returns(spark, sf)))
 
 
@@ -64,7 +64,7 @@ def agg_12(spark, sf):
  q AS (SELECT sum(pow(mu - centre, 2)) AS spread FROM g, e), z AS (SELECT centre, CASE WHEN k <= 2 OR spread <= 1e-8 THEN 0.2 ELSE greatest(0, least(1, (k - 2) * trace / (k * t) / spread)) END AS weight FROM e, q)
  SELECT series_id, {r('mu', 'mu')}, {r('weight', 'weight')}, {r('(1 - weight) * mu + weight * centre', 'shrunk')} FROM g, z""")
 def mth_05(spark, sf):
-    """MTH-05, KRN-29: shrunk expected returns."""
+    """Shrunk expected returns; krn_29_forecast_returns has those that forecasts imply."""
     return rounded(portfolio.expected_returns(_returns(spark, sf)))
 
 
@@ -107,9 +107,19 @@ def krn_26(spark, sf):
 
 
 PATHS, DAYS, BLOCK = 2_000, 30, 5
-_A, _C, _M = risk.DRAW
-_LOSS = f"""{C3}, {_W}, d AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS at, r FROM (SELECT ts, sum(w * r) AS r FROM ret JOIN w USING (series_id) GROUP BY 1)), tt AS (SELECT count(*) AS t FROM d),
- st AS (SELECT path, k, ((((path * {DAYS // BLOCK} + k + 42) * {_A}::HUGEINT + {_C}) % {_M} * {_A} + {_C}) % {_M}) % (t - {BLOCK} + 1) AS s FROM range(0, {PATHS}) a(path), range(0, {DAYS // BLOCK}) b(k), tt),
+_DAILY = f"{C3}, {_W}, d AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS at, r FROM (SELECT ts, sum(w * r) AS r FROM ret JOIN w USING (series_id) GROUP BY 1)), tt AS (SELECT count(*) AS t, avg(r) AS mean FROM d)"
+
+
+def _draw(*parts: str) -> str:
+    return "CAST('0x' || substr(md5(" + " || '-' || ".join(parts) + "), 1, 8) AS BIGINT)"
+
+
+def _normal(*parts: str) -> str:
+    u = [f"(({_draw(str(i), *parts)} + 0.5) / 4294967296.0::DOUBLE)" for i in (1, 2)]
+    return f"(sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]}))"
+
+
+_LOSS = f"""{_DAILY}, st AS (SELECT path, k, {_draw("'42'", 'path', 'k')} % (t - {BLOCK} + 1) AS s FROM range(0, {PATHS}) a(path), range(0, {DAYS // BLOCK}) b(k), tt),
  losses AS (SELECT path, 1 - exp(sum(r)) AS loss FROM st, range(0, {BLOCK}) g(i), d WHERE d.at = s + i GROUP BY 1)"""
 
 
@@ -126,7 +136,7 @@ def krn_31(spark, sf):
  g AS (SELECT level, max(var) AS var, greatest(avg(CASE WHEN loss >= var THEN loss END), max(var)) AS cvar, avg(exp(-0.5 * pow((loss - var) / (sd * pow(n, -0.2)), 2)) / (sd * pow(n, -0.2) * sqrt(2 * pi()))) AS f, max(n) AS n FROM losses, q, n GROUP BY 1)
  SELECT level, {r('var', 'var')}, {r('cvar', 'cvar')}, {r('sqrt(level * (1 - level)) / (sqrt(n) * greatest(f, 1e-6))', 'var_error')} FROM g""")
 def agg_17(spark, sf):
-    """AGG-17 to AGG-19, KRN-34: VaR, CVaR and the VaR's standard error."""
+    """AGG-17 to AGG-19: VaR, CVaR and the VaR's standard error."""
     return rounded(risk.measures(_losses(spark, sf)))
 
 
@@ -140,6 +150,123 @@ def agg_21(spark, sf):
     return rounded(risk.exceedance(_losses(spark, sf)))
 
 
+_CENTRED = _LOSS.replace("1 - exp(sum(r)) AS loss FROM st,", "1 - exp(sum(r - mean)) AS loss FROM tt, st,")
+
+
+@query("krn_34_report", f"""WITH {_CENTRED}, q AS (SELECT quantile_cont(loss, 0.95) AS var95, quantile_cont(loss, 0.99) AS var99 FROM losses)
+ SELECT 42 AS seed, {r('max(var95)', 'var95')}, {r('max(var99)', 'var99')}, {r('greatest(avg(CASE WHEN loss >= var95 THEN loss END), max(var95))', 'cvar95')}, {r('median(loss)', 'median')}, {r('avg(loss)', 'mean')}, {r('avg(CASE WHEN loss > 0.1 THEN 1.0 ELSE 0 END)', 'over_10pct')} FROM losses, q""")
+def krn_34(spark, sf):
+    """The risk report with its seed: returns without their mean, as it is unless asked for otherwise."""
+    daily = risk.portfolio_returns(_returns(spark, sf), _weights(spark))
+    return rounded(risk.report(risk.bootstrap_losses(daily, PATHS, DAYS, BLOCK, centered=True), 42))
+
+
+_CELLS = f"""{_DAILY}, cl AS (SELECT h, s, path, k, {_draw('s', 'path', 'k')} % (t - {BLOCK} + 1) AS s0 FROM (VALUES (10), (30)) a(h), range(1, 6) b(s), range(0, 300) c(path), range(0, 6) e(k), tt WHERE k * {BLOCK} < h),
+ pl AS (SELECT h, s, path, 1 - exp(sum(r)) AS plain, 1 - exp(sum(r - mean)) AS centred FROM cl, range(0, {BLOCK}) g(i), d, tt WHERE d.at = s0 + i GROUP BY ALL), vs AS (SELECT h, s, 'plain' AS drift, quantile_cont(plain, 0.95) AS var FROM pl GROUP BY ALL UNION ALL SELECT h, s, 'centred', quantile_cont(centred, 0.95) FROM pl GROUP BY ALL)"""
+
+
+@query("krn_52_drift_study", f"WITH {_CELLS} SELECT h AS horizon, drift, count(*) AS seeds, {r('avg(var)', 'mean')}, {r('stddev_samp(var)', 'sd')} FROM vs GROUP BY ALL")
+def krn_52(spark, sf):
+    """KRN-52, AGG-31: the VaR by horizon and drift over five seeds."""
+    daily = risk.portfolio_returns(_returns(spark, sf), _weights(spark))
+    v = risk.bootstrap_cells(daily, 300, (10, 30), BLOCK, 5).groupBy("horizon", "seed").agg(*[F.percentile(c, F.lit(0.95)).alias(c) for c in ("plain", "centered")])
+    cells = v.select("horizon", "seed", F.explode(F.create_map(F.lit("plain"), "plain", F.lit("centred"), "centered")).alias("drift", "var"))
+    return rounded(cells.groupBy("horizon", "drift").agg(F.count("*").alias("seeds"), F.avg("var").alias("mean"), F.stddev_samp("var").alias("sd")))
+
+
+_FACTOR = f"""{_LW}, {_W}, v AS (SELECT max(annual) FILTER (i = 'A' AND j = 'A') / 252 AS aa, max(annual) FILTER (i = 'A' AND j = 'N') / 252 AS an, max(annual) FILTER (i = 'A' AND j = 'R') / 252 AS ar, max(annual) FILTER (i = 'N' AND j = 'N') / 252 AS nn, max(annual) FILTER (i = 'N' AND j = 'R') / 252 AS nr, max(annual) FILTER (i = 'R' AND j = 'R') / 252 AS rr FROM lw),
+ f1 AS (SELECT *, sqrt(aa) AS l11, an / sqrt(aa) AS l21, ar / sqrt(aa) AS l31 FROM v), f2 AS (SELECT *, sqrt(nn - l21 * l21) AS l22, (nr - l31 * l21) / sqrt(nn - l21 * l21) AS l32 FROM f1), ch AS (SELECT *, sqrt(rr - l31 * l31 - l32 * l32) AS l33 FROM f2)"""
+
+
+@query("mth_06_cholesky", f"""WITH {_FACTOR}, x AS (SELECT unnest([{{'i': 'A', 'j': 'A', 'v': l11}}, {{'i': 'N', 'j': 'A', 'v': l21}}, {{'i': 'N', 'j': 'N', 'v': l22}}, {{'i': 'R', 'j': 'A', 'v': l31}}, {{'i': 'R', 'j': 'N', 'v': l32}}, {{'i': 'R', 'j': 'R', 'v': l33}}]) AS x FROM ch) SELECT x.i AS i, x.j AS j, {r('x.v', 'l', 9)} FROM x""")
+def mth_06(spark, sf):
+    """The lower factor of the shrunk daily covariance."""
+    names, cov = portfolio.matrix(portfolio.shrunk_covariance(_returns(spark, sf)))
+    low = risk.cholesky(cov / portfolio.YEAR)
+    return rounded(spark.createDataFrame([(names[i], names[j], float(low[i, j])) for i in range(len(names)) for j in range(i + 1)], "i string, j string, l double"), 9)
+
+
+@query("krn_33_gaussian", f"""WITH {_FACTOR}, mu AS (SELECT sum(w * m) AS mean FROM (SELECT series_id, avg(r) AS m FROM ret GROUP BY 1) JOIN w USING (series_id)),
+ c AS (SELECT sqrt({DAYS}) * (0.5 * l11 + 0.3 * l21 + 0.2 * l31) AS p0, sqrt({DAYS}) * (0.3 * l22 + 0.2 * l32) AS p1, sqrt({DAYS}) * 0.2 * l33 AS p2, mean FROM ch, mu)
+ SELECT path, {r(f"1 - exp({DAYS} * mean + p0 * {_normal(chr(39) + '42' + chr(39), 'path', '0')} + p1 * {_normal(chr(39) + '42' + chr(39), 'path', '1')} + p2 * {_normal(chr(39) + '42' + chr(39), 'path', '2')})", 'loss')} FROM c, range(0, {PATHS}) g(path)""")
+def krn_33(spark, sf):
+    """Joint normal returns with the shrunk covariance, by its factor."""
+    ret = _returns(spark, sf)
+    names, cov = portfolio.matrix(portfolio.shrunk_covariance(ret))
+    mean = {x["series_id"]: x["m"] for x in ret.groupBy("series_id").agg(F.avg("r").alias("m")).collect()}  # one row an asset
+    return rounded(risk.gaussian_losses(spark, np.array([mean[n] for n in names]), cov / portfolio.YEAR, np.array([0.5, 0.3, 0.2]), PATHS, DAYS))
+
+
+_STRATEGY = """SELECT '{n}' AS strategy, {a}, {v}, {s} FROM (SELECT avg(r) * 252 AS annual_return, stddev_samp(r) * sqrt(252) AS volatility FROM (SELECT ts, sum({w} * r) AS r FROM ret JOIN w USING (series_id) GROUP BY 1))"""
+
+
+def _strategy_sql(name: str, w: str) -> str:
+    return _STRATEGY.format(n=name, w=w, a=r("annual_return", "annual_return"), v=r("volatility", "volatility"), s=r("(annual_return - 0.04) / volatility", "sharpe"))
+
+
+@query("krn_30_given_weights", f"WITH {C3}, {_W} {_strategy_sql('equal', '1 / 3.0::DOUBLE')} UNION ALL {_strategy_sql('current', 'w')}")
+def krn_30_given(spark, sf):
+    """The two of the four strategies that solve nothing."""
+    return rounded(portfolio.strategies(_returns(spark, sf), {"equal": {n: 1 / 3 for n in "ANR"}, "current": {"A": 0.5, "N": 0.3, "R": 0.2}}))
+
+
+@query("krn_30_strategies")
+def krn_30(spark, sf):
+    """All four strategies: largest Sharpe ratio, equal risk, equal weights, current weights."""
+    ret = _returns(spark, sf)
+    names, cov = portfolio.matrix(portfolio.shrunk_covariance(ret))
+    mu = {x["series_id"]: x["shrunk"] for x in portfolio.expected_returns(ret).collect()}  # one row an asset
+    sharpe = portfolio.max_sharpe(np.array([mu[n] for n in names]), cov, 0.6)
+    w = {"max_sharpe": dict(zip(names, sharpe.tolist(), strict=True)), "risk_parity": dict(zip(names, portfolio.risk_parity(cov).tolist(), strict=True)), "equal": {n: 1 / 3 for n in names}, "current": {"A": 0.5, "N": 0.3, "R": 0.2}}
+    return portfolio.strategies(ret, w)
+
+
+_TWO = f"""{_COV}, v AS (SELECT max(s) FILTER (i = 'A' AND j = 'A') * 252 AS aa, max(s) FILTER (i = 'A' AND j = 'N') * 252 AS an, max(s) FILTER (i = 'N' AND j = 'N') * 252 AS nn FROM s)"""
+
+
+@query("krn_26_two_assets", f"WITH {_TWO}, x AS (SELECT nn * (0.15 - 0.04) - an * (0.10 - 0.04) AS a, aa * (0.10 - 0.04) - an * (0.15 - 0.04) AS n FROM v) SELECT {r('a / (a + n)', 'a', 5)}, {r('n / (a + n)', 'n', 5)} FROM x")
+def krn_26_two(spark, sf):
+    """The tangency portfolio of two assets, which has a closed form."""
+    names, cov = portfolio.matrix(_annual(spark, sf, "A", "N"))
+    w = portfolio.max_sharpe(np.array([0.15, 0.10]), cov, 1.0)
+    return rounded(spark.createDataFrame([(float(w[0]), float(w[1]))], "a double, n double"), 5)
+
+
+@query("krn_27_two_assets", f"WITH {_TWO} SELECT {r('(1 / sqrt(aa)) / (1 / sqrt(aa) + 1 / sqrt(nn))', 'a')}, {r('(1 / sqrt(nn)) / (1 / sqrt(aa) + 1 / sqrt(nn))', 'n')} FROM v")
+def krn_27_two(spark, sf):
+    """Equal risk of two assets: weights by inverse volatility, whatever their correlation."""
+    _, cov = portfolio.matrix(_annual(spark, sf, "A", "N"))
+    w = portfolio.risk_parity(cov)
+    return rounded(spark.createDataFrame([(float(w[0]), float(w[1]))], "a double, n double"))
+
+
+def _annual(spark, sf, *names):
+    return portfolio.covariance(_returns(spark, sf).where(F.col("series_id").isin(*names))).withColumn("annual", F.col("s") * portfolio.YEAR)
+
+
+@query("krn_29_forecast_returns", f"""WITH RECURSIVE {D3}, x AS (SELECT series_id, ln(value) AS y, value, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS INT) AS place FROM d3),
+ fl AS (SELECT x.series_id, 0 AS place, x.y AS l, x1.y - x.y AS tr, 0::DOUBLE AS sse FROM x JOIN x x1 ON x1.series_id = x.series_id AND x1.place = 1 WHERE x.place = 0 UNION ALL
+  SELECT x.series_id, x.place, l + 0.95 * tr + 0.3 * (y - l - 0.95 * tr), 0.95 * tr + 0.03 * (y - l - 0.95 * tr), sse + pow(y - l - 0.95 * tr, 2) FROM fl JOIN x ON x.series_id = fl.series_id AND x.place = fl.place + 1),
+ e AS (SELECT series_id, arg_max(l, place) AS l, arg_max(tr, place) AS tr, max(sse) / max(place) AS s2 FROM fl GROUP BY 1), p AS (SELECT series_id, arg_max(value, place) AS last FROM x GROUP BY 1),
+ f AS (SELECT series_id, l + tr * 0.95 * (1 - pow(0.95, 30)) / 0.05 + s2 * (1 + (SELECT sum(pow(0.3 + 0.03 * 0.95 * (1 - pow(0.95, j)) / 0.05, 2)) FROM range(1, 30) q(j))) / 2 AS mu FROM e)
+ SELECT series_id, {r('(mu - ln(last)) * 252 / 30', 'mu', 5)}, abs((mu - ln(last)) * 252 / 30) > 1 AS warning FROM f JOIN p USING (series_id)""")
+def krn_29(spark, sf):
+    """Expected returns that forecasts imply: log(F / P) * 252 / h, with a warning where that is over 100 percent."""
+    prices = series.daily_flags(spark, sf)
+    f = holt.forecast(holt.with_parameters(holt.training_arrays(prices)), 30).where("h = 30")
+    last = prices.groupBy("series_id").agg(F.max_by("value", "ts").alias("last"))
+    mu = F.ln(F.col("value") / F.col("last")) * portfolio.YEAR / 30
+    return rounded(f.join(last, "series_id").select("series_id", F.round(mu, 5).alias("mu"), (F.abs(mu) > 1).alias("warning")))
+
+
+@query("agg_13_p_values", f"""WITH {_PAIR}, p AS (SELECT i, j, corr(x, y) AS c, count(*) AS n FROM pr GROUP BY ALL), t AS (SELECT i, j, n, c, CASE WHEN abs(c) >= 1 THEN NULL ELSE abs(c) * sqrt((n - 2) / (1 - c * c)) END AS t FROM p)
+ SELECT i, j, n, {r('CASE WHEN i = j THEN 1 ELSE c END', 'pearson')}, CASE WHEN i = j THEN 0 ELSE p_of(t, n - 2) END AS p FROM t""".replace("CASE WHEN i = j THEN 0 ELSE p_of(t, n - 2) END AS p", r(
+    "CASE WHEN i = j THEN 0 ELSE 2 * (SELECT sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t + k * 0.005::DOUBLE, 2) / (n - 2), -(n - 1) / 2.0::DOUBLE)) * 0.005 / 3 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) FROM range(0, 4001) g(k)) END", "p", 5)))
+def agg_13_p(spark, sf):
+    """Two-sided p-values of the correlations; the SQL integrates the density of Student's t."""
+    return rounded(portfolio.p_values(portfolio.correlations(_returns(spark, sf))).select("i", "j", "n", "pearson", F.round("pearson_p", 5).alias("p")))
+
+
 @query("krn_32_student")
 def krn_32(spark, sf):
     """Measures of Student-t losses; the degrees of freedom by maximum likelihood."""
@@ -152,10 +279,54 @@ def _book(spark, sf):
     return rebalance.book(prices, ["A", "N", "R"])
 
 
-@query("krn_35_rebalance")
+def _book_sql(targets: str) -> str:
+    """The book as a recursive query; targets: a CTE tg(t, w) of the weights from day t on."""
+    def each(expression: str) -> str:
+        return f"list_transform([1, 2, 3], lambda i: {expression})"
+
+    gv, nv = "list_dot_product(k.g, d.p)", "list_dot_product(k.n, d.p)"
+    paid = f"(list_sum({each(f'abs(d.w[i] * {nv} / d.p[i] - k.n[i]) * d.p[i]')}) * 0.001 + 0.2 * list_sum({each(f'greatest(k.n[i] - d.w[i] * {nv} / d.p[i], 0) * greatest(d.p[i] - k.b[i], 0)')}))"
+    trade = "d.t % 21 = 0"
+    return f"""WITH RECURSIVE {C3}, pw AS (SELECT ts, list(value ORDER BY series_id) AS p FROM c3 GROUP BY 1), pt AS (SELECT ts, p, CAST(row_number() OVER (ORDER BY ts) - 1 AS INT) AS t FROM pw), {targets},
+ dd AS (SELECT pt.*, coalesce(last_value(tg.w IGNORE NULLS) OVER (ORDER BY t), [1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE]) AS w FROM pt LEFT JOIN tg USING (ts)),
+ k AS (SELECT d.t, {each('d.w[i] / d.p[i]')} AS g, {each('d.w[i] / d.p[i]')} AS n, d.p AS b, {each('d.w[i] / d.p[i]')} AS hold FROM dd d WHERE t = 0 UNION ALL
+  SELECT d.t, CASE WHEN {trade} THEN {each(f'd.w[i] * {gv} / d.p[i]')} ELSE k.g END, CASE WHEN {trade} THEN {each(f'd.w[i] * {nv} / d.p[i] * ({nv} - {paid}) / {nv}')} ELSE k.n END,
+  CASE WHEN {trade} THEN {each(f'CASE WHEN d.w[i] * {nv} / d.p[i] > k.n[i] THEN d.p[i] ELSE k.b[i] END')} ELSE k.b END, k.hold FROM k JOIN dd d ON d.t = k.t + 1)
+ SELECT ts, {r('list_dot_product(g, p)', 'gross')}, {r('list_dot_product(n, p)', 'net')}, {r('list_dot_product(hold, p)', 'hold')} FROM k JOIN dd USING (t)"""
+
+
+@query("krn_35_rebalance", _book_sql("tg AS (SELECT ts, NULL::DOUBLE[] AS w FROM pt WHERE FALSE)"))
 def krn_35(spark, sf):
     """The book day by day: with costs and tax, without, and never traded."""
-    return _book(spark, sf)
+    return rounded(_book(spark, sf).drop("portfolio"))
+
+
+_LOOKBACK = """lb AS (SELECT ts, series_id, row_number() OVER w AS place, stddev_samp(r) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS sd FROM ret WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+ lw AS (SELECT ts, series_id, 1 / sd / sum(1 / sd) OVER (PARTITION BY ts) AS w FROM lb WHERE place % 21 = 0 AND place >= 60 AND sd > 0)"""
+
+
+@query("win_07_lookback_weights", f"WITH {C3}, {_LOOKBACK} SELECT ts, series_id, {r('w', 'w')} FROM lw")
+def win_07(spark, sf):
+    """Weights at each rebalance from the returns of the last 252 days up to it."""
+    return rounded(rebalance.lookback_weights(_returns(spark, sf)))
+
+
+@query("krn_35_walk_forward", _book_sql(_LOOKBACK + ", tg AS (SELECT ts, list(w ORDER BY series_id) AS w FROM lw GROUP BY 1)"))
+def krn_35_walk(spark, sf):
+    """The book whose weights are set anew at each rebalance."""
+    names = ["A", "N", "R"]
+    w = rebalance.lookback_weights(_returns(spark, sf)).groupBy("ts").agg(F.array(*[F.max(F.when(F.col("series_id") == n, F.col("w"))) for n in names]).alias("target"))
+    prices = align.wide(series.daily_flags(spark, sf), names).join(w, "ts", "left").withColumn("portfolio", F.lit("moving"))
+    return rounded(rebalance.book(prices, names).drop("portfolio"))
+
+
+@query("krn_35_reoptimized")
+def krn_35_optimized(spark, sf):
+    """Equal risk contributions and the largest Sharpe ratio, solved again at every fourth rebalance from the returns before it."""
+    names, ret = ["A", "N", "R"], _returns(spark, sf)
+    parity = rebalance.optimized_weights(ret, names, lambda x: portfolio.risk_parity(np.cov(x.T)), every=84).withColumn("strategy", F.lit("parity"))
+    sharpe = rebalance.optimized_weights(ret, names, lambda x: portfolio.max_sharpe(x.mean(0) * portfolio.YEAR, np.cov(x.T) * portfolio.YEAR, 0.6, starts=2), every=84).withColumn("strategy", F.lit("sharpe"))
+    return parity.unionByName(sharpe)
 
 
 @query("krn_35_buy_and_hold", f"WITH {C3} SELECT ts, {r('avg(value / p0)', 'hold')} FROM c3 JOIN (SELECT series_id, arg_min(value, ts) AS p0 FROM c3 GROUP BY 1) USING (series_id) GROUP BY 1")

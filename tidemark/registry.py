@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import decision_queries, forecast_queries, portfolio_queries, series_queries
+from .plans import decision_queries, forecast_queries, portfolio_queries, report_queries, series_queries
 
-_PARTS = (forecast_queries, decision_queries, series_queries, portfolio_queries)
+_PARTS = (forecast_queries, decision_queries, series_queries, portfolio_queries, report_queries)
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}
 
