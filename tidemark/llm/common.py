@@ -5,19 +5,25 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A-Z to a-z on UTF-8 bytes; other letters stay.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     set_by_cluster = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not set_by_cluster:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(set_by_cluster)
@@ -61,6 +67,29 @@ def set_aside(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
     return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
 
 
+def append(df: DataFrame, columns: list[str], added: str, make: Callable, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """df, less the columns `dropped`, with those of the schema `added`, made in Python a batch at a time.
+
+    make(), called once for each task, gives the function that takes a batch's lists of
+    `columns` and returns a list or array for each new column. The other columns go through
+    as Arrow and are never touched: an integer next to a null keeps all its digits.
+    """
+    new = T.StructType.fromDDL(added)
+    arrow = [to_arrow_type(f.dataType) for f in new]
+    kept = [i for i, c in enumerate(df.columns) if c not in dropped]
+    places = [df.columns.index(c) for c in columns]
+    schema = T.StructType([*[df.schema[i] for i in kept], *new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            made = of(*[batch.column(i).to_pylist() for i in places])
+            arrays = [batch.column(i) for i in kept] + [pa.array(x, t, from_pandas=False) for x, t in zip(made, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Connected components of edges(a, b): rows (node, root), root the smallest node of the component.
 
