@@ -12,14 +12,15 @@ above it.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored
+from .common import LOWER, append, stored
 
 _CLASSES = 14
 #: Class of each byte: lower, upper, digit, blank, line end, sentence punctuation, brackets, quotes, bars, signs, marks, ...
@@ -137,31 +138,38 @@ def quality(docs: DataFrame, labels: DataFrame, most_positive: int = 8_000, most
 
     labels(doc_id, quality): rows of quality 1 are the trusted positives; documents
     without a label are the unlabelled text. Training takes the most_positive and
-    most_unlabelled rows with the smallest hash of doc_id, a bounded sample; scoring takes
-    every row. Null texts score as empty ones, repeated rows each get their score, labels
-    that are null or repeated are dropped or merged (the larger counts); without any
-    positive or unlabelled row every score is 0.5. Other columns are dropped.
+    most_unlabelled rows with the smallest hashes of doc_id, a bounded sample, in one task;
+    only the weights come to the driver. Scoring takes every row. Null texts score as
+    empty ones, repeated rows each get their score (of rows that share a doc_id, training
+    takes the one whose features hash least), labels that are null or repeated are dropped
+    or merged (the larger counts); without any positive or unlabelled row every score is
+    0.5. Other columns are dropped.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [features(t) for t in pdf["text"]]})
-
-    x = stored(docs.select("doc_id", "text").mapInPandas(run, "doc_id long, x array<float>"), "quality-features")
+    x = append(docs.select("doc_id", "text"), ["text"], "x binary", lambda: lambda texts: [[features(t).tobytes() for t in texts]], ("text",))
+    x = stored(x, "quality-features")
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("mark"))
-    marked = x.where("doc_id is not null").join(marks, "doc_id", "left")
+    # ids and hashes are shuffled to pick the sample, the features are not
+    ids = x.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("x")).alias("print")).join(marks, "doc_id", "left")
     order = [F.xxhash64("doc_id"), "doc_id"]
-    positive = [r["x"] for r in marked.where("mark = 1").orderBy(*order).limit(most_positive).select("x").collect()]
-    unlabelled = [r["x"] for r in marked.where("mark is null").orderBy(*order).limit(most_unlabelled).select("x").collect()]
-    net = None
-    if positive and unlabelled:
-        p, u = np.array(positive, dtype=np.float64), np.array(unlabelled, dtype=np.float64)
-        net = fit(p, u, estimate_prior(p, u, seed), seed=seed)
+    asked = ids.where("mark = 1").orderBy(*order).limit(most_positive).unionByName(ids.where("mark is null").orderBy(*order).limit(most_unlabelled))
+    asked = F.broadcast(stored(asked, "quality-sample"))  # at most most_positive + most_unlabelled ids
+    picked = x.withColumn("print", F.xxhash64("x")).join(asked, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select("doc_id", "mark", "x")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["mark"] == 1, r["x"]) for b in batches for r in b.to_pylist())
+        p, u = (np.frombuffer(b"".join(r[2] for r in rows if r[1] == m), dtype=np.float32).reshape(-1, N_FEATURES) for m in (True, False))
+        net = fit(p, u, estimate_prior(p, u, seed), seed=seed) if len(p) and len(u) else None
+        yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(net)]})
+
+    made = picked.repartition(1).mapInArrow(train, "net binary").first()  # None where no row was picked
+    net = pickle.loads(made["net"]) if made else None
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = sent.value
-        for pdf in batches:
-            rows = np.array(list(pdf["x"]), dtype=np.float64).reshape(len(pdf), N_FEATURES)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": model.score(rows) if model and len(rows) else np.full(len(pdf), 0.5)})
+    def scorer():
+        def score(rows: list[bytes]) -> list[np.ndarray]:
+            own = np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, N_FEATURES)
+            return [sent.value.score(own) if sent.value and len(own) else np.full(len(rows), 0.5)]
+
+        return score
 
-    return x.mapInPandas(score, "doc_id long, score double")
+    return append(x, ["x"], "score double", scorer, ("x",))
