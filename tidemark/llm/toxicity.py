@@ -11,14 +11,15 @@ the label.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import append, stored
 from .decontaminate import words
 
 WINDOW, STRIDE = 24, 12
@@ -303,15 +304,31 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 12, rate: float = 4e-
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 1_500, seed: int = 11) -> Network:
-    """The network for docs(doc_id, text) and labels(doc_id, toxic): up to `most` toxic and 3 * most other labelled texts,
-    those with the smallest hash of doc_id, a bounded sample. Null and repeated labels are dropped and merged (the larger counts)."""
+def train(docs: DataFrame, labels: DataFrame, most: int = 1_500, longest: int = 40_000, seed: int = 11) -> Network:
+    """The network for docs(doc_id, text) and labels(doc_id, toxic).
+
+    It is fitted in one task to a bounded sample: up to `most` toxic and 3 * most other
+    labelled texts of at most `longest` characters, those with the smallest hashes of
+    doc_id and text; only its weights come to the driver. Null labels are dropped,
+    repeated ones merged (the larger counts); of texts that share a doc_id the one with
+    the smallest hash is taken.
+    """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("mark"))
     order = [F.xxhash64("doc_id"), "doc_id"]
-    asked = marks.where("mark = 1").orderBy(*order).limit(most).unionByName(marks.where("mark = 0").orderBy(*order).limit(3 * most))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(stored(asked, "toxic-sample")), "doc_id")  # at most 4 * most ids
-    picked = rows.dropDuplicates(["doc_id"]).orderBy(*order).select("text", "mark").collect()
-    return fit([r["text"] for r in picked], np.array([r["mark"] for r in picked]), seed=seed)
+    texts = docs.where(F.length("text") <= longest).select("doc_id", F.xxhash64("text").alias("print"))
+    first = texts.join(marks, "doc_id").groupBy("doc_id", "mark").agg(F.min("print").alias("print"))
+    asked = first.where("mark = 1").orderBy(*order).limit(most).unionByName(first.where("mark = 0").orderBy(*order).limit(3 * most))
+    asked = F.broadcast(stored(asked, "toxic-sample"))  # at most 4 * most ids
+    picked = docs.select("doc_id", "text", F.xxhash64("text").alias("print")).where(F.length("text") <= longest).join(asked, ["doc_id", "print"])
+    picked = picked.dropDuplicates(["doc_id", "print"]).select("doc_id", "print", "text", "mark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["print"], r["doc_id"], r["text"], r["mark"]) for b in batches for r in b.to_pylist())
+        net = fit([r[2] for r in rows], np.array([r[3] for r in rows]), seed=seed)
+        yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(net)]})
+
+    made = picked.repartition(1).mapInArrow(run, "net binary").first()  # None where no row was picked
+    return pickle.loads(made["net"]) if made else fit([], np.array([]), seed=seed)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = 1_500, seed: int = 11) -> DataFrame:
@@ -322,12 +339,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 1_500, seed: int =
     labels every score is 0.5.
     """
     docs = docs.drop("toxic_score")
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most, seed))
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), labels, most, seed=seed))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scorer():
         reader = Reader(sent.value)
-        for pdf in batches:
-            yield pdf.assign(toxic_score=score_texts(reader, list(pdf["text"])))
+        return lambda texts: [score_texts(reader, texts)]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(score, f"{schema}, toxic_score double")
+    return append(docs, ["text"], "toxic_score double", scorer)
