@@ -27,9 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import LOWER, components, few, stored
+from .common import LOWER, append, components, few, stored
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -212,8 +211,8 @@ def join(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, **param
     dropped; no rows give no rows.
     """
     of = _components(docs.select("doc_id", "text"), num, den, width, **parameters)[1]
-    least = of.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return of.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    least = of.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    return of.join(_small(stored(least, "jaccard-least")), "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, **parameters) -> DataFrame:
@@ -223,8 +222,8 @@ def one_of_each(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5,
     """
     rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")
     texts, of = _components(docs.select("doc_id", "text", rest), num, den, width, **parameters)
-    kept = of.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
-    others = of.join(kept, "root").where("row <> first.row").select("row")
+    kept = of.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"), F.count("*").alias("rows"))
+    others = of.join(_small(stored(kept.where("rows > 1"), "jaccard-kept")), "root").where("row <> first.row").select("row")
     return texts.join(_small(stored(others, "jaccard-others")), "row", "left_anti").select(*["text" if c == "text" else f"rest.`{c}`" for c in docs.columns])
 
 
@@ -232,17 +231,12 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block: int = 1_
     """The stored rows of docs, numbered, and for each (doc_id, row, n_shingles, root): root names its component, null for empty sets."""
     spark = docs.sparkSession
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for x in shingle_sets(pdf["text"], width):
-                out.append((len(x), _identity(x), _min_columns(x, seeds)) if len(x) else (0, None, None))
-            n, node, keys = zip(*out, strict=True) if out else ((), (), ())
-            yield pdf.assign(n=np.array(n, dtype="int64"), node=pd.array(node, dtype="Int64"), keys=pd.Series(keys, dtype=object, index=pdf.index))
+    def sets(texts: list[str | None]) -> tuple:
+        out = [(len(x), _identity(x), _min_columns(x, seeds)) if len(x) else (0, None, None) for x in shingle_sets(texts, width)]
+        return tuple(zip(*out, strict=True)) or ((), (), ())
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    schema = T.StructType([*numbered.schema.fields, T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    texts = stored(numbered.mapInPandas(rows, schema), "jaccard-rows")
+    texts = stored(append(numbered, ["text"], "n long, node long, keys array<long>", lambda: sets), "jaccard-rows")
     info = texts.select("doc_id", "row", "n", "node", "keys")
     nodes = info.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.first("keys").alias("keys"))
     nodes = stored(nodes, "jaccard-nodes")  # one row of the matrix for each different set
