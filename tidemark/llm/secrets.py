@@ -109,48 +109,82 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """doc_id and the kinds whose Boolean query its postings satisfy."""
+    """doc_id and the kinds whose Boolean query its postings satisfy; postings meet as bits, 62 trigrams to a word."""
     trigrams = sorted({t for sets in queries.values() for s in sets for t in s})
-    bit = {t: 1 << i for i, t in enumerate(trigrams)}
-    if len(trigrams) > 62:
-        raise ValueError("one pass of the index intersects up to 62 trigrams")
-    value = F.element_at(F.create_map(*[F.lit(x) for t in trigrams for x in (t, bit[t])]), F.col("trigram"))
-    masks = index.where(F.col("trigram").isin(trigrams)).groupBy("doc_id").agg(F.bit_or(value).alias("held"))
+    held, of = {}, {}
+    for w in range(0, len(trigrams), 62):
+        bits = {t: 1 << i for i, t in enumerate(trigrams[w:w + 62])}
+        value = F.element_at(F.create_map(*[F.lit(x) for t, b in bits.items() for x in (t, b)]), F.col("trigram"))
+        held[w] = F.bit_or(F.coalesce(value, F.lit(0).cast("long"))).alias(f"held_{w}")
+        of |= {t: (w, b) for t, b in bits.items()}
+    masks = index.where(F.col("trigram").isin(trigrams)).groupBy("doc_id").agg(*held.values())
     kinds = []
     for kind, sets in queries.items():
         any_of = F.lit(False)
         for s in sets:
-            m = sum(bit[t] for t in s)
-            any_of = any_of | (F.col("held").bitwiseAND(F.lit(m)) == m)
+            all_of = F.lit(True)
+            for w in held:
+                m = sum(b for v, b in (of[t] for t in s) if v == w)
+                all_of = all_of & (F.col(f"held_{w}").bitwiseAND(F.lit(m).cast("long")) == m) if m else all_of
+            any_of = any_of | all_of
         kinds.append(F.when(any_of, F.lit(kind)))
     found = masks.select("doc_id", F.array_compact(F.array(*kinds)).alias("kinds"))
     return found.where(F.size("kinds") > 0)
 
 
-def _places(text: Column, rule: Rule) -> Column:
-    """Spans (start, end) in code points of the rule's matches that are long enough."""
-    between = F.transform(F.split(text, rule.pattern, -1), F.length)
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _before(values: Column, zero: int, combine) -> Column:
+    """For each of an array of numbers: zero combined with all numbers before it; and once more with all of them.
+
+    In runs of about the square root of the array's length, so that no fold copies or
+    rereads the whole array for each of its items.
+    """
+    def fold(items):
+        return F.aggregate(items, F.lit(zero), combine)
+
+    def of(v):
+        n = F.size(v)
+        run = F.ceil(F.sqrt(n + F.lit(1))).cast("int")
+
+        def with_totals(totals):
+            def one(k):
+                own = F.slice(v, k * run + 1, run)
+                return _let(F.struct(own.alias("own"), fold(F.slice(totals, F.lit(1), k)).alias("base")), lambda x: F.transform(
+                    F.sequence(F.lit(0), F.greatest(F.size(x["own"]) - 1, F.lit(0))), lambda j: combine(x["base"], fold(F.slice(x["own"], F.lit(1), j)))))
+
+            return F.concat(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / run).cast("int")), one)), F.array(fold(totals)))
+
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / run).cast("int")), lambda k: fold(F.slice(v, k * run + 1, run)))
+        return F.when(n == 0, F.array(F.lit(zero))).otherwise(_let(chunks, with_totals))
+
+    return _let(values, of)
+
+
+def _places(text: Column, rule: Rule, length) -> Column:
+    """Spans (start, end) of the rule's matches that are long enough; length measures text: in code points or in bytes."""
+    between = F.transform(F.split(text, rule.pattern, -1), length)
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), 0)
     tested = F.regexp_extract_all(text, F.lit(rule.pattern), rule.group) if rule.group else matches
-    rows = F.arrays_zip(between.alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(tested, F.length).alias("tested"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    rows = F.arrays_zip(between.alias("gap"), F.transform(matches, length).alias("size"), F.transform(tested, F.length).alias("tested"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct(
-            F.coalesce(end, acc["at"]).alias("at"),
-            F.when(x["tested"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
+    def spans(x):
+        ends = _before(F.transform(x, lambda r: r["gap"] + F.coalesce(r["size"], F.lit(0))), 0, lambda a, b: a + b)
+        placed = F.zip_with(x, F.slice(ends, F.lit(2), F.size(x)), lambda r, end: F.struct(
+            (end - r["size"]).alias("start"), end.alias("end"), r["tested"].alias("tested")))
+        kept = F.filter(placed, lambda r: r["tested"] >= rule.least)
+        return F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["spans"])
+    return _let(rows, spans)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, length=F.length) -> DataFrame:
     """docs with `spans`: array of (start, kind, end), by start and then in the order of the rules.
 
-    Per rule the leftmost matches that do not overlap; those that are too short go. A null
+    Places are in code points, with length=F.octet_length in bytes. Per rule the leftmost matches that do not overlap; those that are too short go. A null
     text has no spans. Repeated rows are scanned each; other columns stay, one called
     spans is replaced; no rows give no rows.
     """
@@ -170,7 +204,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         asked = F.array_contains("_kinds", r.kind) if r.kind in queries else F.lit(True)
         # A match that is long enough starts with a run this test finds; it spares most texts the split.
         tested = F.col("text").rlike(_quick(r))
-        at = F.when(F.coalesce(asked, F.lit(False)) & tested, _places(F.col("text"), r)).otherwise(none)
+        at = F.when(F.coalesce(asked, F.lit(False)) & tested, _places(F.col("text"), r, length)).otherwise(none)
         ordered.append(_ranked(at, i))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     spans = F.transform(F.array_sort(F.concat(*ordered)), lambda s: F.struct(
@@ -202,13 +236,14 @@ def listed(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """docs with each stretch of text that spans cover, alone or overlapping, replaced by mask; same columns, whatever they are called."""
     docs, back = set_aside(docs, "doc_id", "text")
-    found = scan(docs, rules)
+    found = scan(docs, rules, F.octet_length)
 
-    def step(acc, s):
-        piece = F.substr(F.col("text"), acc["end"] + 1, s["start"] - acc["end"])
-        return F.when(s["start"] >= acc["end"], F.struct(F.concat(acc["out"], F.array(piece, F.lit(mask))).alias("out"), s["end"].alias("end"))).otherwise(
-            F.struct(acc["out"].alias("out"), F.greatest(acc["end"], s["end"]).alias("end")))
+    def cover(x):
+        """x: the text's bytes, its spans, and for each span the furthest end before it (and at last the furthest of all)."""
+        parts = F.zip_with("spans", F.slice(x["reach"], F.lit(1), F.size("spans")), lambda s, reach: F.when(
+            s["start"] >= reach, F.concat(F.substring(x["raw"], reach + 1, s["start"] - reach).cast("string"), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), F.substring(x["raw"], F.element_at(x["reach"], -1) + 1, F.lit(2_147_483_647)).cast("string"))
 
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("end"))
-    text = F.aggregate("spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["end"] + 1)))
+    reach = _before(F.transform("spans", lambda s: s["end"]), 0, lambda a, b: F.greatest(a, b))
+    text = _let(F.struct(F.col("text").cast("binary").alias("raw"), reach.alias("reach")), cover)
     return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns).withColumnsRenamed(back)
