@@ -65,10 +65,12 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
         .groupBy("host", "path").agg(F.max("action").alias("action"))
         .select(F.concat(_reversed_host(F.split("host", r"\.")), F.lit("#"), "path").alias("key"), "host", "path", "action")
     )
+    # One row, of the rules: the most labels of a host, and the lengths of keys that occur.
+    sizes = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(1)).alias("labels"), F.collect_set(F.length("key")).alias("lengths"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: _reversed_host(F.slice(labels, -n, n)))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), "labels")), lambda n: _reversed_host(F.slice(labels, -n, n)))
     probes = (
-        pages.select("host", "path").distinct()
+        pages.select("host", "path").distinct().join(F.broadcast(sizes.select("labels")))
         .select("host", "path", F.explode(suffixes).alias("suffix"))
         .select(F.concat("suffix", F.lit("#"), "path").alias("key"), F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("action"))
     )
@@ -78,9 +80,9 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
         .withColumn("part", F.spark_partition_id())
         .checkpoint()  # the ranges are fixed from here on
     )
-    # One first key for each range, its prefixes against the rules: as many rows as ranges times the length of a key.
-    first = events.groupBy("part").agg(F.min("key").alias("first"))
-    prefixes = first.select("part", F.explode(F.expr("transform(sequence(1, length(first)), n -> substring(first, 1, n))")).alias("key"))
+    # One first key for each range, its prefixes against the rules: as many rows as ranges times the lengths that rules have.
+    first = events.groupBy("part").agg(F.min("key").alias("first")).join(F.broadcast(sizes.select("lengths")))
+    prefixes = first.select("part", F.explode(F.expr("transform(filter(lengths, n -> n <= length(first)), n -> substring(first, 1, n))")).alias("key"))
     carried: dict[int, list] = {}
     for r in prefixes.join(rules, "key").orderBy("part", F.length("key")).collect():
         carried.setdefault(r["part"], []).append((r["key"], r["host"], r["path"], r["action"]))
