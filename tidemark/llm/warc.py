@@ -108,11 +108,11 @@ def read_records(spark: SparkSession, path: str, summary: dict[str, Column] | No
     in_block = W.partitionBy("file", "span").orderBy("row")
     blocks = pieces.groupBy("file", "span").agg(F.sum(F.col("bytes") + size).alias("size"))
     starts = blocks.withColumn("base", F.sum("size").over(W.partitionBy("file").orderBy("span")) - F.col("size")).drop("size")
-    length = F.regexp_extract("head", r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,18})(?:\r\n|$)", 1)
+    starts = few(stored(starts, "warc-ranges"))  # one row for each byte range of the scan
     cands = (
-        pieces.select("file", "span", "row", "bytes", F.octet_length("head").alias("head_bytes"), F.nullif(length, F.lit("")).cast("long").alias("length"))
+        pieces.select("file", "span", "row", "bytes", F.octet_length("head").alias("head_bytes"), content_length("head").alias("length"))
         .withColumn("within", F.sum(F.col("bytes") + size).over(in_block) - F.col("bytes") - size)
-        .join(F.broadcast(starts), ["file", "span"])  # one row for each byte range of the scan
+        .join(starts, ["file", "span"])
         .withColumn("at", F.col("base") + F.col("within") - size)
         .withColumn("next", F.coalesce(F.col("at") + size + F.col("head_bytes") + 4 + F.col("length") + 4, F.lit(-1)))
         .where("at >= 0").select("file", "span", "row", "at", "next")
@@ -153,13 +153,16 @@ def read_records(spark: SparkSession, path: str, summary: dict[str, Column] | No
     return done.unionByName(again)
 
 
+def content_length(header) -> Column:
+    """The Content-Length of a header, up to 18 digits; null where it has none."""
+    return F.nullif(F.regexp_extract(header, r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,18})[ \t]*(?:\r\n|$)", 1), F.lit("")).cast("long")
+
+
 def _parsed() -> list:
-    """header and block of a record's text."""
-    return [
-        F.substring_index("value", "\r\n\r\n", 1).alias("header"),
-        F.expr(r"""substring(cast(value as binary), octet_length(substring_index(value, '\r\n\r\n', 1)) + 5,
-            int(nullif(regexp_extract(substring_index(value, '\r\n\r\n', 1), '(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,9})', 1), '')))""").alias("block"),
-    ]
+    """header and block of a record's text. A string of Spark ends before 2^31 bytes, and so does a block."""
+    header = F.substring_index("value", "\r\n\r\n", 1)
+    length = F.least(content_length(header), F.lit(2_147_483_647)).cast("int")
+    return [header.alias("header"), F.substring(F.col("value").cast("binary"), F.octet_length(header) + 5, length).alias("block")]
 
 
 def read_pages(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
