@@ -11,15 +11,13 @@ What is left over is packed greedily in one running order and cut at window ends
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import buckets, stored
+from .common import append, buckets, stored
 from .tokens import word_ids
 
 
@@ -74,15 +72,18 @@ def repeat_counts(histogram: np.ndarray, combos: list, rounds: int = 400) -> np.
 def tokenized(docs: DataFrame, path: str, end: int, window: int) -> DataFrame:
     """doc_id, print, n (ids with the end id) and the CRC-32 of each full window and of the rest."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoder():
         memo, last = word_ids(path), np.array([end], dtype="<u4").tobytes()
-        for pdf in batches:
-            ids = (memo.encode(t) + last for t in pdf["text"])
+
+        def encode(texts: list[str]) -> tuple[list, list]:
+            ids = (memo.encode(t) + last for t in texts)
             out = [(len(x) // 4, [zlib.crc32(x[i:i + 4 * window]) for i in range(0, len(x), 4 * window)]) for x in ids]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "print": pdf["print"], "n": [n for n, _ in out], "crcs": [c for _, c in out]})
+            return [n for n, _ in out], [c for _, c in out]
+
+        return encode
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
-    return rows.mapInPandas(run, "doc_id long, print long, n long, crcs array<long>")
+    return append(rows, ["text"], "n long, crcs array<long>", encoder, ("text",))
 
 
 def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2) -> DataFrame:
@@ -129,6 +130,8 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2) -> DataFr
         "rest", "bucket",
         (F.sum("n").over(W.partitionBy("rest").orderBy("bucket")) - F.col("n")).alias("rank_base"),
     )
+    if counts.count() <= 200_000:
+        firsts = F.broadcast(firsts)  # beyond that Spark shuffles by both keys, which hold no more rows than a bucket
     full_bases = (
         counts.groupBy("bucket").agg(F.sum("full").alias("full"))
         .select("bucket", (F.sum("full").over(W.orderBy("bucket")) - F.col("full")).alias("full_base"))
@@ -139,7 +142,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2) -> DataFr
     ranked = (
         toks.withColumn("rank", F.row_number().over(in_length) - 1)
         .withColumn("full_at", F.coalesce(F.sum("full").over(in_bucket), F.lit(0)))
-        .join(F.broadcast(firsts), ["rest", "bucket"])  # at most window times buckets rows
+        .join(firsts, ["rest", "bucket"])
         .join(F.broadcast(full_bases), "bucket")
         .join(F.broadcast(planned), "rest", "left")
         .withColumns({
@@ -195,15 +198,20 @@ def _cut_pieces(docs: DataFrame, cut: DataFrame, path: str, end: int) -> DataFra
         .dropDuplicates(["doc_id", "print"])
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoder():
         memo, last = word_ids(path), np.array([end], dtype="<u4").tobytes()
-        for pdf in batches:
+
+        def encode(texts: list[str], pieces: list[list[dict]]) -> list:
             out = []
-            for doc_id, text, print_, spans in zip(pdf["doc_id"], pdf["text"], pdf["print"], pdf["pieces"], strict=True):
+            for text, spans in zip(texts, pieces, strict=True):
                 ids = memo.encode(text) + last
-                out += [(doc_id, print_, x["start"], x["length"], zlib.crc32(ids[4 * x["start"]:4 * (x["start"] + x["length"])])) for x in spans]
-            yield pd.DataFrame(out, columns=["doc_id", "print", "start", "length", "ids_crc32"])
+                out.append([zlib.crc32(ids[4 * x["start"]:4 * (x["start"] + x["length"])]) for x in spans])
+            return [out]
+
+        return encode
 
-    sums = texts.select("doc_id", "text", "print", "pieces").mapInPandas(run, "doc_id long, print long, start long, length long, ids_crc32 long")
+    sums = append(texts.select("doc_id", "print", "text", "pieces"), ["text", "pieces"], "sums array<long>", encoder, ("text",))
+    sums = sums.select("doc_id", "print", F.explode(F.arrays_zip("pieces", "sums")).alias("x"))
+    sums = sums.select("doc_id", "print", F.col("x.pieces.start").alias("start"), F.col("x.pieces.length").alias("length"), F.col("x.sums").alias("ids_crc32"))
     sums = sums.withColumnsRenamed({"doc_id": "d", "print": "p", "start": "s", "length": "l"})
     return cut.join(sums, F.expr("d <=> doc_id and p = print and s = start and l = length"), "left")
