@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, few, stored
+from .common import append, components, few, stored
 
 
 def learn(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +53,7 @@ def shape(n: int, tables: int) -> tuple[int, int]:
     At a cosine of 0.95 in 64 dimensions a pair agrees in a substring of 8 bits with 0.47, in one of 16 with 0.21;
     the number of tables for the same recall grows by 1.13 a bit.
     """
-    width = min(16, max(8, round(math.log2(n + 1)) - 5))
+    width = max(8, round(math.log2(n + 1)) - 5)
     return width, math.ceil(tables * 1.13 ** (width - 8))
 
 
@@ -61,7 +61,7 @@ def _unit(v) -> np.ndarray | None:
     """The vector in double precision at length 1; None if null, empty, zero or not finite."""
     if v is None or len(v) == 0:
         return None
-    x = np.array([np.nan if c is None else c for c in v] if not isinstance(v, np.ndarray) or v.dtype == object else v, dtype=np.float64)
+    x = np.array([np.nan if c is None else c for c in v], dtype=np.float64)
     if not np.isfinite(x).all():
         return None
     most = np.abs(x).max()
@@ -126,16 +126,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
     """
     spark = vectors.sparkSession
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            units = [_unit(v) for v in pdf["embedding"]]
-            yield pd.DataFrame({
-                "vec_id": pdf["vec_id"], "d": pd.array([None if u is None else len(u) for u in units], dtype="Int64"),
-                "node": pd.array([None if u is None else xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63) for u in units], dtype="Int64"),
-                "x": [None if u is None else u.tobytes() for u in units],
-            })
-
-    rows = stored(vectors.select("vec_id", "embedding").mapInPandas(read, "vec_id long, d long, node long, x binary"), "vectors")
+    def read(embeddings: list) -> tuple[list, list, list]:
+        units = [_unit(v) for v in embeddings]
+        return (
+            [None if u is None else len(u) for u in units],
+            [None if u is None else xxhash.xxh3_64_intdigest(u.tobytes()) - (1 << 63) for u in units],
+            [None if u is None else u.tobytes() for u in units],
+        )
+
+    rows = stored(append(vectors.select("vec_id", "embedding"), ["embedding"], "d long, node long, x binary", lambda: read, ("embedding",)), "vectors")
     different = stored(rows.where("node is not null").groupBy("d", "node").agg(F.count("*").alias("copies"), F.first("x").alias("x")), "vectors-different")
     models = {}
     for length in different.groupBy("d").count().where(F.col("count") > block).collect():  # of fewer, all meet
@@ -180,7 +179,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 1
         .select("vec_id", F.coalesce("root", "node").alias("root"), (F.coalesce("degree", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
     )
     own = stored(own, "vectors-roots")
-    least = own.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
-    return own.join(least, "root", "left").select(
+    least = own.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    return own.join(few(stored(least, "vectors-least"), 500_000), "root", "left").select(
         "vec_id", "n_links", F.coalesce("least", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("least", "vec_id"), F.lit(False)).alias("kept")
     )
