@@ -15,9 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import LOWER, stored
 
@@ -31,21 +34,18 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORDS).split() if text else []
 
 
-def vocabulary(items: DataFrame, most: int = 2_000_000) -> set[bytes] | None:
-    """The distinct words of the items' texts; None where there are more than `most`."""
+class _Terms(dict):
+    """Numbers terms as they come."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"term": list({w for t in pdf["text"] for w in words(t)})})
-
-    terms = items.select("text").mapInPandas(run, "term binary").distinct().limit(most + 1).collect()
-    return {bytes(r["term"]) for r in terms} if len(terms) <= most else None
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
 
 
 def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_words: int = 1_000_000) -> DataFrame:
     """The stored index of docs(doc_id, text).
 
-    Postings of all terms, or of those given (the ones a search will ask for). Each
+    Postings of all terms, or of those given alone. Each
     document is once in the row of its shard whose term is null, with its id, first
     position and number of words; empty and null texts have 0 words, repeated rows are
     documents of their own, other columns are ignored. A text longer than a shard is a
@@ -53,15 +53,15 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_words: i
     """
     sent = docs.sparkSession.sparkContext.broadcast(terms)
 
-    def shard(name: str, batch: list[tuple]) -> pd.DataFrame:
-        ids: dict[bytes, int] = {t: i for i, t in enumerate(sent.value or ())}
-        known = -1 if sent.value is not None else None
+    schema = T.StructType.fromDDL(_INDEX)
+    arrow, names_of = [to_arrow_type(f.dataType) for f in schema], schema.names
+
+    def shard(name: str, batch: list[tuple]) -> pa.RecordBatch:
+        ids = _Terms() if sent.value is None else {t: i for i, t in enumerate(sent.value)}
+        code = ids.__getitem__ if sent.value is None else lambda w: ids.get(w, -1)
         parts, starts, sizes, at = [], [], [], 0
         for _, ws in batch:
-            if known is None:
-                for w in ws:
-                    ids.setdefault(w, len(ids))
-            codes = np.fromiter((ids.get(w, -1) for w in ws), dtype=np.int32, count=len(ws))
+            codes = np.fromiter(map(code, ws), dtype=np.int32, count=len(ws))
             hit = np.flatnonzero(codes >= 0)
             parts.append((codes[hit], (hit + at).astype(np.int32), np.full(len(hit), len(starts), dtype=np.int32)))
             starts.append(at)
@@ -70,31 +70,33 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_words: i
         code, pos, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(code, kind="stable")
         code, pos, doc = code[order], pos[order], doc[order]
-        begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, dtype=np.int64)
-        end = np.r_[begin[1:], len(code)] if len(begin) else begin
+        first = np.r_[True, code[1:] != code[:-1]][:len(code)]
+        begin = np.flatnonzero(first)
+        n = len(begin)
+        n_docs = np.add.reduceat(first | np.r_[True, doc[1:] != doc[:-1]][:len(doc)], begin, dtype=np.int64) if n else begin
         names = list(ids)
-        rows = [
-            (name, names[code[b]], int(1 + np.count_nonzero(np.diff(doc[b:e]))), pos[b:e].tobytes(), None, None, None)
-            for b, e in zip(begin, end, strict=True)
-        ]
-        rows.append((name, None, len(batch), None, [d for d, _ in batch], starts, sizes))
-        return pd.DataFrame(rows, columns=["shard", "term", "n_docs", "at", "doc_ids", "starts", "sizes"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lists = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.r_[begin, len(code)] * 4).astype(np.int32)), pa.py_buffer(pos.tobytes())])
+        columns = (
+            [name] * (n + 1), [names[c] for c in code[begin]] + [None], np.r_[n_docs, len(batch)],
+            pa.concat_arrays([lists, pa.nulls(1, pa.binary())]), *([None] * n + [x] for x in ([d for d, _ in batch], starts, sizes)),
+        )
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, arrow, strict=True)], names=names_of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, k = [], 0, 0
         part = TaskContext.get().partitionId()
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["text"], strict=True):
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ws = words(text)
                 if held and n + len(ws) > shard_words:
                     yield shard(f"{part}-{k}", held)
                     held, n, k = [], 0, k + 1
-                held.append((doc_id if doc_id is None else int(doc_id), ws))
+                held.append((doc_id, ws))
                 n += len(ws)
         if held:
             yield shard(f"{part}-{k}", held)
 
-    return stored(docs.select("doc_id", "text").mapInPandas(run, _INDEX), "postings")
+    return stored(docs.select("doc_id", "text").mapInArrow(run, _INDEX), "postings")
 
 
 def _find(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], order: list[int]) -> np.ndarray:
@@ -155,7 +157,7 @@ def _searcher(sent, slop: int | None):
     return run
 
 
-def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int | None = None, block_rows: int = 20_000) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int | None = None, block_rows: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
     """Documents of the index with what occurs in them of items(item_id, text).
 
     An item's phrases are its windows of `width` words, or the whole of a shorter one.
@@ -164,13 +166,14 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int | None
     Rows: shard, doc (place in the shard), doc_id, n_words, hit (sorted places of words
     hit) and item_ids (sorted), for every document. Items without words or without an id
     match nothing; repeated items count once. The items go to the shards in blocks of
-    block_rows, whatever their number.
+    about block_rows rows and at most about block_bytes of text, whatever their number.
     """
     spark = index.sparkSession
     postings = index.where("term is not null")
     docs = index.where("term is null")
     blocks = items.where("item_id is not null and text is not null").select("item_id", "text")
-    n_blocks = max(1, -(-blocks.count() // block_rows))
+    size = blocks.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(1, -(-size["rows"] // block_rows), -(-size["bytes"] // block_bytes))
     found = []
     for b in range(n_blocks):
         block = blocks.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()  # about block_rows rows
@@ -206,8 +209,13 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int | None
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """docs(doc_id, text) with n_words, n_hit (words inside an occurrence of a window of an item), item_ids and contaminated."""
-    index = build_index(docs, vocabulary(items))
+    """docs(doc_id, text) with n_words, n_hit (words inside an occurrence of a window of an item), item_ids and contaminated.
+
+    All terms of the documents are indexed. Null and empty texts have no words and are
+    clean; each row, repeated or not, gives one row; items without a text or an id match
+    nothing; other columns are dropped; no rows give no rows.
+    """
+    index = build_index(docs)
     return search(index, items, width).select(
         "doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "item_ids", (F.size("hit") > 0).alias("contaminated")
     )
