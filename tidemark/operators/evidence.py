@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 ENGINES = {"base": (0.3, 0.1, 0.95), "challenger": (0.6, 0.05, 0.9)}
 _WALK = (
     "series_id string, place int, cutoff date, engine string, alpha double, beta double, phi double, l double, b double, s2 double, last double, "
-    "scale double, season_scale double, move double, season array<double>, actual array<double>, dates array<date>"
+    "scale double, season_scale double, move double, jump double, season array<double>, actual array<double>, dates array<date>"
 )
 
 
@@ -55,7 +55,7 @@ def walk(points: DataFrame, k: int, horizon: int, engines: dict = ENGINES, m: in
     """A row for each series, cutoff and engine: its state, the scales of the training points, the last season and the actual values after the cutoff.
 
     Series are modelled as logs; those with a value that is not positive, or with too few
-    points for a cutoff, give no rows. window: train on the last so many points only.
+    points for a cutoff, give no rows. jump: the last step by the robust deviation of those before. window: train on the last so many points only.
     """
     rows = arrays(points).withColumn("places", even(F.col("n"), k, horizon, recent=recent)).where("size(places) > 0 and array_min(values) > 0")
     names, params = list(engines), np.array(list(engines.values()))
@@ -72,11 +72,13 @@ def walk(points: DataFrame, k: int, horizon: int, engines: dict = ENGINES, m: in
                     level, trend, sse = (x[p - first] for x in (whole or _states(y[first:p + 1], params)))
                     train = v[first:p + 1]
                     moves = np.abs(y[first + horizon:p + 1] - y[first:p + 1 - horizon])
+                    before, last = np.diff(y[first:p]), abs(y[p] - y[p - 1])
+                    spread = 1.4826 * np.median(np.abs(before - np.median(before)))
                     for i, name in enumerate(names):
                         s2 = sse[i] / (p - first) if p - first > 1 and sse[i] > 0 else 1e-4
                         out.append((
                             series_id, p, dates[p], name, *params[i], level[i], trend[i], s2, v[p], np.abs(np.diff(train)).mean(),
-                            np.abs(train[m:] - train[:-m]).mean() if len(train) > m else None, moves.max() if len(moves) else None,
+                            np.abs(train[m:] - train[:-m]).mean() if len(train) > m else None, moves.max() if len(moves) else None, last / spread if spread > 0 else None,
                             train[-m:], v[p + 1:p + 1 + horizon], list(dates[p + 1:p + 1 + horizon]),
                         ))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _WALK.split(", ")])

@@ -25,10 +25,11 @@ def fresh(cache: DataFrame, now: str, ttl_seconds: int) -> DataFrame:
     return cache.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").withColumn("hit", age < ttl_seconds)
 
 
-def stale(decisions: DataFrame, now: str, version: int = 10, days: int = 30, growth: float = 0.2) -> DataFrame:
-    """Decisions with whether they must be made again: old rules, old age, or a series that grew."""
+def stale(decisions: DataFrame, now: str, version: int = 10, days: int = 30, growth: float = 0.2, available: bool = False) -> DataFrame:
+    """Decisions with whether they must be made again: old rules, old age, a series that grew, or (available) one made without the model that is there now (`challenger_error` null)."""
     old = F.datediff(F.lit(now).cast("date"), "evaluated_at") > days
-    return decisions.withColumn("stale", (F.coalesce("version", F.lit(1)) < version) | old | (F.col("n_now") >= F.col("n_then") * (1 + growth)))
+    missed = F.col("challenger_error").isNull() if available else F.lit(False)
+    return decisions.withColumn("stale", missed | (F.coalesce("version", F.lit(1)) < version) | old | (F.col("n_now") >= F.col("n_then") * (1 + growth)))
 
 
 def migrated(old: DataFrame, new: DataFrame, defaults: dict) -> DataFrame:

@@ -335,6 +335,21 @@ def krn_24(spark, sf):
     return rounded(h.select("horizon", "series_id", "n", "wins", "losses", "base_mean", "challenger_mean", decisions.robust(decisions.columns(*decisions.H2H), F.lit(None).cast("string")).alias("choice")), 3)
 
 
+@query("krn_45_options", f"""{STEPS}, {_PR}, df AS (SELECT c.series_id, c.place, d.place AS pos, d.d FROM cut c JOIN (SELECT series_id, place, y - lag(y) OVER (PARTITION BY series_id ORDER BY place) AS d FROM x) d ON d.series_id = c.series_id AND d.place BETWEEN 1 AND c.place),
+ md AS (SELECT series_id, place, median(d) AS m FROM df WHERE pos < place GROUP BY ALL), ad AS (SELECT series_id, place, 1.4826 * median(abs(d - m)) AS spread FROM df JOIN md USING (series_id, place) WHERE pos < place GROUP BY ALL), jp AS (SELECT series_id, place, abs(d) / spread > 1.5 AS jumped FROM df JOIN ad USING (series_id, place) WHERE pos = place),
+ e AS (SELECT series_id, place, engine, avg({_ERR}) AS mae, avg(CASE WHEN actual BETWEEN lower AND upper THEN 100.0 ELSE 0 END) AS cov, bool_or(h = {H} AND abs(ln(value / last)) / move > 1) AS flag FROM st JOIN sc USING (series_id, place) GROUP BY ALL)
+ SELECT engine, jumped, count(*) AS n, {r('avg(mae / least(base, challenger) - 1)', 'regret')}, {r('avg(cov)', 'coverage')}, count(*) FILTER (flag) AS flags FROM e JOIN pr USING (series_id, place) JOIN jp USING (series_id, place) GROUP BY ALL""")
+def krn_45(spark, sf):
+    """Each option's regret, coverage and explosion flags (here from 1), at cutoffs after a jump (a last step of 1.5 robust deviations) and at the others."""
+    s = _steps(spark, sf)
+    flag = (F.col("h") == H) & (F.abs(F.ln(F.col("value") / F.col("last"))) / F.col("move") > 1)
+    e = s.groupBy("series_id", "place", "engine").agg(
+        F.avg(F.abs(F.col("actual") - F.col("value"))).alias("mae"), F.avg(F.col("actual").between(F.col("lower"), F.col("upper")).cast("double") * 100).alias("cov"),
+        F.bool_or(flag).alias("flag"), (F.max("jump") > 1.5).alias("jumped"))
+    e = e.withColumn("best", F.min("mae").over(W.partitionBy("series_id", "place")))
+    return rounded(e.groupBy("engine", "jumped").agg(F.count("*").alias("n"), F.avg(F.col("mae") / F.col("best") - 1).alias("regret"), F.avg("cov").alias("coverage"), F.count_if("flag").alias("flags")))
+
+
 @query("krn_51_error_by_step", f"{STEPS} SELECT series_id, cutoff, engine, h, {r('actual - value', 'error', 2)}, {r('100 * (actual / value - 1)', 'error_pct', 5)}, actual BETWEEN lower AND upper AS inside FROM st")
 def krn_51(spark, sf):
     s = _steps(spark, sf)

@@ -106,7 +106,8 @@ def krn_26(spark, sf):
     return spark.createDataFrame([(n, float(x)) for n, x in zip(names, w, strict=True)], "series_id string, w double")
 
 
-PATHS, DAYS, BLOCK = 2_000, 30, 5
+PATHS, DAYS = 2_000, 30
+BLOCK = risk.block_length(DAYS, 2_500)
 _DAILY = f"{C3}, {_W}, d AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS at, r FROM (SELECT ts, sum(w * r) AS r FROM ret JOIN w USING (series_id) GROUP BY 1)), tt AS (SELECT count(*) AS t, avg(r) AS mean FROM d)"
 
 

@@ -463,6 +463,15 @@ def mut_01(spark, sf):
     return store.children(table(spark, sf, "orders").select(F.col("o_orderkey").alias("child"), F.col("o_custkey").alias("parent_id")), store.current(log))
 
 
+@query("krn_16_model_available", """SELECT o_orderkey AS series_id, o_orderkey % 5 = 0 OR o_orderkey % 12 < 10 OR date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') > 30 OR o_totalprice >= 200000 AS stale FROM orders""")
+def krn_16(spark, sf):
+    """Decisions made without the model, now that it is there, are made again, like old ones and those of series that grew."""
+    d = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("series_id"), (F.col("o_orderkey") % 12).alias("version"), F.col("o_orderdate").cast("date").alias("evaluated_at"),
+        F.col("o_totalprice").alias("n_now"), F.lit(200000.0 / 1.2).alias("n_then"), F.when(F.col("o_orderkey") % 5 > 0, 1.0).alias("challenger_error"))
+    return store.stale(d, "2001-08-01", available=True).select("series_id", "stale")
+
+
 @query("mut_02_append", """WITH p AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 > 0), n AS (SELECT user_id AS parent_id, event_id, ts FROM events) SELECT parent_id, event_id AS child, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY ts, event_id) AS INT) AS place FROM n JOIN p ON id = parent_id""")
 def mut_02(spark, sf):
     """Snapshots appended to theses that exist; others are refused."""
