@@ -28,7 +28,15 @@ def recent_cutoffs(points: DataFrame, k: int, horizon: int, window: int, least:
 
 def splits(points: DataFrame, cutoffs: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
     """Training points (up to the cutoff) and the first `horizon` points after it, with their step h, for each (series_id, cutoff)."""
-    both = points.join(F.broadcast(cutoffs.select("series_id", "cutoff")), "series_id")
+    return _parts(points.join(F.broadcast(cutoffs.select("series_id", "cutoff")), "series_id"), horizon)
+
+
+def splits_at(points: DataFrame, dates: tuple[str, ...], horizon: int) -> tuple[DataFrame, DataFrame]:
+    """As splits(), at the same few dates for every series: no join, and one read of the points."""
+    return _parts(points.withColumn("cutoff", F.explode(F.array(*[F.lit(d).cast("date") for d in dates]))), horizon)
+
+
+def _parts(both: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
     train = both.where("ts <= cutoff")
     w = W.partitionBy("series_id", "cutoff").orderBy("ts")
     after = both.where("ts > cutoff").withColumn("h", F.row_number().over(w)).where(F.col("h") <= horizon)
@@ -49,6 +57,14 @@ def holt_forecasts(train: DataFrame, horizon: int, level: float, parameters: tup
     return split_key(holt.forecast(holt.with_parameters(arrays, *parameters), horizon, level).select("series_id", "h", "value", "lower", "upper"))
 
 
+def holt_forecasts_of(train: DataFrame, horizon: int, level: float, engines: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """Forecasts of several engines from one gathering of the training points: engine beside series_id, cutoff and h."""
+    arrays = holt.training_arrays(per_cutoff(train))
+    kinds = [F.struct(F.lit(n).alias("engine"), *[F.lit(float(v)).alias(k) for k, v in zip(("alpha", "beta", "phi"), p, strict=True)], holt.smooth(F.col("y"), *p).alias("state")) for n, p in engines.items()]
+    fitted = arrays.withColumn("x", F.explode(F.array(*kinds))).select("*", "x.*").drop("x", "last_ts")
+    return split_key(holt.forecast(fitted, horizon, level))
+
+
 def naive_forecasts(train: DataFrame, horizon: int, z: float = 1.96) -> DataFrame:
     """The last value, with a cone of z population deviations of the steps times the root of h."""
     w = W.partitionBy("series_id", "cutoff").orderBy("ts")

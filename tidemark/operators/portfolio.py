@@ -95,20 +95,21 @@ def covariance(returns: DataFrame) -> DataFrame:
 
 def shrunk_covariance(returns: DataFrame) -> DataFrame:
     """Covariance shrunk towards the mean variance times the identity: the intensity is the summed variance of the products over
-    the squared distance to the target, in [0, 1], and 0 when that distance is negligible."""
-    s = covariance(returns)
-    means = returns.groupBy("series_id").agg(F.avg("r").alias("m"))
-    x = returns.join(F.broadcast(means), "series_id").select("series_id", "ts", (F.col("r") - F.col("m")).alias("r"))
-    pi = paired(x).join(F.broadcast(s.select("i", "j", "s")), ["i", "j"]).groupBy("i", "j").agg(F.avg(F.pow(F.col("x") * F.col("y") - F.col("s"), 2)).alias("pi"))
+    the squared distance to the target, in [0, 1], and 0 when that distance is negligible. One aggregation gives all moments."""
+    x, y = F.col("x"), F.col("y")
+    moments = {"mx": x, "my": y, "m11": x * y, "m20": x * x, "m02": y * y, "m21": x * x * y, "m12": x * y * y, "m22": x * x * y * y}
+    g = paired(returns).groupBy("i", "j").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("s"), *[F.avg(c).alias(k) for k, c in moments.items()])
+    # the mean of ((x - mx) (y - my) - s)^2, multiplied out
+    fourth = F.expr("m22 - 2 * my * m21 - 2 * mx * m12 + my * my * m20 + mx * mx * m02 + 4 * mx * my * m11 - 3 * mx * mx * my * my")
+    s = g.select("i", "j", "s", "n", (fourth - 2 * F.col("s") * F.expr("m11 - mx * my") + F.col("s") * F.col("s")).alias("pi"))
     both = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
-    mean = s.where("i = j").agg(F.avg("s").alias("target"))
-    t = s.join(pi, ["i", "j"]).join(F.broadcast(mean))
+    whole = W.partitionBy(F.lit(1))  # one row for each two series
+    t = s.withColumn("target", F.avg(F.when(F.col("i") == F.col("j"), F.col("s"))).over(whole))
     off = F.col("s") - F.when(F.col("i") == F.col("j"), F.col("target")).otherwise(0.0)
-    sums = t.agg(F.sum(both * off * off).alias("d2"), F.sum(both * F.col("pi")).alias("pi"), F.max("n").alias("t"))
-    share = F.when(F.col("d2") < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("pi") / F.col("t") / F.col("d2"))))
-    a = sums.select(share.alias("intensity"))
+    sums = t.withColumns({"d2": F.sum(both * off * off).over(whole), "all_pi": F.sum(both * F.col("pi")).over(whole), "t": F.max("n").over(whole)})
+    share = F.when(F.col("d2") < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("all_pi") / F.col("t") / F.col("d2"))))
     shrunk = (1 - F.col("intensity")) * F.col("s") + F.when(F.col("i") == F.col("j"), F.col("intensity") * F.col("target")).otherwise(0.0)
-    return s.join(F.broadcast(mean)).join(F.broadcast(a)).select("i", "j", "s", "intensity", (shrunk * YEAR).alias("annual"))
+    return sums.withColumn("intensity", share).select("i", "j", "s", "intensity", (shrunk * YEAR).alias("annual"))
 
 
 def expected_returns(returns: DataFrame) -> DataFrame:

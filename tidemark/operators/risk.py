@@ -113,12 +113,25 @@ def fit_student(x: np.ndarray) -> float:
     return best[1]
 
 
+def _gathered(losses: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """A row a path with n, sd, and the quantiles (interpolated) of all losses: the paths, a parameter's number of them, are simulated once and gathered as one sorted array."""
+    g = losses.agg(F.array_sort(F.collect_list("loss")).alias("all"), F.count("*").alias("n"), F.stddev_samp("loss").alias("sd"))
+
+    def at(q: float):
+        k = (F.col("n") - 1) * F.lit(q)
+        low = F.floor(k).cast("int")
+        a, b = (F.get("all", F.least(low + i, F.col("n").cast("int") - 1)) for i in (0, 1))
+        return a + (b - a) * (k - low)
+
+    return g.select("n", "sd", *[at(q).alias(c) for c, q in quantiles.items()], F.explode("all").alias("loss"))
+
+
 def measures(losses: DataFrame, levels: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
     """VaR, CVaR (not under VaR) and the VaR's standard error by the density of the losses at it, for each level."""
-    n = losses.agg(F.count("*").alias("n"), F.stddev_samp("loss").alias("sd"), *[F.percentile("loss", F.lit(q)).alias(f"q{i}") for i, q in enumerate(levels)])
-    rows = n.select("n", "sd", F.explode(F.array(*[F.struct(F.lit(q).alias("level"), F.col(f"q{i}").alias("var")) for i, q in enumerate(levels)])).alias("x")).select("n", "sd", "x.*")
+    rows = _gathered(losses, {f"q{i}": q for i, q in enumerate(levels)})
+    kinds = F.array(*[F.struct(F.lit(q).alias("level"), F.col(f"q{i}").alias("var")) for i, q in enumerate(levels)])
     h = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
-    g = losses.join(F.broadcast(rows)).groupBy("level").agg(
+    g = rows.select("n", "sd", "loss", F.explode(kinds).alias("x")).select("n", "sd", "loss", "x.*").groupBy("level").agg(
         F.max("var").alias("var"), F.max("n").alias("n"),
         F.greatest(F.avg(F.when(F.col("loss") >= F.col("var"), F.col("loss"))), F.max("var")).alias("cvar"),
         F.avg(F.exp(-0.5 * F.pow((F.col("loss") - F.col("var")) / h, 2)) / (h * math.sqrt(2 * math.pi))).alias("density"))
@@ -142,7 +155,6 @@ def histogram(losses: DataFrame, bins: int = 30) -> DataFrame:
 
 def report(losses: DataFrame, seed: int) -> DataFrame:
     """One row: the seed, VaR at 95 and 99 percent, CVaR, median, mean, and how often more than 10 percent is lost."""
-    q = losses.agg(F.percentile("loss", F.lit(0.95)).alias("var95"), F.percentile("loss", F.lit(0.99)).alias("var99"), F.percentile("loss", F.lit(0.5)).alias("median"))
-    return losses.join(F.broadcast(q)).groupBy("var95", "var99", "median").agg(
+    return _gathered(losses, {"var95": 0.95, "var99": 0.99, "median": 0.5}).groupBy("var95", "var99", "median").agg(
         F.greatest(F.avg(F.when(F.col("loss") >= F.col("var95"), F.col("loss"))), F.max("var95")).alias("cvar95"), F.avg("loss").alias("mean"),
         F.avg((F.col("loss") > 0.1).cast("double")).alias("over_10pct")).select(F.lit(seed).alias("seed"), "var95", "var99", "cvar95", "median", "mean", "over_10pct")

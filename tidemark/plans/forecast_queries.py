@@ -64,14 +64,8 @@ def _errors_sql(forecast: str, name: str, band: bool = True) -> str:
 _ROUND = "series_id, cutoff, n, " + ", ".join(r(c, c) for c in ("mae", "mape", "smape", "mase", "seasonal_mase", "direction")) + ", end_direction, " + r("coverage", "coverage")
 
 
-def _cutoffs(spark):
-    return spark.createDataFrame([(d,) for d in CUTOFFS], "cutoff string").select(F.col("cutoff").cast("date").alias("cutoff"))
-
-
 def _split(spark, sf):
-    points = series.monthly_segments(spark, sf)
-    every = points.select("series_id").distinct().crossJoin(F.broadcast(_cutoffs(spark)))  # a handful of names by four dates
-    return backtest.splits(points, every, H)
+    return backtest.splits_at(series.monthly_segments(spark, sf), CUTOFFS, H)
 
 
 @query("krn_01_holt_filter", f"WITH RECURSIVE {_SPLIT}, {_ST}, {_holt_sql('ha', *A, Z95)} SELECT series_id, cutoff, {r('l', 'l')}, {r('b', 'b')}, {r('s2', 's2')} FROM hae")
@@ -127,11 +121,9 @@ _LOG_ERRORS = f"""ea AS (SELECT series_id, cutoff, avg(abs(actual - value)) AS b
 
 def _pairs(spark, sf):
     train, after = _split(spark, sf)
-    mae = [
-        backtest.holt_forecasts(train, H, 0.95, p).join(after, ["series_id", "cutoff", "h"]).groupBy("series_id", "cutoff").agg(F.avg(F.abs(F.col("actual") - F.col("value"))).alias(n))
-        for p, n in ((A, "base"), (B, "challenger"))
-    ]
-    return mae[0].join(mae[1], ["series_id", "cutoff"])
+    f = backtest.holt_forecasts_of(train, H, 0.95, {"base": A, "challenger": B}).join(after, ["series_id", "cutoff", "h"])
+    e = F.abs(F.col("actual") - F.col("value"))
+    return f.groupBy("series_id", "cutoff").agg(*[F.avg(F.when(F.col("engine") == n, e)).alias(n) for n in ("base", "challenger")])
 
 
 @query("join_06_pairs", f"{_BOTH}, {_LOG_ERRORS} SELECT series_id, cutoff, {r('base', 'base', 3)}, {r('challenger', 'challenger', 3)} FROM pairs")
