@@ -65,6 +65,13 @@ def with_parameters(series: DataFrame, alpha: float = DEFAULT[0], beta: float =
     return series.withColumns({"alpha": F.lit(alpha), "beta": F.lit(beta), "phi": F.lit(phi), "state": smooth(F.col("y"), alpha, beta, phi)})
 
 
+def grid_fit(series: DataFrame, alphas: tuple[float, ...], betas: tuple[float, ...], phis: tuple[float, ...]) -> DataFrame:
+    """series with the alpha, beta, phi and sse of least squared error among the combinations of a small grid: the filter's fold for each, in one row."""
+    errors = [F.struct(smooth(F.col("y"), a, b, f)["sse"].alias("sse"), *[F.lit(v).alias(n) for n, v in (("alpha", a), ("beta", b), ("phi", f))])
+              for a in alphas for b in betas for f in phis]
+    return series.withColumn("best", F.array_min(F.array(*errors))).select(*series.columns, "best.*")
+
+
 def _sse(y: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Squared error of one series for many (alpha, beta, phi) at once."""
     a, b, f = p.T

@@ -223,6 +223,19 @@ def mth_04(spark, sf):
     return rounded(f.join(move, ["series_id", "cutoff"]).join(last, ["series_id", "cutoff"]).select("series_id", "cutoff", x.alias("x"), (x > 2).alias("flag")))
 
 
+GRID = ((0.1, 0.3, 0.6), (0.05, 0.1, 0.3), (0.85, 0.95))
+
+
+@query("krn_02_grid_fit", f"""WITH RECURSIVE {M5}, x AS (SELECT series_id, ln(value) AS y, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS INT) AS place FROM m5), g AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b, f::DOUBLE AS f FROM {', '.join(f"(VALUES {', '.join(f'({v})' for v in vs)}) g{n}({n})" for n, vs in zip('abf', GRID))}),
+ fl AS (SELECT x.series_id, a, b, f, 0 AS place, x.y AS l, x1.y - x.y AS tr, 0::DOUBLE AS sse FROM x JOIN x x1 ON x1.series_id = x.series_id AND x1.place = 1, g WHERE x.place = 0
+  UNION ALL SELECT fl.series_id, a, b, f, x.place, l + f * tr + a * (y - l - f * tr), f * tr + a * b * (y - l - f * tr), sse + pow(y - l - f * tr, 2) FROM fl JOIN x ON x.series_id = fl.series_id AND x.place = fl.place + 1),
+ e AS (SELECT series_id, a, b, f, max(sse) AS sse FROM fl GROUP BY ALL) SELECT series_id, a AS alpha, b AS beta, f AS phi, {r('sse', 'sse')} FROM e QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY sse) = 1""")
+def krn_02_grid(spark, sf):
+    """The parameters of least squared error on a coarse grid."""
+    f = holt.grid_fit(holt.training_arrays(series.monthly_segments(spark, sf)), *GRID)
+    return rounded(f.select("series_id", "alpha", "beta", "phi", "sse"))
+
+
 @query("krn_02_holt_fit")
 def krn_02(spark, sf):
     """Fitted parameters and the squared error, which is never above the start's."""

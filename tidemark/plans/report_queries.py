@@ -437,7 +437,8 @@ def map_01(spark, sf):
     return rounded(portfolio.normalized_books(w, w.select("book").distinct().join(F.broadcast(names)).select("book", F.explode("names").alias("name"))))
 
 
-@query("jsn_01_id_lists", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' || user_id || ',' || event_type WHEN 2 THEN '' ELSE '' END AS ids FROM events""")
+@query("jsn_01_id_lists", """WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN '["a' || user_id || '", "' || event_type || '"]' WHEN 2 THEN '["a", ' END AS t FROM events)
+ SELECT event_id, CASE WHEN t IS NOT NULL AND json_valid(t) THEN coalesce(array_to_string(json_extract_string(t, '$[*]'), ','), '') ELSE '' END AS ids FROM x""")
 def jsn_01(spark, sf):
     """Ids of a JSON array; none where it is empty, null or broken."""
     e = F.col("event_id") % 4
