@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, packing, quality, secrets, tokens, toxicity, url_rules, warc
+from . import decontaminate, embeddings, interactions, jaccard, mixing, packing, quality, runs, secrets, tokens, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -96,6 +96,58 @@ f AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, a
 SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q LEFT JOIN f USING (page_id)
 """
 
+
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixing.each_row(plan).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "lang", "text"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return interactions.audit(docs, labels)
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+m AS (SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, CAST(k AS INT) AS step, bits[k] AS bit, list_sum(bits[1:k]) AS upto, list_sum(bits[1:k]) - bits[k] AS past FROM o, range(1, 6) r(k)),
+x AS (SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & CAST(upto AS INT) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit > 0 AND mask & CAST(past AS INT) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit > 0 AND mask & CAST(past AS INT) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND mask & CAST(past AS INT) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit > 0 AND mask & CAST(past AS INT) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.planted(table(spark, sf_dir, "documents", "doc_id", "text"))
+    longest = F.expr("array_min(transform(runs, r -> named_struct('less', -r.length, 'start', r.start, 'period', r.period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    own = found.withColumn("longest", longest)
+    return own.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), (-F.col("longest.less")).alias("length"),
+        F.col("longest.period").alias("period"), F.expr("-longest.less * 1000 div longest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
@@ -107,9 +159,13 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_url_rules": op10_url_rules,
+    "op11_mixing": op11_mixing,
+    "op12_filter_interactions": op12_filter_interactions,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL = {
     "op4_warc": OP4_SQL,
     "op10_url_rules": OP10_SQL,
+    "op12_filter_interactions": OP12_SQL,
 }
