@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import holt, portfolio, rebalance, risk
+from tidemark.operators import holt, portfolio, risk
 from tidemark.sources import series
 
 
@@ -76,26 +76,6 @@ def test_mended_matrices_have_a_factor():
     assert np.allclose(low @ low.T, risk.nearest_psd(m)) and np.allclose(low, np.tril(low))
 
 
-def test_weights_do_not_see_what_comes_after(spark):
-    r = np.random.default_rng(7).normal(0, 0.01, (300, 2))
-    later = r.copy()
-    later[260:] = later[260:] * 15 + 0.1
-
-    def weights(x):
-        rows = [(f"{n}", i, float(v)) for i, day in enumerate(x) for n, v in enumerate(day)]
-        ret = spark.createDataFrame(rows, "series_id string, d int, r double").select("series_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")).alias("ts"), "r")
-        one = {x["ts"]: x["w"] for x in rebalance.optimized_weights(ret, ["0", "1"], lambda m: portfolio.risk_parity(np.cov(m.T))).collect()}
-        two = {(x["ts"], x["series_id"]): x["w"] for x in rebalance.lookback_weights(ret).collect()}
-        return one, two
-
-    a, b = weights(r), weights(later)
-    assert len(a[0]) == 300 // 21 - 2 and min(a[0]) in {t for t, _ in a[1]}
-    end = sorted(a[0])[-3]
-    assert all(a[0][t] == b[0][t] for t in a[0] if t <= end) and any(a[0][t] != b[0][t] for t in a[0])
-    assert all(a[1][k] == b[1][k] for k in a[1] if k[0] <= end)
-    assert all(abs(w[0] - a[1][t, "0"]) < 1e-9 for t, w in a[0].items())  # of two assets, equal risk is inverse volatility
-
-
 def test_fits_are_no_worse_than_their_start(spark, sf_dir):
     y = holt.training_arrays(series.monthly_segments(spark, sf_dir))
     for row in holt.fit(y).select(F.col("state.sse").alias("sse"), holt.smooth(F.col("y"), *holt.DEFAULT)["sse"].alias("start")).collect():

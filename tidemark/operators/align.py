@@ -13,10 +13,10 @@ def keep_last(points: DataFrame, position: str) -> DataFrame:
 
 
 def common_dates(points: DataFrame) -> DataFrame:
-    """Points on the dates that every series has: one aggregation by date, no chain of joins."""
-    k = points.agg(F.count_distinct("series_id").alias("k"))
-    dates = points.groupBy("ts").agg(F.count_distinct("series_id").alias("n")).join(F.broadcast(k), F.col("n") == F.col("k")).select("ts")
-    return points.join(dates, "ts", "left_semi").select("series_id", "ts", "value")
+    """Points on the dates that every series has: the series of a date are counted beside its points, no chain of joins."""
+    k = points.agg(F.count_distinct("series_id").alias("_k"))
+    n = F.size(F.collect_set("series_id").over(W.partitionBy("ts")))
+    return points.withColumn("_n", n).join(F.broadcast(k), F.col("_n") == F.col("_k")).select("series_id", "ts", "value")
 
 
 def wide(points: DataFrame, names: list[str]) -> DataFrame:

@@ -10,18 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import products
 from .returns import wealth
 
 YEAR = 252
 
 
-def paired(returns: DataFrame) -> DataFrame:
-    """Returns of each two series (i <= j) on the same date."""
-    a = returns.select(F.col("series_id").alias("i"), "ts", F.col("r").alias("x"))
-    b = returns.select(F.col("series_id").alias("j"), "ts", F.col("r").alias("y"))
-    return a.join(b, "ts").where("i <= j")
-
-
 def ranked(returns: DataFrame) -> DataFrame:
     """Returns replaced by their rank in the series, ties by their mean rank."""
     w = W.partitionBy("series_id").orderBy("r")
@@ -30,12 +24,15 @@ def ranked(returns: DataFrame) -> DataFrame:
 
 
 def correlations(returns: DataFrame) -> DataFrame:
-    """Pearson and Spearman coefficient of each two series, 0 where undefined, 1 on the diagonal."""
-    def corr(df: DataFrame, name: str) -> DataFrame:
-        c = F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0)))
-        return paired(df).groupBy("i", "j").agg(c.alias(name), F.count("*").alias("n"))
+    """Pearson and Spearman coefficient of each two series, 0 where undefined, 1 on the diagonal.
 
-    return corr(returns, "pearson").join(corr(ranked(returns), "spearman").drop("n"), ["i", "j"])
+    Ranks are of the whole series, so both want returns on common dates.
+    """
+    both = returns.withColumn("kind", F.lit("pearson")).unionByName(ranked(returns).withColumn("kind", F.lit("spearman")))
+    c = F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce(products.correlation(), F.lit(0.0)))
+    each = products.pair_products(both, ("kind",)).select("kind", "i", "j", "n", c.alias("c"))
+    return each.groupBy("i", "j").agg(
+        F.max(F.when(F.col("kind") == "pearson", F.col("c"))).alias("pearson"), F.max("n").alias("n"), F.max(F.when(F.col("kind") == "spearman", F.col("c"))).alias("spearman"))
 
 
 def student_p(r: float, n: int) -> float:
@@ -90,26 +87,30 @@ def strategies(returns: DataFrame, weights: dict[str, dict[str, float]], rate: f
 
 def covariance(returns: DataFrame) -> DataFrame:
     """Sample covariance of each two series, i <= j."""
-    return paired(returns).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("s"), F.count("*").alias("n"))
+    return products.pair_products(returns).select("i", "j", products.covariance().alias("s"), "n")
 
 
-def shrunk_covariance(returns: DataFrame) -> DataFrame:
-    """Covariance shrunk towards the mean variance times the identity: the intensity is the summed variance of the products over
-    the squared distance to the target, in [0, 1], and 0 when that distance is negligible. One aggregation gives all moments."""
-    x, y = F.col("x"), F.col("y")
-    moments = {"mx": x, "my": y, "m11": x * y, "m20": x * x, "m02": y * y, "m21": x * x * y, "m12": x * y * y, "m22": x * x * y * y}
-    g = paired(returns).groupBy("i", "j").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("s"), *[F.avg(c).alias(k) for k, c in moments.items()])
-    # the mean of ((x - mx) (y - my) - s)^2, multiplied out
-    fourth = F.expr("m22 - 2 * my * m21 - 2 * mx * m12 + my * my * m20 + mx * mx * m02 + 4 * mx * my * m11 - 3 * mx * mx * my * my")
-    s = g.select("i", "j", "s", "n", (fourth - 2 * F.col("s") * F.expr("m11 - mx * my") + F.col("s") * F.col("s")).alias("pi"))
-    both = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
-    whole = W.partitionBy(F.lit(1))  # one row for each two series
-    t = s.withColumn("target", F.avg(F.when(F.col("i") == F.col("j"), F.col("s"))).over(whole))
-    off = F.col("s") - F.when(F.col("i") == F.col("j"), F.col("target")).otherwise(0.0)
+def shrunk(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """pairs(by..., i, j, s, n, pi) with intensity and annual: covariances shrunk towards the mean variance times the identity.
+
+    The intensity is the summed variance of the products over the squared distance to the
+    target, in [0, 1], and 0 when that distance is negligible; each `by` is a matrix of its own.
+    """
+    same = F.col("i") == F.col("j")
+    both = F.when(same, 1).otherwise(2)
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))  # one row for each two series
+    t = pairs.withColumn("target", F.avg(F.when(same, F.col("s"))).over(whole))
+    off = F.col("s") - F.when(same, F.col("target")).otherwise(0.0)
     sums = t.withColumns({"d2": F.sum(both * off * off).over(whole), "all_pi": F.sum(both * F.col("pi")).over(whole), "t": F.max("n").over(whole)})
     share = F.when(F.col("d2") < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("all_pi") / F.col("t") / F.col("d2"))))
-    shrunk = (1 - F.col("intensity")) * F.col("s") + F.when(F.col("i") == F.col("j"), F.col("intensity") * F.col("target")).otherwise(0.0)
-    return sums.withColumn("intensity", share).select("i", "j", "s", "intensity", (shrunk * YEAR).alias("annual"))
+    mixed = (1 - F.col("intensity")) * F.col("s") + F.when(same, F.col("intensity") * F.col("target")).otherwise(0.0)
+    return sums.withColumn("intensity", share).withColumn("annual", mixed * YEAR).drop("target", "d2", "all_pi", "t")
+
+
+def shrunk_covariance(returns: DataFrame) -> DataFrame:
+    """The covariance of all series, shrunk."""
+    pairs = products.pair_products(returns).select("i", "j", products.covariance().alias("s"), "n", products.product_variance().alias("pi"))
+    return shrunk(pairs).select("i", "j", "s", "intensity", "annual")
 
 
 def expected_returns(returns: DataFrame) -> DataFrame:
@@ -169,28 +170,85 @@ def matrix(cov: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, m
 
 
-def risk_parity(cov: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Long-only weights with equal risk contributions: coordinate descent on x'Cx / 2 - sum(log x) / K."""
+def risk_parity(cov: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Long-only weights with equal risk contributions: Newton's method on x'Cx / 2 - sum(log x) / K."""
     k = len(cov)
-    x = 1 / np.sqrt(np.diag(cov))
+    x = 1 / np.sqrt(np.diag(cov)) / math.sqrt(k)
     for _ in range(rounds):
-        for i in range(k):
-            c = cov[i] @ x - cov[i, i] * x[i]
-            x[i] = (-c + math.sqrt(c * c + 4 * cov[i, i] / k)) / (2 * cov[i, i])
+        g = cov @ x - 1 / (k * x)
+        step = np.linalg.solve(cov + np.diag(1 / (k * x * x)), g)
+        size = math.sqrt(max(step @ g * k, 0))
+        if size < 1e-13:
+            break
+        x = x - step / (1 + size if size > 0.25 else 1)  # the barrier's damped step keeps x positive
     return x / x.sum()
 
 
+def parity_residual(w: np.ndarray, cov: np.ndarray) -> float:
+    """How far the shares of risk are from 1 / K."""
+    parts = w * (cov @ w)
+    return float(np.abs(parts / parts.sum() - 1 / len(w)).max())
+
+
 def capped_simplex(v: np.ndarray, cap: float) -> np.ndarray:
     """The nearest point with entries in [0, cap] that add to 1."""
     low, high = v.min() - 1, v.max()
-    for _ in range(100):
+    for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if np.clip(v - mid, 0, cap).sum() > 1 else (low, mid)
-    return np.clip(v - (low + high) / 2, 0, cap)
+        low, high = (mid, high) if np.minimum(np.maximum(v - mid, 0), cap).sum() > 1 else (low, mid)
+    return np.minimum(np.maximum(v - (low + high) / 2, 0), cap)
+
+
+def _slope(w: np.ndarray, mu: np.ndarray, cov: np.ndarray, rate: float) -> np.ndarray:
+    vol = math.sqrt(w @ cov @ w)
+    return mu / vol - (mu @ w - rate) * (cov @ w) / vol**3
+
+
+def sharpe_residual(w: np.ndarray, mu: np.ndarray, cov: np.ndarray, cap: float, rate: float = 0.04, near: float = 1e-9) -> float:
+    """How far weights are from the first-order conditions of the largest Sharpe ratio, in units of the slopes.
+
+    Free weights have one slope, those at 0 none above it, those at the cap none below it.
+    """
+    cap = max(cap, 1 / len(w))
+    g = _slope(w, mu, cov, rate)
+    can_rise, can_fall = w < cap - near, w > near
+    gap = max(0.0, float(g[can_rise].max() - g[can_fall].min())) if can_rise.any() and can_fall.any() else 0.0
+    return max(gap / max(1e-12, float(np.abs(g).max())), abs(float(w.sum()) - 1))
+
+
+def _polished(w: np.ndarray, mu: np.ndarray, cov: np.ndarray, cap: float, rate: float) -> np.ndarray:
+    """w with its free weights moved by Newton's method until their slopes are one."""
+    free = (w > 1e-7) & (w < cap - 1e-7)
+    w = np.where(w <= 1e-7, 0.0, np.where(w >= cap - 1e-7, cap, w))
+    if free.sum() < 1:
+        return w
+    for _ in range(12):
+        v = math.sqrt(w @ cov @ w)
+        c, e = cov @ w, mu @ w - rate
+        h = -(np.outer(mu, c) + np.outer(c, mu)) / v**3 - e * cov / v**3 + 3 * e * np.outer(c, c) / v**5
+        m = int(free.sum())
+        system = np.block([[h[np.ix_(free, free)], -np.ones((m, 1))], [np.ones((1, m)), np.zeros((1, 1))]])
+        try:
+            step = np.linalg.solve(system, np.r_[-_slope(w, mu, cov, rate)[free], 1 - w.sum()])[:-1]
+        except np.linalg.LinAlgError:
+            return w
+        new = w.copy()
+        new[free] += step
+        if not np.isfinite(step).all() or new.min() < 0 or new.max() > cap:
+            return w
+        w = new
+        if np.abs(step).max() < 1e-15:
+            break
+    return w
 
 
-def max_sharpe(mu: np.ndarray, cov: np.ndarray, cap: float = 1.0, rate: float = 0.04, starts: int = 10, seed: int = 42) -> np.ndarray:
-    """Long-only weights up to cap (at least 1 / K) of the largest Sharpe ratio: projected gradients from several starts."""
+def max_sharpe(mu: np.ndarray, cov: np.ndarray, cap: float = 1.0, rate: float = 0.04, starts: int = 10, seed: int = 42, exact: float = 1e-10) -> np.ndarray:
+    """Long-only weights up to cap (at least 1 / K) of the largest Sharpe ratio.
+
+    Projected gradients find which weights are at a bound, Newton's method the free ones.
+    With some excess return above 0 the ratio has one optimum, so a start that meets its
+    conditions to `exact` is the last; else the best of `starts` is taken.
+    """
     k = len(mu)
     cap = max(cap, 1 / k)
     rng = np.random.default_rng(seed)
@@ -199,17 +257,24 @@ def max_sharpe(mu: np.ndarray, cov: np.ndarray, cap: float = 1.0, rate: float =
         w = capped_simplex(np.full(k, 1 / k) if s == 0 else rng.dirichlet(np.ones(k)), cap)
         step = 1.0
         now = (mu @ w - rate) / math.sqrt(w @ cov @ w)
-        for _ in range(2_000):
-            vol = math.sqrt(w @ cov @ w)
-            slope = mu / vol - (mu @ w - rate) * (cov @ w) / vol**3
-            new = capped_simplex(w + step * slope, cap)
+        for i in range(2_000):
+            new = capped_simplex(w + step * _slope(w, mu, cov, rate), cap)
             then = (mu @ new - rate) / math.sqrt(new @ cov @ new)
             if then > now + 1e-15:
-                w, now, step = new, then, step * 1.2
+                w, now, step = new, then, step * 1.5
             else:
                 step /= 2
                 if step < 1e-14:
                     break
+            if i % 40 == 39 and sharpe_residual(sharper := _polished(w, mu, cov, cap, rate), mu, cov, cap, rate) < exact:
+                w = sharper
+                break
+        sharper = _polished(w, mu, cov, cap, rate)
+        if sharpe_residual(sharper, mu, cov, cap, rate) <= sharpe_residual(w, mu, cov, cap, rate):
+            w = sharper
+        now = (mu @ w - rate) / math.sqrt(w @ cov @ w)
         if now > value:
             best, value = w, now
+        if value > 0 and sharpe_residual(best, mu, cov, cap, rate) < exact:
+            break
     return best

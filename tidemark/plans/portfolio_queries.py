@@ -6,8 +6,9 @@ import math
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tidemark.operators import align, holt, portfolio, rebalance, returns, risk
+from tidemark.operators import align, books, holt, portfolio, rebalance, returns, risk
 from tidemark.sources import series
 
 from .base import C3, D3, r, rounded
@@ -68,13 +69,6 @@ def mth_05(spark, sf):
     return rounded(portfolio.expected_returns(_returns(spark, sf)))
 
 
-@query("map_01_weights", "SELECT * FROM (VALUES ('A', 0.6::DOUBLE), ('N', 0.4::DOUBLE), ('R', 0.0::DOUBLE)) t(series_id, w)")
-def map_01(spark, sf):
-    """Weights that add to 1; a name without one has none."""
-    names = spark.createDataFrame([("A",), ("N",), ("R",)], "series_id string")
-    return rounded(portfolio.normalized(spark.createDataFrame([("A", 3.0), ("N", 2.0), ("R", -1.0)], "series_id string, w double"), names))
-
-
 @query("krn_28_metrics", f"""WITH {C3}, {_W}, d AS (SELECT ts, sum(w * r) AS r FROM ret JOIN w USING (series_id) GROUP BY 1), c AS (SELECT ts, exp(sum(r) OVER (ORDER BY ts)) AS c FROM d), m AS (SELECT min(dd) AS max_drawdown FROM (SELECT c / max(c) OVER (ORDER BY ts) - 1 AS dd FROM c)),
  p AS (SELECT sum(w * sd) AS parts FROM (SELECT series_id, stddev_samp(r) * sqrt(252) AS sd FROM ret GROUP BY 1) JOIN w USING (series_id)), t AS (SELECT avg(r) * 252 AS annual_return, stddev_samp(r) * sqrt(252) AS volatility FROM d)
  SELECT {r('annual_return', 'annual_return')}, {r('volatility', 'volatility')}, {r('(annual_return - 0.04) / volatility', 'sharpe')}, {r('max_drawdown', 'max_drawdown')}, {r('parts / volatility', 'diversification')} FROM t, m, p""")
@@ -88,24 +82,6 @@ def krn_28c(spark, sf):
     return rounded(portfolio.risk_contributions(portfolio.shrunk_covariance(_returns(spark, sf)), _weights(spark)))
 
 
-@query("krn_27_risk_parity")
-def krn_27(spark, sf):
-    """Equal risk contributions: weights and contributions."""
-    names, cov = portfolio.matrix(portfolio.shrunk_covariance(_returns(spark, sf)))
-    w = portfolio.risk_parity(cov)
-    return spark.createDataFrame([(n, float(x), float(c)) for n, x, c in zip(names, w, w * (cov @ w), strict=True)], "series_id string, w double, contribution double")
-
-
-@query("krn_26_max_sharpe")
-def krn_26(spark, sf):
-    """Weights of the largest Sharpe ratio, up to 0.6 each."""
-    ret = _returns(spark, sf)
-    names, cov = portfolio.matrix(portfolio.shrunk_covariance(ret))
-    mu = {x["series_id"]: x["shrunk"] for x in portfolio.expected_returns(ret).collect()}  # one row an asset
-    w = portfolio.max_sharpe(np.array([mu[n] for n in names]), cov, cap=0.6)
-    return spark.createDataFrame([(n, float(x)) for n, x in zip(names, w, strict=True)], "series_id string, w double")
-
-
 PATHS, DAYS = 2_000, 30
 BLOCK = risk.block_length(DAYS, 2_500)
 _DAILY = f"{C3}, {_W}, d AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS at, r FROM (SELECT ts, sum(w * r) AS r FROM ret JOIN w USING (series_id) GROUP BY 1)), tt AS (SELECT count(*) AS t, avg(r) AS mean FROM d)"
@@ -211,34 +187,112 @@ def krn_30_given(spark, sf):
     return rounded(portfolio.strategies(_returns(spark, sf), {"equal": {n: 1 / 3 for n in "ANR"}, "current": {"A": 0.5, "N": 0.3, "R": 0.2}}))
 
 
-@query("krn_30_strategies")
-def krn_30(spark, sf):
-    """All four strategies: largest Sharpe ratio, equal risk, equal weights, current weights."""
+#: w: equal shares of risk by coordinate descent, from x(book, names, m, diag) with m the rows of the covariance.
+_PARITY = """st AS (SELECT book, 0 AS step, list_transform(diag, lambda d: 1 / sqrt(d)) AS x FROM mx UNION ALL
+  SELECT st.book, step + 1, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = step % len(x) + 1 THEN
+   (-(list_dot_product(m[i], x) - diag[i] * x[i]) + sqrt(pow(list_dot_product(m[i], x) - diag[i] * x[i], 2) + 4 * diag[i] / len(x))) / (2 * diag[i]) ELSE x[i] END)
+  FROM st JOIN mx USING (book) WHERE step < 40 * len(x)),
+ pw AS (SELECT st.book, names, list_transform(x, lambda v: v / list_sum(x)) AS w, m, mu FROM st JOIN mx USING (book) WHERE step = 40 * len(x))"""
+
+
+def _estimates_sql(k_is_two: str = "k <= 2 OR spread <= 1e-8") -> str:
+    """From books(book, name) and ret: es(book, i, j, n, annual, mu), and mx(book, names, m, diag, mu) with the covariance's rows."""
+    return f"""pb AS (SELECT a.book, a.name AS i, b.name AS j FROM books a JOIN books b ON a.book = b.book AND a.name <= b.name),
+ pr AS (SELECT x.series_id AS i, y.series_id AS j, x.ts, x.r AS x, y.r AS y FROM ret x JOIN ret y ON x.ts = y.ts AND x.series_id <= y.series_id),
+ mo AS (SELECT i, j, count(*) AS n, covar_samp(x, y) AS s, avg(x) AS mx, avg(y) AS my FROM pr GROUP BY ALL), po AS (SELECT i, j, avg(pow((x - mx) * (y - my) - s, 2)) AS pi FROM pr JOIN mo USING (i, j) GROUP BY ALL),
+ bp AS (SELECT book, i, j, n, s, pi, mx * 252 AS mean FROM pb JOIN mo USING (i, j) JOIN po USING (i, j)), tg AS (SELECT book, avg(s) AS target, avg(mean) AS centre, count(*) AS k, max(n) AS t FROM bp WHERE i = j GROUP BY 1),
+ ii AS (SELECT book, CASE WHEN sum(c * o * o) < 1e-12 THEN 0 ELSE greatest(0, least(1, sum(c * pi) / max(n) / sum(c * o * o))) END AS intensity FROM
+  (SELECT book, n, pi, CASE WHEN i = j THEN 1 ELSE 2 END AS c, s - CASE WHEN i = j THEN target ELSE 0 END AS o FROM bp JOIN tg USING (book)) GROUP BY 1),
+ an AS (SELECT book, i, j, n, mean, ((1 - intensity) * s + CASE WHEN i = j THEN intensity * target ELSE 0 END) * 252 AS annual FROM bp JOIN tg USING (book) JOIN ii USING (book)),
+ sp AS (SELECT book, sum(annual) AS trace, sum(pow(mean - centre, 2)) AS spread FROM an JOIN tg USING (book) WHERE i = j GROUP BY 1),
+ es AS (SELECT book, i, j, n, annual, CASE WHEN i = j THEN (1 - pt) * mean + pt * centre END AS mu FROM an JOIN (SELECT book, centre, CASE WHEN {k_is_two} THEN 0.2 ELSE greatest(0, least(1, (k - 2) * trace / (k * t) / spread)) END AS pt FROM tg JOIN sp USING (book)) USING (book)),
+ fu AS (SELECT book, i, j, annual FROM es UNION ALL SELECT book, j, i, annual FROM es WHERE i < j), ro AS (SELECT book, i, list(annual ORDER BY j) AS r FROM fu GROUP BY ALL),
+ mx AS (SELECT book, list(i ORDER BY i) AS names, list(r ORDER BY i) AS m, list(annual ORDER BY i) AS diag, list(mu ORDER BY i) AS mu FROM ro JOIN (SELECT book, i, annual, mu FROM es WHERE i = j) USING (book, i) GROUP BY 1)"""
+
+
+#: The best of three assets under the cap 0.6: of the tangency, the corners, and the best point of every edge w_i = 0 or 0.6.
+_BEST_OF_THREE = """ex AS (SELECT book, names, m, mu, m[1][1] AS a, m[1][2] AS b, m[1][3] AS c, m[2][2] AS d, m[2][3] AS e, m[3][3] AS f, mu[1] - 0.04 AS x1, mu[2] - 0.04 AS x2, mu[3] - 0.04 AS x3 FROM mx WHERE len(names) = 3),
+ ta AS (SELECT book, [(d * f - e * e) * x1 + (c * e - b * f) * x2 + (b * e - c * d) * x3, (c * e - b * f) * x1 + (a * f - c * c) * x2 + (b * c - a * e) * x3, (b * e - c * d) * x1 + (b * c - a * e) * x2 + (a * d - b * b) * x3] AS y FROM ex),
+ ed AS (SELECT book, i, bound, i % 3 + 1 AS j, (i + 1) % 3 + 1 AS k, m, mu, greatest(0, 1 - bound - 0.6) AS low, least(0.6, 1 - bound) AS high FROM ex, (VALUES (1), (2), (3)) g(i), (VALUES (0.0::DOUBLE), (0.6::DOUBLE)) h(bound)),
+ ln AS (SELECT *, bound * (mu[i] - 0.04) + (1 - bound) * (mu[k] - 0.04) AS al, mu[j] - mu[k] AS be, bound * bound * m[i][i] + 2 * bound * (1 - bound) * m[i][k] + (1 - bound) * (1 - bound) * m[k][k] AS qa,
+   bound * (m[i][j] - m[i][k]) + (1 - bound) * (m[j][k] - m[k][k]) AS qb, m[j][j] - 2 * m[j][k] + m[k][k] AS qc FROM ed),
+ sv AS (SELECT book, i, j, k, bound, unnest([low, high, least(high, greatest(low, (be * qa - al * qb) / (al * qc - be * qb)))]) AS s FROM ln),
+ cd AS (SELECT book, list_transform([1, 2, 3], lambda q: CASE WHEN q = i THEN bound WHEN q = j THEN s ELSE 1 - bound - s END) AS w FROM sv UNION ALL SELECT book, list_transform(y, lambda v: v / list_sum(y)) FROM ta),
+ be AS (SELECT book, names, arg_max(w, (list_dot_product(w, mu) - 0.04) / sqrt(list_dot_product(w, list_transform(m, lambda v: list_dot_product(v, w))))) AS w, any_value(m) AS m, any_value(mu) AS mu
+  FROM cd JOIN ex USING (book) WHERE list_min(w) >= -1e-12 AND list_max(w) <= 0.6 + 1e-12 GROUP BY ALL)"""
+#: From aw(book, method, names, w, m, mu): a row for each name of each book and method.
+_PARTS = f"""SELECT book, method, names[q] AS name, {r('w[q]', 'w')}, {r('w[q] * list_dot_product(m[q], w) / va', 'share')}, {r('re', 'annual_return')}, {r('sqrt(va)', 'volatility')}, {r('(re - 0.04) / sqrt(va)', 'sharpe')}
+ FROM (SELECT *, list_dot_product(w, mu) AS re, list_dot_product(w, list_transform(m, lambda v: list_dot_product(v, w))) AS va, unnest(range(1, len(names) + 1)) AS q FROM aw)"""
+_FLAGS = C3 + ", books AS (SELECT DISTINCT 'flags' AS book, series_id AS name FROM ret), " + _estimates_sql() + ", " + _PARITY + ", " + _BEST_OF_THREE
+
+
+def _flags(spark, sf):
+    """The three series as one book with the weights of _weights()."""
     ret = _returns(spark, sf)
-    names, cov = portfolio.matrix(portfolio.shrunk_covariance(ret))
-    mu = {x["series_id"]: x["shrunk"] for x in portfolio.expected_returns(ret).collect()}  # one row an asset
-    sharpe = portfolio.max_sharpe(np.array([mu[n] for n in names]), cov, 0.6)
-    w = {"max_sharpe": dict(zip(names, sharpe.tolist(), strict=True)), "risk_parity": dict(zip(names, portfolio.risk_parity(cov).tolist(), strict=True)), "equal": {n: 1 / 3 for n in names}, "current": {"A": 0.5, "N": 0.3, "R": 0.2}}
-    return portfolio.strategies(ret, w)
+    held = ret.select(F.col("series_id").alias("name")).distinct().join(F.broadcast(_weights(spark)), F.col("name") == F.col("series_id"), "left")
+    return ret, held.select(F.lit("flags").alias("book"), "name", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
+@query("krn_30_strategies", f"""WITH RECURSIVE {_FLAGS}, {_W}, aw AS (SELECT 'parity' AS method, book, names, w, m, mu FROM pw UNION ALL SELECT 'sharpe', book, names, w, m, mu FROM be UNION ALL SELECT 'equal', book, names, list_transform(names, lambda v: 1 / len(names)::DOUBLE), m, mu FROM mx
+  UNION ALL SELECT 'current', book, names, (SELECT list(w.w ORDER BY series_id) FROM w), m, mu FROM mx) {_PARTS}""")
+def krn_30(spark, sf):
+    """KRN-26, KRN-27, KRN-28, KRN-30: the four strategies of the three series: the SQL descends by coordinates, and tries every corner, edge and inner point."""
+    return rounded(books.optimized(*_flags(spark, sf)).drop("residual"))
+
+
+_USERS = """ev AS (SELECT CAST(user_id AS VARCHAR) AS book, event_type AS name, sum(CAST(value AS DECIMAL(18,2))) AS spent FROM events GROUP BY ALL), dv AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS ts, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value FROM events GROUP BY ALL),
+ ret AS (SELECT series_id, ts, ln(value / lag(value) OVER (PARTITION BY series_id ORDER BY ts)) AS r FROM dv QUALIFY r IS NOT NULL), books AS (SELECT book, name FROM ev WHERE spent > 0)"""
+
+
+def _users(spark, sf):
+    """Daily returns of the event types, and users' holdings of them, one book a user."""
+    e = series.table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("ts"), F.col("value").cast("decimal(18,2)").alias("value"))
+    daily = e.groupBy(F.col("event_type").alias("series_id"), "ts").agg((F.sum("value").cast("double") / F.count("*")).alias("value"))
+    held = e.groupBy(F.col("user_id").cast("string").alias("book"), F.col("event_type").alias("name")).agg(F.sum("value").cast("double").alias("w")).where("w > 0")
+    return returns.log_returns(daily), held
+
+
+@query("krn_30_books", f"""WITH RECURSIVE {_USERS}, {_estimates_sql()}, {_PARITY}, aw AS (SELECT 'parity' AS method, book, names, w, m, mu FROM pw UNION ALL SELECT 'equal', book, names, list_transform(names, lambda v: 1 / len(names)::DOUBLE), m, mu FROM mx
+  UNION ALL SELECT 'current', book, names, list_transform(h, lambda v: v / list_sum(h)), m, mu FROM mx JOIN (SELECT book, list(CAST(spent AS DOUBLE) ORDER BY name) AS h FROM ev WHERE spent > 0 GROUP BY 1) USING (book)) {_PARTS}""")
+def krn_30_books(spark, sf):
+    """Equal risk, equal and current weights of every user's book; krn_26_books has the largest Sharpe ratio."""
+    return rounded(books.optimized(*_users(spark, sf)).where("method <> 'sharpe'").drop("residual"))
+
+
+@query("krn_26_books", f"""WITH RECURSIVE {_USERS} SELECT book, count(*) AS names, 1.0::DOUBLE AS total, TRUE AS under_cap, TRUE AS optimal, TRUE AS above_others FROM books GROUP BY 1""")
+def krn_26_books(spark, sf):
+    """The largest Sharpe ratio of every user's book: its weights add to 1 under the cap, meet the optimum's conditions to 1e-8, and no other strategy under the cap has a larger ratio."""
+    x = books.optimized(*_users(spark, sf))
+    own, cap = F.col("method") == "sharpe", F.greatest(F.lit(0.6), 1 / F.count(F.when(F.col("method") == "sharpe", 1)).over(W.partitionBy("book")))
+    g = x.withColumn("cap", cap).groupBy("book", "method").agg(F.count("*").alias("n"), F.sum("w").alias("total"), F.max("w").alias("most"), F.max("cap").alias("cap"), F.max("residual").alias("residual"), F.max("sharpe").alias("ratio"))
+    fits = F.col("most") <= F.col("cap") + 1e-9
+    b = g.groupBy("book").agg(
+        F.max(F.when(own, F.col("n"))).alias("names"), F.max(F.when(own, F.round("total", 9))).alias("total"), F.bool_and(F.when(own, fits)).alias("under_cap"),
+        F.bool_and(F.when(own, F.col("residual") < 1e-8)).alias("optimal"), F.max(F.when(own, F.col("ratio"))).alias("best"), F.max(F.when(~own & fits, F.col("ratio"))).alias("other"))
+    return b.select("book", "names", "total", "under_cap", "optimal", (F.coalesce("other", "best") <= F.col("best") + 1e-9).alias("above_others"))
 
 
 _TWO = f"""{_COV}, v AS (SELECT max(s) FILTER (i = 'A' AND j = 'A') * 252 AS aa, max(s) FILTER (i = 'A' AND j = 'N') * 252 AS an, max(s) FILTER (i = 'N' AND j = 'N') * 252 AS nn FROM s)"""
 
 
+def _two(spark, sf, method):
+    """The book of two assets with given means and the plain covariance: one row."""
+    mu = F.when(F.col("i") == F.col("j"), F.when(F.col("i") == "A", 0.15).otherwise(0.10))
+    e = _annual(spark, sf, "A", "N").select(F.lit("two").alias("book"), "i", "j", "annual", mu.alias("mu"))
+    w = books.solved(e, ("book",), cap=1.0).where(F.col("method") == method)
+    return w.groupBy("book").agg(*[F.max(F.when(F.col("name") == n, F.col("w"))).alias(n.lower()) for n in "AN"]).drop("book")
+
+
 @query("krn_26_two_assets", f"WITH {_TWO}, x AS (SELECT nn * (0.15 - 0.04) - an * (0.10 - 0.04) AS a, aa * (0.10 - 0.04) - an * (0.15 - 0.04) AS n FROM v) SELECT {r('a / (a + n)', 'a', 5)}, {r('n / (a + n)', 'n', 5)} FROM x")
 def krn_26_two(spark, sf):
     """The tangency portfolio of two assets, which has a closed form."""
-    names, cov = portfolio.matrix(_annual(spark, sf, "A", "N"))
-    w = portfolio.max_sharpe(np.array([0.15, 0.10]), cov, 1.0)
-    return rounded(spark.createDataFrame([(float(w[0]), float(w[1]))], "a double, n double"), 5)
+    return rounded(_two(spark, sf, "sharpe"), 5)
 
 
 @query("krn_27_two_assets", f"WITH {_TWO} SELECT {r('(1 / sqrt(aa)) / (1 / sqrt(aa) + 1 / sqrt(nn))', 'a')}, {r('(1 / sqrt(nn)) / (1 / sqrt(aa) + 1 / sqrt(nn))', 'n')} FROM v")
 def krn_27_two(spark, sf):
     """Equal risk of two assets: weights by inverse volatility, whatever their correlation."""
-    _, cov = portfolio.matrix(_annual(spark, sf, "A", "N"))
-    w = portfolio.risk_parity(cov)
-    return rounded(spark.createDataFrame([(float(w[0]), float(w[1]))], "a double, n double"))
+    return rounded(_two(spark, sf, "parity"))
 
 
 def _annual(spark, sf, *names):
@@ -321,13 +375,55 @@ def krn_35_walk(spark, sf):
     return rounded(rebalance.book(prices, names).drop("portfolio"))
 
 
-@query("krn_35_reoptimized")
-def krn_35_optimized(spark, sf):
-    """Equal risk contributions and the largest Sharpe ratio, solved again at every fourth rebalance from the returns before it."""
-    names, ret = ["A", "N", "R"], _returns(spark, sf)
-    parity = rebalance.optimized_weights(ret, names, lambda x: portfolio.risk_parity(np.cov(x.T)), every=84).withColumn("strategy", F.lit("parity"))
-    sharpe = rebalance.optimized_weights(ret, names, lambda x: portfolio.max_sharpe(x.mean(0) * portfolio.YEAR, np.cov(x.T) * portfolio.YEAR, 0.6, starts=2), every=84).withColumn("strategy", F.lit("sharpe"))
-    return parity.unionByName(sharpe)
+def _portfolios(spark, sf):
+    """Prices of four portfolios: each two of the three series, and all of them."""
+    prices = align.common_dates(series.daily_flags(spark, sf))
+    own = F.array(*[F.lit(p) for p in ("AN", "AR", "NR", "ANR")])
+    return prices.withColumn("portfolio", F.explode(F.filter(own, lambda p: F.contains(p, F.col("series_id")))))
+
+
+#: Pairs of the three series, rb: their rebalances, and w1 of both methods at each from the 252 returns before it.
+_PAIRS = """px AS (SELECT a.series_id || b.series_id AS portfolio, a.ts, a.value AS p1, b.value AS p2, CAST(row_number() OVER (PARTITION BY a.series_id, b.series_id ORDER BY a.ts) - 1 AS INT) AS place FROM c3 a JOIN c3 b ON a.ts = b.ts AND a.series_id < b.series_id),
+ nd AS (SELECT portfolio, count(*) AS n, CAST(greatest(least(252, count(*) - 22), 126) AS INT) AS start FROM px GROUP BY 1), rx AS (SELECT portfolio, place, ln(p1 / lag(p1) OVER w) AS x, ln(p2 / lag(p2) OVER w) AS y FROM px WINDOW w AS (PARTITION BY portfolio ORDER BY place)),
+ rb AS (SELECT portfolio, every, start + CAST(k AS INT) * every AS pl FROM nd, (VALUES (21), (63)) e(every), range(0, 400) g(k) WHERE start + k * every < n AND n - start >= 21),
+ rr AS (SELECT rb.portfolio, every, pl, x, y FROM rb JOIN rx ON rx.portfolio = rb.portfolio AND rx.place > pl - 252 AND rx.place <= pl AND rx.place > 0),
+ m1 AS (SELECT portfolio, every, pl, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS sx, var_samp(y) AS sy, covar_samp(x, y) AS sxy FROM rr GROUP BY ALL),
+ m2 AS (SELECT portfolio, every, pl, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(sx) AS sx, any_value(sy) AS sy, any_value(sxy) AS sxy,
+   avg(pow(pow(x - mx, 2) - sx, 2)) + avg(pow(pow(y - my, 2) - sy, 2)) + 2 * avg(pow((x - mx) * (y - my) - sxy, 2)) AS pi FROM rr JOIN m1 USING (portfolio, every, pl) GROUP BY ALL),
+ m3 AS (SELECT *, (sx + sy) / 2 AS tg, pow(sx - sy, 2) / 2 + 2 * sxy * sxy AS d2 FROM m2), m4 AS (SELECT *, CASE WHEN d2 < 1e-12 THEN 0 ELSE greatest(0, least(1, pi / n / d2)) END AS de FROM m3),
+ m5 AS (SELECT portfolio, every, pl, ((1 - de) * sx + de * tg) * 252 AS a, (1 - de) * sxy * 252 AS b, ((1 - de) * sy + de * tg) * 252 AS c, (0.9 * mx + 0.1 * my) * 252 - 0.04 AS x1, (0.1 * mx + 0.9 * my) * 252 - 0.04 AS x2 FROM m4),
+ m6 AS (SELECT *, unnest([0.4, 0.6, least(0.6, greatest(0.4, (c * x1 - b * x2) / (c * x1 - b * x2 + a * x2 - b * x1)))]::DOUBLE[]) AS w1 FROM m5),
+ tw AS (SELECT portfolio, every, pl, 'sharpe' AS method, arg_max(w1, (w1 * x1 + (1 - w1) * x2) / sqrt(w1 * w1 * a + 2 * w1 * (1 - w1) * b + (1 - w1) * (1 - w1) * c)) AS w1 FROM m6 GROUP BY ALL UNION ALL
+  SELECT portfolio, every, pl, 'parity', (1 / sqrt(a)) / (1 / sqrt(a) + 1 / sqrt(c)) FROM m5)"""
+_ON = "list_transform([1, 2], lambda i: {})"
+_GV, _NV = "list_dot_product(k.g, d.p)", "list_dot_product(k.n, d.p)"
+_COST = "list_sum(" + _ON.format(f"abs(d.w[i] * {_NV} / d.p[i] - k.n[i]) * d.p[i]") + ")"
+_TAX = "0.2 * list_sum(" + _ON.format(f"greatest(k.n[i] - d.w[i] * {_NV} / d.p[i], 0) * greatest(d.p[i] - k.b[i], 0)") + ")"
+
+
+@query("krn_35_walk_forward_solved", f"""WITH RECURSIVE {C3}, {_PAIRS},
+ dd AS (SELECT px.portfolio, e.every, q.method, px.place - start AS t, px.ts, [p1, p2] AS p, CASE WHEN w1 IS NOT NULL THEN [w1, 1 - w1] END AS w FROM px JOIN nd USING (portfolio), (VALUES (21), (63)) e(every), (VALUES ('sharpe'), ('parity')) q(method)
+  LEFT JOIN tw ON tw.portfolio = px.portfolio AND tw.every = e.every AND tw.method = q.method AND tw.pl = px.place WHERE px.place >= start AND n - start >= 21),
+ k AS (SELECT d.portfolio, d.every, d.method, d.t, {_ON.format('d.w[i] / d.p[i]')} AS g, {_ON.format('d.w[i] / d.p[i]')} AS n, d.p AS b, {_ON.format('d.w[i] / d.p[i]')} AS hold, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS tax FROM dd d WHERE t = 0 UNION ALL
+  SELECT d.portfolio, d.every, d.method, d.t, CASE WHEN d.w IS NOT NULL THEN {_ON.format(f'd.w[i] * {_GV} / d.p[i]')} ELSE k.g END,
+   CASE WHEN d.w IS NOT NULL THEN {_ON.format(f'd.w[i] * ({_NV} - {_COST} * 0.001 - {_TAX}) / d.p[i]')} ELSE k.n END,
+   CASE WHEN d.w IS NOT NULL THEN {_ON.format(f'CASE WHEN d.w[i] * {_NV} / d.p[i] > k.n[i] THEN d.p[i] ELSE k.b[i] END')} ELSE k.b END, k.hold,
+   CASE WHEN d.w IS NOT NULL THEN {_COST} / {_NV} ELSE 0 END, CASE WHEN d.w IS NOT NULL THEN {_TAX} ELSE 0 END
+  FROM k JOIN dd d ON d.t = k.t + 1 AND d.portfolio = k.portfolio AND d.every = k.every AND d.method = k.method)
+ SELECT portfolio, every, method, ts, {r('list_dot_product(g, p)', 'gross')}, {r('list_dot_product(n, p)', 'net')}, {r('list_dot_product(hold, p)', 'hold')}, {r('turnover', 'turnover')}, {r('tax', 'tax')} FROM k JOIN dd USING (portfolio, every, method, t)""")
+def krn_35_solved(spark, sf):
+    """The walk-forward of each two series: both methods solved again every 21 and 63 dates from the end of the burn-in; the SQL solves two assets in closed form."""
+    walk = rebalance.walk_forward(_portfolios(spark, sf))
+    return rounded(walk.where("length(portfolio) = 2").drop("cost"))
+
+
+@query("krn_35_rebalances", f"""WITH {C3}, nd AS (SELECT count(DISTINCT ts) AS n, greatest(least(252, count(DISTINCT ts) - 22), 126) AS start FROM c3) SELECT portfolio, CAST(every AS INT) AS every, method, CAST(start + k * every AS INT) AS at, CAST(length(portfolio) AS BIGINT) AS names, 1.0::DOUBLE AS total, TRUE AS optimal
+ FROM nd, (VALUES ('AN'), ('AR'), ('NR'), ('ANR')) p(portfolio), (VALUES (21), (63)) e(every), (VALUES ('sharpe'), ('parity')) q(method), range(0, 400) g(k) WHERE start + k * every < n AND n - start >= 21""")
+def krn_35_rebalances(spark, sf):
+    """Every rebalance of the four portfolios: all names have weights that add to 1 and meet the conditions of the optimum to 1e-8."""
+    w = rebalance.solved_weights(rebalance.started(_portfolios(spark, sf), 252))
+    g = w.groupBy("portfolio", "every", "method", "at").agg(F.count("*").alias("names"), F.round(F.sum("w"), 9).alias("total"), (F.max("residual") < 1e-8).alias("optimal"))
+    return g.select("portfolio", "every", "method", F.col("at").cast("int").alias("at"), "names", "total", "optimal")
 
 
 @query("krn_35_buy_and_hold", f"WITH {C3} SELECT ts, {r('avg(value / p0)', 'hold')} FROM c3 JOIN (SELECT series_id, arg_min(value, ts) AS p0 FROM c3 GROUP BY 1) USING (series_id) GROUP BY 1")
@@ -364,20 +460,12 @@ def agg_23(spark, sf):
 @query("agg_24_latest_two", """WITH y AS (SELECT o_orderpriority AS ticker, year(o_orderdate) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM orders GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY period DESC) AS rn FROM y)
  SELECT ticker, max(CASE WHEN rn = 1 THEN v END) AS latest, max(CASE WHEN rn = 2 THEN v END) AS previous FROM k WHERE rn <= 2 GROUP BY 1""")
 def agg_24(spark, sf):
-    from pyspark.sql.window import Window as W
-
     o = series.table(spark, sf, "orders")
     y = o.groupBy(F.col("o_orderpriority").alias("ticker"), F.year("o_orderdate").alias("period")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v"))
     k = y.withColumn("rn", F.row_number().over(W.partitionBy("ticker").orderBy(F.desc("period")))).where("rn <= 2")
     return k.groupBy("ticker").agg(F.max(F.when(F.col("rn") == 1, F.col("v"))).alias("latest"), F.max(F.when(F.col("rn") == 2, F.col("v"))).alias("previous"))
 
 
-@query("agg_28_standard_errors", f"WITH {C3} SELECT series_id, {r('avg(r)', 'mean')}, {r('stddev_samp(r)', 'sd')}, {r('kurtosis_pop(r)', 'kurtosis')}, {r('avg(CASE WHEN abs(r) <= 0.1 THEN 1.0 ELSE 0 END)', 'inside')} FROM ret GROUP BY 1")
-def agg_28(spark, sf):
-    return rounded(_returns(spark, sf).groupBy("series_id").agg(
-        F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.kurtosis("r").alias("kurtosis"), F.avg((F.abs("r") <= 0.1).cast("double")).alias("inside")))
-
-
 @query("agg_32_usage", "SELECT CAST(ts AS DATE) AS day, event_type AS model, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost FROM events GROUP BY ALL")
 def agg_32(spark, sf):
     return series.table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("day"), F.col("event_type").alias("model")).agg(

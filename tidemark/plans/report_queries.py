@@ -197,9 +197,9 @@ def prj_12(spark, sf):
 def agg_16(spark, sf):
     """How many pairs of series correlate by 0.7 or more, either way."""
     l = series.monthly_segments(spark, sf).select("series_id", "ts", F.ln("value").alias("r"))
-    from tidemark.operators import portfolio
+    from tidemark.operators import products
 
-    p = portfolio.paired(l).where("i < j").groupBy("i", "j").agg(F.corr("x", "y").alias("c"))
+    p = products.pair_products(l).where("i < j").select("i", "j", products.correlation().alias("c"))
     return p.agg(F.count("*").alias("pairs"), F.count_if(F.abs("c") >= reports.STRONG).alias("strong"))
 
 
