@@ -6,11 +6,13 @@ monthly series; the SQL repeats the filter as one recursive query.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.operators import backtest, decisions, evidence
+from tidemark.operators import backtest, decisions, evidence, tournament
 from tidemark.sources import series
 
 from .base import M5, r, rounded
@@ -103,6 +105,69 @@ def krn_14(spark, sf):
         decisions.robust(c, i).alias("choice"), decisions.robust(c, i, alpha=0.05).alias("choice_by_test"), decisions.robust(c, i, margin=0.02, guard=True).alias("choice_guarded")))
 
 
+#: The five segments as they are and with a season laid over them, and one series that rises once.
+_MIXED = f"""{M5}, mixed AS (SELECT series_id, ts, value FROM m5 UNION ALL SELECT series_id || ' seasonal', ts, value * (1 + 0.4::DOUBLE * sin(2 * pi() * month(ts) / 12)) FROM m5
+  UNION ALL SELECT DISTINCT 'step', ts, CASE WHEN ts >= DATE '1999-01-01' THEN 2.0::DOUBLE ELSE 1 END FROM m5)"""
+_HA, _HB, _HF = tournament.HOLT
+_WA, _WB, _WG, _WF = tournament.WINTERS
+_WE = f"(y - l - {_WF} * tr - s[1])"
+_ENGINES = f"""x AS (SELECT series_id, ts, value, ln(value) AS y, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS INT) AS place FROM mixed), nn AS (SELECT series_id, CAST(count(*) AS INT) AS n FROM x GROUP BY 1), {_grid(8)},
+ hf AS (SELECT x.series_id, 0 AS place, x.y AS l, x1.y - x.y AS tr, 0::DOUBLE AS sse FROM x JOIN x x1 ON x1.series_id = x.series_id AND x1.place = 1 WHERE x.place = 0
+  UNION ALL SELECT x.series_id, x.place, l + {_HF} * tr + {_HA} * (y - l - {_HF} * tr), {_HF} * tr + {_HA} * {_HB} * (y - l - {_HF} * tr), sse + pow(y - l - {_HF} * tr, 2) FROM hf JOIN x ON x.series_id = hf.series_id AND x.place = hf.place + 1),
+ wi AS (SELECT series_id, avg(y) FILTER (place < 12) AS m1, avg(y) FILTER (place BETWEEN 12 AND 23) AS m2, list(y ORDER BY place) FILTER (place < 12) AS ys FROM x GROUP BY 1),
+ wf AS (SELECT series_id, -1 AS place, m1 AS l, (m2 - m1) / 12 AS tr, list_transform(ys, lambda v: v - m1) AS s, 0::DOUBLE AS sse FROM wi
+  UNION ALL SELECT wf.series_id, x.place, l + {_WF} * tr + {_WA} * {_WE}, {_WF} * tr + {_WB} * {_WE}, list_append(s[2:], s[1] + {_WG} * {_WE}), sse + pow({_WE}, 2) FROM wf JOIN x ON x.series_id = wf.series_id AND x.place = wf.place + 1),
+ df AS (SELECT series_id, place, y - lag(y) OVER (PARTITION BY series_id ORDER BY place) AS d FROM x QUALIFY d IS NOT NULL), tops AS (SELECT series_id, place FROM cut UNION ALL SELECT series_id, n - 1 FROM nn),
+ dm AS (SELECT c.series_id, c.place AS top, d.place, d.d - avg(d.d) OVER (PARTITION BY c.series_id, c.place) AS e FROM tops c JOIN df d ON d.series_id = c.series_id AND d.place <= c.place),
+ ac AS (SELECT a.series_id, a.top, k, sum(a.e * b.e) AS p FROM dm a, range(1, 13) g(k), dm b WHERE b.series_id = a.series_id AND b.top = a.top AND b.place = a.place - k GROUP BY ALL),
+ vr AS (SELECT series_id, top, sum(e * e) AS v, count(*) AS nd FROM dm GROUP BY ALL),
+ ss AS (SELECT series_id, top, coalesce(bool_and(v > 1e-12) AND max(nd) >= 36 AND max(p / v) FILTER (k = 12) > 1.645 * sqrt((1 + 2 * sum(pow(p / v, 2)) FILTER (k < 12)) / max(nd)), FALSE) AS seasonal FROM vr JOIN ac USING (series_id, top) GROUP BY ALL),
+ bl AS (SELECT series_id, CASE WHEN seasonal THEN 'winters' ELSE 'holt' END AS baseline FROM ss JOIN nn USING (series_id) WHERE top = n - 1),
+ en AS (SELECT series_id, place, 'holt' AS engine, l, tr, CASE WHEN place > 1 AND sse > 0 THEN sse / place ELSE 1e-4 END AS s2, NULL::DOUBLE[] AS s, {_HA}::DOUBLE AS a, {_HA} * {_HB}::DOUBLE AS b, 0::DOUBLE AS g, {_HF}::DOUBLE AS f FROM hf
+  UNION ALL SELECT series_id, place, 'winters', l, tr, CASE WHEN sse > 0 THEN sse / (place + 1) ELSE 1e-4 END, s, {_WA}, {_WB}, {_WG}, {_WF} FROM wf),
+ fs AS (SELECT en.series_id, en.place, engine, CAST(h AS INT) AS h, t.value AS came, c.value AS last, q.value AS sn, l + tr * f * (1 - pow(f, h)) / (1 - f) + CASE WHEN engine = 'winters' THEN s[CAST((h - 1) % 12 + 1 AS INT)] ELSE 0 END AS mu,
+   s2 * (1 + coalesce((SELECT sum(pow(a + b * f * (1 - pow(f, j)) / (1 - f), 2)) FROM range(1, h) g2(j)), 0)) AS var FROM en JOIN cut USING (series_id, place), range(1, {H + 1}) g1(h) JOIN x t ON t.series_id = en.series_id AND t.place = en.place + h JOIN x c ON c.series_id = en.series_id AND c.place = en.place
+   JOIN x q ON q.series_id = en.series_id AND q.place = en.place - 12 + 1 + (h - 1) % 12),
+ sc AS (SELECT c.series_id, c.place, avg(d1) AS scale, avg(dm) AS season_scale FROM cut c JOIN (SELECT series_id, place, abs(value - lag(value) OVER w) AS d1, abs(value - lag(value, 12) OVER w) AS dm FROM x WINDOW w AS (PARTITION BY series_id ORDER BY place)) d ON d.series_id = c.series_id AND d.place <= c.place GROUP BY ALL),
+ er AS (SELECT fs.series_id, place, baseline, baseline = 'winters' AND NOT any_value(seasonal) AS base_skipped, baseline = 'holt' AND place + 1 < 36 AS rival_failed, any_value(CASE WHEN baseline = 'winters' THEN season_scale ELSE scale END) AS unit,
+   avg(abs(came - exp(mu + var / 2))) FILTER (engine = baseline) AS base_mae, avg(abs(came - exp(mu + var / 2))) FILTER (engine <> baseline) AS rival_mae,
+   100 * avg(CASE WHEN came BETWEEN exp(mu - {Z80} * sqrt(var)) AND exp(mu + {Z80} * sqrt(var)) THEN 1.0 ELSE 0 END) FILTER (engine = baseline) AS base_cov, 100 * avg(CASE WHEN came BETWEEN exp(mu - {Z80} * sqrt(var)) AND exp(mu + {Z80} * sqrt(var)) THEN 1.0 ELSE 0 END) FILTER (engine <> baseline) AS rival_cov,
+   avg(abs(came - last)) AS rw, avg(abs(came - sn)) AS snaive FROM fs JOIN bl USING (series_id) JOIN sc USING (series_id, place) JOIN ss ON ss.series_id = fs.series_id AND ss.top = fs.place GROUP BY fs.series_id, place, baseline),
+ ev AS (SELECT *, CASE WHEN unit > 0 THEN base_mae / unit END AS base, CASE WHEN unit > 0 THEN rival_mae / unit END AS rival FROM er)"""
+
+
+def mixed(spark, sf) -> DataFrame:
+    m = series.monthly_segments(spark, sf)
+    wave = F.col("value") * (1 + 0.4 * F.sin(2 * math.pi * F.month("ts") / 12))
+    step = F.when(F.col("ts") >= "1999-01-01", 2.0).otherwise(1.0)
+    own = m.withColumn("x", F.explode(F.array(F.struct("series_id", "value"), F.struct(F.concat("series_id", F.lit(" seasonal")).alias("series_id"), wave.alias("value")))))
+    return own.select("x.series_id", "ts", "x.value").unionByName(m.select(F.lit("step").alias("series_id"), "ts", step.alias("value")).distinct())
+
+
+@query("krn_13_engines", f"""WITH RECURSIVE {_MIXED}, {_ENGINES} SELECT series_id, place, baseline, base_skipped, rival_failed, {', '.join(r(c, c, 4) for c in ('base_mae', 'rival_mae', 'base', 'rival', 'base_cov', 'rival_cov', 'rw', 'snaive'))} FROM ev""")
+def krn_13_engines(spark, sf):
+    """KRN-12, KRN-13: Holt and Holt-Winters at eight cutoffs of each series; which of them is the baseline, where it was skipped, where its rival failed."""
+    return rounded(tournament.evidence_rows(mixed(spark, sf), 8, H, M).drop("cutoff"), 4)
+
+
+@query("krn_13_decided", f"""WITH RECURSIVE {_MIXED}, {_ENGINES}, u AS (SELECT *, bool_or(base IS NULL AND NOT base_skipped) OVER (PARTITION BY series_id) AS undefined FROM ev), v AS (SELECT * REPLACE (CASE WHEN undefined THEN base_mae ELSE base END AS base, CASE WHEN undefined THEN rival_mae ELSE rival END AS rival) FROM u),
+ g AS (SELECT series_id, baseline, bool_or(undefined) AS undefined, count(*) AS cutoffs, count(*) FILTER (base_skipped) AS skipped, count(*) FILTER (NOT base_skipped AND rival_failed) AS failed, count(*) FILTER (NOT base_skipped AND NOT rival_failed) AS n,
+  count(*) FILTER (NOT base_skipped AND NOT rival_failed AND rival < base) AS wins, count(*) FILTER (NOT base_skipped AND NOT rival_failed AND rival > base) AS losses, avg(base) FILTER (NOT base_skipped AND NOT rival_failed) AS base_mean, avg(rival) FILTER (NOT base_skipped AND NOT rival_failed) AS challenger_mean, avg(base) FILTER (NOT base_skipped) AS alone FROM v GROUP BY ALL)
+ SELECT series_id, baseline, CASE WHEN undefined THEN 'mae' WHEN baseline = 'winters' THEN 'mase_seasonal' ELSE 'mase' END AS metric, cutoffs, skipped, failed, n AS pairs, wins, losses, {r('coalesce(base_mean, alone)', 'base_mean', 4)}, {r('challenger_mean', 'rival_mean', 4)},
+  CASE WHEN skipped = cutoffs THEN NULL WHEN n >= 7 AND base_mean <> 0 AND wins > losses AND challenger_mean <= 0.9 * base_mean THEN CASE WHEN baseline = 'winters' THEN 'holt' ELSE 'winters' END ELSE baseline END AS engine FROM g""")
+def krn_13_decided(spark, sf):
+    """The engine of each series: on the scaled error, or the mean absolute one for the whole series where a scale is zero, with skipped and failed cutoffs counted apart."""
+    return rounded(tournament.decided(tournament.evidence_rows(mixed(spark, sf), 8, H, M)), 4)
+
+
+@query("krn_18_plan_b", f"""WITH RECURSIVE {_MIXED}, {_ENGINES}, ch AS (SELECT en.*, n FROM en JOIN nn USING (series_id) JOIN bl ON bl.series_id = en.series_id AND bl.baseline = en.engine WHERE place = n - 1),
+ fc AS (SELECT series_id, engine, n, CAST(h AS INT) AS h, l + tr * f * (1 - pow(f, h)) / (1 - f) + CASE WHEN engine = 'winters' THEN s[CAST((h - 1) % 12 + 1 AS INT)] ELSE 0 END AS mu, s2 * (1 + coalesce((SELECT sum(pow(a + b * f * (1 - pow(f, j)) / (1 - f) + CASE WHEN j % 12 = 0 THEN g ELSE 0 END, 2)) FROM range(1, h) g2(j)), 0)) AS var FROM ch, range(1, 15) g1(h))
+ SELECT series_id, engine, CASE WHEN engine = 'winters' THEN 'seasonal' ELSE 'not seasonal' END AS reason, n < 30 AS low_confidence, h, {r('exp(mu + var / 2)', 'value', 3)}, {r('exp(mu - 1.959963984540054 * sqrt(var))', 'lower', 3)}, {r('exp(mu + 1.959963984540054 * sqrt(var))', 'upper', 3)} FROM fc""")
+def krn_18_plan_b(spark, sf):
+    """The second part of KRN-18: Holt-Winters for series with a season, Holt for the others, each with its reason and forecasts."""
+    return rounded(tournament.plan_b(mixed(spark, sf), 14, M), 3)
+
+
 _BY_MEAN = "CASE WHEN challenger < base AND base_cov - challenger_cov <= {gap} THEN 'challenger' ELSE 'base' END"
 
 
