@@ -37,20 +37,71 @@ def test_largest_sharpe_ratio_meets_the_conditions_of_an_optimum(cov):
     assert (slope[w <= 1e-6] <= level + 1e-4).all() and (slope[w >= cap - 1e-6] >= level - 1e-4).all()
 
 
-def test_student_fit_has_the_largest_likelihood_of_a_finer_grid():
-    x = np.random.default_rng(5).standard_t(5, 4_000) * 0.01
-
-    def likelihood(df, s2):
-        return len(x) * (math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi * s2)) - (df + 1) / 2 * np.log1p((x - x.mean()) ** 2 / df / s2).sum()
-
-    best = max((likelihood(df, s2), df) for df in np.linspace(2.5, 12, 200) for s2 in np.geomspace(2e-5, 4e-4, 120))
-    assert abs(math.log(risk.fit_student(x) / best[1])) < 0.1
-
-
-def test_student_losses_have_the_moments_asked_for(spark):
-    x = np.random.default_rng(6).normal(0.001, 0.02, 500)
-    out = np.log1p(-np.array([r["loss"] for r in risk.student_losses(x, spark, 20_000, 10, 5.0).collect()]))
-    assert abs(out.mean() - 10 * x.mean()) < 0.002 and abs(out.std() / (x.std() * math.sqrt(10)) - 1) < 0.05
+def frame(spark, x, column="r"):
+    return spark.createDataFrame([(float(v),) for v in x], f"{column} double").repartition(4)
+
+
+def student_likelihood(x, df, mu, s2):
+    return len(x) * (math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi * s2)) - (df + 1) / 2 * np.log1p((x - mu) ** 2 / df / s2).sum()
+
+
+@pytest.mark.parametrize("degrees", [2.5, 5, 12])
+def test_student_fit_has_the_largest_likelihood(spark, degrees):
+    x = np.random.default_rng(5).standard_t(degrees, 4_000) * 0.01 + 0.002
+    f = risk.fit_student(frame(spark, x))
+    mine = student_likelihood(x, f["df"], f["loc"], f["scale"] ** 2)
+    near = max(student_likelihood(x, f["df"] * a, f["loc"] + b * f["scale"], f["scale"] ** 2 * c) for a in np.linspace(0.7, 1.4, 29) for b in np.linspace(-0.1, 0.1, 9) for c in np.linspace(0.8, 1.25, 19))
+    assert near <= mine + 1e-6
+    assert abs(math.log(f["df"] / degrees)) < 0.25 and f["n"] == 4_000
+    assert f["mean"] == pytest.approx(x.mean()) and f["sd"] == pytest.approx(x.std())
+
+
+def test_student_fits_of_odd_samples(spark):
+    normal = np.random.default_rng(8).uniform(-1, 1, 3_000)
+    assert risk.fit_student(frame(spark, normal))["df"] > 30
+    assert math.isinf(risk.fit_student(frame(spark, [0.1] * 50))["df"])
+    assert math.isinf(risk.fit_student(frame(spark, [0.1, 0.2] * 50))["df"])
+    none = risk.fit_student(spark.createDataFrame([(None,)], "r double"))
+    assert none["n"] == 0 and none["mean"] is None
+
+
+def test_student_sums_have_the_moments_asked_for(spark):
+    for df in (4.0, 60.0):
+        fit = {"mean": 0.001, "sd": 0.02, "df": df}
+        out = risk.student_sums(spark, fit, 20_000, (5, 10), 2).toPandas()
+        assert len(out) == 80_000
+        for h, g in out.groupby("horizon"):
+            assert abs(g["total"].mean() - h * 0.001) < 0.002 and abs(g["total"].std() / (0.02 * math.sqrt(h)) - 1) < 0.05
+    wide = out[out.horizon == 10].set_index(["seed", "path"])["total"]
+    assert abs(np.corrcoef(wide[1].sort_index(), wide[2].sort_index())[0, 1]) < 0.05
+
+
+def test_student_numbers_have_their_distribution(spark):
+    one = np.array([r[0] for r in spark.range(40_000).select(risk.student(F.lit(5.0), F.col("id"))[0]).collect()])
+    want = np.sort(np.random.default_rng(1).standard_t(5, 400_000))
+    for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99):
+        assert np.quantile(one, q) == pytest.approx(np.quantile(want, q), abs=0.08)
+
+
+def test_bootstrap_sums_are_those_of_their_blocks(spark):
+    r = np.random.default_rng(2).normal(0, 0.02, 300)
+    daily = spark.createDataFrame([(k, float(v)) for k, v in enumerate(r)], "at int, r double")
+    plain = {x["path"]: x["loss"] for x in risk.bootstrap_losses(daily, 50, 12, 5, seed=1).collect()}
+    sums = {x["path"]: x["total"] for x in risk.bootstrap_sums(daily, 50, (12, 7), 5, 1).where("horizon = 12").collect()}
+    assert all(1 - math.exp(sums[p]) == pytest.approx(plain[p]) for p in plain) and len(sums) == 50
+
+
+def test_quantiles_are_exact_for_any_number_of_rows(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=50_000), "b": rng.integers(0, 4, 900) * 1.0, "c": np.array([7.0]), "d": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x]
+    df = spark.createDataFrame(rows, "k string, loss double").repartition(6)
+    got = {r["k"]: r for r in risk.quantiles(df, {"lo": 0.0, "mid": 0.5, "high": 0.987, "top": 1.0}, ("k",)).collect()}
+    for k, x in groups.items():
+        assert [got[k][c] for c in ("lo", "mid", "high", "top")] == pytest.approx(np.quantile(x, [0, 0.5, 0.987, 1]).tolist())
+        assert got[k]["n"] == len(x)
+    whole = risk.quantiles(df.where("k = 'a'"), {"q": 0.95}).first()
+    assert whole["q"] == pytest.approx(np.quantile(groups["a"], 0.95))
 
 
 def test_starts_of_one_path_are_apart(spark):

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.sources.shared import settled
+
 
 def draw(*parts) -> Column:
     """An integer from 0 to 2^32 - 1 for the values of the parts: the first eight hex digits of their MD5, so that any engine can repeat it."""
@@ -53,82 +53,224 @@ def bootstrap_losses(daily: DataFrame, paths: int, horizon: int, block: int, see
     return days.join(F.broadcast(daily), "at").groupBy("path").agg((1 - F.exp(F.sum(r))).alias("loss"))  # daily: one row a day
 
 
-def bootstrap_cells(daily: DataFrame, paths: int, horizons: tuple[int, ...], block: int, seeds: int) -> DataFrame:
-    """(horizon, seed, path, plain, centered): losses of every horizon and seed (from 1) in one plan, with the sample's mean and without."""
-    def each(name: str, values: Column) -> Column:
-        return F.explode(values).alias(name)
+def _cells(spark, paths: int, horizons: tuple[int, ...], seeds: int) -> DataFrame:
+    """(path, horizon, seed) for seeds from 1."""
+    c = spark.range(paths).select(F.col("id").alias("path"), F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"))
+    return c.select("*", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed"))
 
-    t = daily.agg(F.count("*").alias("t"), F.avg("r").alias("mean"))
-    cells = daily.sparkSession.range(paths).select(F.col("id").alias("path"), each("horizon", F.array(*[F.lit(h) for h in horizons])))
-    cells = cells.select("*", each("seed", F.sequence(F.lit(1), F.lit(seeds)))).select("*", each("k", F.expr(f"sequence(0, cast(ceil(horizon / {block}) as int) - 1)"))).join(F.broadcast(t))
-    cells = cells.withColumn("start", (draw(F.col("seed"), F.col("path"), F.col("k")) % (F.col("t") - block + 1)).cast("int"))
-    days = cells.select("*", each("i", F.sequence(F.lit(0), F.lit(block - 1)))).where(F.expr(f"k * {block} + i < horizon")).withColumn("at", F.col("start") + F.col("i"))
-    return days.join(F.broadcast(daily), "at").groupBy("horizon", "seed", "path").agg((1 - F.exp(F.sum("r"))).alias("plain"), (1 - F.exp(F.sum(F.col("r") - F.col("mean")))).alias("centered"))  # daily: one row a day
 
+def bootstrap_sums(daily: DataFrame, paths: int, horizons: tuple[int, ...], block: int, seeds: int) -> DataFrame:
+    """(horizon, seed, path, total): the summed returns of block bootstrap. A block costs two look-ups of running sums, whatever its length."""
+    w = W.orderBy("at")  # one row a day
+    runs = daily.select(F.col("at"), (F.sum("r").over(w) - F.col("r")).alias("c"))
+    end = daily.agg(F.count("*").alias("at"), F.sum("r").alias("c"))
+    runs, t = runs.unionByName(end.select(F.col("at").cast("int").alias("at"), "c")), end.select(F.col("at").alias("t"))
+    x = _cells(daily.sparkSession, paths, horizons, seeds).join(F.broadcast(t))
+    x = x.withColumn("k", F.explode(F.expr(f"sequence(0, cast(ceil(horizon / {block}) as int) - 1)")))
+    x = x.withColumn("start", (draw(F.col("seed"), F.col("path"), F.col("k")) % (F.col("t") - block + 1)).cast("int"))
+    x = x.withColumn("stop", F.col("start") + F.least(F.lit(block), F.col("horizon") - F.col("k") * block))
+    a, b = F.broadcast(runs.withColumnsRenamed({"at": "start", "c": "ca"})), F.broadcast(runs.withColumnsRenamed({"at": "stop", "c": "cb"}))
+    return x.join(a, "start").join(b, "stop").groupBy("horizon", "seed", "path").agg(F.sum(F.col("cb") - F.col("ca")).alias("total"))
 
-def student_losses(returns: np.ndarray, spark, paths: int, horizon: int, df: float, seed: int = 42) -> DataFrame:
-    """(path, loss) of independent Student-t returns scaled to the sample's mean and population deviation; over 30 or up to 2 degrees, normal ones."""
-    mean, sd = float(returns.mean()), float(returns.std())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                rng = np.random.default_rng([seed, int(pdf["id"].iloc[0])])  # a batch at a time
-                size = (len(pdf), horizon)
-                x = rng.standard_normal(size) if df > 30 or df <= 2 else rng.standard_t(df, size) * math.sqrt((df - 2) / df)
-                yield pd.DataFrame({"path": pdf["id"], "loss": 1 - np.exp((mean + sd * x).sum(1))})
+def student(df: Column, *parts) -> list[Column]:
+    """Two Student-t numbers of df degrees for the values of the parts, by Bailey's polar form; their four uniforms are the quarters of one MD5."""
+    key = F.md5(F.concat_ws("-", *[p.cast("string") for p in parts]).cast("binary"))
+    u = [(F.conv(F.substring(key, 1 + 8 * i, 8), 16, 10).cast("double") + 0.5) / 2.0**32 for i in range(4)]
+    return [F.sqrt(df * (F.pow(u[2 * i], -2 / df) - 1)) * F.cos(2 * math.pi * u[2 * i + 1]) for i in range(2)]
 
-    return spark.range(paths).mapInPandas(run, "path long, loss double")
 
+def student_sums(spark, fit: dict[str, float], paths: int, horizons: tuple[int, ...], seeds: int) -> DataFrame:
+    """(horizon, seed, path, total): sums of independent Student-t returns with the sample's mean and population deviation; over 30 or up to 2 degrees, normal ones, of which the sum is drawn at once.
+
+    Of a path's returns, a shorter horizon takes the first.
+    """
+    mean, sd, df = fit["mean"], fit["sd"], fit["df"]
+    if df > 30 or df <= 2:
+        c = _cells(spark, paths, horizons, seeds)
+        return c.select("horizon", "seed", "path", (F.col("horizon") * mean + F.sqrt("horizon") * sd * normal(F.col("seed"), F.col("path"), F.col("horizon"))).alias("total"))
+    days = max(horizons)
+    c = _cells(spark, paths, (days,), seeds).drop("horizon").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit((days - 1) // 2))))
+    one, two = student(F.lit(df), F.col("seed"), F.col("path"), F.col("k"))
+    c = c.select("seed", "path", "k", one.alias("a"), two.alias("b"))
+    scale = sd * math.sqrt((df - 2) / df)
+    sums = c.groupBy("seed", "path").agg(*[F.sum(F.when(2 * F.col("k") < h, F.col("a")).otherwise(0.0) + F.when(2 * F.col("k") + 1 < h, F.col("b")).otherwise(0.0)).alias(f"s{h}") for h in horizons])
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), (h * mean + scale * F.col(f"s{h}")).alias("total")) for h in horizons])).alias("x")
+    return sums.select("seed", "path", each).select("x.horizon", "seed", "path", "x.total")
+
+
+def gaussian_sums(factor: DataFrame, weights: DataFrame, mean: DataFrame, paths: int, horizons: tuple[int, ...], seeds: int) -> DataFrame:
+    """(horizon, seed, path, total): sums of joint normal returns of the names in factor(i, j, l), the lower factor of their daily covariance.
+
+    weights(series_id, w) and mean(series_id, m), daily; the sum over a horizon is drawn at
+    once, one normal number for each name: a row for each path and name meets them.
+    """
+    parts = factor.join(weights.withColumnRenamed("series_id", "i"), "i").groupBy("j").agg(F.sum(F.col("w") * F.col("l")).alias("p"))
+    parts = parts.withColumn("k", F.row_number().over(W.orderBy("j")) - 1).select("k", "p")  # a row a name
+    m = mean.join(weights, "series_id").agg(F.sum(F.col("w") * F.col("m")).alias("m"))
+    c = _cells(factor.sparkSession, paths, horizons, seeds).join(F.broadcast(parts.join(F.broadcast(m))))
+    z = F.sum(F.col("p") * normal(F.col("seed"), F.col("path"), F.col("k"))) * F.sqrt("horizon")
+    return c.groupBy("horizon", "seed", "path").agg((F.max("m") * F.col("horizon") + z).alias("total"))
 
-def gaussian_losses(spark, mean: np.ndarray, cov: np.ndarray, weights: np.ndarray, paths: int, horizon: int, seed: int = 42) -> DataFrame:
-    """(path, loss) of joint normal returns of a few assets with daily mean and covariance: the sum over the horizon is drawn at once, by the factor of the covariance."""
-    parts = weights @ cholesky(cov) * math.sqrt(horizon)
-    total = sum((normal(F.lit(seed), F.col("id"), F.lit(j)) * float(p) for j, p in enumerate(parts)), F.lit(float(weights @ mean * horizon)))
-    return spark.range(paths).select(F.col("id").alias("path"), (1 - F.exp(total)).alias("loss"))
 
+def with_drift(sums: DataFrame, mean: float) -> DataFrame:
+    """sums as losses with the sample's mean return a day and without: (..., drift, loss)."""
+    both = F.array(F.struct(F.lit("historical").alias("drift"), F.col("total").alias("t")), F.struct(F.lit("centered").alias("drift"), (F.col("total") - F.col("horizon") * mean).alias("t")))
+    return sums.withColumn("x", F.explode(both)).withColumns({"drift": F.col("x.drift"), "loss": 1 - F.exp(F.col("x.t"))}).drop("x", "total")
 
-def nearest_psd(matrix: np.ndarray, least: float = 1e-10) -> np.ndarray:
+
+def nearest_psd(matrix: np.ndarray, least: float = 1e-8) -> np.ndarray:
     """A symmetric matrix with its eigenvalues raised to `least` where they are under it."""
     m = (matrix + matrix.T) / 2
     values, vectors = np.linalg.eigh(m)
     return m if values.min() >= least else vectors @ np.diag(np.maximum(values, least)) @ vectors.T
 
 
-def cholesky(matrix: np.ndarray) -> np.ndarray:
-    """The lower factor of a covariance, mended to be positive first."""
-    return np.linalg.cholesky(nearest_psd(matrix))
+def cholesky(matrix: np.ndarray, least: tuple[float, ...] = (1e-8, 1e-5)) -> np.ndarray:
+    """The lower factor of a covariance, mended to be positive first, harder where that does not do."""
+    for k, floor in enumerate(least):
+        try:
+            return np.linalg.cholesky(nearest_psd(matrix, floor))
+        except np.linalg.LinAlgError:
+            if k == len(least) - 1:
+                raise
+    raise ValueError("no floor given")
+
+
+def factors(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., i, j, l): the lower factor of each matrix of pairs(by..., i, j, daily), i <= j, in the order of names; a matrix is one group."""
+    keys = by or ("_one",)
+    rows = pairs if by else pairs.withColumn("_one", F.lit(1))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["i"]))
+        at = {n: k for k, n in enumerate(names)}
+        m = np.zeros((len(names), len(names)))
+        for i, j, v in pdf[["i", "j", "daily"]].itertuples(index=False):
+            m[at[i], at[j]] = m[at[j], at[i]] = v
+        low = cholesky(m)
+        out = [(names[i], names[j], float(low[i, j])) for i in range(len(names)) for j in range(i + 1)]
+        return pd.DataFrame(out, columns=["i", "j", "l"]).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "i", "j", "l"]]
+
+    out = rows.groupBy(*keys).applyInPandas(run, f"{kinds}, i string, j string, l double")
+    return out if by else out.drop("_one")
+
+
+def _digamma(x: float) -> float:
+    out = 0.0
+    while x < 8:
+        out, x = out - 1 / x, x + 1
+    f = 1 / (x * x)
+    return out + math.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
+
+
+def fit_student(daily: DataFrame, column: str = "r", most: float = 200.0, exact: float = 1e-9, rounds: int = 400) -> dict[str, float]:
+    """Degrees of freedom, location and scale of a column by maximum likelihood, and its mean and population deviation (sd).
+
+    Expectation and maximisation: a round weighs every value, w = (df + 1) / (df + d^2) of its
+    scaled distance d, and aggregates w, w x, w x^2 and log w - w, which give the next
+    location, scale and degrees; every third step is carried on by extrapolation (the
+    likelihood, aggregated in the same round, must not fall) until no parameter moves. Only
+    those sums leave the executors. Degrees stop at `most`. Null values are left out; fewer
+    than three different values give infinite degrees.
+    """
+    x = settled(daily.select(F.col(column).cast("double").alias("x")).where("x is not null"))
+    s = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.approx_count_distinct("x").alias("k")).first()
+    out = {"n": s["n"], "mean": s["mean"], "sd": s["sd"], "df": math.inf, "loc": s["mean"], "scale": s["sd"]}
+    if not s["n"] or s["k"] < 3 or not s["sd"]:
+        return out
+    n = s["n"]
+
+    def once(p: np.ndarray) -> tuple[np.ndarray, float]:
+        """The next parameters, and the likelihood of these."""
+        mu, s2, df = float(p[0]) * s["sd"] + s["mean"], math.exp(p[1]), math.exp(p[2])
+        d2 = F.pow(F.col("x") - mu, 2) / s2
+        w = (df + 1) / (df + d2)
+        r = x.agg(F.sum(w).alias("w"), F.sum(w * (F.col("x") - mu)).alias("wx"), F.sum(w * F.pow(F.col("x") - mu, 2)).alias("wxx"), F.sum(F.ln(w) - w).alias("l"), F.sum(F.log1p(d2 / df)).alias("k")).first()
+        likelihood = n * (math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi * s2)) - (df + 1) / 2 * r["k"]
+        step = r["wx"] / r["w"]
+        new_s2 = (r["wxx"] - r["w"] * step * step) / n
+        c = 1 + r["l"] / n + _digamma((df + 1) / 2) - math.log((df + 1) / 2)
+        low, high = math.log(0.05), math.log(most)
+        if math.log(most / 2) - _digamma(most / 2) + c > 0:
+            low = high
+        for _ in range(100):
+            mid = (low + high) / 2
+            v = math.exp(mid)
+            low, high = (mid, high) if math.log(v / 2) - _digamma(v / 2) + c > 0 else (low, mid)
+        return np.array([(mu + step - s["mean"]) / s["sd"], math.log(max(new_s2, 1e-300)), (low + high) / 2]), likelihood
+
+    p = np.array([0.0, math.log(s["sd"] ** 2 * 0.6), math.log(5.0)])
+    done = 0
+    while done < rounds:
+        a, base = once(p)
+        b, _ = once(a)
+        done += 2
+        if np.abs(b - a).max() < exact:
+            p = b
+            break
+        r, v = a - p, (b - a) - (a - p)
+        size = -max(1.0, float(np.linalg.norm(r) / max(1e-300, np.linalg.norm(v))))
+        far = p - 2 * size * r + size * size * v
+        far[2] = min(far[2], math.log(most))
+        then, reached = once(far)
+        done += 1
+        p = then if reached >= base and np.isfinite(then).all() else b
+    df = math.exp(p[2])
+    return {**out, "df": math.inf if df > 0.999 * most else df, "loc": float(p[0]) * s["sd"] + s["mean"], "scale": math.exp(p[1] / 2)}
+
+
+def quantiles(losses: DataFrame, levels: dict[str, float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys..., n, a column for each level): exact quantiles of loss, interpolated, for every key.
+
+    Rows are sorted into ranges of (keys, loss); a row's rank is its place in the range and
+    the counts of the ranges before. So a key with any number of rows is spread over tasks,
+    and none gathers them. Keys and losses are not null.
+    """
+    s = settled(losses.select(*keys, "loss").repartitionByRange(*keys, "loss").withColumn("_part", F.spark_partition_id()))
+    counts = s.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
+    before = W.partitionBy(*keys).orderBy("_part") if keys else W.orderBy("_part")  # a row for each range
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
+    counts = counts.withColumns({"_before": F.sum("_c").over(before) - F.col("_c"), "n": F.sum("_c").over(whole)})
+    ranked = s.withColumn("_own", F.row_number().over(W.partitionBy(*keys, "_part").orderBy("loss")) - 1)
+    ranked = ranked.join(F.broadcast(counts.drop("_c")), [*keys, "_part"]).withColumn("_rank", F.col("_own") + F.col("_before"))
+    out = {}
+    for name, q in levels.items():
+        k = (F.col("n") - 1) * F.lit(q)
+        low = F.floor(k)
+        share = F.when(F.col("_rank") == low, 1 - (k - low)).when(F.col("_rank") == low + 1, k - low)
+        out[name] = F.sum(share * F.col("loss"))
+    near = F.lit(False)
+    for q in levels.values():
+        low = F.floor((F.col("n") - 1) * F.lit(q))
+        near = near | F.col("_rank").between(low, low + 1)
+    return ranked.where(near).groupBy(*keys, "n").agg(*[c.alias(n) for n, c in out.items()])
 
 
-def fit_student(x: np.ndarray) -> float:
-    """Degrees of freedom by maximum likelihood with the sample's mean, over a fine grid with the best scale for each."""
-    x = np.asarray(x) - np.mean(x)
-    best = (-np.inf, 30.0)
-    for df in np.exp(np.linspace(math.log(2.05), math.log(60), 120)):
-        s2 = x.var()
-        for _ in range(60):  # the scale's fixed point
-            s2 = np.mean((df + 1) * x * x / (df + x * x / s2))
-        ll = len(x) * (math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi * s2)) - (df + 1) / 2 * np.log1p(x * x / df / s2).sum()
-        best = max(best, (ll, float(df)))
-    return best[1]
+def _beside(losses: DataFrame, levels: dict[str, float], keys: tuple[str, ...]) -> DataFrame:
+    """losses with the quantiles of their key: a row a key is broadcast."""
+    q = F.broadcast(quantiles(losses, levels, keys))
+    return losses.join(q, list(keys)) if keys else losses.join(q)
 
 
-def _gathered(losses: DataFrame, quantiles: dict[str, float]) -> DataFrame:
-    """A row a path with n, sd, and the quantiles (interpolated) of all losses: the paths, a parameter's number of them, are simulated once and gathered as one sorted array."""
-    g = losses.agg(F.array_sort(F.collect_list("loss")).alias("all"), F.count("*").alias("n"), F.stddev_samp("loss").alias("sd"))
+def study(losses: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """VaR and CVaR at 95 and 99 percent, and how often over 10, 20 and 30 percent is lost, for each key."""
+    x = _beside(losses, {"var95": 0.95, "var99": 0.99}, keys)
 
-    def at(q: float):
-        k = (F.col("n") - 1) * F.lit(q)
-        low = F.floor(k).cast("int")
-        a, b = (F.get("all", F.least(low + i, F.col("n").cast("int") - 1)) for i in (0, 1))
-        return a + (b - a) * (k - low)
+    def beyond(v: str) -> Column:
+        return F.greatest(F.avg(F.when(F.col("loss") >= F.col(v), F.col("loss"))), F.max(v))
 
-    return g.select("n", "sd", *[at(q).alias(c) for c, q in quantiles.items()], F.explode("all").alias("loss"))
+    return x.groupBy(*keys).agg(
+        F.max("var95").alias("var95"), beyond("var95").alias("cvar95"), F.max("var99").alias("var99"), beyond("var99").alias("cvar99"),
+        *[F.avg((F.col("loss") > p / 100).cast("double")).alias(f"p{p}") for p in (10, 20, 30)])
 
 
 def measures(losses: DataFrame, levels: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
     """VaR, CVaR (not under VaR) and the VaR's standard error by the density of the losses at it, for each level."""
-    rows = _gathered(losses, {f"q{i}": q for i, q in enumerate(levels)})
+    losses = settled(losses)
+    sd = losses.agg(F.stddev_samp("loss").alias("sd"))
+    rows = _beside(losses, {f"q{i}": q for i, q in enumerate(levels)}, ()).join(F.broadcast(sd))
     kinds = F.array(*[F.struct(F.lit(q).alias("level"), F.col(f"q{i}").alias("var")) for i, q in enumerate(levels)])
     h = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
     g = rows.select("n", "sd", "loss", F.explode(kinds).alias("x")).select("n", "sd", "loss", "x.*").groupBy("level").agg(
@@ -146,6 +288,7 @@ def exceedance(losses: DataFrame, limits: tuple[float, ...] = (0.1, 0.2, 0.3)) -
 
 def histogram(losses: DataFrame, bins: int = 30) -> DataFrame:
     """Equal bins from the least to the largest loss, the last one closed: bin, count and density."""
+    losses = settled(losses)
     e = losses.agg(F.min("loss").alias("lo"), F.max("loss").alias("hi"), F.count("*").alias("n"))
     x = losses.join(F.broadcast(e)).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
     at = F.coalesce(F.least(F.floor(F.try_divide(F.col("loss") - F.col("lo"), "width")), F.lit(bins - 1)), F.lit(0)).alias("bin")
@@ -155,6 +298,7 @@ def histogram(losses: DataFrame, bins: int = 30) -> DataFrame:
 
 def report(losses: DataFrame, seed: int) -> DataFrame:
     """One row: the seed, VaR at 95 and 99 percent, CVaR, median, mean, and how often more than 10 percent is lost."""
-    return _gathered(losses, {"var95": 0.95, "var99": 0.99, "median": 0.5}).groupBy("var95", "var99", "median").agg(
+    x = _beside(settled(losses), {"var95": 0.95, "var99": 0.99, "median": 0.5}, ())
+    return x.groupBy("var95", "var99", "median").agg(
         F.greatest(F.avg(F.when(F.col("loss") >= F.col("var95"), F.col("loss"))), F.max("var95")).alias("cvar95"), F.avg("loss").alias("mean"),
         F.avg((F.col("loss") > 0.1).cast("double")).alias("over_10pct")).select(F.lit(seed).alias("seed"), "var95", "var99", "cvar95", "median", "mean", "over_10pct")

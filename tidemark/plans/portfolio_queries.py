@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.operators import align, books, holt, portfolio, rebalance, returns, risk
 from tidemark.sources import series
+from tidemark.sources.shared import settled
 
 from .base import C3, D3, r, rounded
 
@@ -138,19 +138,6 @@ def krn_34(spark, sf):
     return rounded(risk.report(risk.bootstrap_losses(daily, PATHS, DAYS, BLOCK, centered=True), 42))
 
 
-_CELLS = f"""{_DAILY}, cl AS (SELECT h, s, path, k, {_draw('s', 'path', 'k')} % (t - {BLOCK} + 1) AS s0 FROM (VALUES (10), (30)) a(h), range(1, 6) b(s), range(0, 300) c(path), range(0, 6) e(k), tt WHERE k * {BLOCK} < h),
- pl AS (SELECT h, s, path, 1 - exp(sum(r)) AS plain, 1 - exp(sum(r - mean)) AS centred FROM cl, range(0, {BLOCK}) g(i), d, tt WHERE d.at = s0 + i GROUP BY ALL), vs AS (SELECT h, s, 'plain' AS drift, quantile_cont(plain, 0.95) AS var FROM pl GROUP BY ALL UNION ALL SELECT h, s, 'centred', quantile_cont(centred, 0.95) FROM pl GROUP BY ALL)"""
-
-
-@query("krn_52_drift_study", f"WITH {_CELLS} SELECT h AS horizon, drift, count(*) AS seeds, {r('avg(var)', 'mean')}, {r('stddev_samp(var)', 'sd')} FROM vs GROUP BY ALL")
-def krn_52(spark, sf):
-    """KRN-52, AGG-31: the VaR by horizon and drift over five seeds."""
-    daily = risk.portfolio_returns(_returns(spark, sf), _weights(spark))
-    v = risk.bootstrap_cells(daily, 300, (10, 30), BLOCK, 5).groupBy("horizon", "seed").agg(*[F.percentile(c, F.lit(0.95)).alias(c) for c in ("plain", "centered")])
-    cells = v.select("horizon", "seed", F.explode(F.create_map(F.lit("plain"), "plain", F.lit("centred"), "centered")).alias("drift", "var"))
-    return rounded(cells.groupBy("horizon", "drift").agg(F.count("*").alias("seeds"), F.avg("var").alias("mean"), F.stddev_samp("var").alias("sd")))
-
-
 _FACTOR = f"""{_LW}, {_W}, v AS (SELECT max(annual) FILTER (i = 'A' AND j = 'A') / 252 AS aa, max(annual) FILTER (i = 'A' AND j = 'N') / 252 AS an, max(annual) FILTER (i = 'A' AND j = 'R') / 252 AS ar, max(annual) FILTER (i = 'N' AND j = 'N') / 252 AS nn, max(annual) FILTER (i = 'N' AND j = 'R') / 252 AS nr, max(annual) FILTER (i = 'R' AND j = 'R') / 252 AS rr FROM lw),
  f1 AS (SELECT *, sqrt(aa) AS l11, an / sqrt(aa) AS l21, ar / sqrt(aa) AS l31 FROM v), f2 AS (SELECT *, sqrt(nn - l21 * l21) AS l22, (nr - l31 * l21) / sqrt(nn - l21 * l21) AS l32 FROM f1), ch AS (SELECT *, sqrt(rr - l31 * l31 - l32 * l32) AS l33 FROM f2)"""
 
@@ -158,20 +145,101 @@ _FACTOR = f"""{_LW}, {_W}, v AS (SELECT max(annual) FILTER (i = 'A' AND j = 'A')
 @query("mth_06_cholesky", f"""WITH {_FACTOR}, x AS (SELECT unnest([{{'i': 'A', 'j': 'A', 'v': l11}}, {{'i': 'N', 'j': 'A', 'v': l21}}, {{'i': 'N', 'j': 'N', 'v': l22}}, {{'i': 'R', 'j': 'A', 'v': l31}}, {{'i': 'R', 'j': 'N', 'v': l32}}, {{'i': 'R', 'j': 'R', 'v': l33}}]) AS x FROM ch) SELECT x.i AS i, x.j AS j, {r('x.v', 'l', 9)} FROM x""")
 def mth_06(spark, sf):
     """The lower factor of the shrunk daily covariance."""
-    names, cov = portfolio.matrix(portfolio.shrunk_covariance(_returns(spark, sf)))
-    low = risk.cholesky(cov / portfolio.YEAR)
-    return rounded(spark.createDataFrame([(names[i], names[j], float(low[i, j])) for i in range(len(names)) for j in range(i + 1)], "i string, j string, l double"), 9)
+    return rounded(_factor(spark, sf), 9)
+
+
+def _factor(spark, sf):
+    return risk.factors(portfolio.shrunk_covariance(_returns(spark, sf)).withColumn("daily", F.col("annual") / portfolio.YEAR))
 
 
-@query("krn_33_gaussian", f"""WITH {_FACTOR}, mu AS (SELECT sum(w * m) AS mean FROM (SELECT series_id, avg(r) AS m FROM ret GROUP BY 1) JOIN w USING (series_id)),
- c AS (SELECT sqrt({DAYS}) * (0.5 * l11 + 0.3 * l21 + 0.2 * l31) AS p0, sqrt({DAYS}) * (0.3 * l22 + 0.2 * l32) AS p1, sqrt({DAYS}) * 0.2 * l33 AS p2, mean FROM ch, mu)
- SELECT path, {r(f"1 - exp({DAYS} * mean + p0 * {_normal(chr(39) + '42' + chr(39), 'path', '0')} + p1 * {_normal(chr(39) + '42' + chr(39), 'path', '1')} + p2 * {_normal(chr(39) + '42' + chr(39), 'path', '2')})", 'loss')} FROM c, range(0, {PATHS}) g(path)""")
+def _means(spark, sf):
+    return _returns(spark, sf).groupBy("series_id").agg(F.avg("r").alias("m"))
+
+
+_GAUSS = f"""mu AS (SELECT sum(w * m) AS mean FROM (SELECT series_id, avg(r) AS m FROM ret GROUP BY 1) JOIN w USING (series_id)),
+ gc AS (SELECT 0.5 * l11 + 0.3 * l21 + 0.2 * l31 AS p0, 0.3 * l22 + 0.2 * l32 AS p1, 0.2 * l33 AS p2, mu.mean FROM ch, mu)"""
+
+
+@query("krn_33_gaussian", f"""WITH {_FACTOR}, {_GAUSS} SELECT path, {r(f"1 - exp({DAYS} * mean + sqrt({DAYS}) * (p0 * {_normal('1', 'path', '0')} + p1 * {_normal('1', 'path', '1')} + p2 * {_normal('1', 'path', '2')}))", 'loss')} FROM gc, range(0, {PATHS}) g(path)""")
 def krn_33(spark, sf):
     """Joint normal returns with the shrunk covariance, by its factor."""
-    ret = _returns(spark, sf)
-    names, cov = portfolio.matrix(portfolio.shrunk_covariance(ret))
-    mean = {x["series_id"]: x["m"] for x in ret.groupBy("series_id").agg(F.avg("r").alias("m")).collect()}  # one row an asset
-    return rounded(risk.gaussian_losses(spark, np.array([mean[n] for n in names]), cov / portfolio.YEAR, np.array([0.5, 0.3, 0.2]), PATHS, DAYS))
+    sums = risk.gaussian_sums(_factor(spark, sf), _weights(spark), _means(spark, sf), PATHS, (DAYS,), 1)
+    return rounded(sums.select("path", (1 - F.exp("total")).alias("loss")))
+
+
+#: Student's t by maximum likelihood: the same optimum by plain gradient steps on the whole list of returns; psi by differences of lgamma.
+def _psi(x: str) -> str:
+    return f"((lgamma({x} + 1e-4) - lgamma({x} - 1e-4)) / 2e-4)"
+
+
+_D2 = "pow(v - mu, 2) / s2"
+_STUDENT = f"""tx AS (SELECT list(r) AS xs, count(*) AS n, avg(r) AS mean, stddev_pop(r) AS sd FROM d),
+ em AS (SELECT 0 AS step, mean AS mu, 0.6 * sd * sd AS s2, 5.0::DOUBLE AS nu FROM tx UNION ALL
+  SELECT step + 1, list_sum(list_transform(xs, lambda v: v * (nu + 1) / (nu + {_D2}))) / list_sum(list_transform(xs, lambda v: (nu + 1) / (nu + {_D2}))),
+   list_sum(list_transform(xs, lambda v: pow(v - mu, 2) * (nu + 1) / (nu + {_D2}))) / n,
+   least(200.0::DOUBLE, nu * exp(least(0.5, greatest(-0.5, 6 * nu * ({_psi('(nu + 1) / 2')} / 2 - {_psi('nu / 2')} / 2 - 0.5 / nu - 0.5 * list_sum(list_transform(xs, lambda v: ln(1 + {_D2} / nu))) / n + (nu + 1) / 2 * list_sum(list_transform(xs, lambda v: {_D2} / (nu * nu + nu * {_D2}))) / n)))))
+  FROM em, tx WHERE step < 1500),
+ ft AS (SELECT CASE WHEN nu > 199.8 THEN 'Infinity'::DOUBLE ELSE nu END AS df, mu, sqrt(s2) AS scale, n, mean, sd FROM em, tx WHERE step = 1500)"""
+
+
+@query("krn_32_fit", f"WITH RECURSIVE {_DAILY}, {_STUDENT} SELECT n, {r('least(df, 200)', 'df', 2)}, {r('mu', 'loc', 5)}, {r('scale', 'scale', 5)} FROM ft")
+def krn_32_fit(spark, sf):
+    """Degrees of freedom, location and scale of the portfolio's returns: expectation and maximisation whose sums are aggregates."""
+    f = risk.fit_student(risk.portfolio_returns(_returns(spark, sf), _weights(spark)))
+    out = spark.createDataFrame([(f["n"], min(f["df"], 200.0), f["loc"], f["scale"])], "n long, df double, loc double, scale double")
+    return out.select("n", (F.round("df", 2) + F.lit(0.0)).alias("df"), *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("loc", "scale")])
+
+
+def _student_sql(seed: str, horizons: tuple[int, ...], paths: int) -> str:
+    """ts(h, s, path, total) from ft and seeds {seed}: sums of t numbers, or one normal number for their sum."""
+    u = [f"((CAST('0x' || substr(md5(s || '-' || path || '-' || k), {1 + 8 * i}, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)" for i in range(4)]
+    t = [f"sqrt(df * (pow({u[2 * i]}, -2 / df) - 1)) * cos(2 * pi() * {u[2 * i + 1]})" for i in range(2)]
+    sums = ", ".join(f"sum(CASE WHEN 2 * k < {h} THEN a ELSE 0 END + CASE WHEN 2 * k + 1 < {h} THEN b ELSE 0 END) AS s{h}" for h in horizons)
+    each = " UNION ALL ".join(f"SELECT {h} AS h, s, path, {h} * mean + sd * sqrt((df - 2) / df) * s{h} AS total FROM tt2, ft" for h in horizons)
+    plain = " UNION ALL ".join(f"SELECT {h}, s, path, {h} * mean + sqrt({h}) * sd * {_normal('s', 'path', str(h))} FROM ft, {seed}, range(0, {paths}) g(path) WHERE df > 30 OR df <= 2" for h in horizons)
+    return f"""tt1 AS (SELECT s, path, k, {t[0]} AS a, {t[1]} AS b FROM ft, {seed}, range(0, {paths}) g(path), range(0, {(max(horizons) + 1) // 2}) q(k) WHERE df <= 30 AND df > 2), tt2 AS (SELECT s, path, {sums} FROM tt1 GROUP BY ALL), ts AS ({each} UNION ALL {plain})"""
+
+
+@query("krn_32_student", f"WITH RECURSIVE {_DAILY}, {_STUDENT}, {_student_sql('(VALUES (1)) z(s)', (DAYS,), PATHS)} SELECT path, {r('1 - exp(total)', 'loss', 4)} FROM ts")
+def krn_32(spark, sf):
+    """Losses of Student-t returns with the fitted degrees of freedom, scaled to the sample's deviation."""
+    daily = risk.portfolio_returns(_returns(spark, sf), _weights(spark))
+    sums = risk.student_sums(spark, risk.fit_student(daily), PATHS, (DAYS,), 1)
+    return rounded(sums.select("path", (1 - F.exp("total")).alias("loss")), 4)
+
+
+SEEDS, RUNS, HORIZONS = 20, 10_000, (30, 90, 252)
+STUDY = ("var95", "cvar95", "var99", "cvar99", "p10", "p20", "p30")
+_SEEDS = f"range(1, {SEEDS + 1}) z(s)"
+_STUDY = f"""pf AS (SELECT d.at AS place, sum(r) OVER (ORDER BY d.at) - r AS c FROM d UNION ALL SELECT count(*), sum(r) FROM d),
+ bs AS (SELECT h, s, path, sum(b.c - a.c) AS total FROM (SELECT h, s, path, k, {_draw('s', 'path', 'k')} % (t - {BLOCK} + 1) AS st, least({BLOCK}, h - k * {BLOCK}) AS len FROM (VALUES {', '.join(f'({h})' for h in HORIZONS)}) hh(h), {_SEEDS}, range(0, {RUNS}) g(path), range(0, {-(-max(HORIZONS) // BLOCK)}) q(k), tt WHERE k * {BLOCK} < h)
+  JOIN pf a ON a.place = st JOIN pf b ON b.place = st + len GROUP BY ALL),
+ gz AS (SELECT s, path, mean, p0 * {_normal('s', 'path', '0')} + p1 * {_normal('s', 'path', '1')} + p2 * {_normal('s', 'path', '2')} AS z FROM gc, {_SEEDS}, range(0, {RUNS}) g(path)),
+ gs AS (SELECT h, s, path, h * mean + sqrt(h) * z AS total FROM gz, (VALUES {', '.join(f'({h})' for h in HORIZONS)}) hh(h)),
+ al AS (SELECT 'bootstrap' AS method, * FROM bs UNION ALL SELECT 'student', * FROM ts UNION ALL SELECT 'gaussian', * FROM gs),
+ ls AS (SELECT method, h, s, drift, 1 - exp(total - CASE WHEN drift = 'centered' THEN h * tt.mean ELSE 0 END) AS loss FROM al, tt, (VALUES ('historical'), ('centered')) dr(drift)),
+ qs AS (SELECT method, h, s, drift, quantile_cont(loss, 0.95) AS var95, quantile_cont(loss, 0.99) AS var99 FROM ls GROUP BY ALL),
+ rs AS (SELECT method, h, s, drift, var95, var99, greatest(avg(CASE WHEN loss >= var95 THEN loss END), var95) AS cvar95, greatest(avg(CASE WHEN loss >= var99 THEN loss END), var99) AS cvar99, avg(CASE WHEN loss > 0.1 THEN 1.0 ELSE 0 END) AS p10, avg(CASE WHEN loss > 0.2 THEN 1.0 ELSE 0 END) AS p20, avg(CASE WHEN loss > 0.3 THEN 1.0 ELSE 0 END) AS p30 FROM ls JOIN qs USING (method, h, s, drift) GROUP BY method, h, s, drift, var95, var99)"""
+
+
+@query("krn_52_drift_study", f"""WITH RECURSIVE {_FACTOR}, {_DAILY.removeprefix(C3 + ', ' + _W + ', ')}, {_GAUSS}, {_STUDENT}, {_student_sql(_SEEDS, HORIZONS, RUNS)}, {_STUDY}
+ SELECT method, h AS horizon, drift, count(*) AS seeds, {', '.join(r(f'avg({m})', m, 6 if m[0] == 'p' else 4) + ', ' + r(f'stddev_samp({m})', m + '_sd', 4) for m in STUDY)} FROM rs GROUP BY ALL""")
+def krn_52(spark, sf):
+    """KRN-52, AGG-31: seven measures by method, horizon and drift over 20 seeds of 10,000 paths, mean and deviation."""
+    ret, w = _returns(spark, sf), _weights(spark)
+    daily = settled(risk.portfolio_returns(ret, w))
+    fit = risk.fit_student(daily)
+    sums = {
+        "bootstrap": risk.bootstrap_sums(daily, RUNS, HORIZONS, BLOCK, SEEDS), "student": risk.student_sums(spark, fit, RUNS, HORIZONS, SEEDS),
+        "gaussian": risk.gaussian_sums(settled(_factor(spark, sf)), w, _means(spark, sf), RUNS, HORIZONS, SEEDS),
+    }
+    every = None
+    for method, s in sums.items():
+        s = s.select(F.lit(method).alias("method"), "horizon", "seed", "total")
+        every = s if every is None else every.unionByName(s)
+    cells = risk.study(settled(risk.with_drift(every, fit["mean"])), ("method", "horizon", "seed", "drift"))
+    means = [F.round(F.avg(m), 6 if m[0] == "p" else 4).alias(m) for m in STUDY]  # shares of 200,000 paths have six digits
+    return cells.groupBy("method", "horizon", "drift").agg(F.count("*").alias("seeds"), *means, *[F.round(F.stddev_samp(m), 4).alias(f"{m}_sd") for m in STUDY])
 
 
 _STRATEGY = """SELECT '{n}' AS strategy, {a}, {v}, {s} FROM (SELECT avg(r) * 252 AS annual_return, stddev_samp(r) * sqrt(252) AS volatility FROM (SELECT ts, sum({w} * r) AS r FROM ret JOIN w USING (series_id) GROUP BY 1))"""
@@ -314,19 +382,19 @@ def krn_29(spark, sf):
     return rounded(f.join(last, "series_id").select("series_id", F.round(mu, 5).alias("mu"), (F.abs(mu) > 1).alias("warning")))
 
 
-@query("agg_13_p_values", f"""WITH {_PAIR}, p AS (SELECT i, j, corr(x, y) AS c, count(*) AS n FROM pr GROUP BY ALL), t AS (SELECT i, j, n, c, CASE WHEN abs(c) >= 1 THEN NULL ELSE abs(c) * sqrt((n - 2) / (1 - c * c)) END AS t FROM p)
- SELECT i, j, n, {r('CASE WHEN i = j THEN 1 ELSE c END', 'pearson')}, CASE WHEN i = j THEN 0 ELSE p_of(t, n - 2) END AS p FROM t""".replace("CASE WHEN i = j THEN 0 ELSE p_of(t, n - 2) END AS p", r(
-    "CASE WHEN i = j THEN 0 ELSE 2 * (SELECT sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t + k * 0.005::DOUBLE, 2) / (n - 2), -(n - 1) / 2.0::DOUBLE)) * 0.005 / 3 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) FROM range(0, 4001) g(k)) END", "p", 5)))
-def agg_13_p(spark, sf):
-    """Two-sided p-values of the correlations; the SQL integrates the density of Student's t."""
-    return rounded(portfolio.p_values(portfolio.correlations(_returns(spark, sf))).select("i", "j", "n", "pearson", F.round("pearson_p", 5).alias("p")))
+def _p_sql(c: str) -> str:
+    """The two-sided p of a correlation c of n pairs: Student's density integrated by Simpson's rule."""
+    t = f"(abs({c}) * sqrt((n - 2) / (1 - {c} * {c})))"
+    return f"""CASE WHEN i = j THEN 0 WHEN abs({c}) >= 1 THEN 0 ELSE 2 * (SELECT sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow({t} + k * 0.005::DOUBLE, 2) / (n - 2), -(n - 1) / 2.0::DOUBLE)) * 0.005 / 3 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) FROM range(0, 4001) g(k)) END"""
 
 
-@query("krn_32_student")
-def krn_32(spark, sf):
-    """Measures of Student-t losses; the degrees of freedom by maximum likelihood."""
-    daily = np.array([x["r"] for x in risk.portfolio_returns(_returns(spark, sf), _weights(spark)).orderBy("at").collect()])  # one return a day
-    return risk.measures(risk.student_losses(daily, spark, PATHS, DAYS, risk.fit_student(daily)))
+@query("agg_13_p_values", f"""WITH {_PAIR}, k AS (SELECT series_id, ts, rank() OVER (PARTITION BY series_id ORDER BY r) + (count(*) OVER (PARTITION BY series_id, r) - 1) / 2.0 AS r FROM ret),
+ q AS (SELECT a.series_id AS i, b.series_id AS j, corr(a.r, b.r) AS sc FROM k a JOIN k b ON a.ts = b.ts AND a.series_id <= b.series_id GROUP BY ALL), p AS (SELECT i, j, corr(x, y) AS pc, count(*) AS n FROM pr GROUP BY ALL)
+ SELECT i, j, n, {r('CASE WHEN i = j THEN 1 ELSE pc END', 'pearson')}, {r('CASE WHEN i = j THEN 1 ELSE sc END', 'spearman')}, {r(_p_sql('pc'), 'pearson_p', 5)}, {r(_p_sql('sc'), 'spearman_p', 5)} FROM p JOIN q USING (i, j)""")
+def agg_13_p(spark, sf):
+    """AGG-13, AGG-14: both coefficients with their two-sided p-values; the SQL integrates the density of Student's t."""
+    p = portfolio.p_values(portfolio.correlations(_returns(spark, sf)))
+    return rounded(p.select("i", "j", "n", "pearson", "spearman", *[F.round(c, 5).alias(c) for c in ("pearson_p", "spearman_p")]))
 
 
 def _book(spark, sf):
