@@ -67,14 +67,6 @@ def year_before(points: DataFrame, days: int = 365) -> DataFrame:
     })
 
 
-def as_published(vintages: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Of vintages(series_id, ts, published, value): what was known of each observation at each cutoff, against its first and its last value."""
-    known = vintages.join(F.broadcast(cutoffs), F.expr("ts <= cutoff and published <= cutoff")).groupBy("series_id", "cutoff", "ts").agg(
-        F.max_by("value", "published").alias("known"))
-    ends = vintages.groupBy("series_id", "ts").agg(F.min_by("value", "published").alias("first_release"), F.max_by("value", "published").alias("current"))
-    return known.join(ends, ["series_id", "ts"])
-
-
 def date_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     """Dates of either side with where they are: both, left or right."""
     both = a.select("ts").distinct().withColumn("l", F.lit(1)).join(b.select("ts").distinct().withColumn("r", F.lit(1)), "ts", "full_outer")
@@ -88,16 +80,3 @@ def visible(points: DataFrame, last: int, days: int | None = None) -> DataFrame:
         return points.withColumn("_end", end).where(F.col("ts") >= F.date_sub("_end", days)).drop("_end")
     w = W.partitionBy("series_id").orderBy(F.desc("ts"))
     return points.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= last).drop("_rn")
-
-
-def vintage_errors(vintages: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Mean absolute errors of the last value as a forecast of the next one: from what was known at the cutoff or as revised since, against the first release or today's value."""
-    ends = vintages.groupBy("series_id", "ts").agg(F.min_by("value", "published").alias("first_release"), F.max_by("value", "published").alias("current"))
-    c = F.broadcast(cutoffs)  # a few dozen dates
-    known = vintages.join(c, F.col("published") <= F.col("cutoff")).groupBy("series_id", "cutoff").agg(F.max_by("value", F.struct("ts", "published")).alias("known"))
-    today = ends.join(c, F.col("ts") <= F.col("cutoff")).groupBy("series_id", "cutoff").agg(F.max_by("current", "ts").alias("today"))
-    then = ends.join(c, F.col("ts") > F.col("cutoff")).groupBy("series_id", "cutoff").agg(F.min_by("first_release", "ts").alias("first_release"), F.min_by("current", "ts").alias("current"))
-    x = known.join(today, ["series_id", "cutoff"]).join(then, ["series_id", "cutoff"])
-    return x.groupBy("series_id").agg(F.count("*").alias("n"), *[
-        F.avg(F.abs(F.col(actual) - F.col(base))).alias(name) for name, actual, base in (
-            ("known_vs_first", "first_release", "known"), ("known_vs_current", "current", "known"), ("revised_vs_first", "first_release", "today"), ("revised_vs_current", "current", "today"))])

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.operators import backtest, decisions, evidence, tournament
+from tidemark.operators import backtest, decisions, evidence, tournament, vintage
 from tidemark.sources import series
+from tidemark.sources.shared import settled
 
-from .base import M5, r, rounded
+from .base import M1, M5, r, rounded
 
 QUERIES, SQL = {}, {}
 
@@ -111,20 +112,21 @@ _MIXED = f"""{M5}, mixed AS (SELECT series_id, ts, value FROM m5 UNION ALL SELEC
 _HA, _HB, _HF = tournament.HOLT
 _WA, _WB, _WG, _WF = tournament.WINTERS
 _WE = f"(y - l - {_WF} * tr - s[1])"
-_ENGINES = f"""x AS (SELECT series_id, ts, value, ln(value) AS y, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS INT) AS place FROM mixed), nn AS (SELECT series_id, CAST(count(*) AS INT) AS n FROM x GROUP BY 1), {_grid(8)},
- hf AS (SELECT x.series_id, 0 AS place, x.y AS l, x1.y - x.y AS tr, 0::DOUBLE AS sse FROM x JOIN x x1 ON x1.series_id = x.series_id AND x1.place = 1 WHERE x.place = 0
+_FILTERS = f"""hf AS (SELECT x.series_id, 0 AS place, x.y AS l, x1.y - x.y AS tr, 0::DOUBLE AS sse FROM x JOIN x x1 ON x1.series_id = x.series_id AND x1.place = 1 WHERE x.place = 0
   UNION ALL SELECT x.series_id, x.place, l + {_HF} * tr + {_HA} * (y - l - {_HF} * tr), {_HF} * tr + {_HA} * {_HB} * (y - l - {_HF} * tr), sse + pow(y - l - {_HF} * tr, 2) FROM hf JOIN x ON x.series_id = hf.series_id AND x.place = hf.place + 1),
  wi AS (SELECT series_id, avg(y) FILTER (place < 12) AS m1, avg(y) FILTER (place BETWEEN 12 AND 23) AS m2, list(y ORDER BY place) FILTER (place < 12) AS ys FROM x GROUP BY 1),
  wf AS (SELECT series_id, -1 AS place, m1 AS l, (m2 - m1) / 12 AS tr, list_transform(ys, lambda v: v - m1) AS s, 0::DOUBLE AS sse FROM wi
   UNION ALL SELECT wf.series_id, x.place, l + {_WF} * tr + {_WA} * {_WE}, {_WF} * tr + {_WB} * {_WE}, list_append(s[2:], s[1] + {_WG} * {_WE}), sse + pow({_WE}, 2) FROM wf JOIN x ON x.series_id = wf.series_id AND x.place = wf.place + 1),
- df AS (SELECT series_id, place, y - lag(y) OVER (PARTITION BY series_id ORDER BY place) AS d FROM x QUALIFY d IS NOT NULL), tops AS (SELECT series_id, place FROM cut UNION ALL SELECT series_id, n - 1 FROM nn),
+ df AS (SELECT series_id, place, y - lag(y) OVER (PARTITION BY series_id ORDER BY place) AS d FROM x QUALIFY d IS NOT NULL),
  dm AS (SELECT c.series_id, c.place AS top, d.place, d.d - avg(d.d) OVER (PARTITION BY c.series_id, c.place) AS e FROM tops c JOIN df d ON d.series_id = c.series_id AND d.place <= c.place),
  ac AS (SELECT a.series_id, a.top, k, sum(a.e * b.e) AS p FROM dm a, range(1, 13) g(k), dm b WHERE b.series_id = a.series_id AND b.top = a.top AND b.place = a.place - k GROUP BY ALL),
  vr AS (SELECT series_id, top, sum(e * e) AS v, count(*) AS nd FROM dm GROUP BY ALL),
  ss AS (SELECT series_id, top, coalesce(bool_and(v > 1e-12) AND max(nd) >= 36 AND max(p / v) FILTER (k = 12) > 1.645 * sqrt((1 + 2 * sum(pow(p / v, 2)) FILTER (k < 12)) / max(nd)), FALSE) AS seasonal FROM vr JOIN ac USING (series_id, top) GROUP BY ALL),
- bl AS (SELECT series_id, CASE WHEN seasonal THEN 'winters' ELSE 'holt' END AS baseline FROM ss JOIN nn USING (series_id) WHERE top = n - 1),
  en AS (SELECT series_id, place, 'holt' AS engine, l, tr, CASE WHEN place > 1 AND sse > 0 THEN sse / place ELSE 1e-4 END AS s2, NULL::DOUBLE[] AS s, {_HA}::DOUBLE AS a, {_HA} * {_HB}::DOUBLE AS b, 0::DOUBLE AS g, {_HF}::DOUBLE AS f FROM hf
-  UNION ALL SELECT series_id, place, 'winters', l, tr, CASE WHEN sse > 0 THEN sse / (place + 1) ELSE 1e-4 END, s, {_WA}, {_WB}, {_WG}, {_WF} FROM wf),
+  UNION ALL SELECT series_id, place, 'winters', l, tr, CASE WHEN sse > 0 THEN sse / (place + 1) ELSE 1e-4 END, s, {_WA}, {_WB}, {_WG}, {_WF} FROM wf)"""
+_PLACED = "x AS (SELECT series_id, ts, value, ln(value) AS y, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS INT) AS place FROM mixed), nn AS (SELECT series_id, CAST(count(*) AS INT) AS n FROM x GROUP BY 1)"
+_ENGINES = f"""{_PLACED}, {_grid(8)}, tops AS (SELECT series_id, place FROM cut UNION ALL SELECT series_id, n - 1 FROM nn), {_FILTERS},
+ bl AS (SELECT series_id, CASE WHEN seasonal THEN 'winters' ELSE 'holt' END AS baseline FROM ss JOIN nn USING (series_id) WHERE top = n - 1),
  fs AS (SELECT en.series_id, en.place, engine, CAST(h AS INT) AS h, t.value AS came, c.value AS last, q.value AS sn, l + tr * f * (1 - pow(f, h)) / (1 - f) + CASE WHEN engine = 'winters' THEN s[CAST((h - 1) % 12 + 1 AS INT)] ELSE 0 END AS mu,
    s2 * (1 + coalesce((SELECT sum(pow(a + b * f * (1 - pow(f, j)) / (1 - f), 2)) FROM range(1, h) g2(j)), 0)) AS var FROM en JOIN cut USING (series_id, place), range(1, {H + 1}) g1(h) JOIN x t ON t.series_id = en.series_id AND t.place = en.place + h JOIN x c ON c.series_id = en.series_id AND c.place = en.place
    JOIN x q ON q.series_id = en.series_id AND q.place = en.place - 12 + 1 + (h - 1) % 12),
@@ -168,6 +170,54 @@ def krn_18_plan_b(spark, sf):
     return rounded(tournament.plan_b(mixed(spark, sf), 14, M), 3)
 
 
+_VINTAGES = f"""{M1}, vs AS (SELECT series_id, ts, value FROM m1 UNION ALL SELECT series_id || ' seasonal', ts, value * (1 + 0.4::DOUBLE * sin(2 * pi() * month(ts) / 12)) FROM m1),
+ vv AS (SELECT series_id, ts, CAST(ts + INTERVAL 1 DAY * (30 * k) AS DATE) AS published, value * (1 + k * CAST(0.01 AS DOUBLE) * (month(ts) - 6)) AS value FROM vs, (VALUES (0), (1), (2)) t(k)),
+ ve AS (SELECT series_id, ts, arg_min(value, published) AS first_release, arg_max(value, published) AS current, CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS INT) AS place FROM vv GROUP BY series_id, ts),
+ vn AS (SELECT series_id, CAST(count(*) AS INT) AS n FROM ve GROUP BY 1), vc AS (SELECT DISTINCT ve.series_id, CAST(last_day(ts) + INTERVAL 15 DAY AS DATE) AS cutoff FROM ve JOIN vn USING (series_id), range(0, 10) g(i) WHERE n - {H} - 1 >= 36 AND ve.place = CAST(round_even(36 + i * (n - {H} - 1 - 36) / 9.0::DOUBLE, 0) AS INT)),
+ vk AS (SELECT vv.series_id, cutoff, ts, arg_max(value, published) AS known FROM vv JOIN vc ON vc.series_id = vv.series_id AND published <= cutoff AND ts <= cutoff GROUP BY ALL), vt AS (SELECT series_id, cutoff, max(ts) AS t FROM vk GROUP BY ALL),
+ mixed AS (SELECT series_id || '|' || cutoff || '|known' AS series_id, ts, known AS value FROM vk UNION ALL SELECT vk.series_id || '|' || cutoff || '|revised', ts, current FROM vk JOIN ve USING (series_id, ts) UNION ALL SELECT series_id, ts, current FROM ve),
+ {_PLACED}, tops AS (SELECT series_id, n - 1 AS place FROM nn), {_FILTERS},
+ vr0 AS (SELECT series_id, cutoff, avg(dv) * 100 AS revision FROM (SELECT series_id, cutoff, abs(current / known - 1) AS dv FROM vk JOIN ve USING (series_id, ts) QUALIFY row_number() OVER (PARTITION BY series_id, cutoff ORDER BY ts DESC) <= 60) GROUP BY ALL),
+ vf AS (SELECT vt.series_id, vt.cutoff, t, dt AS data, engine, own, whole, CASE WHEN whole THEN 2 ELSE 1 END AS k, n, l, tr, s2, s, a, b, g, f FROM (SELECT vt.*, dt, vt.series_id || '|' || cutoff || '|' || dt AS own, ss.seasonal AS whole FROM vt JOIN ss ON ss.series_id = vt.series_id, (VALUES ('known'), ('revised')) q(dt)) vt
+  JOIN nn ON nn.series_id = own JOIN en ON en.series_id = own AND en.place = n - 1 JOIN ss sw ON sw.series_id = own WHERE engine = 'holt' OR (whole AND sw.seasonal AND n >= 24)),
+ vu AS (SELECT * FROM vf QUALIFY count(*) OVER (PARTITION BY own) = k),
+ vx AS (SELECT vu.*, CAST(h AS INT) AS h, fu.first_release, fu.current, la.value AS last, se.value AS sn,
+   exp(l + tr * f * (1 - pow(f, h)) / (1 - f) + CASE WHEN engine = 'winters' THEN s[CAST((h - 1) % 12 + 1 AS INT)] ELSE 0 END + s2 * (1 + coalesce((SELECT sum(pow(a + b * f * (1 - pow(f, j)) / (1 - f), 2)) FROM range(1, h) g2(j)), 0)) / 2) AS value
+  FROM vu, range(1, {H + 1}) g1(h) JOIN ve te ON te.series_id = vu.series_id AND te.ts = vu.t JOIN vn ON vn.series_id = vu.series_id AND te.place + {H} < vn.n JOIN ve fu ON fu.series_id = vu.series_id AND fu.place = te.place + h JOIN x la ON la.series_id = own AND la.place = vu.n - 1 JOIN x se ON se.series_id = own AND se.place = vu.n - 12 + (h - 1) % 12),
+ vm AS (SELECT series_id, cutoff, data, truth, engine, whole, k, avg(abs(value - tr0)) AS mae, avg(abs(last - tr0)) AS rw, avg(abs(sn - tr0)) AS sn FROM (SELECT *, CASE WHEN truth = 'first' THEN first_release ELSE current END AS tr0 FROM vx, (VALUES ('first'), ('current')) q(truth)) GROUP BY ALL),
+ vq AS (SELECT *, CASE WHEN naive = 'seasonal' THEN sn ELSE rw END AS ref FROM (SELECT *, CASE WHEN whole AND sum(sn) OVER w < sum(rw) OVER w THEN 'seasonal' ELSE 'random_walk' END AS naive FROM vm JOIN vr0 USING (series_id, cutoff) WINDOW w AS (PARTITION BY series_id, data, truth, engine))),
+ vg AS (SELECT series_id, data, truth, engine, naive, k, count(*) AS n, count(*) FILTER (mae < ref) AS wins, count(*) FILTER (mae > ref) AS losses, 1 - sum(mae) / sum(ref) AS skill, avg(revision) AS revision FROM vq GROUP BY ALL),
+ vb AS (SELECT *, {_p('wins', 'losses')} AS p FROM vg), cp AS (SELECT *, p < 0.05::DOUBLE / k AND skill > 0 AS beats FROM vb)"""
+
+
+def _versions(spark, sf) -> DataFrame:
+    """Monthly orders, as they are and with a season, published on their date and revised by up to some percent 30 and 60 days later."""
+    m = series.monthly_orders(spark, sf)
+    wave = F.col("value") * (1 + 0.4 * F.sin(2 * math.pi * F.month("ts") / 12))
+    own = m.withColumn("x", F.explode(F.array(F.struct("series_id", "value"), F.struct(F.concat("series_id", F.lit(" seasonal")).alias("series_id"), wave.alias("value"))))).select("x.series_id", "ts", "x.value")
+    return own.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select("series_id", "ts", F.expr("date_add(ts, 30 * k)").alias("published"), (F.col("value") * (1 + F.col("k") * 0.01 * (F.month("ts") - 6))).alias("value"))
+
+
+@query("krn_40_capability", f"WITH RECURSIVE {_VINTAGES} SELECT series_id, data, truth, engine, naive, n, wins, losses, {r('p', 'p')}, {r('skill', 'skill', 5)}, {r('revision', 'revision', 5)}, beats FROM cp")
+def krn_40_capability(spark, sf):
+    """KRN-40, KRN-20: Holt and Holt-Winters on data as known or as revised, against first releases or today's values: which of the four has an engine that beats the naive forecast."""
+    v = settled(_versions(spark, sf))
+    c = vintage.capability(vintage.replayed(v, vintage.monthly_cutoffs(v, 10, H), H, M)).drop("k")
+    return c.select("series_id", "data", "truth", "engine", "naive", "n", "wins", "losses", (F.round("p", 6) + F.lit(0.0)).alias("p"), *[(F.round(x, 5) + F.lit(0.0)).alias(x) for x in ("skill", "revision")], "beats")
+
+
+def _cell(d: str, t: str) -> str:
+    return f"coalesce(bool_or(beats) FILTER (data = '{d}' AND truth = '{t}'), FALSE)"
+
+
+@query("krn_40_verdicts", f"""WITH RECURSIVE {_VINTAGES}, g AS (SELECT series_id, max(n) FILTER (data = 'known' AND truth = 'first') AS cutoffs, max(revision) FILTER (data = 'known' AND truth = 'first') AS revision, {', '.join(f"{_cell(d, t)} AS {d}_{t}" for d in ('known', 'revised') for t in ('first', 'current'))} FROM cp GROUP BY 1)
+ SELECT * REPLACE ({r('revision', 'revision', 5).replace(' AS revision', '')} AS revision), CASE WHEN revised_current AND NOT known_first THEN 'lost' WHEN known_first AND NOT revised_current THEN 'real time only' WHEN revised_current THEN 'kept' ELSE 'none' END AS verdict FROM g""")
+def krn_40_verdicts(spark, sf):
+    """Whether an engine's capability with today's data was there with the data of the time."""
+    v = settled(_versions(spark, sf))
+    return rounded(vintage.verdicts(vintage.capability(vintage.replayed(v, vintage.monthly_cutoffs(v, 10, H), H, M))), 5)
+
+
 _BY_MEAN = "CASE WHEN challenger < base AND base_cov - challenger_cov <= {gap} THEN 'challenger' ELSE 'base' END"
 
 

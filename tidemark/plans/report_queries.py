@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions import calendar
-from tidemark.operators import align, backtest, decisions, evidence, holt, reports, store, texts
+from tidemark.operators import align, backtest, decisions, evidence, holt, reports, store, texts, vintage
 from tidemark.sources import series
 from tidemark.sources.series import table
 
@@ -102,7 +102,7 @@ def krn_40(spark, sf):
 
     v = _vintages(spark, sf)
     months = v.select(F.col("ts").alias("cutoff")).where("ts between date'1998-01-31' and date'2000-12-31'").distinct()
-    return rounded(align.vintage_errors(v, months), 3)
+    return rounded(vintage.vintage_errors(v, months), 3)
 
 
 @query("krn_37_macro_evidence", f"""WITH {M5}, x AS (SELECT series_id, ts, CASE WHEN series_id < 'F' THEN value ELSE value / 1e6 END AS value FROM m5), l AS (SELECT series_id, max(ts) AS t, arg_max(value, ts) AS last_value FROM x GROUP BY 1),

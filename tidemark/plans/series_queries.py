@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions import calendar
-from tidemark.operators import align, returns, seasonality, store, texts
+from tidemark.operators import align, returns, seasonality, store, texts, vintage
 from tidemark.sources import series
 from tidemark.sources.series import table
 
@@ -250,7 +250,7 @@ def _vintages(spark, sf):
 def join_08(spark, sf):
     """JOIN-08, SRC-11: what was known at a cutoff, the first release and today's value."""
     cutoffs = spark.sql("select explode(array(date'1997-06-30', date'1999-01-15')) as cutoff")
-    return rounded(align.as_published(_vintages(spark, sf), cutoffs), 4)
+    return rounded(vintage.as_published(_vintages(spark, sf), cutoffs), 4)
 
 
 @query("join_09_facts", """SELECT s_name AS entity, n_name AS fact, CASE WHEN n_name IS NULL THEN 'not found' ELSE 'found' END AS state FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 2""")
