@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 #: Lower ends of the seven bands of a correlation, and how far under the nearest bound a price is a breach.
@@ -91,19 +90,19 @@ def real_only(points: DataFrame, source: str = "source") -> DataFrame:
 
 
 def snapshot(points: DataFrame, categories: DataFrame) -> DataFrame:
-    """One JSON document a series, {series_id, category, values: {date: value}}, with the SHA-256 of its text."""
+    """documents(key, part, document): one JSON document a series, {series_id, category, values: {date: value}}, by category."""
     v = points.groupBy("series_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("string").alias("k"), "value")))).alias("values"))
-    doc = v.join(categories, "series_id", "left").select("series_id", F.to_json(F.struct("series_id", "category", "values")).alias("document"))
-    return doc.withColumn("sha256", F.sha2("document", 256))
+    d = v.join(categories, "series_id", "left")
+    return d.select(F.col("series_id").alias("key"), F.col("category").alias("part"), F.to_json(F.struct("series_id", "category", "values")).alias("document"))
 
 
-SNAPSHOT = T.StructType([T.StructField("series_id", T.StringType()), T.StructField("category", T.StringType()), T.StructField("values", T.MapType(T.StringType(), T.DoubleType()))])
+SNAPSHOT = "series_id string, category string, values map<string,double>"
 
 
-def read_snapshot(documents: DataFrame) -> DataFrame:
-    """points(series_id, category, ts, value) of snapshot documents whose text still has its hash."""
-    d = documents.where(F.sha2("document", 256) == F.col("sha256")).select(F.from_json("document", SNAPSHOT).alias("d"))
-    return d.select("d.series_id", "d.category", F.explode("d.values").alias("ts", "value")).withColumn("ts", F.col("ts").cast("date"))
+def snapshot_points(documents: DataFrame) -> DataFrame:
+    """points(series_id, category, ts, value) of documents that read_documents() gives with SNAPSHOT."""
+    d = documents.select("document.series_id", "document.category", F.explode("document.values").alias("ts", "value"))
+    return d.withColumn("ts", F.col("ts").cast("date"))
 
 
 def default_cutoff(n: Column, frequency: Column, horizon: Column) -> Column:

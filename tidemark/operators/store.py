@@ -30,8 +30,3 @@ def stale(decisions: DataFrame, now: str, version: int = 10, days: int = 30, gro
     old = F.datediff(F.lit(now).cast("date"), "evaluated_at") > days
     missed = F.col("challenger_error").isNull() if available else F.lit(False)
     return decisions.withColumn("stale", missed | (F.coalesce("version", F.lit(1)) < version) | old | (F.col("n_now") >= F.col("n_then") * (1 + growth)))
-
-
-def migrated(old: DataFrame, new: DataFrame, defaults: dict) -> DataFrame:
-    """Rows from before and after columns were added: missing ones are null, or what `defaults` says."""
-    return old.unionByName(new, allowMissingColumns=True).na.fill(defaults)

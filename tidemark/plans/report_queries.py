@@ -7,7 +7,8 @@ from pyspark.sql.window import Window as W
 
 from tidemark.functions import calendar
 from tidemark.operators import align, backtest, decisions, evidence, holt, reports, store, texts, vintage
-from tidemark.sources import series
+from tidemark.sources import documents, series, tables
+from tidemark.sources.shared import new_path, settled
 from tidemark.sources.series import table
 
 from . import decision_queries as dq
@@ -239,10 +240,24 @@ def fil_09(spark, sf):
 
 @query("src_10_snapshot", f"""WITH {M5} SELECT series_id, CASE WHEN series_id < 'F' THEN 'a' END AS category, ts, value FROM m5""")
 def src_10(spark, sf):
-    """A snapshot as JSON documents with their hashes, and the points read back from it."""
+    """A snapshot written as JSON documents with a manifest of their hashes, and the points read back from the folder."""
     m = series.monthly_segments(spark, sf)
     c = m.where("series_id < 'F'").select("series_id", F.lit("a").alias("category")).distinct()
-    return reports.read_snapshot(reports.snapshot(m, c)).select("series_id", "category", "ts", "value")
+    path = new_path(spark, "snapshot")
+    documents.write_documents(settled(reports.snapshot(m, c)), path)
+    return reports.snapshot_points(documents.read_documents(spark, path, reports.SNAPSHOT)[0])
+
+
+@query("src_10_damaged", """SELECT CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_acctbal < 0 THEN 'negative' ELSE 'positive' END AS part, 'not of the schema' AS reason FROM supplier WHERE s_nationkey % 5 = 0""")
+def src_10_damaged(spark, sf):
+    """Documents of suppliers, of which some are no JSON of the schema: those are named, the others read."""
+    s = table(spark, sf, "supplier")
+    text = F.to_json(F.struct(F.col("s_suppkey").alias("id"), "s_name"))
+    bad = F.when(F.col("s_nationkey") % 5 == 0, F.substring(text, 1, 12)).otherwise(text)
+    d = s.select(F.col("s_suppkey").alias("key"), F.when(F.col("s_acctbal") < 0, "negative").otherwise("positive").alias("part"), bad.alias("document"))
+    path = new_path(spark, "suppliers")
+    documents.write_documents(d, path)
+    return documents.read_documents(spark, path, "id long, s_name string")[1]
 
 
 @query("src_14_popularity_scan", """WITH x AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS popularity, CASE WHEN p_size < 25 THEN 'history' WHEN p_type <> 'ECONOMY' THEN 'not seasonal' ELSE 'chosen' END AS outcome FROM part),
@@ -258,10 +273,11 @@ def src_14(spark, sf):
 
 @query("snk_02_json", f"WITH {M5} SELECT series_id, count(*) AS n, {r('avg(value)', 'mean', 3)} FROM m5 GROUP BY 1")
 def snk_02(spark, sf):
-    """A result as JSON lines, and read back."""
+    """A result written as JSON lines with their hashes, and read back with its schema."""
     g = series.monthly_segments(spark, sf).groupBy("series_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    lines = g.select(F.to_json(F.struct("series_id", "n", "mean")).alias("line"))
-    return rounded(lines.select(F.from_json("line", "series_id string, n bigint, mean double").alias("x")).select("x.*"), 3)
+    path = new_path(spark, "result")
+    documents.write_documents(settled(g.select(F.col("series_id").alias("key"), F.lit("means").alias("part"), F.to_json(F.struct("series_id", "n", "mean")).alias("document"))), path)
+    return rounded(documents.read_documents(spark, path, "series_id string, n long, mean double")[0].select("document.*"), 3)
 
 
 @query("ord_07_newest_first", "SELECT user_id AS thesis, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS place, event_id AS snapshot FROM events QUALIFY place <= 3")
@@ -475,23 +491,41 @@ def krn_16(spark, sf):
 
 @query("mut_02_append", """WITH p AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 > 0), n AS (SELECT user_id AS parent_id, event_id, ts FROM events) SELECT parent_id, event_id AS child, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY ts, event_id) AS INT) AS place FROM n JOIN p ON id = parent_id""")
 def mut_02(spark, sf):
-    """Snapshots appended to theses that exist; others are refused."""
-    parents = table(spark, sf, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("id"))
-    kept = store.children(table(spark, sf, "events").select(F.col("user_id").alias("parent_id"), "event_id", "ts"), parents)
+    """Notes appended in two batches to a stored table, those of theses that exist; others are refused."""
+    path, parents = new_path(spark, "notes"), new_path(spark, "theses")
+    tables.append(table(spark, sf, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("id")), parents)
+    for half in (F.col("event_type") < "p", F.col("event_type") >= "p"):
+        batch = table(spark, sf, "events").where(half).select(F.col("user_id").alias("parent_id"), "event_id", "ts")
+        tables.append(store.children(batch, tables.read(spark, parents)), path)
+    kept = tables.read(spark, path)
     return kept.select("parent_id", F.col("event_id").alias("child"), F.row_number().over(W.partitionBy("parent_id").orderBy("ts", "event_id")).alias("place"))
 
 
 @query("mut_04_added_columns", "SELECT event_id AS id, value, CASE WHEN event_id % 2 = 1 THEN event_type END AS kind, CASE WHEN event_id % 2 = 1 THEN user_id ELSE 0 END AS votes FROM events")
 def mut_04(spark, sf):
-    """Rows written before and after columns were added, read as one table: what is missing is null, or its default."""
-    e = table(spark, sf, "events")
-    old = e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), "value")
-    new = e.where("event_id % 2 = 1").select(F.col("event_id").alias("id"), "value", F.col("event_type").alias("kind"), F.col("user_id").alias("votes"))
-    return store.migrated(old, new, {"votes": 0})
+    """A stored table to which a batch with two more columns is appended, read as one: what is missing is null, or its default."""
+    e, path = table(spark, sf, "events"), new_path(spark, "migrated")
+    tables.append(e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), "value"), path)
+    tables.append(e.where("event_id % 2 = 1").select(F.col("event_id").alias("id"), "value", F.col("event_type").alias("kind"), F.col("user_id").alias("votes")), path)
+    return tables.read(spark, path, defaults={"votes": 0})
+
+
+@query("mut_04_versions", "SELECT CAST(1 AS INT) AS version, count(*) AS n, 2 AS columns FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 2, count(*), 3 FROM events")
+def mut_04_versions(spark, sf):
+    """The versions of a stored table, each as it was: rows and columns."""
+    e, path = table(spark, sf, "events"), new_path(spark, "versions")
+    one = tables.append(e.where("event_id % 2 = 0").select("event_id", "value"), path)
+    two = tables.append(e.where("event_id % 2 = 1").select("event_id", "value", "event_type"), path)
+    both = [(v, tables.read(spark, path, v)) for v in (one, two)]
+    out = [d.agg(F.lit(v).alias("version"), F.count("*").alias("n"), F.lit(len(d.columns)).alias("columns")) for v, d in both]
+    return out[0].unionByName(out[1])
 
 
 @query("snk_03_tables", """SELECT s.user_id AS thesis, count(*) AS snapshots, max(s.value) AS largest FROM events s JOIN customer ON c_custkey = s.user_id GROUP BY 1""")
 def snk_03(spark, sf):
-    """The tables of theses and snapshots, joined on their keys."""
-    t = table(spark, sf, "customer").select(F.col("c_custkey").alias("thesis"))
-    return table(spark, sf, "events").select(F.col("user_id").alias("thesis"), "value").join(t, "thesis", "left_semi").groupBy("thesis").agg(F.count("*").alias("snapshots"), F.max("value").alias("largest"))
+    """The tables of theses and snapshots, stored and joined on their keys."""
+    theses, snapshots = new_path(spark, "theses"), new_path(spark, "snapshots")
+    tables.append(table(spark, sf, "customer").select(F.col("c_custkey").alias("thesis"), F.col("c_name").alias("title")), theses)
+    tables.append(table(spark, sf, "events").select(F.col("user_id").alias("thesis"), "event_id", "ts", "value"), snapshots)
+    t = tables.read(spark, theses).select("thesis")
+    return tables.read(spark, snapshots).select("thesis", "value").join(t, "thesis", "left_semi").groupBy("thesis").agg(F.count("*").alias("snapshots"), F.max("value").alias("largest"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,8 @@ def settled(df: DataFrame) -> DataFrame:
     """df computed once, into the shared folder, and read from there: several uses of it read, none computes again."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
