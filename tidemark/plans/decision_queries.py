@@ -506,13 +506,6 @@ def ord_04(spark, sf):
     return x.select("series_id", "kind", "place", F.expr("element_at(dates, place + 1)").alias("cutoff"))
 
 
-@query("mth_02_two_sided", f"SELECT CAST(w AS INT) AS wins, CAST(l AS INT) AS losses, least(1, 2 * ({_p('greatest(w, l)', 'least(w, l)')})) AS p FROM range(0, 13) a(w), range(0, 12) b(l)")
-def mth_02(spark, sf):
-    """Exact two-sided sign test."""
-    w = spark.range(13).select(F.col("id").cast("int").alias("wins"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("losses"))
-    return w.withColumn("p", decisions.sign_p_both(F.col("wins"), F.col("losses")))
-
-
 @query("mth_03_bonferroni", "WITH t AS (SELECT n_name AS name, (n_nationkey + 1) * 0.0007::DOUBLE AS p, count(*) OVER () AS k FROM nation) SELECT name, round(p, 6) + 0.0 AS p, p < 0.05::DOUBLE / k AS passes FROM t")
 def mth_03(spark, sf):
     t = series.table(spark, sf, "nation").select(F.col("n_name").alias("name"), ((F.col("n_nationkey") + 1) * 0.0007).alias("p"))
@@ -521,7 +514,7 @@ def mth_03(spark, sf):
 
 #: The variants of the rule: 3 x 4 x 3 x 2 x 2 = 144.
 _ALPHAS, _MARGINS, _LEASTS, _GUARDS, _ENGAGED = (None, 0.05, 0.2), (0.0, 0.05, 0.1, 0.2), (1, 7, 12), (False, True), (None, "challenger")
-SUBSETS = 100
+SUBSETS = 400
 
 
 def _values(xs) -> str:
@@ -540,10 +533,11 @@ def variants(spark) -> DataFrame:
             .select("*", each(_GUARDS, "boolean").alias("guard")).select("*", each(_ENGAGED, "string").alias("incumbent")))
 
 
-@query("join_12_variants", f"WITH {_VARIANTS} SELECT alpha, margin, CAST(least AS INT) AS least, guard, incumbent FROM va")
+@query("join_12_variants", f"WITH {_VARIANTS} SELECT c_mktsegment AS series_id, alpha, margin, CAST(least AS INT) AS least, guard, incumbent FROM va, (SELECT DISTINCT c_mktsegment FROM customer)")
 def join_12(spark, sf):
-    """The grid of all 144 variants."""
-    return variants(spark)
+    """The grid of all 144 variants for every series."""
+    segments = series.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("series_id")).distinct()
+    return segments.join(F.broadcast(variants(spark)))  # a row a variant
 
 
 _DRAWN = f"""dr AS (SELECT s, pr.* FROM pr, range(0, {SUBSETS}) g(s) QUALIFY row_number() OVER (PARTITION BY s, series_id ORDER BY md5(s || '-' || series_id || '-' || place)) <= 8),
@@ -556,7 +550,7 @@ _DRAWN = f"""dr AS (SELECT s, pr.* FROM pr, range(0, {SUBSETS}) g(s) QUALIFY row
  FROM a JOIN b ON a.series_id = b.series_id AND a.alpha IS NOT DISTINCT FROM b.alpha AND a.margin = b.margin AND a.least = b.least AND a.guard = b.guard AND a.incumbent IS NOT DISTINCT FROM b.incumbent GROUP BY ALL""".replace(
      "CHOICE", _robust_sql("alpha", "margin", "incumbent", "least", "guard").replace(_p("wins", "losses"), "p_to").replace(_p("losses", "wins"), "p_away")))
 def krn_23(spark, sf):
-    """All variants on 100 hash-drawn subsets of eight cutoffs: how often they choose the challenger, and otherwise than on all cutoffs."""
+    """All variants on 400 hash-drawn subsets of eight cutoffs: how often they choose the challenger, and otherwise than on all cutoffs."""
     p = _pairs(spark, sf)
     draw = F.md5(F.concat_ws("-", F.col("s").cast("string"), "series_id", F.col("place").cast("string")).cast("binary"))
     d = p.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SUBSETS - 1)))).withColumn("k", F.row_number().over(W.partitionBy("s", "series_id").orderBy(draw))).where("k <= 8")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.operators import backtest, holt
+from tidemark.operators import backtest, decisions, holt
 from tidemark.sources import series
 
 from .base import M5, r, rounded
@@ -139,12 +139,28 @@ def krn_14(spark, sf):
     return rounded(backtest.decide(_pairs(spark, sf), least=3, margin=0.02), 3)
 
 
-@query("mth_02_sign_test", """SELECT CAST(n AS INT) AS n, CAST(w AS INT) AS wins, CAST((SELECT sum(factorial(CAST(n AS INT)) // (factorial(CAST(k AS INT)) * factorial(CAST(n - k AS INT)))) FROM range(w, n + 1) g(k)) AS DOUBLE) / pow(2, n) AS p FROM range(1, 25) a(n), range(0, 25) b(w) WHERE w <= n""")
+#: Of each user and event type: days on which more, and on which less, than 50 was spent; at most 30 days.
+_DAYS = "dy AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY ALL), wl AS (SELECT user_id, event_type, count(*) FILTER (v > 50) AS wins, count(*) FILTER (v < 50) AS losses FROM dy GROUP BY ALL)"
+_ONE_SIDED = "CASE WHEN {w} + {lo} = 0 THEN 1.0::DOUBLE ELSE (SELECT sum(factorial(CAST({w} + {lo} AS INT)) // (factorial(CAST(k AS INT)) * factorial(CAST({w} + {lo} - k AS INT)))) FROM range({w}, {w} + {lo} + 1) g(k))::DOUBLE / pow(2, {w} + {lo}) END"
+
+
+def _wins_and_losses(spark, sf):
+    e = series.table(spark, sf, "events").groupBy("user_id", "event_type", F.col("ts").cast("date").alias("day")).agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
+    return e.groupBy("user_id", "event_type").agg(F.count_if(F.col("v") > 50).alias("wins"), F.count_if(F.col("v") < 50).alias("losses"))
+
+
+@query("mth_02_sign_test", f"WITH {_DAYS} SELECT user_id, event_type, wins, losses, {_ONE_SIDED.format(w='wins', lo='losses')} AS p FROM wl")
 def mth_02(spark, sf):
-    """Exact one-sided sign test for every number of wins of up to 24."""
-    n = spark.range(1, 25).select(F.col("id").cast("int").alias("n"))
-    x = n.select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("wins"))
-    return x.select("n", "wins", backtest.binomial_tail(F.col("wins"), F.col("n")).alias("p"))
+    """Exact one-sided sign test of days over against days under 50, for each user and event type."""
+    w = _wins_and_losses(spark, sf)
+    return w.withColumn("p", decisions.sign_p(F.col("wins"), F.col("losses")))
+
+
+@query("mth_02_two_sided", f"WITH {_DAYS} SELECT user_id, event_type, wins, losses, least(1, 2 * ({_ONE_SIDED.format(w='greatest(wins, losses)', lo='least(wins, losses)')})) AS p FROM wl")
+def mth_02_both(spark, sf):
+    """The two-sided test of the same days."""
+    w = _wins_and_losses(spark, sf)
+    return w.withColumn("p", decisions.sign_p_both(F.col("wins"), F.col("losses")))
 
 
 @query("mth_03_holm", """WITH t AS (SELECT n_name AS name, (n_nationkey + 1) * 0.0007::DOUBLE AS p FROM nation), x AS (SELECT *, row_number() OVER (ORDER BY p, name) AS place, count(*) OVER () AS k FROM t), o AS (SELECT *, p <= 0.05::DOUBLE / (k - place + 1) AS ok FROM x)

@@ -200,12 +200,12 @@ def _student_sql(seed: str, horizons: tuple[int, ...], paths: int) -> str:
     return f"""tt1 AS (SELECT s, path, k, {t[0]} AS a, {t[1]} AS b FROM ft, {seed}, range(0, {paths}) g(path), range(0, {(max(horizons) + 1) // 2}) q(k) WHERE df <= 30 AND df > 2), tt2 AS (SELECT s, path, {sums} FROM tt1 GROUP BY ALL), ts AS ({each} UNION ALL {plain})"""
 
 
-@query("krn_32_student", f"WITH RECURSIVE {_DAILY}, {_STUDENT}, {_student_sql('(VALUES (1)) z(s)', (DAYS,), PATHS)} SELECT path, {r('1 - exp(total)', 'loss', 4)} FROM ts")
+@query("krn_32_student", f"WITH RECURSIVE {_DAILY}, {_STUDENT}, {_student_sql('(VALUES (1)) z(s)', (DAYS,), PATHS)} SELECT path, {r('total', 'total', 4)} FROM ts")
 def krn_32(spark, sf):
-    """Losses of Student-t returns with the fitted degrees of freedom, scaled to the sample's deviation."""
+    """Summed Student-t returns with the fitted degrees of freedom, scaled to the sample's deviation."""
     daily = risk.portfolio_returns(_returns(spark, sf), _weights(spark))
     sums = risk.student_sums(spark, risk.fit_student(daily), PATHS, (DAYS,), 1)
-    return rounded(sums.select("path", (1 - F.exp("total")).alias("loss")), 4)
+    return rounded(sums.select("path", "total"), 4)
 
 
 SEEDS, RUNS, HORIZONS = 20, 10_000, (30, 90, 252)
@@ -308,6 +308,19 @@ def krn_30(spark, sf):
     return rounded(books.optimized(*_flags(spark, sf)).drop("residual"))
 
 
+@query("krn_26_max_sharpe", f"WITH RECURSIVE {_FLAGS}, aw AS (SELECT names, w FROM be) SELECT names[q] AS series_id, {r('w[q]', 'w')} FROM (SELECT *, unnest([1, 2, 3]) AS q FROM aw)")
+def krn_26(spark, sf):
+    """Weights of the largest Sharpe ratio, up to 0.6 each."""
+    return rounded(books.optimized(*_flags(spark, sf)).where("method = 'sharpe'").select(F.col("name").alias("series_id"), "w"))
+
+
+@query("krn_27_risk_parity", f"WITH RECURSIVE {_FLAGS}, aw AS (SELECT names, w, m FROM pw) SELECT names[q] AS series_id, {r('w[q]', 'w')}, {r('w[q] * list_dot_product(m[q], w)', 'contribution')} FROM (SELECT *, unnest([1, 2, 3]) AS q FROM aw)")
+def krn_27(spark, sf):
+    """Equal risk contributions: weights and contributions."""
+    x = books.optimized(*_flags(spark, sf)).where("method = 'parity'")
+    return rounded(x.select(F.col("name").alias("series_id"), "w", (F.col("share") * F.col("volatility") * F.col("volatility")).alias("contribution")))
+
+
 _USERS = """ev AS (SELECT CAST(user_id AS VARCHAR) AS book, event_type AS name, sum(CAST(value AS DECIMAL(18,2))) AS spent FROM events GROUP BY ALL), dv AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS ts, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value FROM events GROUP BY ALL),
  ret AS (SELECT series_id, ts, ln(value / lag(value) OVER (PARTITION BY series_id ORDER BY ts)) AS r FROM dv QUALIFY r IS NOT NULL), books AS (SELECT book, name FROM ev WHERE spent > 0)"""
 
@@ -534,6 +547,12 @@ def agg_24(spark, sf):
     return k.groupBy("ticker").agg(F.max(F.when(F.col("rn") == 1, F.col("v"))).alias("latest"), F.max(F.when(F.col("rn") == 2, F.col("v"))).alias("previous"))
 
 
+@query("agg_28_standard_errors", f"WITH {C3} SELECT series_id, {r('avg(r)', 'mean')}, {r('stddev_samp(r)', 'sd')}, {r('kurtosis_pop(r)', 'kurtosis')}, {r('avg(CASE WHEN abs(r) <= 0.1 THEN 1.0 ELSE 0 END)', 'inside')} FROM ret GROUP BY 1")
+def agg_28(spark, sf):
+    return rounded(_returns(spark, sf).groupBy("series_id").agg(
+        F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.kurtosis("r").alias("kurtosis"), F.avg((F.abs("r") <= 0.1).cast("double")).alias("inside")))
+
+
 @query("agg_32_usage", "SELECT CAST(ts AS DATE) AS day, event_type AS model, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost FROM events GROUP BY ALL")
 def agg_32(spark, sf):
     return series.table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("day"), F.col("event_type").alias("model")).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions import calendar
-from tidemark.operators import align, backtest, decisions, evidence, holt, reports, store, texts, vintage
+from tidemark.operators import align, backtest, decisions, evidence, grounding, holt, reports, store, texts, vintage
 from tidemark.sources import documents, series, tables
 from tidemark.sources.shared import new_path, settled
 from tidemark.sources.series import table
@@ -336,34 +336,80 @@ def str_06(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), reports.risk_profile(texts.says_inverse(old), texts.leverage(old), texts.says_inverse(new), texts.leverage(new)).alias("breaks"))
 
 
-@query("krn_38_grounding", rf"""WITH x AS (SELECT p_partkey AS id, {_ITEM} AS t, p_size FROM part), y AS (SELECT id, p_size % 5 <> 0 AS found, {_LEV.format(t='t')} IS NOT NULL AS wrong, p_size % 3 <> 0 AS fix_found, {_INV.format(t='t')} AS breaks FROM x)
- SELECT CASE WHEN found AND NOT wrong THEN 'verified' WHEN fix_found AND NOT breaks THEN 'repaired' ELSE 'discarded' END AS grounding, count(*) AS n FROM y GROUP BY 1""")
+#: The parts as a catalog, and events as items: each proposes an id and claims something of the part its user holds.
+_GROUND = rf"""ct AS (SELECT p_partkey AS id, p_name || ' ' || p_type || ' ' || p_brand AS title, p_retailprice AS popularity, CASE WHEN p_size > 40 THEN 3::DOUBLE WHEN p_size > 25 THEN 2 END AS lev, p_type = 'SMALL' AS inv, p_type FROM part),
+ it AS (SELECT event_id AS item, user_id, value, event_id // 3 AS proposed, p_name AS concept, coalesce(p_name, '') || CASE WHEN value > 150 THEN ' 2x' ELSE '' END || CASE WHEN event_type = 'error' THEN ' inverse' ELSE '' END AS claim FROM events LEFT JOIN part ON p_partkey = user_id),
+ ix AS (SELECT DISTINCT id, popularity, unnest(string_split(lower(title), ' ')) AS word FROM ct), wd AS (SELECT word, ln((SELECT count(*) FROM ct)::DOUBLE / count(*)) + 1 AS weight FROM ix GROUP BY 1),
+ cw AS (SELECT DISTINCT concept, unnest(string_split(lower(concept), ' ')) AS word FROM it WHERE concept IS NOT NULL),
+ cs AS (SELECT concept, id, round(sum(weight), 9) AS score, max(popularity) AS popularity FROM cw JOIN ix USING (word) JOIN wd USING (word) GROUP BY ALL), cr AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY score DESC, popularity DESC, id) AS rank FROM cs),
+ to0 AS (SELECT concept, sum(weight) AS total FROM cw JOIN wd USING (word) GROUP BY 1), bs AS (SELECT concept, list(id ORDER BY rank) AS best FROM cr JOIN to0 USING (concept) WHERE rank <= 2 AND score >= 0.5 * total GROUP BY 1),
+ g1 AS (SELECT it.*, c.id IS NOT NULL AS found, c.lev AS wl, coalesce(c.inv, FALSE) AS wi, {_LEV.format(t='claim')} AS said, {_INV.format(t='claim')} AS si, best FROM it LEFT JOIN ct c ON c.id = proposed LEFT JOIN bs USING (concept)),
+ g2 AS (SELECT *, found AND NOT (said IS NOT NULL AND coalesce(said <> wl, TRUE)) AND si = wi AS ok, list_filter(best, lambda b: b <> proposed)[1] AS fx FROM g1),
+ g3 AS (SELECT g2.*, CASE WHEN NOT ok THEN f.id END AS fix, CASE WHEN NOT ok THEN f.id IS NOT NULL AND NOT (said IS NOT NULL AND coalesce(said <> f.lev, TRUE)) AND si = f.inv AND (NOT found OR (wi = f.inv AND coalesce(f.lev, 1) <= coalesce(wl, 1))) END AS fixed FROM g2 LEFT JOIN ct f ON f.id = fx),
+ gr AS (SELECT *, CASE WHEN ok THEN 'verified' WHEN coalesce(fixed, FALSE) THEN 'repaired' ELSE 'discarded' END AS grounding, CASE WHEN ok THEN proposed WHEN coalesce(fixed, FALSE) THEN fix END AS id FROM g3)"""
+
+
+def _grounded(spark, sf):
+    """The events' items after grounding, with user_id and value."""
+    p = table(spark, sf, "part")
+    catalog = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"), F.col("p_retailprice").alias("popularity"),
+                       F.when(F.col("p_size") > 40, 3.0).when(F.col("p_size") > 25, 2.0).alias("leverage"), (F.col("p_type") == "SMALL").alias("is_inverse"))
+    held = p.select(F.col("p_partkey").alias("user_id"), F.col("p_name").alias("concept"))
+    e = table(spark, sf, "events").join(held, "user_id", "left")
+    claim = F.concat(F.coalesce("concept", F.lit("")), F.when(F.col("value") > 150, " 2x").otherwise(""), F.when(F.col("event_type") == "error", " inverse").otherwise(""))
+    items = e.select(F.col("event_id").alias("item"), "user_id", "value", F.floor(F.col("event_id") / 3).alias("proposed"), "concept", claim.alias("claim"))
+    return grounding.ground(items, catalog)
+
+
+@query("krn_38_grounding", f"WITH {_GROUND} SELECT item, grounding, id FROM gr")
 def krn_38(spark, sf):
-    """Each item is verified, or repaired once by an allowed replacement, or discarded."""
-    s, t = F.col("p_size"), _item()
-    none = F.array().cast("array<string>")
-    x = table(spark, sf, "part").select(
-        (s % 5 != 0).alias("found"), F.when(texts.leverage(t).isNotNull(), F.array(F.lit("leverage"))).otherwise(none).alias("problems"), (s % 3 != 0).alias("fix_found"), none.alias("fix_problems"),
-        reports.risk_profile(texts.says_inverse(t), F.lit(None).cast("double"), F.lit(False), F.lit(None).cast("double")).alias("fix_breaks"))
-    return reports.grounded(x).groupBy("grounding").agg(F.count("*").alias("n"))
+    """Each item is verified against the catalog, or repaired once by the best candidate of a word search, or discarded."""
+    return _grounded(spark, sf).select("item", "grounding", "id")
+
+
+@query("src_09_word_candidates", f"WITH {_GROUND} SELECT concept, id, score, CAST(rank AS INT) AS rank FROM cr WHERE rank <= 5")
+def src_09_words(spark, sf):
+    """The five best catalog entries for every concept, by the weights of shared words."""
+    p = table(spark, sf, "part")
+    catalog = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"), F.col("p_retailprice").alias("popularity"))
+    concepts = table(spark, sf, "events").select("user_id").distinct().join(p, F.col("p_partkey") == F.col("user_id")).select(F.col("p_name").alias("concept"))
+    return grounding.candidates(concepts, grounding.word_index(catalog))
 
 
-@query("fil_06_entity_gate", rf"""WITH y AS (SELECT p_partkey AS id, CASE WHEN p_size % 5 <> 0 THEN 'verified' WHEN p_size % 3 = 0 THEN 'repaired' ELSE 'discarded' END AS grounding FROM part) SELECT id, grounding FROM y WHERE grounding <> 'discarded'""")
+@query("fil_06_entity_gate", f"WITH {_GROUND} SELECT item, id, grounding FROM gr WHERE grounding <> 'discarded'")
 def fil_06(spark, sf):
-    """Only grounded entities enter an analysis."""
-    s = F.col("p_size")
-    x = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(s % 5 != 0, "verified").when(s % 3 == 0, "repaired").otherwise("discarded").alias("grounding"))
-    return reports.allowed(x)
+    """Only what the grounding verified or repaired enters an analysis."""
+    return reports.allowed(_grounded(spark, sf)).select("item", "id", "grounding")
 
 
-@query("agg_33_rubric", """SELECT p_brand AS thesis, count(*) FILTER (p_size % 5 <> 0) AS existing, count(*) AS asked, round(sum(CASE WHEN p_size % 3 = 0 THEN CAST(p_retailprice AS DECIMAL(18,2)) ELSE 0 END)::DOUBLE / sum(CAST(p_retailprice AS DECIMAL(18,2)))::DOUBLE, 3) + 0.0 AS stock_share, arg_min(p_size, p_partkey) % 3 <> 0 AS first_is_no_stock FROM part GROUP BY 1""")
+@query("agg_33_rubric", f"""WITH {_GROUND}, t AS (SELECT user_id, item, gr.id IS NOT NULL AS kept, CAST(value AS DECIMAL(18,2)) AS w, coalesce(ct.p_type = 'ECONOMY', FALSE) AS stock FROM gr LEFT JOIN ct ON ct.id = gr.id)
+ SELECT user_id AS thesis, count(*) FILTER (kept) AS existing, count(*) AS asked, round(coalesce(sum(CASE WHEN kept AND stock THEN w ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN kept THEN w ELSE 0 END)::DOUBLE, 0), 0), 3) + 0.0 AS stock_share, NOT arg_min(stock, item) FILTER (kept) AS first_is_no_stock FROM t GROUP BY 1""")
 def agg_33(spark, sf):
-    """Of each thesis: how many of its series exist, the share of stocks by weight, and whether its first instrument is none."""
-    p = table(spark, sf, "part").withColumn("w", F.col("p_retailprice").cast("decimal(18,2)"))
-    return p.groupBy(F.col("p_brand").alias("thesis")).agg(
-        F.count_if(F.col("p_size") % 5 != 0).alias("existing"), F.count("*").alias("asked"),
-        (F.round(F.sum(F.when(F.col("p_size") % 3 == 0, F.col("w")).otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double") / F.sum("w").cast("double"), 3) + 0.0).alias("stock_share"),
-        (F.min_by("p_size", "p_partkey") % 3 != 0).alias("first_is_no_stock"))
+    """Of each user's items: how many are in the catalog after grounding, the share of one class by weight, and whether the first is of another."""
+    kinds = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_type") == "ECONOMY").alias("stock"))
+    g = _grounded(spark, sf).join(kinds, "id", "left").withColumns({"kept": F.col("id").isNotNull(), "w": F.col("value").cast("decimal(18,2)"), "stock": F.coalesce("stock", F.lit(False))})
+    none = F.lit(0).cast("decimal(18,2)")
+    share = F.try_divide(F.sum(F.when(F.col("kept") & F.col("stock"), F.col("w")).otherwise(none)).cast("double"), F.sum(F.when(F.col("kept"), F.col("w")).otherwise(none)).cast("double"))
+    return g.groupBy(F.col("user_id").alias("thesis")).agg(
+        F.count_if("kept").alias("existing"), F.count("*").alias("asked"), (F.round(F.coalesce(share, F.lit(0.0)), 3) + F.lit(0.0)).alias("stock_share"),
+        (~F.min_by(F.when(F.col("kept"), F.col("stock")), F.when(F.col("kept"), F.col("item")))).alias("first_is_no_stock"))
+
+
+_RULES = """bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda v: v <> '') AS w FROM benchmark),
+ ru AS (SELECT item_id AS priority, 'theme ' || item_id % 7 AS theme, CASE WHEN item_id % 2 = 0 THEN w[3] || ' ' || w[4] ELSE w[5] END AS phrase FROM bw WHERE len(w) >= 5)"""
+
+
+@query("str_07_rules", f"""WITH {_RULES}, dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda v: v <> '') AS w FROM documents),
+ dp AS (SELECT DISTINCT doc_id, w[i] AS phrase FROM dw, range(1, len(w) + 1) g(i) UNION SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] FROM dw, range(1, len(w)) g(i)),
+ m AS (SELECT doc_id, arg_min(theme, priority) AS theme FROM dp JOIN ru USING (phrase) GROUP BY 1) SELECT doc_id, coalesce(theme, 'general') AS theme FROM documents LEFT JOIN m USING (doc_id)""")
+def str_07_rules(spark, sf):
+    """The theme of every document by stored rules, a phrase of each benchmark item: the first rule by its place wins."""
+    w = grounding.lower_words(F.col("text"))
+    b = table(spark, sf, "benchmark").select("item_id", w.alias("w")).where(F.size("w") >= 5)
+    phrase = F.when(F.col("item_id") % 2 == 0, F.concat_ws(" ", F.get("w", F.lit(2)), F.get("w", F.lit(3)))).otherwise(F.get("w", F.lit(4)))
+    rules = b.select(F.col("item_id").alias("priority"), F.concat(F.lit("theme "), F.col("item_id") % 7).alias("theme"), phrase.alias("phrase"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
+    return grounding.themes(d, rules).select(F.col("key").alias("doc_id"), "theme")
 
 
 @query("str_07_themes", r"""WITH x AS (SELECT conv_id, turn, ' ' || lower(p_name || ' ' || coalesce(text, '')) || ' ' AS t FROM conversations JOIN part ON p_partkey = conv_id) SELECT conv_id, turn, CASE WHEN t LIKE '% red %' OR t LIKE '% widget %' THEN 'widgets' WHEN t LIKE '% la %' OR t LIKE '% le %' THEN 'french' WHEN t LIKE '% die %' OR t LIKE '% und %' THEN 'german' ELSE 'general' END AS theme FROM x""")
@@ -418,12 +464,23 @@ def dat_02(spark, sf):
     return calendar.weeks_ahead(series.monthly_segments(spark, sf).groupBy("series_id").agg(F.max("ts").alias("ts")), 13)
 
 
-@query("dat_05_hints", """SELECT * FROM (VALUES ('monthly', 'D', 'monthly', 12), ('irregular', 'W', 'weekly', 13), ('irregular', 'M', 'monthly', 12), ('irregular', 'Q', 'quarterly', 4), ('irregular', 'A', 'annual', 2), ('irregular', 'x', 'daily', 60), ('irregular', NULL, 'daily', 60), ('weekly', NULL, 'weekly', 13)) t(inferred, hint, frequency, horizon)""")
+_GAPS = """d AS (SELECT DISTINCT o_custkey AS series_id, CAST(o_orderdate AS DATE) AS ts FROM orders), q AS (SELECT series_id, date_diff('day', lag(ts) OVER (PARTITION BY series_id ORDER BY ts), ts) AS gap FROM d),
+ i AS (SELECT series_id, CASE WHEN count(*) < 3 THEN 'irregular' WHEN median(gap) <= 4 THEN 'daily' WHEN median(gap) BETWEEN 5 AND 10 THEN 'weekly' WHEN median(gap) BETWEEN 25 AND 35 THEN 'monthly' WHEN median(gap) BETWEEN 80 AND 100 THEN 'quarterly' WHEN median(gap) BETWEEN 350 AND 380 THEN 'annual' ELSE 'irregular' END AS inferred FROM q GROUP BY 1)"""
+
+
+@query("dat_05_hints", f"""WITH {_GAPS}, h AS (SELECT c_custkey AS series_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'W' WHEN 'BUILDING' THEN 'M' WHEN 'FURNITURE' THEN 'Q' WHEN 'HOUSEHOLD' THEN 'A' END AS hint FROM customer),
+ f AS (SELECT series_id, inferred, hint, CASE WHEN inferred <> 'irregular' THEN inferred ELSE CASE hint WHEN 'W' THEN 'weekly' WHEN 'M' THEN 'monthly' WHEN 'Q' THEN 'quarterly' WHEN 'A' THEN 'annual' ELSE 'daily' END END AS frequency FROM i JOIN h USING (series_id))
+ SELECT *, CASE frequency WHEN 'weekly' THEN 13 WHEN 'monthly' THEN 12 WHEN 'quarterly' THEN 4 WHEN 'annual' THEN 2 ELSE 60 END AS horizon FROM f""")
 def dat_05(spark, sf):
-    """The inferred frequency, else what the hint's code says, else daily."""
-    rows = [("monthly", "D"), ("irregular", "W"), ("irregular", "M"), ("irregular", "Q"), ("irregular", "A"), ("irregular", "x"), ("irregular", None), ("weekly", None)]
-    x = spark.createDataFrame(rows, "inferred string, hint string").withColumn("frequency", calendar.resolved(F.col("inferred"), F.col("hint")))
-    return x.select("inferred", "hint", "frequency", calendar.horizon(F.col("frequency")).alias("horizon"))
+    """The frequency of each customer's order dates; where it is irregular what the code of their segment says, else daily; and its horizon."""
+    d = table(spark, sf, "orders").select(F.col("o_custkey").alias("series_id"), F.col("o_orderdate").cast("date").alias("ts")).distinct()
+    codes = {"AUTOMOBILE": "W", "BUILDING": "M", "FURNITURE": "Q", "HOUSEHOLD": "A"}
+    hint = None
+    for segment, code in codes.items():
+        hint = F.when(F.col("c_mktsegment") == segment, code) if hint is None else hint.when(F.col("c_mktsegment") == segment, code)
+    h = table(spark, sf, "customer").select(F.col("c_custkey").alias("series_id"), hint.alias("hint"))
+    x = align.frequency(d).select("series_id", F.col("frequency").alias("inferred")).join(h, "series_id").withColumn("frequency", calendar.resolved(F.col("inferred"), F.col("hint")))
+    return x.select("series_id", "inferred", "hint", "frequency", calendar.horizon(F.col("frequency")).alias("horizon"))
 
 
 @query("dat_06_add_months", f"WITH {M1} SELECT ts, CAST(k AS INT) AS k, strftime(last_day(CAST(date_trunc('month', ts) + INTERVAL 1 MONTH * k AS DATE)), '%Y-%m-%d') AS later, CAST(year(ts) * 12 + month(ts) - 1 AS INT) AS month_index FROM m1, (VALUES (-13), (1), (24)) t(k)")

@@ -275,11 +275,13 @@ def join_11(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(o, "id", "left").join(e, "id", "left").na.fill(0)
 
 
-@query("join_12_grid", "SELECT a.x AS margin, b.x AS least, c.x AS cutoffs FROM (VALUES (0.0::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) a(x), (VALUES (3), (5), (7)) b(x), (VALUES (8), (24)) c(x)")
+@query("join_12_grid", "SELECT c_mktsegment AS series_id, a.x AS margin, b.x AS least, c.x AS cutoffs FROM (SELECT DISTINCT c_mktsegment FROM customer), (VALUES (0.0::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) a(x), (VALUES (3), (5), (7)) b(x), (VALUES (8), (24)) c(x)")
 def join_12(spark, sf):
-    """A grid of parameters."""
-    a = spark.createDataFrame([(0.0,), (0.05,), (0.1,)], "margin double")
-    return a.withColumn("least", F.explode(F.array(F.lit(3), F.lit(5), F.lit(7)))).withColumn("cutoffs", F.explode(F.array(F.lit(8), F.lit(24))))
+    """A grid of parameters for every series."""
+    a = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("series_id")).distinct()
+    for name, values in (("margin", (0.0, 0.05, 0.1)), ("least", (3, 5, 7)), ("cutoffs", (8, 24))):
+        a = a.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return a
 
 
 @query("join_14_compare", f"""WITH {M1}, y AS (SELECT ts, CASE WHEN month(ts) = 6 THEN value * 1.0000001 ELSE value END AS value FROM m1 WHERE month(ts) <> 2)
@@ -406,21 +408,6 @@ def str_03(spark, sf):
     return x.select("id", "said", "says_inverse", F.array_join(found, ",").alias("problems"))
 
 
-@query("str_07_router", """SELECT p_partkey AS id, CASE WHEN p_size % 6 = 0 THEN 'energy' WHEN p_size % 6 = 1 THEN 'technology' WHEN p_size % 6 = 2 THEN 'rates' WHEN p_size % 6 = 3 THEN 'energy' ELSE 'general' END AS theme FROM part""")
-def str_07(spark, sf):
-    """The first theme whose word is in the text."""
-    said = F.element_at(F.array(*[F.lit(x) for x in ("Oil up", "new Chip", "the rate", "gas and cloud", "chips", "nothing")]), (F.col("p_size") % 6 + 1).cast("int"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), texts.theme(said).alias("theme"))
-
-
-@query("str_08_failures", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'quota' WHEN event_id % 5 = 1 THEN 'auth' WHEN event_id % 5 = 2 THEN 'server' WHEN event_id % 5 = 3 THEN 'timeout' ELSE 'other' END AS kind FROM events""")
-def str_08(spark, sf):
-    k = (F.col("event_id") % 5 + 1).cast("int")
-    status = F.element_at(F.array(*[F.lit(x) for x in (429, 401, 503, 0, 400)]), k)
-    said = F.element_at(F.array(*[F.lit(x) for x in ("", "denied", "", "Timed out", "bad")]), k)
-    return table(spark, sf, "events").select("event_id", texts.failure_kind(status, said).alias("kind"))
-
-
 @query("str_11_rpartition", "SELECT DISTINCT n_name || '_x_' || CAST(n_regionkey AS VARCHAR) AS key, n_name || '_x' AS ticker, CAST(n_regionkey AS VARCHAR) AS period FROM nation")
 def str_11(spark, sf):
     k = F.concat("n_name", F.lit("_x_"), F.col("n_regionkey").cast("string"))
@@ -443,12 +430,20 @@ def dat_03(spark, sf):
     return calendar.months_ahead(last, 24)
 
 
-@query("dat_05_horizons", """SELECT f, h, y, n, CAST(h AS VARCHAR) || ' ' || u || CASE WHEN h = 1 THEN '' ELSE 's' END AS label FROM (VALUES ('daily', 60, 252, 186, 'day'), ('weekly', 13, 52, 49, 'week'), ('monthly', 12, 12, 48, 'month'), ('quarterly', 4, 4, 40, 'quarter'), ('annual', 2, 1, 38, 'year'), ('irregular', 60, 252, 186, 'day')) t(f, h, y, n, u)""")
+_PERIODS = {"daily": "o_orderdate", "weekly": "date_trunc('week', o_orderdate)", "monthly": "date_trunc('month', o_orderdate)", "quarterly": "date_trunc('quarter', o_orderdate)", "annual": "date_trunc('year', o_orderdate)"}
+
+
+@query("dat_05_horizons", f"""WITH p AS ({' UNION ALL '.join(f"SELECT DISTINCT o_orderpriority || ' {k}' AS series_id, CAST({v} AS DATE) AS ts FROM orders" for k, v in _PERIODS.items())}), g AS (SELECT series_id, count(*) AS n, median(gap) AS g FROM (SELECT series_id, date_diff('day', lag(ts) OVER (PARTITION BY series_id ORDER BY ts), ts) AS gap FROM p) GROUP BY 1),
+ f AS (SELECT series_id, CASE WHEN n < 3 THEN 'irregular' WHEN g <= 4 THEN 'daily' WHEN g BETWEEN 5 AND 10 THEN 'weekly' WHEN g BETWEEN 25 AND 35 THEN 'monthly' WHEN g BETWEEN 80 AND 100 THEN 'quarterly' WHEN g BETWEEN 350 AND 380 THEN 'annual' ELSE 'irregular' END AS f FROM g)
+ SELECT series_id, f, h, y, n, CAST(h AS VARCHAR) || ' ' || u || CASE WHEN h = 1 THEN '' ELSE 's' END AS label FROM f JOIN (VALUES ('daily', 60, 252, 186, 'day'), ('weekly', 13, 52, 49, 'week'), ('monthly', 12, 12, 48, 'month'), ('quarterly', 4, 4, 40, 'quarter'), ('annual', 2, 1, 38, 'year'), ('irregular', 60, 252, 186, 'day')) t(f, h, y, n, u) USING (f)""")
 def dat_05(spark, sf):
-    """DAT-05, KRN-17, STR-10: horizon, steps a year, least history and label of each frequency."""
-    x = spark.createDataFrame([(f,) for f in ("daily", "weekly", "monthly", "quarterly", "annual", "irregular")], "f string")
+    """DAT-05, KRN-17, STR-10: order dates by priority and period as series: the frequency found from their gaps, its horizon, steps a year, least history and label."""
+    o = table(spark, sf, "orders")
+    kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(v).cast("date").alias("ts")) for k, v in _PERIODS.items()])
+    p = o.select("o_orderpriority", F.explode(kinds).alias("x")).select(F.concat_ws(" ", "o_orderpriority", "x.k").alias("series_id"), "x.ts").distinct()
+    x = align.frequency(p).select("series_id", F.col("frequency").alias("f"))
     h = calendar.horizon(F.col("f"))
-    return x.select("f", h.alias("h"), calendar.per_year(F.col("f")).alias("y"), calendar.least_history(h).alias("n"), calendar.horizon_label(h, F.col("f")).alias("label"))
+    return x.select("series_id", "f", h.alias("h"), calendar.per_year(F.col("f")).alias("y"), calendar.least_history(h).alias("n"), calendar.horizon_label(h, F.col("f")).alias("label"))
 
 
 @query("mut_01_current", """WITH l AS (SELECT user_id AS id, event_id AS version, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, value FROM events)
