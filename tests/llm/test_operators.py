@@ -253,16 +253,63 @@ def test_vectors_of_every_length_link_among_their_own(spark):
         assert mine == {v: (n[v], root[v]) for v in root}
 
 
-def test_links_of_large_tables_are_found_as_often():
-    r = np.random.default_rng(1)
-    a, e = r.normal(size=(2, 4_000, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    e -= (e * a).sum(1, keepdims=True) * a
-    b = 0.95 * a + (1 - 0.95**2) ** 0.5 * e / np.linalg.norm(e, axis=1, keepdims=True)
-    for n in (10_000, 50_000, 300_000, 3_000_000, 30_000_000):
-        width, tables = embeddings.shape(n, 10)
-        model = embeddings.learn(np.concatenate([a, b]), tables * width)
-        assert (embeddings.substrings(a, model, tables) == embeddings.substrings(b, model, tables)).any(1).mean() >= 0.99
+def cone(n, d, mean_cosine, seed, cosine=0.95):
+    """Unit vectors about a common direction, whose cosines are mean_cosine on average, and a partner of each at a cosine of `cosine`, about it too."""
+    r = np.random.default_rng(seed)
+    m = np.random.default_rng(d).normal(size=d)
+    m /= np.linalg.norm(m)
+    e, f = r.normal(size=(2, n, d))
+    e -= (e @ m)[:, None] * m
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    f -= (f @ m)[:, None] * m
+    f -= (f * e).sum(1, keepdims=True) * e
+    f /= np.linalg.norm(f, axis=1, keepdims=True)
+    c = (cosine - mean_cosine) / (1 - mean_cosine)
+    about = [mean_cosine**0.5 * m + (1 - mean_cosine) ** 0.5 * x for x in (e, c * e + (1 - c * c) ** 0.5 * f)]
+    assert np.allclose((about[0] * about[1]).sum(1), cosine)
+    return about
+
+
+@pytest.mark.parametrize(("d", "mean_cosine"), [(16, 0.0), (16, 0.8), (64, 0.0), (64, 0.5), (64, 0.7), (64, 0.8), (256, 0.8)])
+def test_links_are_found_whatever_direction_vectors_share(d, mean_cosine):
+    sample, (a, b) = cone(3_000, d, mean_cosine, 1)[0], cone(2_000, d, mean_cosine, 2)
+    for n in (2_500, 300_000):
+        mean, projection, tables, reached = embeddings.fitted(sample, n, 0.95)
+        assert reached >= 0.995 and projection.shape[1] % tables == 0
+        met = (embeddings.substrings(a, (mean, projection), tables) == embeddings.substrings(b, (mean, projection), tables)).any(1).mean()
+        assert met >= 0.98
+
+
+def test_the_tables_are_used_on_tables_of_any_size(spark, sf_dir, monkeypatch):
+    """On the shipped table vectors get several keys, and no bucket holds them all; links are those of brute force."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    seen = []
+    kept = embeddings.stored
+
+    def stored(df, name):
+        out = kept(df, name)
+        if name == "vectors-coded":
+            n = out.count()
+            sizes = out.select(F.posexplode("at").alias("table", "key")).groupBy("table", "key").count()
+            seen.append((n, sizes.select("table").distinct().count(), sizes.agg(F.max("count")).first()[0], sizes.count()))
+        return out
+
+    monkeypatch.setattr(embeddings, "stored", stored)
+    mine = {r["vec_id"]: r["n_links"] for r in queries.op3_embedding_near_dedup(spark, sf_dir).collect()}
+    (n, tables, largest, keys), = seen
+    assert tables >= 4 and largest < n / 4 and keys > 10 * tables
+    links, _ = brute.near_vectors(rows)
+    assert sum(mine.values()) >= 0.99 * 2 * len(links)
+
+
+def test_a_table_of_vectors_about_one_direction(spark, tmp_path):
+    a, b = cone(1_500, 32, 0.8, 3, 0.9501)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    mine = sum(r["n_links"] for r in queries.op3_embedding_near_dedup(spark, str(tmp_path)).collect())
+    links, _ = brute.near_vectors(rows)
+    assert len(links) >= 1_500
+    assert 0.98 * 2 * len(links) <= mine <= 2 * len(links)
 
 
 # 4
