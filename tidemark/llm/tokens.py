@@ -203,7 +203,7 @@ def count_tokens(
 class WordIds(dict):
     """Lower-cased word (bytes) to its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 200_000):  # some 40 MB
         super().__init__()
         self.lib, self.most = tokenizer(path), most
         self.cut = cuts(self.lib) == "words"
