@@ -186,6 +186,37 @@ def test_rules_of_many_trigrams(spark):
     assert n == {i: int(i < len(names)) for i, _ in texts}
 
 
+def test_the_trigram_index_holds_what_texts_hold(spark, odd):
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    rows = [(i, t) for i, t in rows if i != 12]
+    df = spark.createDataFrame([*rows, (None, "Abcd"), (None, "xyz"), (1, "again")], "doc_id long, text string").repartition(3)
+    index = secrets.postings(df)
+    got = {(r["doc_id"], r["trigram"]) for r in index.collect()}
+    want = {(i, low[k:k + 3]) for i, t in [*rows, (None, "Abcd"), (None, "xyz"), (1, "again")] if t for low in [t.lower()] for k in range(len(low) - 2)}
+    plain = {x for x in want if x[1].isascii()}
+    assert {x for x in got if x[1].isascii()} == plain and len(got) >= len(plain)
+    some = ["pas", "ass", "the", "zzz"]
+    assert {(r["doc_id"], r["trigram"]) for r in secrets.postings(df, some).collect()} == {x for x in want if x[1] in some}
+
+
+def test_five_hundred_rules_cost_what_five_do(spark):
+    import time
+
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet").select("doc_id", "text").repartition(8).cache()
+    docs.count()
+
+    def took(n):
+        queries_ = {f"k{i}": secrets.trigram_query(f"keyword{i:03d}x = [a-z]+") for i in range(n)}
+        began = time.perf_counter()
+        index = secrets.postings(docs, sorted({t for sets in queries_.values() for s in sets for t in s}))
+        found = secrets.candidates(index, queries_).count()
+        return time.perf_counter() - began, found
+
+    took(5)
+    few, many = took(5), took(500)
+    assert many[0] < 2 * few[0] + 2 and few[1] == many[1] == 0
+
+
 # 3
 
 def test_near_vectors_query(spark, tmp_path):

@@ -1,8 +1,9 @@
 """Secret scan over a trigram inverted index, in DataFrame functions only.
 
 Each rule's expression is turned into a Boolean query over trigrams of lower-cased text:
-any of several sets of which all trigrams must occur. The index holds one posting for
-each document and trigram that some rule asks for; intersecting the postings leaves a
+any of several sets of which all trigrams must occur. The index is built from the texts in
+one pass over their trigrams, and holds a posting for each document and trigram, here of those that
+some rule asks for; intersecting the postings leaves a
 rule's candidates, and only those are matched against the expression. A rule whose
 matches share no trigram is matched against every document.
 
@@ -101,35 +102,47 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return best
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The index: (trigram, doc_id) for the trigrams that occur in the lower-cased texts, once for each document."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams]))
-    return stored(docs.select("doc_id", low.alias("low")).select("doc_id", F.explode(held).alias("trigram")), "trigrams")
+def trigrams_of(text: Column, chunk: int = 8_192) -> Column:
+    """The distinct trigrams of a lower-cased text, an array for each stretch of `chunk` characters; stretches overlap by two. Null and texts under three characters have none."""
+    low = F.lower(text)
+    starts = F.sequence(F.lit(0), F.greatest(F.length(low) - 3, F.lit(0)), F.lit(chunk - 2))
+    stretches = F.when(F.length(low) <= chunk, F.array(low)).otherwise(F.transform(starts, lambda k: F.substring(low, k + 1, F.lit(chunk))))
+    each = r"(?s)(?![\uDC00-\uDFFF])(?=(...))"  # not from the middle of a character
+    return F.transform(stretches, lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(each), 1)))
+
+
+def postings(docs: DataFrame, trigrams: list[str] | None = None) -> DataFrame:
+    """The inverted index: (trigram, doc_id), of all trigrams of the lower-cased texts, or of those asked for.
+
+    One pass over a text makes its trigrams; those asked for are kept by a hash join, so the
+    pass costs the same for any number of rules. A posting comes once for each stretch of a
+    long text that holds it, and for each row of a repeated doc_id; null ids have postings
+    like others, and rows of one id share what they hold.
+    """
+    each = docs.select("doc_id", F.explode(trigrams_of(F.col("text"))).alias("grams")).select("doc_id", F.explode("grams").alias("trigram"))
+    if trigrams is not None:
+        asked = docs.sparkSession.createDataFrame([(t,) for t in trigrams], "trigram string")
+        each = each.join(F.broadcast(asked), "trigram")  # as many rows as the rules have trigrams
+    return stored(each.select("doc_id", "trigram"), "trigrams")
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """doc_id and the kinds whose Boolean query its postings satisfy; postings meet as bits, 62 trigrams to a word."""
-    trigrams = sorted({t for sets in queries.values() for s in sets for t in s})
-    held, of = {}, {}
-    for w in range(0, len(trigrams), 62):
-        bits = {t: 1 << i for i, t in enumerate(trigrams[w:w + 62])}
-        value = F.element_at(F.create_map(*[F.lit(x) for t, b in bits.items() for x in (t, b)]), F.col("trigram"))
-        held[w] = F.bit_or(F.coalesce(value, F.lit(0).cast("long"))).alias(f"held_{w}")
-        of |= {t: (w, b) for t, b in bits.items()}
-    masks = index.where(F.col("trigram").isin(trigrams)).groupBy("doc_id").agg(*held.values())
-    kinds = []
-    for kind, sets in queries.items():
-        any_of = F.lit(False)
-        for s in sets:
-            all_of = F.lit(True)
-            for w in held:
-                m = sum(b for v, b in (of[t] for t in s) if v == w)
-                all_of = all_of & (F.col(f"held_{w}").bitwiseAND(F.lit(m).cast("long")) == m) if m else all_of
-            any_of = any_of | all_of
-        kinds.append(F.when(any_of, F.lit(kind)))
-    found = masks.select("doc_id", F.array_compact(F.array(*kinds)).alias("kinds"))
-    return found.where(F.size("kinds") > 0)
+    """doc_id and the kinds whose Boolean query its postings satisfy.
+
+    A posting meets the sets that ask for its trigram, by a hash join; a set is held where
+    the bits of its trigrams are all there (of the first 62: more are not needed to leave
+    only candidates). Repeated postings and ids, null ones too, are one row.
+    """
+    sets, n = [], 0
+    for kind, choices in queries.items():
+        for choice in choices:
+            own = sorted(choice)[:62]
+            sets += [(t, kind, n, 1 << i, (1 << len(own)) - 1) for i, t in enumerate(own)]
+            n += 1
+    asked = index.sparkSession.createDataFrame(sets, "trigram string, kind string, choice int, bit long, whole long")
+    met = index.join(F.broadcast(asked), "trigram")  # as many rows as the rules' sets have trigrams
+    held = met.groupBy("doc_id", "kind", "choice", "whole").agg(F.bit_or("bit").alias("held")).where("held = whole")
+    return held.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _let(value: Column, body) -> Column:
