@@ -248,14 +248,14 @@ def _chosen(paired):
 @query("krn_19_skill", f"{PAIRS}, {_CHOICE}, {_skill_sql('sk')} SELECT series_id, naive, n, wins, losses, {r('model_mean', 'model_mean', 3)}, {r('naive_mean', 'naive_mean', 3)}, state FROM sk")
 def krn_19(spark, sf):
     """Whether the chosen engine adds to the stricter naive forecast."""
-    p = _pairs(spark, sf)
+    p = settled(_pairs(spark, sf))
     return rounded(decisions.skill(p, _chosen(p)), 3)
 
 
 @query("krn_47_old_and_new_skill", f"{PAIRS}, {_CHOICE}, {_skill_sql('od', False)}, {_skill_sql('nw')} SELECT series_id, od.state AS old_state, nw.state AS new_state, nw.naive, nw.state = 'adds' AND od.losses > od.wins AS blocked FROM od JOIN nw USING (series_id)")
 def krn_47(spark, sf):
     """The verdict against the random walk and against the stricter naive forecast; one that adds but loses most pairs to the other is blocked."""
-    p = _pairs(spark, sf)
+    p = settled(_pairs(spark, sf))
     c = _chosen(p)
     old = decisions.skill(p, c, both=False).select("series_id", F.col("state").alias("old_state"), (F.col("losses") > F.col("wins")).alias("lost"))
     new = decisions.skill(p, c).select("series_id", F.col("state").alias("new_state"), "naive")
@@ -283,7 +283,7 @@ def _capability(stepped):
 @query("krn_20_capability", f"{STEPS}, {_CAP} SELECT series_id, engine, naive, wins, losses, {r('p', 'p')}, {r('skill', 'skill')}, {r('coverage', 'coverage')}, p < 0.05::DOUBLE / 2 AND skill > 0 AS beats FROM cap")
 def krn_20(spark, sf):
     """Engines that beat the stricter naive forecast: a sign test under 0.05 by the number of engines (Bonferroni) and a positive skill."""
-    c = _capability(_steps(spark, sf))
+    c = _capability(settled(_steps(spark, sf)))
     return rounded(c.select("series_id", "engine", "naive", "wins", "losses", "p", "skill", "coverage", ((F.col("p") < 0.05 / 2) & (F.col("skill") > 0)).alias("beats")))
 
 
@@ -291,7 +291,7 @@ def krn_20(spark, sf):
  SELECT CASE WHEN series_id < 'F' THEN 'a' ELSE 'b' END AS category, count(*) AS series, count(*) FILTER (has) AS capable, count(*) FILTER (has) >= 3 AS three, count(*) FILTER (has) > count(*) / 2 AS majority, bool_or(skill < 0) AS any_negative, bool_and(skill > -1) AS none_catastrophic FROM s GROUP BY 1""")
 def agg_34(spark, sf):
     """Counts and thresholds of verdicts by category."""
-    s = _capability(_steps(spark, sf)).groupBy("series_id").agg(F.bool_or((F.col("p") < 0.05 / 2) & (F.col("skill") > 0)).alias("has"), F.max("skill").alias("skill"))
+    s = _capability(settled(_steps(spark, sf))).groupBy("series_id").agg(F.bool_or((F.col("p") < 0.05 / 2) & (F.col("skill") > 0)).alias("has"), F.max("skill").alias("skill"))
     n = F.count_if("has")
     return s.groupBy(F.when(F.col("series_id") < "F", "a").otherwise("b").alias("category")).agg(
         F.count("*").alias("series"), n.alias("capable"), (n >= 3).alias("three"), (n > F.count("*") / 2).alias("majority"),
@@ -314,7 +314,7 @@ def _by_mean(prefix: str = ""):
  {r('avg(CASE WHEN t.pick <> metric_only THEN 100.0 ELSE 0 END)', 'guard_changed_pct')} FROM t JOIN f USING (series_id) GROUP BY ALL""")
 def krn_22(spark, sf):
     """KRN-22, AGG-29: every three of the 24 cutoffs against all of them; shares of near ties, and of decisions that the guard changed."""
-    p = _pairs(spark, sf)
+    p = settled(_pairs(spark, sf))
     t = evidence.triples(p).select("series_id", _by_mean().alias("pick"), F.when(F.col("challenger") < F.col("base"), "challenger").otherwise("base").alias("metric_only"), (F.col("challenger") / F.col("base") - 1).alias("gap"))
     f = p.groupBy("series_id").agg(*[F.avg(c).alias(c) for c in ("base", "challenger", "base_cov", "challenger_cov")]).select("series_id", _by_mean().alias("reference"))
 
@@ -332,7 +332,7 @@ def krn_22(spark, sf):
  SELECT category, count(*) AS n, {r('avg(regret)', 'mean')}, {r('median(regret)', 'median')}, {r('quantile_cont(regret, 0.9)', 'p90')} FROM u GROUP BY 1""")
 def agg_26(spark, sf):
     """AGG-26, KRN-21: what each decision on three cutoffs costs on the 21 held out, in percentage points, pooled by category."""
-    p = _pairs(spark, sf)
+    p = settled(_pairs(spark, sf))
     q = p.groupBy("series_id").agg(F.count("*").alias("all_n"), F.sum("base").alias("sb"), F.sum("challenger").alias("sc"))
     t = evidence.triples(p).join(F.broadcast(q), "series_id")  # one row a series
     eb, ec = (F.col("sb") - 3 * F.col("base")) / (F.col("all_n") - 3), (F.col("sc") - 3 * F.col("challenger")) / (F.col("all_n") - 3)
@@ -551,7 +551,7 @@ _DRAWN = f"""dr AS (SELECT s, pr.* FROM pr, range(0, {SUBSETS}) g(s) QUALIFY row
      "CHOICE", _robust_sql("alpha", "margin", "incumbent", "least", "guard").replace(_p("wins", "losses"), "p_to").replace(_p("losses", "wins"), "p_away")))
 def krn_23(spark, sf):
     """All variants on 400 hash-drawn subsets of eight cutoffs: how often they choose the challenger, and otherwise than on all cutoffs."""
-    p = _pairs(spark, sf)
+    p = settled(_pairs(spark, sf))
     draw = F.md5(F.concat_ws("-", F.col("s").cast("string"), "series_id", F.col("place").cast("string")).cast("binary"))
     d = p.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SUBSETS - 1)))).withColumn("k", F.row_number().over(W.partitionBy("s", "series_id").orderBy(draw))).where("k <= 8")
     v = F.broadcast(variants(spark))  # 144 rows

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from tidemark.operators import backtest, decisions, holt
 from tidemark.sources import series
+from tidemark.sources.shared import settled
 
 from .base import M5, r, rounded
 
@@ -196,7 +197,7 @@ def ord_06(spark, sf):
  SELECT series_id, count(*) AS subsets, {r('avg(CASE WHEN t.pick <> f.pick THEN 1.0 ELSE 0 END)', 'disagree')} FROM t JOIN f USING (series_id) GROUP BY 1""")
 def krn_22(spark, sf):
     """How often a pair of the four cutoffs decides otherwise than all of them: pairs by a self-join i < j; krn_22_triples takes triples of 24."""
-    p = _pairs(spark, sf)
+    p = settled(_pairs(spark, sf))
     k = p.withColumn("i", F.row_number().over(W.partitionBy("series_id").orderBy("cutoff")))
     a, b = k.select("series_id", F.col("i").alias("a"), F.col("base").alias("ba"), F.col("challenger").alias("ca")), k.select("series_id", F.col("i").alias("b"), F.col("base").alias("bb"), F.col("challenger").alias("cb"))
     t = a.join(b, "series_id").where("a < b").select("series_id", (F.col("ba") + F.col("bb") > F.col("ca") + F.col("cb")).alias("pick"))
@@ -209,7 +210,7 @@ def krn_22(spark, sf):
  SELECT series_id, {r('least(1.0, CASE WHEN least(avg(base), avg(challenger)) > 0 THEN CASE WHEN bool_and(pick) THEN avg(challenger) ELSE avg(base) END / least(avg(base), avg(challenger)) - 1 END)', 'regret')} FROM pairs JOIN s USING (series_id) WHERE cutoff >= DATE '2000-06-30' GROUP BY 1""")
 def krn_21(spark, sf):
     """What the choice of the early cutoffs costs on the held-out ones, at most 1."""
-    p = _pairs(spark, sf)
+    p = settled(_pairs(spark, sf))
     s = p.where("cutoff < date'2000-06-30'").groupBy("series_id").agg((F.avg("base") > F.avg("challenger")).alias("pick"))
     g = p.where("cutoff >= date'2000-06-30'").join(s, "series_id").groupBy("series_id").agg(F.avg("base").alias("b"), F.avg("challenger").alias("c"), F.bool_and("pick").alias("pick"))
     best = F.least("b", "c")

@@ -51,7 +51,7 @@ def prj_11(spark, sf):
  {r('(least(rw, snaive) - base) / (least(rw, snaive) + 1e-8) * 100', 'gap_pct', 4)}, base_cov < 80 - 15 AS undercovered FROM pr""")
 def krn_12(spark, sf):
     """The verdict of a backtest: against the naive forecast with the smaller error (on a tie the random walk), the other one second, and a warning where the band covers 15 points less than it says."""
-    p = dq._pairs(spark, sf)
+    p = settled(dq._pairs(spark, sf))
     best = F.least("rw", "snaive")
     return rounded(p.select(
         "series_id", "cutoff", F.when(F.col("snaive") < F.col("rw"), "seasonal").otherwise("random_walk").alias("rival"), (F.col("base") < best).alias("beats"),
@@ -86,7 +86,7 @@ def krn_49(spark, sf):
 def krn_18(spark, sf):
     """Which engine runs: by the seasonal catalog, the fund catalog, the decision on evidence, or the default, with a warning for a short history."""
     catalog = spark.createDataFrame([("AUTOMOBILE", "seasonal catalog", "challenger"), ("BUILDING", "fund catalog", "base")], "series_id string, kind string, catalog_engine string")
-    p = dq._pairs(spark, sf)
+    p = settled(dq._pairs(spark, sf))
     n = series.monthly_segments(spark, sf).groupBy("series_id").agg(F.count("*").alias("n"))
     every = n.unionByName(n.select(F.concat("series_id", F.lit(" new")).alias("series_id"), F.lit(40).cast("long").alias("n")))
     return decisions.select_engine(every, catalog, dq._chosen(p))
@@ -120,7 +120,7 @@ def krn_37(spark, sf):
 @query("krn_39_narrative", f"""{dq.PAIRS}, {dq._CHOICE}, {dq._skill_sql('sk')} SELECT series_id, printf('%s: the %s wins %d of %d; it %s.', series_id, choice, wins, n, CASE state WHEN 'adds' THEN 'adds to the ' || naive WHEN 'adds_nothing' THEN 'adds nothing to the ' || naive ELSE 'was not evaluated' END) AS text FROM sk JOIN ch USING (series_id)""")
 def krn_39(spark, sf):
     """A sentence on each series, by rules."""
-    p = dq._pairs(spark, sf)
+    p = settled(dq._pairs(spark, sf))
     c = dq._chosen(p)
     s = decisions.skill(p, c).join(c, "series_id")
     end = F.when(F.col("state") == "adds", F.concat(F.lit("adds to the "), "naive")).when(F.col("state") == "adds_nothing", F.concat(F.lit("adds nothing to the "), "naive")).otherwise("was not evaluated")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from tidemark.functions import calendar
 from tidemark.operators import align, returns, seasonality, store, texts, vintage
 from tidemark.sources import series
+from tidemark.sources.shared import settled
 from tidemark.sources.series import table
 
 from .base import D3, H5, M1, M5, r, rounded
@@ -217,7 +218,7 @@ def join_02(spark, sf):
   SELECT series_id, t AS ts, {r('value', 'value')} FROM m WHERE t IN (SELECT t FROM m GROUP BY t HAVING count(DISTINCT series_id) = 4)""")
 def join_03(spark, sf):
     both = series.monthly_orders(spark, sf).unionByName(series.daily_flags(spark, sf))
-    return rounded(align.lower_to_months(both).select("series_id", "ts", "value"))
+    return rounded(align.lower_to_months(settled(both)).select("series_id", "ts", "value"))
 
 
 @query("join_04_side_by_side", f"""WITH {D3}, a AS (SELECT * FROM d3 WHERE series_id = 'A'), b AS (SELECT * FROM d3 WHERE series_id = 'N')
