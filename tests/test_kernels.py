@@ -139,3 +139,31 @@ def test_fits_are_no_worse_than_their_start(spark, sf_dir):
 
 def holt_start():
     return 0.3, 0.05, 0.2, 0.95
+
+
+def test_fitted_starts_cannot_be_bettered(spark):
+    rng, t, m = np.random.default_rng(21), np.arange(72), 12
+    y = {"season": 5 + 0.01 * t + 0.3 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 0.05, 72), "noise": rng.normal(0, 1, 60), "short": rng.normal(0, 1, 25), "too short": rng.normal(0, 1, 23)}
+    a = spark.createDataFrame([(k, v.tolist()) for k, v in y.items()], "series_id string, y array<double>").withColumns({"use_log": F.lit(False), "has_negative": F.lit(True)})
+    rows = {r["series_id"]: r for r in holt.with_fitted_season(a, m).collect()}
+    assert set(rows) == {"season", "noise", "short"}
+
+    def sse(y, p, l, b, s):
+        alpha, beta, gamma, phi = p
+        s, out = list(s), 0.0
+        for k, v in enumerate(y):
+            guess = l + phi * b
+            e = v - guess - s[k % m]
+            l, b, s[k % m] = guess + alpha * e, phi * b + beta * e, s[k % m] + gamma * e
+            out += e * e
+        return out
+
+    for k, r in rows.items():
+        p = np.array([r["alpha"], r["beta"], r["gamma"], r["phi"]])
+        best = sse(y[k], p, r["l0"], r["b0"], r["s0"])
+        assert best == pytest.approx(r["sse"]) and r["state"]["sse"] == pytest.approx(r["sse"]) and r["sse"] <= r["sse_start"] + 1e-9
+        for size in (1e-3, -1e-3, 0.05, -0.05):
+            moved = [sse(y[k], p, r["l0"] + size, r["b0"], r["s0"]), sse(y[k], p, r["l0"], r["b0"] + size, r["s0"])]
+            moved += [sse(y[k], p, r["l0"], r["b0"], [v + size * (j == i) for j, v in enumerate(r["s0"])]) for i in range(m)]
+            assert min(moved) >= best - 1e-9
+    assert rows["season"]["sse"] < 0.9 * rows["season"]["sse_start"]

@@ -122,6 +122,19 @@ def robust_scale(series: DataFrame) -> DataFrame:
     return d.groupBy("series_id").agg((1.4826 * F.median(F.abs(F.col("d") - F.col("m")))).alias("scale"))
 
 
+def _season_fold(y: Column, start: Column, alpha, beta, gamma, phi, m: int) -> Column:
+    """The state struct(l, b, s, sse, n) after a series, from a start struct(l, b, s); s begins with the season of the point to come."""
+    begin = F.struct(start["l"].alias("l"), start["b"].alias("b"), start["s"].alias("s"), F.lit(0.0).alias("sse"), F.lit(0).alias("n"))
+
+    def step(c, v):
+        guess = c["l"] + phi * c["b"]
+        e = v - guess - F.element_at(c["s"], 1)
+        season = F.concat(F.slice(c["s"], 2, m - 1), F.array(F.element_at(c["s"], 1) + gamma * e))
+        return F.struct((guess + alpha * e).alias("l"), (phi * c["b"] + beta * e).alias("b"), season.alias("s"), (c["sse"] + e * e).alias("sse"), (c["n"] + 1).alias("n"))
+
+    return F.aggregate(y, begin, step)
+
+
 def with_season(series: DataFrame, alpha: float, beta: float, gamma: float, phi: float, m: int) -> DataFrame:
     """series with the state of the damped trend with an additive season of m: struct(l, b, s, sse, n).
 
@@ -134,15 +147,8 @@ def with_season(series: DataFrame, alpha: float, beta: float, gamma: float, phi:
         return F.aggregate(F.slice(y, first, m), F.lit(0.0), lambda a, v: a + v) / m
 
     begun = series.where(F.size("y") >= 2 * m).withColumns({"m1": mean(1), "m2": mean(m + 1)})
-    start = F.struct(F.col("m1").alias("l"), ((F.col("m2") - F.col("m1")) / m).alias("b"), F.transform(F.slice(y, 1, m), lambda v: v - F.col("m1")).alias("s"), F.lit(0.0).alias("sse"), F.lit(0).alias("n"))
-
-    def step(c, v):
-        guess = c["l"] + phi * c["b"]
-        e = v - guess - F.element_at(c["s"], 1)
-        season = F.concat(F.slice(c["s"], 2, m - 1), F.array(F.element_at(c["s"], 1) + gamma * e))
-        return F.struct((guess + alpha * e).alias("l"), (phi * c["b"] + beta * e).alias("b"), season.alias("s"), (c["sse"] + e * e).alias("sse"), (c["n"] + 1).alias("n"))
-
-    return begun.withColumns({"state": F.aggregate(y, start, step), "alpha": F.lit(alpha), "beta": F.lit(beta), "gamma": F.lit(gamma), "phi": F.lit(phi)}).drop("m1", "m2")
+    start = F.struct(F.col("m1").alias("l"), ((F.col("m2") - F.col("m1")) / m).alias("b"), F.transform(F.slice(y, 1, m), lambda v: v - F.col("m1")).alias("s"))
+    return begun.withColumns({"state": _season_fold(y, start, alpha, beta, gamma, phi, m), "alpha": F.lit(alpha), "beta": F.lit(beta), "gamma": F.lit(gamma), "phi": F.lit(phi)}).drop("m1", "m2")
 
 
 def seasonal_forecast(fitted: DataFrame, horizon: int, m: int, level: float = 0.95) -> DataFrame:
@@ -158,37 +164,76 @@ def seasonal_forecast(fitted: DataFrame, horizon: int, m: int, level: float = 0.
         F.when(log, F.exp(F.col("mu") - z * sd)).otherwise(F.col("mu") - z * sd).alias("lower"), F.when(log, F.exp(F.col("mu") + z * sd)).otherwise(F.col("mu") + z * sd).alias("upper"))
 
 
-def _seasonal_sse(y: np.ndarray, p: np.ndarray, m: int) -> np.ndarray:
-    """Squared error of one series for many (alpha, beta, gamma, phi) at once: least for the largest likelihood of Gaussian errors."""
-    a, b, g, f = p.T
-    level, trend = np.full(len(p), y[:m].mean()), np.full(len(p), (y[m:2 * m].mean() - y[:m].mean()) / m)
-    season = np.repeat((y[:m] - y[:m].mean())[:, None], len(p), 1)
-    out = np.zeros(len(p))
+def _responses(y: np.ndarray, p: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """One-step errors of one series from a start of zeros, and what a unit of each part of the start (level, trend, and m - 1 seasons, the last being minus their sum) adds to them, for many (alpha, beta, gamma, phi) at once.
+
+    Errors are linear in the start, so one pass over the series serves every start.
+    """
+    a, b, g, f = (x[:, None] for x in p.T)
+    k = m + 2  # the series itself, level, trend, m - 1 seasons
+    level, trend, season = np.zeros((len(p), k)), np.zeros((len(p), k)), np.zeros((m, len(p), k))
+    level[:, 1], trend[:, 2] = 1, 1
+    for j in range(m - 1):
+        season[j, :, 3 + j], season[m - 1, :, 3 + j] = 1, -1
+    out = np.zeros((len(y), len(p), k))
+    seen = np.zeros(k)
+    seen[0] = 1
     for t, v in enumerate(y):
         guess = level + f * trend
-        e = v - guess - season[t % m]
+        e = v * seen - guess - season[t % m]
         level, trend = guess + a * e, f * trend + b * e
-        season[t % m] += g * e
-        out += e * e
-    return out
+        season[t % m] = season[t % m] + g * e
+        out[t] = e
+    return out[:, :, 0].T, np.moveaxis(out[:, :, 1:], 0, 1)
 
 
-def fit_season(series: DataFrame, m: int, rounds: int = 7) -> DataFrame:
-    """alpha, beta, gamma and phi of each series by maximum likelihood, on a grid that closes in on the best: sse and sse_start, the start's."""
-    low, high, start = np.array([0.01, 0.0, 0.0, 0.80]), np.array([0.99, 0.5, 0.99, 0.98]), np.array([0.3, 0.05, 0.2, 0.95])
+def _best_starts(y: np.ndarray, p: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared error of one series for many (alpha, beta, gamma, phi), each from the start that is best for it, and those starts: level, trend, m seasons."""
+    errors, parts = _responses(y, p, m)
+    sse, starts = np.zeros(len(p)), np.zeros((len(p), m + 2))
+    for i, (e, z) in enumerate(zip(errors, parts, strict=True)):
+        x = np.linalg.lstsq(z, -e, rcond=1e-10)[0]
+        left = e + z @ x
+        sse[i], starts[i, :m + 1], starts[i, m + 1] = left @ left, x, -x[2:].sum()
+    return sse, starts
+
+
+def _seasonal_sse(y: np.ndarray, p: np.ndarray, m: int) -> np.ndarray:
+    """Squared error of one series for (alpha, beta, gamma, phi) from the first season's mean, mean step and deviations."""
+    errors, parts = _responses(y, p, m)
+    level = y[:m].mean()
+    start = np.r_[level, (y[m:2 * m].mean() - level) / m, (y[:m] - level)[:-1]]
+    return ((errors + parts @ start) ** 2).sum(1)
+
+
+def fit_season(series: DataFrame, m: int, rounds: int = 8) -> DataFrame:
+    """alpha, beta, gamma, phi and the start (l0, b0, s0) of each series by maximum likelihood: sse, and sse_start, that of the default parameters from the first season.
+
+    For given parameters the best start is a least squares fit, so the search is over the
+    four parameters alone: a grid that closes in on the best. A start is identified by
+    seasons that add to 0. Series of fewer than two seasons give no rows.
+    """
+    low, high, first = np.array([0.01, 0.0, 0.0, 0.80]), np.array([0.99, 0.5, 0.99, 0.98]), np.array([0.3, 0.05, 0.2, 0.95])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for series_id, y in zip(pdf["series_id"], pdf["y"], strict=True):
                 y = np.asarray(y, dtype=float)
-                at, span = start, (high - low) / 2
+                at, span = first, (high - low) / 2
                 for k in range(rounds):
                     grid = np.stack(np.meshgrid(*[np.linspace(-1, 1, 5 if k == 0 else 3)] * 4), -1).reshape(-1, 4)
                     cand = np.vstack([at, np.clip(((low + high) / 2 if k == 0 else at) + grid * span, low, high)])
-                    at, span = cand[np.argmin(_seasonal_sse(y, cand, m))], span / 2
-                both = _seasonal_sse(y, np.stack([at, start]), m)
-                out.append((series_id, *at, *both))
-            yield pd.DataFrame(out, columns=["series_id", "alpha", "beta", "gamma", "phi", "sse", "sse_start"])
+                    at, span = cand[np.argmin(_best_starts(y, cand, m)[0])], span / 2
+                sse, start = _best_starts(y, at[None], m)
+                out.append((series_id, *map(float, at), float(start[0, 0]), float(start[0, 1]), start[0, 2:].tolist(), float(sse[0]), float(_seasonal_sse(y, first[None], m)[0])))
+            yield pd.DataFrame(out, columns=["series_id", "alpha", "beta", "gamma", "phi", "l0", "b0", "s0", "sse", "sse_start"])
+
+    return series.where(F.size("y") >= 2 * m).select("series_id", "y").mapInPandas(
+        run, "series_id string, alpha double, beta double, gamma double, phi double, l0 double, b0 double, s0 array<double>, sse double, sse_start double")
+
 
-    return series.where(F.size("y") >= 2 * m).select("series_id", "y").mapInPandas(run, "series_id string, alpha double, beta double, gamma double, phi double, sse double, sse_start double")
+def with_fitted_season(series: DataFrame, m: int) -> DataFrame:
+    """series with the parameters of fit_season() and the state that its start and they leave, for seasonal_forecast()."""
+    x = series.join(fit_season(series, m), "series_id")
+    return x.withColumn("state", _season_fold(F.col("y"), F.struct(F.col("l0").alias("l"), F.col("b0").alias("b"), F.col("s0").alias("s")), F.col("alpha"), F.col("beta"), F.col("gamma"), F.col("phi"), m))

@@ -172,13 +172,25 @@ def krn_04(spark, sf):
 
 @query("krn_04_fit")
 def krn_04_fit(spark, sf):
-    """Fitted parameters of the seasonal model, and its squared error, which is never above the start's; whether the series passes the test for a season beside it."""
+    """Fitted parameters and start of the seasonal model, and its squared error, which is never above that of the defaults; whether the series passes the test for a season beside it."""
     from tidemark.operators import seasonality
 
     m = series.monthly_segments(spark, sf)
     f = holt.fit_season(holt.training_arrays(m), 12)
     t = seasonality.seasonal_test(m).select("series_id", "is_seasonal")
-    return f.join(t, "series_id", "left").select("series_id", "alpha", "beta", "gamma", "phi", "sse", "sse_start", "is_seasonal")
+    return f.join(t, "series_id", "left").select("series_id", "alpha", "beta", "gamma", "phi", "l0", "b0", "s0", "sse", "sse_start", "is_seasonal")
+
+
+@query("krn_04_fitted_states", f"""WITH {M5} SELECT series_id, TRUE AS no_worse, TRUE AS same_error, 12 AS seasons, 0.0::DOUBLE AS season_sum, TRUE AS ordered FROM m5 GROUP BY 1""")
+def krn_04_states(spark, sf):
+    """Of every series: the fitted error is not above the defaults', the fold from the fitted start gives it, its seasons add to 0, and bounds are about the forecasts."""
+    a = holt.training_arrays(series.monthly_segments(spark, sf))
+    f = settled(holt.with_fitted_season(a, 12))
+    c = holt.seasonal_forecast(f, 6, 12).groupBy("series_id").agg(F.bool_and((F.col("lower") < F.col("value")) & (F.col("value") < F.col("upper"))).alias("ordered"))
+    total = F.aggregate("s0", F.lit(0.0), lambda s, v: s + v)
+    x = f.select("series_id", (F.col("sse") <= F.col("sse_start") * (1 + 1e-9)).alias("no_worse"), (F.abs(F.col("sse") - F.col("state.sse")) <= 1e-6 * F.col("sse")).alias("same_error"),
+                 F.size("s0").alias("seasons"), (F.round(total, 9) + F.lit(0.0)).alias("season_sum"))
+    return x.join(c, "series_id")
 
 
 # Correlations
