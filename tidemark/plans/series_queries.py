@@ -409,6 +409,24 @@ def str_03(spark, sf):
     return x.select("id", "said", "says_inverse", F.array_join(found, ",").alias("problems"))
 
 
+_THEMES = "CASE " + " ".join("WHEN " + " OR ".join(f"t LIKE '% {w} %'" for w in words) + f" THEN '{theme}'" for theme, words in texts.THEMES) + " ELSE 'general' END"
+
+
+@query("str_07_router", f"SELECT conv_id, turn, {_THEMES} AS theme FROM (SELECT conv_id, turn, ' ' || lower(coalesce(text, '')) || ' ' AS t FROM conversations)")
+def str_07(spark, sf):
+    """The first theme whose word is in a turn of a conversation; str_07_rules has stored rules."""
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", texts.theme(F.coalesce("text", F.lit(""))).alias("theme"))
+
+
+@query("str_08_failures", """WITH x AS (SELECT event_id, CAST(floor(value) AS INT) AS status, lower(event_type || ' ' || props) AS m FROM events)
+ SELECT event_id, CASE WHEN status = 429 OR m LIKE '%rate limit%' OR m LIKE '%quota%' THEN 'quota' WHEN status IN (401, 403) THEN 'auth' WHEN status >= 500 THEN 'server' WHEN m LIKE '%timeout%' OR m LIKE '%timed out%' THEN 'timeout' ELSE 'other' END AS kind FROM x""")
+def str_08(spark, sf):
+    """The kind of each event read as a failure: its value as the status, its type and properties as the message."""
+    e = table(spark, sf, "events")
+    return e.select("event_id", texts.failure_kind(F.floor("value").cast("int"), F.concat_ws(" ", "event_type", "props")).alias("kind"))
+
+
 @query("str_11_rpartition", "SELECT DISTINCT n_name || '_x_' || CAST(n_regionkey AS VARCHAR) AS key, n_name || '_x' AS ticker, CAST(n_regionkey AS VARCHAR) AS period FROM nation")
 def str_11(spark, sf):
     k = F.concat("n_name", F.lit("_x_"), F.col("n_regionkey").cast("string"))
