@@ -689,3 +689,52 @@ def test_long_urls(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     out = {x["page_id"]: (x["rule"], x["verdict"]) for x in url_rules.judge(df, url_rules.rules_frame(spark)).select("page_id", "rule", "verdict").collect()}
     assert out == {i: brute.url_rule(u, url_rules.RULES)[2:] for i, u in enumerate(urls)}
+
+
+def slow_features(text):
+    """quality.features(), a byte at a time."""
+    raw = (text or "").encode()
+    kinds = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\v\f", b"\r\n", b".", b",;:", b"!?", b"()[]{}<>", b"'\"`", b"|/\\_-+=~", b"#$%&*@^")
+    if not raw:
+        return [0.0] * (14 * 14 + 14 + 9)
+    kind = [12 if b >= 128 else next((i for i, k in enumerate(kinds) if b in k), 13) for b in raw]
+    n = len(raw)
+    pairs, single = Counter(zip(kind, kind[1:], strict=False)), Counter(kind)
+    out = [(pairs[i, j] / n) ** 0.5 for i in range(14) for j in range(14)] + [(single[i] / n) ** 0.5 for i in range(14)]
+    words = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) for b in raw)
+    words = [w for w in words.replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if w]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    m, d = max(1, len(words)), len(set(words))
+    same = sum(a == b for a, b in zip(kind, kind[1:], strict=False))
+    return out + [
+        np.log(1 + n), np.log(1 + m), n / m / 10, d / m, np.log(1 + d) / np.log(1 + m), len(set(lines)) / max(1, len(lines)), np.log(1 + len(lines)),
+        n / max(1, len(lines)) / 500, same / n,
+    ]
+
+
+def test_features_of_quality_are_those_of_a_slow_count():
+    texts = [t for _, t in awkward() if t is None or len(t) < 5_000] + ["line one.\nline one.\n\n Other; line!", "a\r\nb\x0bc\x0cd", "(x) [y] {z} <w> 'q' \"r\" `s` |/\\_-+=~ #$%&*@^ 12.5", "\x01\x02"]
+    for t in texts:
+        assert np.allclose(quality.features(t), slow_features(t), rtol=1e-5, atol=1e-6), t
+
+
+def test_a_score_of_toxicity_is_the_largest_of_its_windows():
+    """score_texts(), a window at a time: in whatever groups texts go through the network."""
+    r = random.Random(4)
+    plain = [prose(r.randrange(1, 90), k) for k in range(150)]
+    toxic = [p + " you vile rotten fool get lost" for p in plain[:50]]
+    net = toxicity.fit(plain + toxic, np.array([0] * 150 + [1] * 50), epochs=3)
+    texts = [None, "", "one", *plain[:12], *toxic[:6], prose(400, 99)]
+    want = []
+    for t in texts:
+        words = toxicity.entries(t)
+        starts = [0] if len(words) <= toxicity.WINDOW else range(0, -(-(len(words) - toxicity.WINDOW) // toxicity.STRIDE) * toxicity.STRIDE + 1, toxicity.STRIDE)
+        scores = []
+        for s in starts:
+            own = words[s:s + toxicity.WINDOW]
+            x = net.vectors(net.places([b"", *own]), *toxicity.trigrams([b"", *own]), blank=True)
+            at = np.array([[*range(1, len(own) + 1), *[0] * (toxicity.WINDOW - len(own))]])
+            scores.append(float(net.forward(x, at)[0]))
+        want.append(1 / (1 + np.exp(-np.clip(max(scores), -30, 30))))
+    for most in (1, 7, 8_192):
+        assert np.allclose(toxicity.score_texts(toxicity.Reader(net), texts, most), want, atol=1e-4)
