@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import itertools
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -67,6 +71,33 @@ def set_aside(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
     return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
 
 
+_given = [0.0]
+
+
+def give_back(every: float = 0.0) -> None:
+    """Return to the system what a Python worker has freed: Arrow's pool and malloc keep it else while the worker waits for its next task. At most once in `every` seconds."""
+    now = time.monotonic()
+    if now - _given[0] >= every:
+        _given[0] = now
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """A function of batches or of a group that gives its memory back when it is done, groups every other second."""
+    if inspect.isgeneratorfunction(f):
+        def run(batches):
+            yield from f(batches)
+            give_back()
+    else:
+        def run(group):
+            out = f(group)
+            give_back(2.0)
+            return out
+    return run
+
+
 def append(df: DataFrame, columns: list[str], added: str, make: Callable, dropped: tuple[str, ...] = ()) -> DataFrame:
     """df, less the columns `dropped`, with those of the schema `added`, made in Python a batch at a time.
 
@@ -87,7 +118,7 @@ def append(df: DataFrame, columns: list[str], added: str, make: Callable, droppe
             arrays = [batch.column(i) for i in kept] + [pa.array(x, t, from_pandas=False) for x, t in zip(made, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER, stored
+from .common import lean, LOWER, stored
 
 #: Bytes that end a word (all ASCII but digits and letters) become blanks, A-Z become a-z.
 _WORDS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in LOWER)
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_words: i
         if held:
             yield shard(f"{part}-{k}", held)
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, _INDEX), "postings")
+    return stored(docs.select("doc_id", "text").mapInArrow(lean(run), _INDEX), "postings")
 
 
 def _find(lists: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], order: list[int]) -> np.ndarray:
@@ -189,7 +189,7 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int | None
         orders = [sorted(range(len(p)), key=lambda i, p=p: (rarity.get(p[i], 0), p[i], i)) for p in phrases]
         sent = spark.sparkContext.broadcast(list(zip(phrases, orders, phrases.values(), strict=True)))
 
-        part = wanted.unionByName(docs).groupBy("shard").applyInPandas(_searcher(sent, slop), "shard string, doc int, hit array<int>, item_ids array<long>")
+        part = wanted.unionByName(docs).groupBy("shard").applyInPandas(lean(_searcher(sent, slop)), "shard string, doc int, hit array<int>, item_ids array<long>")
         found.append(part)
     hits = found[0]
     for part in found[1:]:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, append, components, few, stored
+from .common import append, components, few, lean, LOWER, stored
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -258,7 +258,7 @@ def _components(docs: DataFrame, num: int, den: int, width: int, block: int = 1_
 
     edges = stored(
         texts.select("row", "node", "text").join(_small(dealt), "row").select("node", "text", F.explode("blocks").alias("block"))
-        .groupBy("block").applyInPandas(product, "a long, b long"), "jaccard-forest",
+        .groupBy("block").applyInPandas(lean(product), "a long, b long"), "jaccard-forest",
     )
     roots = stored(components(edges), "jaccard-roots")
 
@@ -345,7 +345,7 @@ def _crowded(tagged: DataFrame, bits: int, crowd: int, width: int, most: int = 1
         col = (np.int64(pdf["block"].iloc[0]) << 32) + table["col"][start].astype(np.int64)
         return pd.DataFrame({"col": col[n > crowd], "n": n[n > crowd]})
 
-    found = tagged.mapInPandas(count, "block long, ones binary").groupBy("block").applyInPandas(total, "col long, n long")
+    found = tagged.mapInPandas(lean(count), "block long, ones binary").groupBy("block").applyInPandas(lean(total), "col long, n long")
     rows = np.array(found.orderBy(F.desc("n"), "col").limit(most).collect(), dtype=np.int64).reshape(-1, 2)
     rows = rows[np.argsort(rows[:, 0].astype(np.uint64))]
     return rows[:, 0].astype(np.uint64), rows[:, 1]
@@ -413,7 +413,7 @@ def _packed(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int, n
                             out += [(int(block[s]), f"{c} {min(side, other)} {max(side, other)}", b"", b"", own_side) for other in range(k)]
                 yield pd.DataFrame(out, columns=["block", "part", "bare", "named", "ended"])
 
-    return tagged.mapInPandas(run, "block long, part string, bare binary, named binary, ended binary")
+    return tagged.mapInPandas(lean(run), "block long, part string, bare binary, named binary, ended binary")
 
 
 def _copy(table: np.ndarray, to: np.ndarray, names: tuple[str, ...]) -> None:
@@ -512,7 +512,7 @@ def _meetings(tagged: DataFrame, late: tuple[np.ndarray, np.ndarray], bits: int,
         out = done[0] if done else np.zeros((0, 4), dtype=np.int64)
         return pd.DataFrame(out, columns=["a", "b", "n", "need"])
 
-    return _packed(tagged, late, bits, num, den, width, wide).groupBy("block", "part").applyInPandas(run, "a long, b long, n long, need long")
+    return _packed(tagged, late, bits, num, den, width, wide).groupBy("block", "part").applyInPandas(lean(run), "a long, b long, n long, need long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, width: int) -> DataFrame:
@@ -530,4 +530,4 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, width: int
             yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
 
     both = pairs.join(own.withColumnsRenamed({"node": "b", "text": "tb"}), "b").join(own.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
-    return stored(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "jaccard-links")
+    return stored(both.select("a", "b", "ta", "tb").mapInPandas(lean(run), "a long, b long"), "jaccard-links")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, stored
+from .common import append, lean, stored
 from .decontaminate import words
 
 WINDOW, STRIDE = 24, 12
@@ -327,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1_500, longest: int =
         net = fit([r[2] for r in rows], np.array([r[3] for r in rows]), seed=seed)
         yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(net)]})
 
-    made = picked.repartition(1).mapInArrow(run, "net binary").first()  # None where no row was picked
+    made = picked.repartition(1).mapInArrow(lean(run), "net binary").first()  # None where no row was picked
     return pickle.loads(made["net"]) if made else fit([], np.array([]), seed=seed)
 
 
