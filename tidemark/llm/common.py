@@ -84,14 +84,27 @@ def give_back(every: float = 0.0) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+_kept: list[dict] = []
+
+
+def kept(memo: dict) -> dict:
+    """A memo that a Python worker keeps from task to task, until one of another kind, in lean(), needs the room."""
+    _kept.append(memo)
+    return memo
+
+
 def lean(f: Callable) -> Callable:
-    """A function of batches or of a group that gives its memory back when it is done, groups every other second."""
+    """A function of batches or of a group that runs without the memos of other tasks and gives its memory back when it is done, groups every other second."""
     if inspect.isgeneratorfunction(f):
         def run(batches):
+            for memo in _kept:
+                memo.clear()
             yield from f(batches)
             give_back()
     else:
         def run(group):
+            for memo in _kept:
+                memo.clear()
             out = f(group)
             give_back(2.0)
             return out
@@ -117,8 +130,9 @@ def append(df: DataFrame, columns: list[str], added: str, make: Callable, droppe
             made = of(*[batch.column(i).to_pylist() for i in places])
             arrays = [batch.column(i) for i in kept] + [pa.array(x, t, from_pandas=False) for x, t in zip(made, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        give_back()
 
-    return df.mapInArrow(lean(run), schema)
+    return df.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:

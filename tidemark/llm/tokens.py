@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, append, buckets, stored
+from .common import append, buckets, kept, LOWER, stored
 
 #: White space as the tokenizers' expressions have it (Unicode White_Space); Python's \s also has U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -85,7 +85,7 @@ class PieceCounts(dict):
         return sum(map(self.__getitem__, _PIECES.findall(text)))
 
 
-_memo: dict[str, PieceCounts] = {}
+_memo: dict[str, PieceCounts] = kept({})
 
 
 def piece_counts(path: str) -> PieceCounts:
@@ -203,7 +203,7 @@ def count_tokens(
 class WordIds(dict):
     """Lower-cased word (bytes) to its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 200_000):  # some 40 MB
+    def __init__(self, path: str, most: int = 800_000):
         super().__init__()
         self.lib, self.most = tokenizer(path), most
         self.cut = cuts(self.lib) == "words"
@@ -233,7 +233,7 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, raw.split()))
 
 
-_words: dict[str, WordIds] = {}
+_words: dict[str, WordIds] = kept({})
 
 
 def word_ids(path: str) -> WordIds:
