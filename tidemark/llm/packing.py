@@ -69,11 +69,11 @@ def repeat_counts(histogram: np.ndarray, combos: list, rounds: int = 400) -> np.
     return used
 
 
-def tokenized(docs: DataFrame, path: str, end: int, window: int) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end: int, window: int, memo_words: int = 800_000) -> DataFrame:
     """doc_id, print, n (ids with the end id) and the CRC-32 of each full window and of the rest."""
 
     def encoder():
-        memo, last = word_ids(path), np.array([end], dtype="<u4").tobytes()
+        memo, last = word_ids(path, memo_words), np.array([end], dtype="<u4").tobytes()
 
         def encode(texts: list[str]) -> tuple[list, list]:
             ids = (memo.encode(t) + last for t in texts)
@@ -86,7 +86,7 @@ def tokenized(docs: DataFrame, path: str, end: int, window: int) -> DataFrame:
     return append(rows, ["text"], "n long, crcs array<long>", encoder, ("text",))
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2, memo_words: int = 800_000) -> DataFrame:
     """Pieces of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document's ids, then `end`. Full windows of a long document are sequences of
@@ -94,12 +94,13 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2) -> DataFr
     in the running order of what is left, which is cut at window ends, so only the very
     last sequence is short. A null text is empty: the end id alone. Repeated rows are
     documents of their own; other columns are dropped; no rows give no rows.
+    A Python worker remembers the ids of up to memo_words words.
     """
     spark = docs.sparkSession
     n_buckets = buckets(spark)
     docs = docs.select("doc_id", "text")
     toks = stored(
-        tokenized(docs, path, end, window)
+        tokenized(docs, path, end, window, memo_words)
         .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "print", "n"), F.lit(n_buckets)).cast("int"))
         .withColumns({"full": F.expr(f"n div {window}"), "rest": (F.col("n") % window).cast("int")}),
         "pack-tokens",
@@ -185,11 +186,11 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = 2) -> DataFr
     cut = spread.where("ids_crc32 is null").drop("ids_crc32")
     return (
         full.unionByName(placed).unionByName(spread.where("ids_crc32 is not null").select(*columns))
-        .unionByName(_cut_pieces(docs, cut, path, end).select(*columns)).select(*columns)
+        .unionByName(_cut_pieces(docs, cut, path, end, memo_words).select(*columns)).select(*columns)
     )
 
 
-def _cut_pieces(docs: DataFrame, cut: DataFrame, path: str, end: int) -> DataFrame:
+def _cut_pieces(docs: DataFrame, cut: DataFrame, path: str, end: int, memo_words: int) -> DataFrame:
     """CRC-32 of pieces that end inside a document's rest: those documents, at most one for each window end, are tokenized again."""
     pieces = cut.groupBy("doc_id", "print").agg(F.collect_set(F.struct("start", "length")).alias("pieces"))
     texts = (
@@ -199,7 +200,7 @@ def _cut_pieces(docs: DataFrame, cut: DataFrame, path: str, end: int) -> DataFra
     )
 
     def encoder():
-        memo, last = word_ids(path), np.array([end], dtype="<u4").tobytes()
+        memo, last = word_ids(path, memo_words), np.array([end], dtype="<u4").tobytes()
 
         def encode(texts: list[str], pieces: list[list[dict]]) -> list:
             out = []

@@ -236,8 +236,9 @@ class WordIds(dict):
 _words: dict[str, WordIds] = kept({})
 
 
-def word_ids(path: str) -> WordIds:
-    """The memo of this Python worker, for vocabularies that drop white space and case."""
+def word_ids(path: str, most: int = 800_000) -> WordIds:
+    """The memo of this Python worker, of at most so many words (some 150 bytes each), for vocabularies that drop white space and case."""
     if path not in _words:
         _words[path] = WordIds(path)
+    _words[path].most = most
     return _words[path]
