@@ -46,8 +46,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the token sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of the token sequences; workers remember fewer words, as they hold what the stages before left too."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_words=100_000)
 
 
 STAGES = [
