@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions import calendar
-from tidemark.operators import align, returns, seasonality, store, texts, vintage
+from tidemark.operators import align, returns, seasonality, store, texts, trees, vintage
 from tidemark.sources import series
 from tidemark.sources.shared import settled
 from tidemark.sources.series import table
@@ -111,8 +111,7 @@ def src_12(spark, sf):
 def src_13(spark, sf):
     """The root ancestor of each node of a tree (parent: the number without its last digit)."""
     t = table(spark, sf, "customer").selectExpr("c_custkey as id", "case when c_custkey > 9 then c_custkey div 10 end as parent")
-    return spark.sql("""WITH RECURSIVE up(id, at, parent) AS (SELECT id, id, parent FROM {t} UNION ALL SELECT up.id, t.id, t.parent FROM up JOIN {t} t ON up.parent = t.id)
-        SELECT id, at AS root FROM up WHERE parent IS NULL""", t=t)
+    return trees.roots(t)
 
 
 @query("prj_01_log_returns", f"WITH {D3} SELECT series_id, ts, {r(f'ln(value / lag(value) {OVER})', 'r')} FROM d3 QUALIFY lag(value) {OVER} IS NOT NULL")
