@@ -37,6 +37,39 @@ def test_largest_sharpe_ratio_meets_the_conditions_of_an_optimum(cov):
     assert (slope[w <= 1e-6] <= level + 1e-4).all() and (slope[w >= cap - 1e-6] >= level - 1e-4).all()
 
 
+def under_the_rate(seed):
+    """Means under the rate for three names, their covariance, and the best of the six corners under a cap of 0.6."""
+    a = np.random.default_rng(seed).normal(0, 1, (60, 3))
+    mu, c = np.full(3, -0.0007), np.cov(a.T) * 2
+    corners = [0.6 * np.eye(3)[i] + 0.4 * np.eye(3)[j] for i in range(3) for j in range(3) if i != j]
+    return mu, c, max(corners, key=lambda w: (mu @ w - 0.04) / math.sqrt(w @ c @ w))
+
+
+@pytest.mark.parametrize("seed", [26, 62, 87, 118, 147, 183])
+def test_largest_sharpe_ratio_where_no_return_exceeds_the_rate(seed):
+    mu, c, best = under_the_rate(seed)
+    w = portfolio.max_sharpe(mu, c, 0.6)
+    assert np.allclose(w, best, atol=1e-12) and portfolio.sharpe_residual(w, mu, c, 0.6) < 1e-8
+
+
+def test_largest_sharpe_ratio_at_corners_of_small_caps():
+    rng = np.random.default_rng(4)
+    for cap, k in ((1.0, 4), (0.5, 5), (0.45, 5), (0.3, 6), (0.1, 3), (1.0, 1)):
+        a = rng.normal(size=(40, k))
+        mu, c = rng.normal(-0.2, 0.05, k), np.atleast_2d(np.cov(a.T))
+        w = portfolio.max_sharpe(mu, c, cap)
+        points = [portfolio.capped_simplex(v, max(cap, 1 / k)) for v in rng.normal(0, 1, (200, k))]
+        assert w.max() <= max(cap, 1 / k) + 1e-9 and w.min() >= 0 and abs(w.sum() - 1) < 1e-9
+        assert portfolio.sharpe_residual(w, mu, c, cap) < 1e-8
+        assert max((mu @ v - 0.04) / math.sqrt(v @ c @ v) for v in points) <= (mu @ w - 0.04) / math.sqrt(w @ c @ w) + 1e-9
+
+
+def test_largest_sharpe_ratio_where_equal_weights_lose():
+    mu, c = np.array([0.06, -0.5, -0.5]), np.diag([4.0, 0.01, 0.01])
+    w = portfolio.max_sharpe(mu, c, 1.0)
+    assert np.allclose(w, [1, 0, 0], atol=1e-9)
+
+
 def frame(spark, x, column="r"):
     return spark.createDataFrame([(float(v),) for v in x], f"{column} double").repartition(4)
 

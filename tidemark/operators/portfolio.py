@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -242,19 +243,61 @@ def _polished(w: np.ndarray, mu: np.ndarray, cov: np.ndarray, cap: float, rate:
     return w
 
 
-def max_sharpe(mu: np.ndarray, cov: np.ndarray, cap: float = 1.0, rate: float = 0.04, starts: int = 10, seed: int = 42, exact: float = 1e-10) -> np.ndarray:
+def _corner(mu: np.ndarray, cap: float) -> np.ndarray:
+    """The weights up to cap of the largest mean return: the best names at the cap, the next one with the rest."""
+    w, left = np.zeros(len(mu)), 1.0
+    for i in np.argsort(-mu, kind="stable"):
+        w[i] = min(cap, left)
+        left = max(0.0, left - w[i])
+    return w
+
+
+def _best_corner(mu: np.ndarray, cov: np.ndarray, cap: float, rate: float) -> np.ndarray:
+    """The corner of the weights up to cap with the largest Sharpe ratio, by trying all of them.
+
+    A corner has as many names at the cap as fit, and one with the rest.
+    """
+    k, full = len(mu), min(len(mu), int(1 / cap + 1e-9))
+    rest = max(0.0, 1 - full * cap)
+    best, value = None, -np.inf
+    for at_cap in itertools.combinations(range(k), full):
+        at = list(at_cap)
+        others = np.setdiff1d(np.arange(k), at)
+        excess, variance = np.full(len(others) or 1, cap * mu[at].sum() - rate), np.full(len(others) or 1, cap * cap * cov[np.ix_(at, at)].sum())
+        if len(others):
+            excess = excess + rest * mu[others]
+            variance = variance + 2 * cap * rest * cov[np.ix_(at, others)].sum(0) + rest * rest * np.diag(cov)[others]
+        ratio = excess / np.sqrt(variance)
+        j = int(ratio.argmax())
+        if ratio[j] > value:
+            best, value = np.zeros(k), ratio[j]
+            best[at] = cap
+            if len(others):
+                best[others[j]] = rest
+    return best / best.sum()
+
+
+def max_sharpe(mu: np.ndarray, cov: np.ndarray, cap: float = 1.0, rate: float = 0.04, starts: int = 10, seed: int = 42, exact: float = 1e-10, most: int = 200_000) -> np.ndarray:
     """Long-only weights up to cap (at least 1 / K) of the largest Sharpe ratio.
 
-    Projected gradients find which weights are at a bound, Newton's method the free ones.
-    With some excess return above 0 the ratio has one optimum, so a start that meets its
-    conditions to `exact` is the last; else the best of `starts` is taken.
+    Where some weights have an excess return above 0, the ratio has one optimum among those:
+    projected gradients from there find which weights are at a bound, Newton's method the
+    free ones; a start that meets the conditions to `exact` is the last. Where none has, the
+    ratio is largest at a corner, and all are tried. Over `most` choices of names at the cap
+    the best of `starts` searches and of the corner with the largest return is taken, which
+    need not be the largest: with a cap of a half or more that is never so for up to `most` names.
     """
     k = len(mu)
     cap = max(cap, 1 / k)
     rng = np.random.default_rng(seed)
+    corner = _corner(mu, cap)
+    if mu @ corner <= rate and math.comb(k, min(k, int(1 / cap + 1e-9))) <= most:
+        return _best_corner(mu, cov, cap, rate)
     best, value = np.full(k, 1 / k), -np.inf
     for s in range(starts):
         w = capped_simplex(np.full(k, 1 / k) if s == 0 else rng.dirichlet(np.ones(k)), cap)
+        if s == 0 and mu @ w <= rate:
+            w = corner
         step = 1.0
         now = (mu @ w - rate) / math.sqrt(w @ cov @ w)
         for i in range(2_000):
