@@ -86,6 +86,16 @@ def test_a_book_with_a_dead_series(spark):
     assert out["residual"].max() < 1e-8
 
 
+def test_books_whose_returns_are_under_the_rate(spark):
+    from test_kernels import under_the_rate
+
+    seeds = (26, 62, 87)
+    rows = [(str(s), f"n{i}", f"n{j}", float(under_the_rate(s)[1][i, j]), -0.0007 if i == j else None) for s in seeds for i in range(3) for j in range(i, 3)]
+    out = books.solved(spark.createDataFrame(rows, "book string, i string, j string, annual double, mu double"), ("book",)).where("method = 'sharpe'").toPandas()
+    for s in seeds:
+        assert np.allclose(out[out.book == str(s)].sort_values("name")["w"], under_the_rate(s)[2], atol=1e-12)
+
+
 def prices_of(spark, returns, portfolio_="p"):
     x = 100 * np.exp(np.vstack([np.zeros(returns.shape[1]), np.cumsum(returns, 0)]))
     return long_form(spark, x, [f"a{k}" for k in range(returns.shape[1])], "value").withColumn("portfolio", F.lit(portfolio_))
