@@ -97,3 +97,14 @@ def test_without_rules_or_items(spark):
     assert grounding.ground(items, spark.createDataFrame(CATALOG, DDL)).collect() == []
     one = spark.createDataFrame([("a", 1, "red", "red")], "item string, proposed long, concept string, claim string")
     assert grounding.ground(one, spark.createDataFrame([], DDL)).first()["grounding"] == "discarded"
+
+
+def test_copies_of_titles_meet_a_concept_once(spark):
+    rows = [(i, f"{'red' if i % 2 else 'blue'} ring n{i % 5}", float(i % 7)) for i in range(5_000)]
+    index = grounding.word_index(spark.createDataFrame(rows, "id long, title string, popularity double"))
+    kinds = grounding.title_kinds(index, 4).collect()
+    assert len(kinds) == 40 and len({r["kind"] for r in kinds}) == 10 and all(any(r["id"] == r["kind"] for r in kinds if r["kind"] == x["kind"]) for x in kinds)
+    got = grounding.candidates(spark.createDataFrame([("Red n1",), ("ring",), ("n0 blue blue",)], "concept string"), index, 4).collect()
+    for concept, fits in (("Red n1", lambda i: i % 2 == 1 and i % 5 == 1), ("ring", lambda i: True), ("n0 blue blue", lambda i: i % 2 == 0 and i % 5 == 0)):
+        want = sorted((i for i, *_ in rows if fits(i)), key=lambda i: (-(i % 7), i))[:4]
+        assert [r["id"] for r in sorted((r for r in got if r["concept"] == concept), key=lambda r: r["rank"])] == want

@@ -29,18 +29,37 @@ def word_index(catalog: DataFrame) -> DataFrame:
     return x.join(df, "word").select("word", "id", "popularity", (F.ln(F.col("_n") / F.col("_df")) + 1).alias("weight"))
 
 
-def candidates(concepts: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
+def title_kinds(index: DataFrame, k: int) -> DataFrame:
+    """(kind, words, id, popularity): the entries of word_index() by the set of their words, the k first by popularity, then id, of each.
+
+    kind is the id of the first; words has (word, weight) of each word.
+    """
+    own = index.repartition("id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("words"), F.max("popularity").alias("popularity"))
+    w = W.partitionBy("words").orderBy(F.desc("popularity"), "id")
+    first = own.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k)
+    return first.select(F.first("id").over(w).alias("kind"), "words", "id", "popularity")
+
+
+def candidates(concepts: DataFrame, index: DataFrame, k: int = 5, slices: int = 8) -> DataFrame:
     """(concept, id, score, rank): the k best catalog entries for each concept, by the weights of the words they share, then popularity, then id.
 
     Concepts are searched once each, however many items have them. Scores count to nine
     digits, so that the order of a sum decides nothing. Null or wordless concepts and
-    those without a shared word have no candidate. Words of a concept meet the index's
-    postings; the partial sums of a pair are added before they are shuffled.
+    those without a shared word have no candidate. Entries with the same words have the same
+    score, so a concept meets the kinds of titles; its k best entries are among the first k
+    of its k best kinds. A word's kinds are dealt to `slices` tasks, each of which gets the
+    concepts of the word; the partial sums of a pair are added before they are shuffled.
     """
+    kinds = settled(title_kinds(index, k))
     q = concepts.select("concept").where("concept is not null").distinct().withColumn("word", F.explode(F.array_distinct(lower_words(F.col("concept")))))
-    s = q.join(index, "word").groupBy("concept", "id").agg(F.round(F.sum("weight"), 9).alias("score"), F.max("popularity").alias("popularity"))
+    q = q.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    first = kinds.where(F.col("kind") == F.col("id"))
+    words = first.select("kind", "popularity", F.pmod(F.xxhash64("kind"), F.lit(slices)).cast("int").alias("_slice"), F.explode("words").alias("w")).select("kind", "popularity", "_slice", "w.*")
+    s = q.join(words, ["word", "_slice"]).groupBy("concept", "kind").agg(F.round(F.sum("weight"), 9).alias("score"), F.max("popularity").alias("popularity"))
+    w = W.partitionBy("concept").orderBy(F.desc("score"), F.desc("popularity"), "kind")
+    best = s.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).select("concept", "kind", "score")
     w = W.partitionBy("concept").orderBy(F.desc("score"), F.desc("popularity"), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("popularity")
+    return best.join(kinds.select("kind", "id", "popularity"), "kind").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("concept", "id", "score", "rank")
 
 
 def ground(items: DataFrame, catalog: DataFrame, least: float = 0.5) -> DataFrame:
