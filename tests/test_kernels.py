@@ -64,6 +64,13 @@ def test_largest_sharpe_ratio_at_corners_of_small_caps():
         assert max((mu @ v - 0.04) / math.sqrt(v @ c @ v) for v in points) <= (mu @ w - 0.04) / math.sqrt(w @ c @ w) + 1e-9
 
 
+def test_the_search_for_the_largest_sharpe_ratio_ends_once_it_is_found(cov, monkeypatch):
+    steps, nearest = [], portfolio.capped_simplex
+    monkeypatch.setattr(portfolio, "capped_simplex", lambda v, cap: steps.append(1) or nearest(v, cap))
+    w = portfolio.max_sharpe(np.array([0.3, 0.25, 0.1, 0.2]), cov, 0.6)
+    assert len(steps) <= 21 and portfolio.sharpe_residual(w, np.array([0.3, 0.25, 0.1, 0.2]), cov, 0.6) < 1e-10
+
+
 def test_corners_of_one_sharpe_ratio_are_taken_in_a_fixed_order():
     for k, cap, want in ((2, 0.6, [0.4, 0.6]), (3, 0.6, [0, 0.4, 0.6]), (5, 0.6, [0, 0, 0, 0.4, 0.6]), (6, 0.3, [0, 0, 0.1, 0.3, 0.3, 0.3]), (4, 0.5, [0, 0, 0.5, 0.5])):
         assert np.allclose(portfolio.max_sharpe(np.full(k, -0.01), np.eye(k) * 0.7, cap), want, atol=1e-12)

@@ -322,7 +322,7 @@ def max_sharpe(mu: np.ndarray, cov: np.ndarray, cap: float = 1.0, rate: float =
                 step /= 2
                 if step < 1e-14:
                     break
-            if i % 40 == 39 and sharpe_residual(sharper := _polished(w, mu, cov, cap, rate), mu, cov, cap, rate) < exact:
+            if (i in (4, 9, 19) or i % 40 == 39) and sharpe_residual(sharper := _polished(w, mu, cov, cap, rate), mu, cov, cap, rate) < exact:
                 w = sharper
                 break
         sharper = _polished(w, mu, cov, cap, rate)
